@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import q_native
+from tidemark.llm import q_native, q_text
 
-QUERIES: dict = {**q_native.QUERIES}
+QUERIES: dict = {**q_native.QUERIES, **q_text.QUERIES}
 ORACLES: dict = {**q_native.ORACLES}
