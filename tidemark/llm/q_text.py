@@ -1,11 +1,11 @@
-"""Queries over the texts of documents: secrets, packing."""
+"""Queries over the texts of documents: secrets, packing, language, language-model scores."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, secrets
+from tidemark.llm import langid, packing, secrets
 from tidemark.llm.common import read
 
 
@@ -27,4 +27,11 @@ def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op2_secret_scan": op2_secret_scan, "op8_harmonic_packing": op8_harmonic_packing}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from three quarters of those with a known one."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out(F.col("doc_id"), 4, 2))
+    model = langid.train(docs.filter(~F.col("held_out")))
+    return langid.predict(docs, model, keep=("doc_id", "held_out"))
+
+
+QUERIES = {"op2_secret_scan": op2_secret_scan, "op8_harmonic_packing": op8_harmonic_packing, "op9_language_id": op9_language_id}
