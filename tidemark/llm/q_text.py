@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, packing, secrets
+from tidemark.llm import langid, lm, packing, secrets
 from tidemark.llm.common import read
 
 
@@ -34,4 +34,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep=("doc_id", "held_out"))
 
 
-QUERIES = {"op2_secret_scan": op2_secret_scan, "op8_harmonic_packing": op8_harmonic_packing, "op9_language_id": op9_language_id}
+def op10_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learned from six sevenths of them."""
+    return lm.score(read(spark, sf_dir, "documents"), langid.held_out(F.col("doc_id"), 7, 2))
+
+
+QUERIES = {"op2_secret_scan": op2_secret_scan, "op8_harmonic_packing": op8_harmonic_packing, "op9_language_id": op9_language_id, "op10_context_tree_weighting": op10_context_tree_weighting}
