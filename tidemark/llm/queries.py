@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import q_native, q_text
+from tidemark.llm import q_native, q_pairs, q_text
 
-QUERIES: dict = {**q_native.QUERIES, **q_text.QUERIES}
+QUERIES: dict = {**q_native.QUERIES, **q_text.QUERIES, **q_pairs.QUERIES}
 ORACLES: dict = {**q_native.ORACLES}
