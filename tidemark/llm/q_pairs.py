@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import neardup
+from tidemark.llm import neardup, vptree
 from tidemark.llm.common import read
 
 
@@ -13,4 +14,9 @@ def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_weighted_minhash": op7_weighted_minhash}
+def op6_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of those whose id is divisible by 50."""
+    return vptree.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {"op6_vantage_point_trees": op6_vantage_point_trees, "op7_weighted_minhash": op7_weighted_minhash}

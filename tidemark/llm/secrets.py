@@ -171,7 +171,6 @@ def scan_secrets(df: DataFrame, doc_id: str = "doc_id", text: str = "text", q: f
     A null text is empty and has no spans; one row comes out for each row that goes in, repeated rows too. No rows: no rows.
     """
     id_type = df.schema[doc_id].dataType
-    schema = df.select(F.col(doc_id).alias("doc_id")).schema
     shape = f"doc_id {id_type.simpleString()}, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,end:int,group:string,bin:int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +179,6 @@ def scan_secrets(df: DataFrame, doc_id: str = "doc_id", text: str = "text", q: f
                 base, found = _scan(batch, data, at)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, pa.list_(SPAN)), pa.array(found, pa.list_(CANDIDATE))], ["doc_id", "base", "found"])
 
-    assert schema
     scanned = written(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, shape))
     counts = scanned.select(F.explode("found").alias("f")).groupBy("f.group", "f.bin").count().collect()  # bounded: groups x bins
     cut = _dismissed_from([tuple(r) for r in counts], q)
