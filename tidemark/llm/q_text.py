@@ -1,14 +1,19 @@
-"""Queries over the texts of documents: secrets, packing, language, language-model scores."""
+"""Queries over the texts of documents: media, secrets, packing, language, language-model scores."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, lm, packing, secrets
+from tidemark.llm import langid, lm, media, packing, secrets
 from tidemark.llm.common import read
 
 
+def op1_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored as lossless WebP and read back."""
+    return media.read_back(media.store_texts(read(spark, sf_dir, "documents")))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents."""
     out = secrets.scan_secrets(read(spark, sf_dir, "documents"))
@@ -39,4 +44,4 @@ def op10_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(read(spark, sf_dir, "documents"), langid.held_out(F.col("doc_id"), 7, 2))
 
 
-QUERIES = {"op2_secret_scan": op2_secret_scan, "op8_harmonic_packing": op8_harmonic_packing, "op9_language_id": op9_language_id, "op10_context_tree_weighting": op10_context_tree_weighting}
+QUERIES = {"op1_lossless_webp": op1_lossless_webp, "op2_secret_scan": op2_secret_scan, "op8_harmonic_packing": op8_harmonic_packing, "op9_language_id": op9_language_id, "op10_context_tree_weighting": op10_context_tree_weighting}
