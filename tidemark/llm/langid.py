@@ -65,8 +65,8 @@ def _grams(bodies: list[str], s: Settings) -> tuple[list[np.ndarray], np.ndarray
 
 
 def _parts(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    """Lower-case texts of a batch in parts of about ``most`` characters."""
-    bodies = [(t or "").lower() for t in batch.column("text").to_pylist()]
+    """Lower-case texts of a batch's last column in parts of about ``most`` characters."""
+    bodies = [(t or "").lower() for t in batch.column(batch.num_columns - 1).to_pylist()]
     row = 0
     while row < len(bodies):
         upto, n = row, 0
@@ -203,7 +203,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
                 got = _scores(bodies, model)
                 yield pa.RecordBatch.from_arrays([batch.column("y").slice(row, len(bodies)), pa.array(list(got), pa.list_(pa.float64()))], ["y", "logits"])
 
-    held = sample.filter(F.col("part") < s.shards).select("text", "y").mapInArrow(logits, "y int, logits array<double>").toPandas()  # part of the bounded sample
+    held = sample.filter(F.col("part") < s.shards).select("y", "text").mapInArrow(logits, "y int, logits array<double>").toPandas()  # part of the bounded sample
     held = held.sort_values("y", kind="stable")
     t = _temperature(np.array(held["logits"].tolist()).reshape(-1, n_lang), held["y"].to_numpy())
     return Model(model.languages, model.weights, model.bias, t, s)
@@ -214,9 +214,9 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[
 
     ``und`` with score 0 where the text is null or has no letter, or there is no model.
     """
-    kept = df.select(*keep, F.col(text).alias("text"))
     if model is None:
-        return kept.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0)).drop("text")
+        return df.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    kept = df.select(*keep, F.col(text).alias("lang_pred_of"))
 
     names = np.array(model.languages, object)
 
@@ -227,7 +227,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[
                 best = p.argmax(axis=1)
                 letter = np.array([any(map(str.isalpha, b)) for b in bodies], bool)
                 part = batch.slice(row, len(bodies))
-                cols = [part.column(i) for i in range(part.num_columns - 1)]
+                cols = part.columns[:-1]
                 pred = pa.array(np.where(letter, names[best], UNKNOWN).tolist(), pa.string())
                 score = pa.array(np.where(letter, p[np.arange(len(best)), best], 0.0))
                 yield pa.RecordBatch.from_arrays([*cols, pred, score], [*keep, "lang_pred", "score"])

@@ -57,8 +57,9 @@ def mix(
     most: int = 2,
     rounds: int = 5,
     tolerance: float = 1e-6,
+    also: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, rate, copies, taken): how often the mix takes every document.
+    """The columns ``also`` and (doc_id, source, size, source_size, target, rate, copies, taken): how often the mix takes every document.
 
     Rates minimise the (bounded) relative entropy to one copy each under the constraint that each source's expected words equal its target:
     ``rate = most / (1 + exp(-tilt * size / mean size))``, an exponential tilt held within 0 and ``most`` copies. Newton
@@ -69,7 +70,7 @@ def mix(
     different copies, but the same ones as a set. Cells with very many equal documents are salted by the same hash. No rows: no rows.
     """
     most_f = float(most)
-    base = written(df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    base = written(df.select(*also, F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     rows = base.count()
     cells = base.groupBy("source", "size").agg(F.count("*").alias("docs"))
     cells = written(cells)
@@ -77,7 +78,7 @@ def mix(
     heavy = cells.filter(F.col("docs") > heavy_at).select(F.col("source").alias("h_source"), F.col("size").alias("h_size"), F.ceil(F.col("docs") / heavy_at).alias("salts"))
     salted = base.join(F.broadcast(heavy), base["source"].eqNullSafe(F.col("h_source")) & (base["size"] == F.col("h_size")), "left")
     order = F.xxhash64("doc_id", F.lit(29))
-    salted = salted.select("doc_id", "source", "size", order.alias("order"), F.coalesce(F.pmod(order, F.col("salts")), F.lit(0)).alias("salt"))
+    salted = salted.select(*also, "doc_id", "source", "size", order.alias("order"), F.coalesce(F.pmod(order, F.col("salts")), F.lit(0)).alias("salt"))
 
     sizes = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"), F.sum("docs").alias("n"))
     targets = source_targets(sizes.select("source", "source_size"), weights, share, most_f)
@@ -115,7 +116,17 @@ def mix(
     placed = salted.withColumn("place", place)
     out = placed.join(p, placed["source"].eqNullSafe(p["p_source"]) & (placed["size"] == p["p_size"]) & (placed["salt"] == p["p_salt"]))
     own = F.expr("copies div docs") + F.when(F.col("place") <= F.expr("copies % docs"), 1).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", "rate", own.cast("int").alias("copies"), (own * F.col("size")).cast("long").alias("taken"))
+    return out.select(*also, "doc_id", "source", "size", "source_size", "target", "rate", own.cast("int").alias("copies"), (own * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """The mix itself: the rows of ``df``, each as often as its copies say. Repeated rows share their copies."""
+    keyed = df.withColumn("mix_key", F.xxhash64(text, source))
+    taken = mix(keyed, doc_id, text, source, also=("mix_key",), **how).groupBy("doc_id", "mix_key").agg(F.sum("copies").cast("int").alias("mix_copies"))
+    taken = taken.filter("mix_copies > 0").select(F.col("doc_id").alias("mix_id"), F.col("mix_key").alias("mix_of"), "mix_copies")
+    rows = keyed.join(taken, keyed[doc_id].eqNullSafe(taken["mix_id"]) & (keyed["mix_key"] == taken["mix_of"]))
+    rows = rows.withColumn("mix_nth", F.row_number().over(Window.partitionBy(doc_id, "mix_key").orderBy(F.lit(0)))).filter("mix_nth = 1")
+    return rows.select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")).drop("mix_copy")
 
 
 def _closer(plan: DataFrame, most: int) -> DataFrame:

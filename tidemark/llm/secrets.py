@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.llm.common import written
 from tidemark.llm.vector import slices
@@ -160,8 +161,8 @@ def _dismissed_from(counts: list[tuple[str, int, int]], q: float) -> dict[str, i
     return out
 
 
-def scan_secrets(df: DataFrame, doc_id: str = "doc_id", text: str = "text", q: float = 0.05) -> DataFrame:
-    """(doc_id, spans): the secrets of every text, as an array of (start, kind number, end) in code points.
+def scan_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), q: float = 0.05) -> DataFrame:
+    """The columns ``keep`` and (base, spans): the secrets of every text, as arrays of (start, kind number, end) in code points.
 
     Base kinds are fixed patterns. Kind ``random`` are further tokens of at least 20 symbols with a letter and a digit that the battery
     can't tell from random draws of their inferred encoding. Within each encoding and length class the tokens *dismissed* as not random
@@ -170,25 +171,24 @@ def scan_secrets(df: DataFrame, doc_id: str = "doc_id", text: str = "text", q: f
 
     A null text is empty and has no spans; one row comes out for each row that goes in, repeated rows too. No rows: no rows.
     """
-    id_type = df.schema[doc_id].dataType
-    shape = f"doc_id {id_type.simpleString()}, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,end:int,group:string,bin:int>>"
+    added = StructType.fromDDL("base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,end:int,group:string,bin:int>>")
+    schema = StructType(df.select(*keep).schema.fields + added.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch, data, at in slices(whole, "text"):
+            for batch, data, at in slices(whole, "scanned_text"):
                 base, found = _scan(batch, data, at)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, pa.list_(SPAN)), pa.array(found, pa.list_(CANDIDATE))], ["doc_id", "base", "found"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(base, pa.list_(SPAN)), pa.array(found, pa.list_(CANDIDATE))], [*keep, "base", "found"])
 
-    scanned = written(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, shape))
+    scanned = written(df.select(*keep, F.col(text).alias("scanned_text")).mapInArrow(run, schema))
     counts = scanned.select(F.explode("found").alias("f")).groupBy("f.group", "f.bin").count().collect()  # bounded: groups x bins
     cut = _dismissed_from([tuple(r) for r in counts], q)
-    kept = F.lit(False) if not cut else None
 
-    def keep(f: Column) -> Column:
-        return kept if kept is not None else f["bin"] < F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in cut.items() for x in kv]), f["group"]), F.lit(BINS + 1))
+    def random(f: Column) -> Column:
+        return F.lit(False) if not cut else f["bin"] < F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in cut.items() for x in kv]), f["group"]), F.lit(BINS + 1))
 
-    more = F.transform(F.filter("found", keep), lambda f: F.struct(f["start"].alias("start"), F.lit(3).alias("kind"), f["end"].alias("end")))
-    return scanned.select("doc_id", "base", F.array_sort(F.concat("base", more)).alias("spans"))
+    more = F.transform(F.filter("found", random), lambda f: F.struct(f["start"].alias("start"), F.lit(3).alias("kind"), f["end"].alias("end")))
+    return scanned.select(*keep, "base", F.array_sort(F.concat("base", more)).alias("spans"))
 
 
 def label(spans: Column) -> Column:
@@ -199,3 +199,16 @@ def label(spans: Column) -> Column:
 
 def count_kind(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == KINDS.index(kind))).cast("long")
+
+
+def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """The text with every span, or run of overlapping spans, replaced by the mark. Spans are sorted by start."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def step(acc: Column, s: Column) -> Column:
+        fresh = s["start"] >= acc["at"]
+        more = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
+        return F.struct(F.when(fresh, more).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+    whole = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
