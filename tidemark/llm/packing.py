@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,8 +17,8 @@ from tidemark.llm.common import written
 from tidemark.llm.vector import slices
 
 END_ID = 2
-#: Words remembered by a worker; beyond it, the memory starts anew.
-REMEMBERED = 300_000
+#: Words that a worker remembers; once it is full, other words are encoded each time.
+REMEMBERED = 600_000
 #: Pieces dealt to one group of bins; groups fill their bins independently.
 GROUP_PIECES = 8192
 
@@ -48,24 +50,51 @@ def cuts(capacity: int, slack: float = 1 / 32) -> list[tuple[tuple[int, int], ..
     return out
 
 
+#: How byte-level vocabularies write bytes: printable ones as themselves, the rest from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_MARKS = ".,;:!?"
+
+
+@lru_cache(2)
 def _encoder(tokenizer: str):
-    """bytes of a text -> little-endian bytes of its ids. White space only parts words, so words are encoded once and remembered."""
+    """bytes of a text -> little-endian bytes of its ids; one for each worker process.
+
+    White space only parts words, so words are encoded once and remembered. Plain Latin letters, with or without marks behind, go to the
+    tokenizer's model at once: its normalizer would only lower them and its splitter only part the marks. All else is encoded whole.
+    """
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer)
     known: dict[bytes, bytes] = {}
 
-    def encode(bodies: list[bytes]) -> list[bytes]:
-        split = [b.split() for b in bodies]
-        new = list({w for ws in split for w in ws if w not in known})
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list({w for ws in split for w in ws})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for w, e in zip(some, tok.encode_batch([w.decode() for w in some], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in ws]) for ws in split]
+    def model(piece: str) -> bytes:
+        return np.array([t.id for t in tok.model.tokenize("".join([_BYTE[b] for b in piece.encode()]))], "<u4").tobytes()
+
+    def word(w: bytes) -> bytes:
+        s = w.decode()
+        low = s.lower()
+        core = low.rstrip(_MARKS)
+        if len(low) == len(s) and _LETTERS.fullmatch(core):
+            key = core.encode()
+            ids = known.get(key) or model(core)
+            if len(known) < REMEMBERED:
+                known[key] = ids
+            if len(core) < len(low):
+                ids += model(low[len(core) :])
+        else:
+            ids = np.array(tok.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(known) < REMEMBERED:
+            known[w] = ids
+        return ids
+
+    def encode(body: bytes) -> bytes:
+        words = (body if b"<|" in body else body.lower()).split()  # special tokens are told by their case
+        parts = [known.get(w) for w in words]
+        if None in parts:
+            parts = [word(w) if p is None else p for w, p in zip(words, parts)]
+        return b"".join(parts)
 
     return encode
 
@@ -84,8 +113,8 @@ def pieces(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
             for batch, data, at in slices(whole, "text", 1 << 20):
                 raw = data.tobytes()
                 rows: list[tuple] = []
-                for i, ids in enumerate(encode([raw[at[j] : at[j + 1]] for j in range(len(batch))])):
-                    ids += end
+                for i in range(len(batch)):
+                    ids = encode(raw[at[i] : at[i + 1]]) + end
                     n, start = len(ids) // 4, 0
                     for length, k in [(capacity, 1)] * (n // capacity) + list(table[n % capacity]):
                         rows.append((i, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, k))
