@@ -2,5 +2,352 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions.semantics import steady
+from tidemark.operators import agent, audit, dashboard, features, learn, metrics, scoring, validate
+from tidemark.plans import bind, oracle
+from tidemark.sources.tables import load
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _add(name: str, query: Query, base: str | None = None, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql is not None:
+        ORACLES[name] = oracle.select(base, sql) if base else sql
+
+
+def _on(table: Callable[[SparkSession, str], DataFrame], f: Callable[..., DataFrame], *args, **kwargs) -> Query:
+    return lambda spark, sf_dir: f(table(spark, sf_dir), *args, **kwargs)
+
+
+def _log(f: Callable[..., DataFrame], *args) -> Query:
+    return lambda spark, sf_dir: f(bind.actions(spark, sf_dir), bind.feedback(spark, sf_dir), *args)
+
+
+C, S = oracle.CUSTOMERS, oracle.SCORED
+
+# ---------------------------------------------------------------- features
+
+_order_columns = ["order_id", "customer_id", "state", "payment_type", "review_score", "item_count", "distinct_sellers", "avg_installments", "coupon_lines", "dominant_category"]
+_add(
+    "orders_enriched",
+    lambda s, d: bind.orders(s, d).select(*_order_columns, steady(F.col("items_price"), 4).alias("items_price"), steady(F.col("avg_freight"), 6).alias("avg_freight")),
+    oracle.ORDERS,
+    f"SELECT {', '.join(_order_columns)}, round(items_price + 3.1e-7, 4) AS items_price, round(avg_freight + 3.1e-9, 6) AS avg_freight FROM enriched",
+)
+_agg = ["customer_id", "OrderCount", "LowReviewCount", "TotalItemCount", "DistinctSellers", "CouponLines", "CustomerState", "PreferredPaymentMode", "PreferedOrderCat", "Churn", "Tenure", "DaySinceLastOrder"]
+_means = ["AvgOrderValue", "TotalSpend", "AvgReviewScore", "AvgInstallments"]
+_add(
+    "customer_agg",
+    lambda s, d: bind.history(s, d).select(*_agg, *[steady(F.col(c), 4).alias(c) for c in _means]),
+    oracle.HISTORY,
+    f"SELECT {', '.join(_agg)}, {', '.join(f'round({c} + 3.1e-7, 4) AS {c}' for c in _means)} FROM history",
+)
+_feats = ["CustomerID", "Churn", *features.CHURN_NUMERIC, *features.COMPOSITES]
+_add("customer_features", lambda s, d: bind.customer_features(s, d).select(*_feats), oracle.FEATURES, f"SELECT {', '.join(_feats)} FROM features")
+_add(
+    "impute_median",
+    lambda s, d: features.impute_medians(load(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("price")), ["price"]),
+    None,
+    "SELECT o_orderkey, coalesce(p, (SELECT median(CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END) FROM orders)) AS price FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS p FROM orders)",
+)
+_add(
+    "label_encode",
+    lambda s, d: features.encode(load(s, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 9 != 0, F.col("p_type")).alias("p_type")), ["p_type"]),
+    None,
+    "SELECT p_partkey, (dense_rank() OVER (ORDER BY coalesce(CASE WHEN p_partkey % 9 <> 0 THEN p_type END, 'nan')) - 1)::INT AS p_type FROM part",
+)
+_add(
+    "missing_rates",
+    lambda s, d: validate.missing_rates(load(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("o_orderpriority"))).withColumn("missing_rate", F.round("missing_rate", 6)),
+    None,
+    "SELECT 'o_orderkey' AS \"column\", 0.0::DOUBLE AS missing_rate UNION ALL SELECT 'o_orderpriority', round(avg((o_orderkey % 5 = 0)::INT), 6) FROM orders",
+)
+_flag = F.concat(F.lit(" "), F.element_at(F.lit(["YES", "no", "True", "1", "0", "maybe"]), (F.col("c_custkey") % 6 + 1).cast("int")))
+
+
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.functions.semantics import yes_no
+
+    return load(spark, sf_dir, "customer").select("c_custkey", yes_no(_flag).alias("flag"))
+
+
+def _income(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.functions.semantics import first_digits
+
+    text = F.when(F.col("c_custkey") % 4 == 0, "none").otherwise(F.concat(F.lit("grp "), F.col("c_custkey").cast("string"), F.lit("-9")))
+    return load(spark, sf_dir, "customer").select("c_custkey", first_digits(text, 3.0).alias("income"))
+
+
+def _rating(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.functions.semantics import mapped
+
+    return load(spark, sf_dir, "customer").select("c_custkey", mapped(F.element_at(F.lit([*features.RATINGS, "?"]), (F.col("c_custkey") % 8 + 1).cast("int")), features.RATINGS, 2).alias("rating"))
+
+
+_add("yes_no_flags", _flags, None, "SELECT c_custkey, (lower(trim(' ' || ['YES','no','True','1','0','maybe'][c_custkey % 6 + 1])) IN ('1','yes','true'))::INT AS flag FROM customer")
+_add("income_group_digits", _income, None, "SELECT c_custkey, coalesce(TRY_CAST(nullif(regexp_extract(CASE WHEN c_custkey % 4 = 0 THEN 'none' ELSE 'grp ' || c_custkey::VARCHAR || '-9' END, '(\\d+)', 1), '') AS DOUBLE), 3.0) AS income FROM customer")
+_add("credit_ordinal", _rating, None, f"SELECT c_custkey, [{', '.join(str(v) for v in features.RATINGS.values())}, 2][c_custkey % 8 + 1]::INT AS rating FROM customer")
+
+# ---------------------------------------------------------------- segments, scores, drivers
+
+_gmm = [f"GMM_Prob_Seg{i}" for i in range(5)]
+_add("segment_assign", lambda s, d: bind.scored(s, d).select("CustomerID", "RawSegment", "Segment", *_gmm), S, f"SELECT CustomerID, RawSegment, Segment, {', '.join(_gmm)} FROM scored")
+_add(
+    "segment_rank_labels",
+    _on(bind.scored, scoring.rank_labels),
+    S,
+    "SELECT RawSegment, s AS rank_score, ['Champions','Loyal Customers','At-Risk','Price Sensitive','Lapsed'][row_number() OVER (ORDER BY s DESC, RawSegment)] AS label FROM (SELECT RawSegment, round(0.4::DOUBLE * avg(EngagementScore) + 0.3::DOUBLE * (1 - avg(RecencySignal)) + 0.2::DOUBLE * avg(StickinessIndex) + 0.1::DOUBLE * (1 - avg(SupportRiskScore)) + 3.1e-9, 6) AS s FROM scored GROUP BY 1)",
+)
+_prof = ["EngagementScore", "RecencySignal", "StickinessIndex", "SpendTrend", "SupportRiskScore", "Tenure", "OrderCount", "DaySinceLastOrder", "SatisfactionScore"]
+_add("segment_profiles", _on(bind.scored, scoring.segment_profiles), S, f"SELECT Segment, {', '.join(f'round(avg({c}), 3) AS {c}' for c in _prof)}, count(*)::BIGINT AS Count, round(avg(Churn), 3) AS ChurnRate FROM scored GROUP BY 1")
+_add(
+    "segment_heatmap",
+    lambda s, d: dashboard.heatmap(scoring.segment_profiles(bind.scored(s, d)), _prof),
+    S,
+    " UNION ALL ".join(f"SELECT Segment, '{c}' AS feature, round(avg({c}), 3) AS mean FROM scored GROUP BY 1" for c in _prof),
+)
+for _name, _cols in {
+    "score_risk_tier": ["CustomerID", "ChurnProbability", "ChurnPrediction", "RiskTier"],
+    "customer_type": ["CustomerID", "UpliftScore", "Treatment", "CustomerType"],
+    "intervention_roi": ["CustomerID", "ExpectedRetainedValue", "InterventionCost", "NetROI", "ROIPositive"],
+    "intervention_priority": ["CustomerID", "InterventionPriority"],
+}.items():
+    _add(_name, lambda s, d, c=_cols: bind.scored(s, d).select(*c), S, f"SELECT {', '.join(_cols)} FROM scored")
+
+
+def _driver_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bind.with_drivers(spark, sf_dir).select("CustomerID", F.posexplode("Drivers").alias("pos", "d")).select("CustomerID", (F.col("pos") + 1).alias("rank"), "d.feature", "d.value")
+
+
+_add("driver_top5", _driver_rows, oracle.DRIVERS, "SELECT CustomerID, rank, feature, value FROM drivers")
+
+# ---------------------------------------------------------------- aggregates over the serving table
+
+_top = "greatest(coalesce(gmm_prob_seg0,0),coalesce(gmm_prob_seg1,0),coalesce(gmm_prob_seg2,0),coalesce(gmm_prob_seg3,0),coalesce(gmm_prob_seg4,0))"
+_add(
+    "rpc_segment_summary",
+    _on(bind.customers, dashboard.segment_summary),
+    C,
+    f"""SELECT segment, count(*)::BIGINT AS customer_count, round(avg(churn), 6) AS churn_rate, round(avg(churn_probability), 6) AS avg_churn_prob, round(avg((risk_tier = 'High Risk')::INT), 6) AS high_risk_pct,
+  round(avg((customer_type = 'Persuadable')::INT), 6) AS persuadable_pct, round(avg(tenure), 6) AS avg_tenure, round(avg(satisfaction_score), 6) AS avg_satisfaction, round(avg(days_since_last_order), 6) AS avg_days_since_order,
+  round(avg(hour_spend_on_app), 6) AS avg_hour_spend, round(avg(cashback_amount), 6) AS avg_cashback, sum(({_top} >= 0.9)::INT)::BIGINT AS gmm_high, sum(({_top} >= 0.8 AND {_top} < 0.9)::INT)::BIGINT AS gmm_medium, sum(({_top} < 0.8)::INT)::BIGINT AS gmm_boundary
+FROM customers GROUP BY segment""",
+)
+_kpis = "SELECT count(*)::BIGINT AS total, sum((risk_tier = 'High Risk')::INT)::BIGINT AS high_risk, round(avg(churn_probability), 6) AS avg_churn_prob, sum(churn)::BIGINT AS actual_churners FROM customers"
+_hist = "SELECT least(floor(churn_probability * 10)::INT, 9) AS bucket, count(*)::BIGINT AS count FROM customers{} GROUP BY 1"
+_add("rpc_churn_kpis", _on(bind.customers, dashboard.churn_kpis), C, _kpis)
+_add("rpc_churn_kpis_segment", _on(bind.customers, dashboard.churn_kpis, "Lapsed"), C, _kpis + " WHERE segment = 'Lapsed'")
+_add("rpc_churn_histogram", _on(bind.customers, dashboard.histogram), C, _hist.format(""))
+_add("rpc_churn_histogram_segment", _on(bind.customers, dashboard.histogram, "At-Risk"), C, _hist.format(" WHERE segment = 'At-Risk'"))
+_risk = "SELECT segment, sum((risk_tier = 'High Risk')::INT)::BIGINT AS high_risk, sum((risk_tier = 'Medium Risk')::INT)::BIGINT AS medium_risk, sum((risk_tier = 'Low Risk')::INT)::BIGINT AS low_risk FROM customers GROUP BY 1"
+_add("rpc_risk_summary", _on(bind.customers, dashboard.risk_summary), C, _risk)
+_shap = "SELECT feature, round(avg(abs(value)), 6) AS avg_importance FROM drivers{} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8"
+_add("rpc_shap_summary", _on(bind.with_drivers, dashboard.driver_summary), oracle.DRIVERS, _shap.format(""))
+_add("rpc_shap_summary_segment", _on(bind.with_drivers, dashboard.driver_summary, "At-Risk"), oracle.DRIVERS, _shap.format(" WHERE Segment = 'At-Risk'"))
+_add("rpc_avg_churn_by_segment", _on(bind.customers, dashboard.avg_churn), C, "SELECT segment, round(avg(churn_probability), 6) AS avg_churn_prob FROM customers GROUP BY 1")
+_add(
+    "rpc_customer_type_summary",
+    _on(bind.customers, dashboard.type_summary),
+    C,
+    "SELECT customer_type, count(*)::BIGINT AS count, round(avg(uplift_score), 6) AS avg_uplift_score, round(avg(net_roi), 6) AS avg_net_roi, sum(roi_positive::INT)::BIGINT AS positive_roi_count, round(avg(churn_probability), 6) AS avg_churn_prob FROM customers GROUP BY 1",
+)
+_P = "FROM customers WHERE customer_type = 'Persuadable'"
+_add("rpc_roi_by_segment", _on(bind.customers, dashboard.roi_by_segment), C, f"SELECT segment, round(avg(net_roi), 6) AS avg_roi, count(*)::BIGINT AS persuadable_count {_P} GROUP BY 1")
+_add("rpc_top_persuadables", _on(bind.customers, dashboard.top_persuadables), C, f"SELECT customer_id, segment, churn_probability, uplift_score, net_roi, intervention_priority {_P} ORDER BY net_roi DESC, customer_id LIMIT 200")
+_add(
+    "rpc_uplift_kpis",
+    _on(bind.customers, dashboard.uplift_kpis),
+    C,
+    "SELECT sum((customer_type = 'Persuadable')::INT)::BIGINT AS persuadable_count, sum(roi_positive::INT)::BIGINT AS positive_roi_count, round(avg(uplift_score), 6) AS avg_uplift_score, round(sum(CASE WHEN customer_type = 'Persuadable' AND roi_positive THEN net_roi ELSE 0 END), 6) AS total_roi_potential FROM customers",
+)
+
+# ---------------------------------------------------------------- dashboards
+
+_add("confidence_tiers", _on(bind.customers, dashboard.confidence_tiers), C, f"SELECT segment, CASE WHEN {_top} >= 0.9 THEN 'High' WHEN {_top} >= 0.8 THEN 'Medium' ELSE 'Boundary' END AS tier, count(*)::BIGINT AS count FROM customers GROUP BY 1, 2")
+_add("kpi_sidebar", _on(bind.customers, dashboard.kpi_sidebar), C, "SELECT count(*)::BIGINT AS customers, count(DISTINCT segment)::BIGINT AS segments, sum((customer_type = 'Persuadable')::INT)::BIGINT AS persuadables, sum((risk_tier = 'High Risk')::INT)::BIGINT AS high_risk FROM customers")
+_add("risk_by_segment", _on(bind.customers, dashboard.tier_by_segment), C, "SELECT segment, risk_tier, count(*)::BIGINT AS count FROM customers GROUP BY 1, 2")
+_pct = ", ".join(f"floor({c} * 100 / greatest(high_risk + medium_risk + low_risk, 1)::DOUBLE + 0.5)::BIGINT AS {c}_pct" for c in ("high_risk", "medium_risk", "low_risk"))
+_add("risk_share_pct", _on(bind.customers, dashboard.risk_share), C, f"SELECT segment, {_pct} FROM ({_risk})")
+_add(
+    "risk_table",
+    _on(bind.customers, dashboard.risk_table, ["At-Risk", "Lapsed"], ["High Risk", "Medium Risk"]),
+    C,
+    "SELECT customer_id, segment, risk_tier, churn_probability, tenure, order_count, days_since_last_order, satisfaction_score, complain, cashback_amount FROM customers WHERE segment IN ('At-Risk', 'Lapsed') AND risk_tier IN ('High Risk', 'Medium Risk') ORDER BY churn_probability DESC, customer_id LIMIT 50",
+)
+_add(
+    "campaign_whatif",
+    _on(bind.customers, dashboard.campaign, 800.0, 20.0),
+    C,
+    f"SELECT n::BIGINT AS targets, n * 20.0::DOUBLE AS spend, round(u * 800 + 3.1e-7, 4) AS retained_value, round(u * 800 - n * 20 + 3.1e-7, 4) AS net_roi, round(coalesce((u * 800 - n * 20) / nullif(n * 20, 0) * 100, 0) + 3.1e-7, 4) AS roi_pct FROM (SELECT count(*) AS n, coalesce(sum(uplift_score), 0) AS u {_P})",
+)
+_add("persuadable_roi_by_segment", _on(bind.customers, dashboard.persuadable_roi), C, f"SELECT segment, count(*)::BIGINT AS customers, round(avg(net_roi), 2) AS avg_roi, round(sum(net_roi), 2) AS total_roi {_P} GROUP BY 1")
+_add("priority_list", _on(bind.customers, dashboard.priority_list, 800.0, 20.0), C, f"SELECT customer_id, segment, round(uplift_score * 800 - 20, 6) AS roi {_P} ORDER BY roi DESC, customer_id LIMIT 100")
+_quant = ", ".join(f"round(quantile_cont(uplift_score, {q}), 6) AS {n}" for q, n in ((0, "low"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (1, "high")))
+_add("uplift_box", _on(bind.customers, dashboard.uplift_box), C, f"SELECT segment, {_quant} FROM customers GROUP BY 1")
+
+# ---------------------------------------------------------------- tools
+
+_add(
+    "tool_lookup",
+    _on(bind.customers, agent.lookup, "42"),
+    C,
+    "SELECT customer_id, segment, risk_tier, customer_type, round_even(churn_probability, 3) AS churn_probability, round_even(uplift_score, 3) AS uplift_score, round_even(net_roi, 2) AS net_roi, tenure::BIGINT AS tenure, satisfaction_score::BIGINT AS satisfaction_score, complain > 0 AS complained, round_even(hour_spend_on_app, 1) AS hours_on_app, days_since_last_order::BIGINT AS days_since_last_order, order_count::BIGINT AS orders, round_even(cashback_amount, 2) AS cashback, churn > 0 AS churned FROM customers WHERE customer_id = '42'",
+)
+_add(
+    "tool_segment_benchmark",
+    _on(bind.customers, agent.segment_benchmark, "At-Risk"),
+    C,
+    "SELECT segment, count(*)::BIGINT AS customers, round(avg(churn), 3) AS churn_rate, round(avg(churn_probability), 3) AS avg_churn_probability, round(avg(uplift_score), 3) AS avg_uplift, round(avg((risk_tier = 'High Risk')::INT), 3) AS pct_high_risk, round(avg((customer_type = 'Persuadable')::INT), 3) AS pct_persuadable, round(avg(tenure), 1) AS avg_tenure, round(avg(satisfaction_score), 2) AS avg_satisfaction, round(avg(days_since_last_order), 1) AS avg_days_since_last_order, round(avg(hour_spend_on_app), 1) AS avg_hours_on_app, round(avg(complain), 3) AS complaint_rate FROM customers WHERE segment = 'At-Risk' GROUP BY 1",
+)
+_add(
+    "tool_segment_benchmark_web",
+    _on(bind.customers, agent.segment_benchmark_web, "At-Risk"),
+    C,
+    "SELECT segment, count(*)::BIGINT AS total, floor(avg(coalesce(churn_probability, 0)) * 100 + 0.5)::BIGINT AS avg_churn_pct, round(avg(coalesce(uplift_score, 0)), 4) AS avg_uplift, sum((risk_tier = 'High Risk')::INT)::BIGINT AS high_risk, sum((customer_type = 'Persuadable')::INT)::BIGINT AS persuadable FROM customers WHERE segment = 'At-Risk' GROUP BY 1",
+)
+_add(
+    "tool_churn_drivers",
+    _on(bind.with_drivers, agent.churn_drivers, "42"),
+    oracle.DRIVERS,
+    "SELECT feature, value, CASE WHEN value > 0 THEN 'increases churn risk' ELSE 'decreases churn risk' END AS effect, CASE WHEN abs(value) > 0.1 THEN 'strong' WHEN abs(value) > 0.05 THEN 'moderate' ELSE 'weak' END AS magnitude FROM drivers WHERE CustomerID = '42'",
+)
+_add(
+    "tool_intervention_roi",
+    lambda s, d: agent.roi(bind.customers(s, d), F.col("uplift_score")),
+    C,
+    "SELECT customer_id, round(uplift_score * 500 + 3.1e-5, 2) AS expected_value, round(uplift_score * 500 - 15 + 3.1e-5, 2) AS net_roi, round((uplift_score * 500 - 15) / 15 * 100 + 3.1e-4, 1) AS roi_pct, 0.03::DOUBLE AS break_even_uplift, CASE WHEN uplift_score * 500 - 15 > 0 THEN 'positive' ELSE 'negative' END AS verdict FROM customers",
+)
+_queries = ["high SupportRiskScore", "high foo", "low foo", "low stickiness", "Complain", "DaySinceLastOrder", "tenure is short", "low-cashback"]
+_q = F.element_at(F.lit(_queries), (F.col("c_custkey") % len(_queries) + 1).cast("int"))
+_qsql = f"SELECT c_custkey, [{', '.join(repr(x) for x in _queries)}][c_custkey % {len(_queries)} + 1] AS risk FROM customer"
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "customer").select("c_custkey", _q.alias("risk"))
+
+
+_vals = ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(agent.PLAYBOOK))
+_words = ", ".join(f"('{k}', '{w}')" for k, _ in agent.PLAYBOOK if k != "default" for w in k.split("_") if len(w) > 3)
+_add(
+    "tool_playbook_exact_fuzzy",
+    _on(_asked, agent.playbook_match, "risk"),
+    f"asked AS (SELECT *, replace(replace(lower(risk), ' ', '_'), '-', '_') AS q FROM ({_qsql})), book(i, k, v) AS (VALUES {_vals}), words(k, w) AS (VALUES {_words}), hits AS (SELECT c_custkey, i, book.k, count(*) AS n FROM asked JOIN words ON contains(q, w) JOIN book ON book.k = words.k GROUP BY 1, 2, 3), best AS (SELECT c_custkey, k FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY n DESC, i) AS r FROM hits) WHERE r = 1), m AS (SELECT asked.c_custkey, risk, coalesce(e.k, best.k, 'default') AS matched_key, CASE WHEN e.k IS NOT NULL THEN 'exact' WHEN best.k IS NOT NULL THEN 'fuzzy' ELSE 'default' END AS match_type FROM asked LEFT JOIN book e ON e.k = q LEFT JOIN best ON best.c_custkey = asked.c_custkey)",
+    "SELECT c_custkey, risk, matched_key, match_type, v AS intervention_type FROM m JOIN book ON k = matched_key",
+)
+_case = "CASE " + " ".join(f"WHEN contains(lower(risk), '{k}') THEN '{k}'" for k, _ in agent.KEYWORDS if k != "default") + " ELSE 'default' END"
+_kv = "CASE keyword " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in agent.KEYWORDS) + " END"
+_add("tool_playbook_table", _on(_asked, agent.keyword_match, "risk"), None, f"SELECT *, {_kv} AS intervention_type FROM (SELECT *, {_case} AS keyword FROM ({_qsql}))")
+_add(
+    "tool_list_customers",
+    _on(bind.customers, agent.list_customers, None, "High Risk", None, 30),
+    C,
+    "SELECT customer_id, segment, risk_tier, customer_type, round_even(churn_probability, 3) AS churn_probability, (SELECT count(*) FROM customers WHERE risk_tier = 'High Risk')::BIGINT AS total_matching FROM customers WHERE risk_tier = 'High Risk' ORDER BY customers.churn_probability DESC, customer_id LIMIT 20",
+)
+_add(
+    "tool_all_benchmarks",
+    lambda s, d: dashboard.segment_summary(bind.customers(s, d)).select("segment", "customer_count", "churn_rate", "avg_churn_prob", "high_risk_pct", "persuadable_pct"),
+    C,
+    "SELECT segment, count(*)::BIGINT AS customer_count, round(avg(churn), 6) AS churn_rate, round(avg(churn_probability), 6) AS avg_churn_prob, round(avg((risk_tier = 'High Risk')::INT), 6) AS high_risk_pct, round(avg((customer_type = 'Persuadable')::INT), 6) AS persuadable_pct FROM customers GROUP BY 1",
+)
+_add(
+    "tool_past_interventions",
+    _log(agent.past_interventions, "3"),
+    oracle.AUDIT,
+    "SELECT a.id, intervention_type, generated_at, coalesce(outcome, 'pending') AS outcome FROM (SELECT * FROM acts WHERE customer_id = '3' ORDER BY generated_at DESC, id DESC LIMIT 10) a LEFT JOIN latest ON retention_action_id = a.id",
+)
+_lastwins = "SELECT coalesce({0}, 'Unknown') AS {0}, count(*)::BIGINT AS total, count(outcome)::BIGINT AS with_feedback, coalesce(sum((outcome = 'retained')::INT), 0)::BIGINT AS retained, round(coalesce(sum((outcome = 'retained')::INT), 0) / nullif(count(outcome), 0)::DOUBLE, 3) AS retention_rate FROM acts LEFT JOIN latest ON retention_action_id = acts.id GROUP BY 1"
+_add("tool_success_rates", _log(agent.success_rates), oracle.AUDIT, _lastwins.format("intervention_type"))
+_add("tool_at_risk", _on(bind.customers, agent.at_risk), C, "SELECT customer_id, segment, churn_probability, net_roi FROM customers WHERE risk_tier = 'High Risk' ORDER BY churn_probability DESC NULLS FIRST, customer_id LIMIT 10")
+_add("tool_revenue_at_risk", _on(bind.customers, agent.revenue_at_risk), C, "SELECT sum(e)::BIGINT AS expected_churners, sum(e * 500.0::DOUBLE) AS revenue_at_risk FROM (SELECT floor(count(*) * round(avg(churn_probability), 9) + 0.5)::BIGINT AS e FROM customers GROUP BY segment)")
+_add(
+    "tool_unactioned_persuadables",
+    lambda s, d: agent.unactioned_persuadables(bind.customers(s, d), bind.actions(s, d)),
+    oracle.AUDIT,
+    f"SELECT customer_id, segment, net_roi FROM (SELECT * {_P} ORDER BY net_roi DESC NULLS FIRST, customer_id LIMIT 100) b WHERE customer_id NOT IN (SELECT customer_id FROM acts) ORDER BY net_roi DESC NULLS FIRST, customer_id LIMIT 10",
+)
+_add(
+    "prompts",
+    _on(bind.customers, agent.prompt),
+    C,
+    "SELECT customer_id, printf('Customer %s (%s, %s). Churn probability %.1f%%, uplift %.4f, net ROI $%.2f. Tenure %.0f, orders %d, days since last order %.0f, satisfaction %d of 5.', customer_id, segment, customer_type, round(churn_probability * 100 + 3.1e-4, 1), round(uplift_score + 3.1e-7, 4), round(net_roi + 3.1e-5, 2), tenure, order_count, days_since_last_order, satisfaction_score) AS prompt FROM customers",
+)
+
+# ---------------------------------------------------------------- audit
+
+
+def _segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = bind.customers(spark, sf_dir).select("customer_id", "segment")
+    return audit.with_feedback(bind.actions(spark, sf_dir).join(c, "customer_id", "left"), bind.feedback(spark, sf_dir))
+
+
+_fan = "SELECT {0}, count(*)::BIGINT AS total, count(fb.id)::BIGINT AS with_feedback, coalesce(sum((outcome = 'retained')::INT), 0)::BIGINT AS retained, round(coalesce(sum((outcome = 'retained')::INT), 0) / nullif(count(fb.id), 0)::DOUBLE, 3) AS retention_rate FROM acts LEFT JOIN fb ON retention_action_id = acts.id {1} GROUP BY 1"
+_add("audit_summary_by_type", lambda s, d: audit.summary(audit.with_feedback(bind.actions(s, d), bind.feedback(s, d)), "intervention_type"), oracle.AUDIT, _fan.format("intervention_type", ""))
+_add("audit_summary_by_segment", lambda s, d: audit.summary(_segmented(s, d).filter(F.col("segment").isNotNull()), "segment"), oracle.AUDIT, _fan.format("segment", "WHERE segment IS NOT NULL"))
+_add("audit_outcomes", lambda s, d: audit.outcome_counts(bind.feedback(s, d)), oracle.AUDIT, "SELECT outcome, count(*)::BIGINT AS n FROM fb GROUP BY 1")
+_add("audit_latest_by_type", _log(agent.success_rates), oracle.AUDIT, _lastwins.format("intervention_type"))
+_add(
+    "audit_log",
+    _log(audit.audit_log),
+    oracle.AUDIT,
+    "SELECT acts.id, customer_id, intervention_type, generated_at, coalesce(outcome, 'pending') AS outcome, CASE WHEN agentic_mode THEN 'Agentic' ELSE 'Standard' END AS mode FROM acts LEFT JOIN latest ON retention_action_id = acts.id ORDER BY generated_at DESC, acts.id DESC LIMIT 200",
+)
+
+
+def _chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = load(spark, sf_dir, "conversations").filter(F.col("role").isin("user", "assistant")).withColumn("session", F.col("conv_id") % 7)
+    return audit.newest_conversation(m, "conv_id", "session", "turn").select("session", "conv_id", "turn", "role", "text")
+
+
+_add("chat_history_latest", _chat, None, "WITH m AS (SELECT *, conv_id % 7 AS session FROM conversations WHERE role IN ('user', 'assistant')), n AS (SELECT session, max(conv_id) AS c FROM m GROUP BY 1) SELECT m.session, conv_id, turn, role, text FROM m JOIN n ON m.session = n.session AND conv_id = c")
+
+# ---------------------------------------------------------------- statistics and learned models
+
+_add(
+    "ari",
+    lambda s, d: metrics.adjusted_rand(bind.scored(s, d), "Segment", "CustomerType"),
+    S,
+    "SELECT round(CASE WHEN (r + c) / 2 - r * c / n2 = 0 THEN 1 ELSE (x - r * c / n2) / ((r + c) / 2 - r * c / n2) END, 6) AS ari FROM (SELECT sum(n * (n - 1) / 2.0::DOUBLE) AS x FROM (SELECT count(*) AS n FROM scored GROUP BY Segment, CustomerType)), (SELECT sum(n * (n - 1) / 2.0::DOUBLE) AS r FROM (SELECT count(*) AS n FROM scored GROUP BY Segment)), (SELECT sum(n * (n - 1) / 2.0::DOUBLE) AS c FROM (SELECT count(*) AS n FROM scored GROUP BY CustomerType)), (SELECT count(*) * (count(*) - 1) / 2.0::DOUBLE AS n2 FROM scored)",
+)
+_add(
+    "auc_ap_brier",
+    lambda s, d: metrics.auc_ap_brier(bind.scored(s, d), "ChurnProbability", "Churn"),
+    f"{S}, g AS (SELECT ChurnProbability AS s, sum(Churn)::DOUBLE AS p, count(*)::DOUBLE AS n FROM scored GROUP BY 1), w AS (SELECT *, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS seen FROM g)",
+    "SELECT round((sum(p * (below + (n + 1) / 2)) - sum(p) * (sum(p) + 1) / 2) / (sum(p) * (sum(n) - sum(p))), 6) AS auc, round(sum(p * tp / seen) / sum(p), 6) AS ap, (SELECT round(avg((ChurnProbability - Churn) * (ChurnProbability - Churn)), 6) FROM scored) AS brier FROM w",
+)
+_cols = scoring.CENTROID_COLUMNS
+_sq = " + ".join(f"(scored.{c} - m.{c}) * (scored.{c} - m.{c})" for c in _cols)
+_sq2 = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _cols)
+_add(
+    "davies_bouldin",
+    lambda s, d: metrics.davies_bouldin(bind.scored(s, d), "Segment", _cols),
+    f"{S}, m AS (SELECT Segment, {', '.join(f'avg({c}) AS {c}' for c in _cols)} FROM scored GROUP BY 1), sp AS (SELECT Segment, avg(sqrt({_sq})) AS spread FROM scored JOIN m USING (Segment) GROUP BY 1), ms AS (SELECT * FROM m JOIN sp USING (Segment))",
+    f"SELECT round(avg(r), 6) AS davies_bouldin FROM (SELECT a.Segment, max((a.spread + b.spread) / sqrt({_sq2})) AS r FROM ms a JOIN ms b ON a.Segment <> b.Segment GROUP BY 1)",
+)
+_add("class_weights", lambda s, d: metrics.class_weights(bind.scored(s, d), "Segment", "Churn"), S, "SELECT Segment, sum(Churn)::BIGINT AS positives, (count(*) - sum(Churn))::BIGINT AS negatives, round(CASE WHEN sum(Churn) = 0 THEN 5.0 ELSE greatest(1, (count(*) - sum(Churn)) / sum(Churn)::DOUBLE) END, 6) AS weight FROM scored GROUP BY 1")
+_add(
+    "stratified_split",
+    lambda s, d: metrics.stratified_split(bind.scored(s, d), ["Segment", "Churn"], F.col("customer_id")).select("CustomerID", "is_train"),
+    S,
+    "SELECT CustomerID, row_number() OVER (PARTITION BY Segment, Churn ORDER BY customer_id) <= round(count(*) OVER (PARTITION BY Segment, Churn) * 0.8::DOUBLE) AS is_train FROM scored",
+)
+_add(
+    "stratified_folds",
+    lambda s, d: metrics.stratified_folds(bind.scored(s, d), ["Segment", "Churn"], F.col("customer_id")).select("CustomerID", "fold"),
+    S,
+    "SELECT CustomerID, ((row_number() OVER (PARTITION BY Segment, Churn ORDER BY customer_id) - 1) % 3)::INT AS fold FROM scored",
+)
+_add("kmeans_segments", _on(bind.customer_features, learn.kmeans_segments))
+_add("gmm_soft", _on(bind.customer_features, learn.gmm_soft))
+_add("pca_embedding", _on(bind.customer_features, learn.pca_embedding))
+_add("k_sweep", _on(bind.customer_features, learn.k_sweep))
+_add("bootstrap_stability", _on(bind.customer_features, learn.bootstrap_stability))
+_add("gbt_segment_scores", _on(bind.scored, learn.segment_scores))
+_add("uplift_t_s", _on(bind.scored, learn.uplift_scores))
