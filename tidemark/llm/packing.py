@@ -8,7 +8,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -172,10 +171,13 @@ def pack(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "tex
     groups = max(1, -(-got.count() // GROUP_PIECES))
     id_type = got.schema["doc_id"].dataType.simpleString()
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["class", "doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
-        bins, offset = fill(p["length"].to_numpy(), p["class"].to_numpy(), capacity)
-        return p.assign(sequence_id=(p["group"].to_numpy() << 24) + bins, offset=offset)[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(c, "ascending") for c in ("class", "doc_id", "start", "ids_crc32")])
+        bins, offset = fill(t["length"].to_numpy(), t["class"].to_numpy(), capacity)
+        first = t["group"][0].as_py() << 24
+        return t.select(names).append_column("sequence_id", pa.array(first + bins)).append_column("offset", pa.array(offset))
 
     shape = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return got.withColumn("group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups))).groupBy("group").applyInPandas(run, shape)
+    return got.withColumn("group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups))).groupBy("group").applyInArrow(run, shape)
