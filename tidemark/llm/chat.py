@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 CONTROL = r"([<\[])(\\*)(/?(?:s>|INST\]))"
 ESCAPED = r"([<\[])\\(\\*)(/?(?:s>|INST\]))"
+#: A parser takes what lies between the last opening and the first closing after it, and in it, turn by turn.
+WHOLE = r"(?s)^.*<s>(.*?)</s>"
 TURN = r"(?s)\[INST\](.*?)\[/INST\]"
 #: Turns of one conversation that are gathered together before the conversation is put together.
 SPAN = 64
@@ -48,7 +50,7 @@ def render(turns: Column, escaped: bool) -> Column:
 
 def parse(formatted: Column) -> Column:
     """The (role, text) array of a formatted conversation."""
-    bodies = F.regexp_extract_all(formatted, F.lit(TURN), F.lit(1))
+    bodies = F.regexp_extract_all(F.regexp_extract(formatted, WHOLE, 1), F.lit(TURN), F.lit(1))
     return F.transform(
         bodies,
         lambda b: F.struct(

@@ -162,7 +162,7 @@ def nearest(df: DataFrame, query: Column, vec_id: str = "vec_id", embedding: str
     point of a tree with its smallest ids, so they cost nothing and keep ties right. Ids are non-negative numbers.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id; vectors of another length than a query are not
-    compared with it. A repeated id is one query; its copies are not its neighbours. Fewer rows than ``top``: all of them. No rows: no rows.
+    compared with it. A repeated id is one query; its rows are not its own neighbours, but each is one to others. Fewer rows than ``top``: all of them. No rows: no rows.
     """
     v = F.transform(F.col(embedding), lambda c: c.cast("double"))
     fine = F.size(embedding) > 0
