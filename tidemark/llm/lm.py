@@ -26,9 +26,11 @@ END = 255
 #: Pairs and words that each task gets as a table; rarer ones are joined.
 HOT = 1 << 18
 #: Distinct keys that a task gathers before it sends them on.
-GATHERED = 2_000_000
+GATHERED = 1_000_000
 #: Pairs dealt to one group that evaluates context trees.
 GROUP_PAIRS = 50_000
+#: Bytes of text that are worked on at once.
+PART = 2 << 20
 GRAM, WORD = 0, 1
 
 
@@ -101,7 +103,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(train[part]), pa.array(seen[part])], ["kind", "key", "train", "seen"])
 
     for whole in batches:
-        for batch, data, at in slices(whole, "text"):
+        for batch, data, at in slices(whole, "text", PART):
             held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             data = LOWER[data]
             for kind, (keys, starts) in enumerate((pairs(data, at), words(data, at))):
@@ -230,7 +232,7 @@ def score(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram_table, word_table = Hot(*gram_hot), Hot(*word_hot)
         for whole in batches:
-            for batch, data, at in slices(whole, "text"):
+            for batch, data, at in slices(whole, "text", PART):
                 data = LOWER[data]
                 keys, starts = pairs(data, at)
                 value, found = gram_table.get(keys)
