@@ -70,13 +70,13 @@ _add(
     None,
     "SELECT 'o_orderkey' AS \"column\", 0.0::DOUBLE AS missing_rate UNION ALL SELECT 'o_orderpriority', round(avg((o_orderkey % 5 = 0)::INT), 6) FROM orders",
 )
-_flag = F.concat(F.lit(" "), F.element_at(F.lit(["YES", "no", "True", "1", "0", "maybe"]), (F.col("c_custkey") % 6 + 1).cast("int")))
 
 
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.functions.semantics import yes_no
 
-    return load(spark, sf_dir, "customer").select("c_custkey", yes_no(_flag).alias("flag"))
+    flag = F.concat(F.lit(" "), F.element_at(F.lit(["YES", "no", "True", "1", "0", "maybe"]), (F.col("c_custkey") % 6 + 1).cast("int")))
+    return load(spark, sf_dir, "customer").select("c_custkey", yes_no(flag).alias("flag"))
 
 
 def _income(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,12 +226,12 @@ _add(
     "SELECT customer_id, round(uplift_score * 500 + 3.1e-5, 2) AS expected_value, round(uplift_score * 500 - 15 + 3.1e-5, 2) AS net_roi, round((uplift_score * 500 - 15) / 15 * 100 + 3.1e-4, 1) AS roi_pct, 0.03::DOUBLE AS break_even_uplift, CASE WHEN uplift_score * 500 - 15 > 0 THEN 'positive' ELSE 'negative' END AS verdict FROM customers",
 )
 _queries = ["high SupportRiskScore", "high foo", "low foo", "low stickiness", "Complain", "DaySinceLastOrder", "tenure is short", "low-cashback"]
-_q = F.element_at(F.lit(_queries), (F.col("c_custkey") % len(_queries) + 1).cast("int"))
 _qsql = f"SELECT c_custkey, [{', '.join(repr(x) for x in _queries)}][c_custkey % {len(_queries)} + 1] AS risk FROM customer"
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "customer").select("c_custkey", _q.alias("risk"))
+    q = F.element_at(F.lit(_queries), (F.col("c_custkey") % len(_queries) + 1).cast("int"))
+    return load(spark, sf_dir, "customer").select("c_custkey", q.alias("risk"))
 
 
 _vals = ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(agent.PLAYBOOK))
