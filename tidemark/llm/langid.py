@@ -65,16 +65,18 @@ def _grams(bodies: list[str], s: Settings) -> tuple[list[np.ndarray], np.ndarray
 
 
 def _parts(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    """Lower-case texts of a batch's last column in parts of about ``most`` characters."""
-    bodies = [(t or "").lower() for t in batch.column(batch.num_columns - 1).to_pylist()]
-    row = 0
-    while row < len(bodies):
-        upto, n = row, 0
-        while upto < len(bodies) and (upto == row or n + len(bodies[upto]) <= most):
-            n += len(bodies[upto])
-            upto += 1
-        yield row, bodies[row:upto]
-        row = upto
+    """Lower-case texts of a batch's last column in parts of about ``most`` characters and at most 512 rows."""
+    column = batch.column(batch.num_columns - 1)
+    for first in range(0, len(column), 512):
+        bodies = [(t or "").lower() for t in column.slice(first, 512).to_pylist()]
+        row = 0
+        while row < len(bodies):
+            upto, n = row, 0
+            while upto < len(bodies) and (upto == row or n + len(bodies[upto]) <= most):
+                n += len(bodies[upto])
+                upto += 1
+            yield first + row, bodies[row:upto]
+            row = upto
 
 
 def _features(body: str, s: Settings, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
