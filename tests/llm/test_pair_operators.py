@@ -77,6 +77,28 @@ def test_a_large_group_of_near_copies(spark):
     assert sorted(tuple(sorted(x)) for x in got.values()) == classes(rows)
 
 
+@pytest.mark.parametrize("small", [2, 16])
+def test_large_families_across_the_threshold(spark, small):
+    """Half of each family are unlike its hub and like only the member they were edited from, which the hub may have linked."""
+    rng = np.random.default_rng(5)
+    rows = []
+
+    def edited(text, n, name):
+        text = list(text)
+        for j in rng.choice(len(text), n, replace=False):
+            text[j] = f"{name}x{j}"
+        return text
+
+    for f in range(2):
+        near = [edited([f"f{f}w{j}" for j in range(200)], rng.integers(2, 6), f"f{f}n{i}") for i in range(150)]
+        far = [edited(near[i], rng.integers(2, 5), f"f{f}m{i}") for i in range(150)]
+        rows += [(f * 1000 + i, " ".join(t)) for i, t in enumerate(near + far)]
+    got = defaultdict(list)
+    for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), settings=Settings(small=small)).collect():
+        got[r["class_id"]].append(r["doc_id"])
+    assert sorted(tuple(sorted(x)) for x in got.values()) == classes(rows)
+
+
 def test_tricky_rows(tricky, empty):
     got = neardup.near_duplicates(tricky)
     assert got.count() == tricky.count() and got.filter("doc_id in (1, 2)").select("class_id").distinct().collect()[0][0] == 1

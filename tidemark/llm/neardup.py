@@ -22,7 +22,7 @@ class Settings:
     """Two texts at the similarity agree in a band with probability similarity ** rows; at 0.8 one in 550 pairs shares no band of 12.
 
     ``idf``: a shingle's weight is its count in the text times 1 + idf * ln((1 + N) / (1 + df)) / ln(1 + N).
-    ``small``: buckets up to this many texts give all pairs; larger ones are parted by further bands, then linked by leaders.
+    ``small``: buckets up to this many texts give all pairs; larger ones are parted by further bands and linked by leaders, then what is unlinked meets the whole bucket.
     ``doubt``: pairs whose samples agree in a smaller share aren't verified; a pair at 0.8 falls below half with a probability of about 1e-7.
     """
 
@@ -217,6 +217,48 @@ def _apart(led: DataFrame, edges: DataFrame) -> DataFrame:
     return led.join(edges.select("a", "b"), ["a", "b"], "left_anti").drop("a", "b", "leader")
 
 
+def _block(rows: DataFrame, n: str, size: int, name: str) -> DataFrame:
+    """Rows with a block of about ``size`` nodes of their key, by the node's hash; ``n`` counts the key's rows."""
+    return rows.withColumn(name, F.pmod(F.xxhash64(F.lit(name), "node"), F.ceil(F.col(n) / size)).cast("int"))
+
+
+def _across(rows: DataFrame, roots: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
+    """(a, b): the pairs of (key, node) rows with one key that ``roots`` doesn't link yet and that may be alike.
+
+    A key's commonest class is left out on one side, so nothing is to do where a key is of one class. Each row of blocks holds the pairs of two
+    blocks of nodes, dealt by key and blocks, and is compared at once by the lowest bytes of all samples: these agree wherever the samples do.
+    """
+    n, least, left, right = s.bands * s.rows, s.doubt * s.bands * s.rows, 128, 1024
+    rows = rows.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    of = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+    main = of.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("apart")).filter("apart > 0")
+    low = nodes.select("node", F.transform("sample", lambda x: x.bitwiseAND(255).cast("smallint")).alias("low"))
+    rows = written(_block(_block(rows.join(main, "key"), "apart", left, "x"), "all", right, "y").join(low, "node"))
+
+    def blocks(side: DataFrame, own: str, other: str, count: str, size: int, name: str) -> DataFrame:
+        held = side.groupBy("key", own).agg(F.collect_list(F.struct("node", "root", (F.col("root") != F.col("main")).alias("apart"), "low")).alias("m"), F.first(count).alias("count"))
+        held = held.select("key", own, F.col("m.node").alias(f"{name}_node"), F.col("m.root").alias(f"{name}_root"), F.col("m.apart").alias(f"{name}_apart"), F.flatten("m.low").alias(f"{name}_low"), "count")
+        return held.withColumn(other, F.explode(F.sequence(F.lit(0), F.ceil(F.col("count") / size).cast("int") - 1))).drop("count")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = {c: batch.column(c) for c in batch.schema.names}
+            for k in range(len(batch)):
+                get = lambda c: cols[c][k].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                x, y, u, v = (get(f"{i}_{c}") for c in ("node", "root") for i in "xy")
+                p, q = (get(f"{i}_low").astype(np.uint8).reshape(-1, n) for i in "xy")
+                q, inside = np.ascontiguousarray(q.T), ~get("y_apart")
+                for i in range(len(x)):
+                    # Of two nodes that are both apart, each meets the other: one meeting is enough.
+                    likely = (u[i] != v) & ((x[i] < y) | inside) & ((p[i][:, None] == q).sum(0, dtype=np.int32) >= least)
+                    b = y[likely]
+                    if len(b):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[i], b)), pa.array(np.maximum(x[i], b))], ["a", "b"])
+
+    sides = blocks(rows.filter("root != main"), "x", "y", "all", right, "x"), blocks(rows, "y", "x", "apart", left, "y")
+    return sides[0].join(sides[1], ["key", "x", "y"]).drop("key", "x", "y").mapInArrow(compare, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each node of the (a, b) edges is linked with, by least neighbours and pointer jumps."""
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
@@ -277,7 +319,13 @@ def _rooted(df: DataFrame, doc_id: str, text: str, s: Settings) -> DataFrame:
     apart = written(_sized(_apart(own, more).drop("weight")))
     third = parted(many(apart))
     edges = edges.union(_verified(few(apart).union(few(third)).union(_led(many(third).drop("n").join(weight, "node")).select("a", "b")), nodes, sets, idf, s))
-    roots = components(edges)
+    # The exact rest: within a large bucket, texts of different classes meet, whatever they met before.
+    first = components(edges)
+    rest = _verified(_across(many(sized), first, nodes, s), nodes, sets, idf, s)
+    if not rest.limit(1).count():
+        roots = first
+    else:
+        roots = components(edges.union(rest))
     return written(ids.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root")))
 
 
@@ -287,8 +335,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     Texts are linked when the weighted Jaccard similarity of their TF-IDF weighted five-word shingles is 0.8 or more; classes are the
     components of these links. Equal texts are one node from the start, so copies make no pairs. A bucket of up to ``small`` texts gives all its
     pairs. A larger one is parted anew by pairs of bands. In parts that are still large, all texts are compared with the part's hub, the text in the most and
-    largest buckets; those unlike it with a second hub and with a hub of their own; the rest are parted by a third band. So work stays linear in a
-    bucket's size. Two texts unlike the hubs of all their large parts, and sharing no small one, would stay unlinked.
+    largest buckets; those unlike it with a second hub and with a hub of their own; the rest are parted by a third band. All pairs of a large bucket
+    that are then still in different classes are compared by their samples and, if likely, in full. So the links are those of all pairs within buckets. Work is
+    linear in a bucket's size for texts that the hubs link, and grows with the square for texts that nothing links.
 
     Null texts are empty. Texts without words are only like equal texts. Repeated ids, null ids and repeated rows each get a
     row; a class without any id has a null class_id. No rows: no rows.
