@@ -57,28 +57,32 @@ def pca_embedding(df: DataFrame) -> DataFrame:
     return PCA(k=2, inputCol="features", outputCol="p").fit(x).transform(x).select("CustomerID", a[0].alias("UMAP_1"), a[1].alias("UMAP_2"))
 
 
-def k_sweep(df: DataFrame, ks: range = range(2, 6)) -> DataFrame:
-    """(k, inertia, silhouette) for each number of clusters."""
+def k_sweep(df: DataFrame, ks: range = range(2, 9), seeds: int = 10) -> DataFrame:
+    """(k, inertia, silhouette, davies_bouldin) for each number of clusters."""
     x = scaled(df)
+    axes = vector_to_array("features")
     rows = []
     for k in ks:
-        m = best_kmeans(x, k, 1, 50)
-        rows.append((k, float(m.summary.trainingCost), float(ClusteringEvaluator().evaluate(m.transform(x)))))
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+        m = best_kmeans(x, k, seeds, 300)
+        got = m.transform(x)
+        near = metrics.davies_bouldin(got.select("prediction", *[axes[i].alias(c) for i, c in enumerate(CLUSTERING)]), "prediction", CLUSTERING).first()[0]
+        rows.append((k, float(m.summary.trainingCost), float(ClusteringEvaluator().evaluate(got)), near))
+    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, davies_bouldin double")
 
 
-def bootstrap_stability(df: DataFrame, n: int = 3, k: int = 5, share: float = 0.8) -> DataFrame:
-    """(mean, std, min, max, grade) of the agreement between a fit on all rows and fits on resamples.
-
-    ``n`` resamples: the published figure uses 100, which is a parameter here.
-    """
+def bootstrap_stability(df: DataFrame, n: int = 100, k: int = 5, share: float = 0.8, seeds: int = 5) -> DataFrame:
+    """(mean, std, min, max, grade) of the agreement between a fit on all rows and fits on ``n`` resamples, each the best of several seeds."""
     x = scaled(df)
-    base = best_kmeans(x, k, 2, 50).transform(x).select("CustomerID", F.col("prediction").alias("a"))
+    model = best_kmeans(x, k, 10, 300)
+    base = model.transform(x).select("CustomerID", "features", F.col("prediction").alias("a")).persist(StorageLevel.MEMORY_AND_DISK)
     each = []
     for i in range(n):
-        m = KMeans(k=k, maxIter=50, seed=i).fit(x.sample(True, share, seed=i))
-        each.append(metrics.adjusted_rand(base.join(m.transform(x).select("CustomerID", F.col("prediction").alias("b")), "CustomerID"), "a", "b"))
-    got = reduce(DataFrame.union, each)
+        own = x.sample(True, share, seed=i).persist(StorageLevel.MEMORY_AND_DISK)
+        m = best_kmeans(own, k, seeds, 300, i * seeds)
+        each.append((metrics.adjusted_rand(m.transform(base).select("a", F.col("prediction").alias("b")), "a", "b").first()[0],))  # one row
+        own.unpersist()
+    base.unpersist()
+    got = df.sparkSession.createDataFrame(each, "ari double")
     out = got.agg(F.avg("ari").alias("mean"), F.stddev_pop("ari").alias("std"), F.min("ari").alias("min"), F.max("ari").alias("max"))
     return out.withColumn("grade", F.when(F.col("mean") >= 0.85, "Highly Stable").when(F.col("mean") >= 0.70, "Moderately Stable").otherwise("Unstable"))
 
