@@ -25,3 +25,10 @@ def test_bootstrap_rests_on_a_hundred_resamples(spark):
     assert default(learn.bootstrap_stability, "n") == 100 and default(learn.bootstrap_stability, "seeds") == 5
     got = learn.bootstrap_stability(registry.QUERIES["customer_features"](spark, SF), n=2, seeds=2).first()
     assert -1 <= got["min"] <= got["mean"] <= got["max"] <= 1 and got["grade"]
+
+
+def test_fits_have_the_size_of_the_reference():
+    assert (default(learn.best_kmeans, "seeds"), default(learn.best_kmeans, "iterations"), default(learn.kmeans_segments, "seeds")) == (20, 500, 20)
+    assert (default(learn.gmm_soft, "seeds"), default(learn.gmm_soft, "iterations")) == (5, 200)
+    assert (default(learn.segment_scores, "iterations"), default(learn.segment_scores, "depth")) == (500, 6)
+    assert (default(learn.uplift_scores, "iterations"), default(learn.uplift_scores, "depth")) == (200, 4)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
@@ -26,12 +27,12 @@ def scaled(df: DataFrame, columns: list[str] = CLUSTERING, key: str = "CustomerI
     return out.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def best_kmeans(x: DataFrame, k: int = 5, seeds: int = 3, iterations: int = 100, seed: int = 42) -> KMeansModel:
+def best_kmeans(x: DataFrame, k: int = 5, seeds: int = 20, iterations: int = 500, seed: int = 42) -> KMeansModel:
     """The fit of least cost over several seeds."""
     return min((KMeans(k=k, maxIter=iterations, seed=seed + i).fit(x) for i in range(seeds)), key=lambda m: m.summary.trainingCost)
 
 
-def kmeans_segments(df: DataFrame, k: int = 5, seeds: int = 3) -> DataFrame:
+def kmeans_segments(df: DataFrame, k: int = 5, seeds: int = 20) -> DataFrame:
     """(CustomerID, RawSegment, Segment): clusters, labelled by their ranked profiles."""
     from tidemark.operators.scoring import rank_labels
 
@@ -42,10 +43,10 @@ def kmeans_segments(df: DataFrame, k: int = 5, seeds: int = 3) -> DataFrame:
     return got.join(F.broadcast(names), "RawSegment").select("CustomerID", "RawSegment", "Segment")  # one row for each cluster
 
 
-def gmm_soft(df: DataFrame, k: int = 5, seeds: int = 2) -> DataFrame:
+def gmm_soft(df: DataFrame, k: int = 5, seeds: int = 5, iterations: int = 200) -> DataFrame:
     """(CustomerID, GMM_Prob_Seg0..): soft memberships of the mixture of greatest likelihood over several seeds."""
     x = scaled(df, COMPOSITES)
-    model = max((GaussianMixture(k=k, maxIter=50, seed=42 + i).fit(x) for i in range(seeds)), key=lambda m: m.summary.logLikelihood)
+    model = max((GaussianMixture(k=k, maxIter=iterations, seed=42 + i).fit(x) for i in range(seeds)), key=lambda m: m.summary.logLikelihood)
     p = vector_to_array("probability")
     return model.transform(x).select("CustomerID", *[p[i].alias(f"GMM_Prob_Seg{i}") for i in range(k)])
 
@@ -91,11 +92,19 @@ def _vectors(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(df.select(*keep, *score_columns(df, columns))).select(*keep, "features")
 
 
-def segment_scores(df: DataFrame, iterations: int = 10, depth: int = 4) -> DataFrame:
+def _checkpointed(df: DataFrame) -> None:
+    """Hundreds of boosting rounds need their lineage cut: a checkpoint folder is set where the session names none (local runs)."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+
+
+def segment_scores(df: DataFrame, iterations: int = 500, depth: int = 6) -> DataFrame:
     """(CustomerID, Segment, ChurnProbability): each segment's rows scored by its own boosted trees; null where a segment is too small or has one class.
 
     There are as many fits as segments. Positives weigh as much as negatives do.
     """
+    _checkpointed(df)
     columns = [*CHURN_NUMERIC, *COMPOSITES]
     rows = _vectors(df, columns, "CustomerID", "Segment", "Churn").withColumn("label", F.col("Churn").cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
     weights = metrics.class_weights(rows, "Segment", "Churn").collect()  # one row for each segment
@@ -111,8 +120,9 @@ def segment_scores(df: DataFrame, iterations: int = 10, depth: int = 4) -> DataF
     return reduce(DataFrame.unionByName, out)
 
 
-def uplift_scores(df: DataFrame, iterations: int = 10, depth: int = 4) -> DataFrame:
+def uplift_scores(df: DataFrame, iterations: int = 200, depth: int = 4) -> DataFrame:
     """(CustomerID, UpliftScore, ChurnProbNoTreatment): the mean of a two-model and a one-model learner, control less treated; zeros without a control group."""
+    _checkpointed(df)
     base = df.withColumn("T", F.col("Treatment").cast("double"))
     rows = _vectors(base, UPLIFT, "CustomerID", "Churn", "T").withColumn("label", F.col("Churn").cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
     kinds = {(r["T"], r["label"]) for r in rows.select("T", "label").distinct().collect()}  # at most four
