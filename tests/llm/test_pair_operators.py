@@ -163,6 +163,33 @@ def test_odd_vectors(spark):
     assert vptree.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_multiples_tie_by_id(spark, monkeypatch):
+    """40 multiples of one vector among others, negative ids with -1 among them: exact at factor 1, in trees of any size."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(-40, 41, (240, 16)).astype(float)
+    rows = rng.permutation(240)[:40]
+    x[rows] = x[rows[0]] * rng.integers(1, 60, 40)[:, None]
+    ids = np.arange(240) - 60
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>").repartition(3)
+    unit = x / np.abs(x).max(axis=1)[:, None]
+    score = (unit[:, None] * unit).sum(-1) / (vptree.norms(unit)[:, None] * vptree.norms(unit))
+    for size in (50, 8192):
+        monkeypatch.setattr(vptree, "SHARD_ROWS", size)
+        got = defaultdict(list)
+        for r in vptree.nearest(df, F.lit(True), factor=1.0).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((r["vec_id"], r["score"]))
+        for i, q in enumerate(ids):
+            order = [k for k in np.lexsort((ids, -score[i])) if k != i][:5]
+            assert got[q] == [(ids[k], score[i][k]) for k in order]
+
+
+def test_own_rows_leave_room_for_others(spark):
+    """A query's id on many rows, near and equal ones: the nearest of the others are still found."""
+    rows = [(0, [1.0, 0.001 * i]) for i in range(20)] + [(0, [1.0, 0.5])] * 9 + [(5, [1.0, 0.5])] * 3 + [(7, [2.0, 1.0]), (8, [0.0, 1.0]), (9, [1.0, 1.0])]
+    got = vptree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, factor=1.0).orderBy("rank").collect()
+    assert len(got) == 5 and {r["vec_id"] for r in got} <= {5, 7, 8, 9} and [r["rank"] for r in got] == [1, 2, 3, 4, 5]
+
+
 def test_recall_on_the_table(spark):
     from tidemark.llm.queries import QUERIES
 

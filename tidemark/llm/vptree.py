@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of one shard's tree and queries of one block, on average.
-SHARD_ROWS, BLOCK_ROWS = 8192, 2048
+#: Points of one shard's tree and queries of one block, on average; so many blocks visit a tree together, so a tree is sent and loaded once for all of them.
+SHARD_ROWS, BLOCK_ROWS, CHUNK = 8192, 2048, 8
 LEAF = 96
-#: Distances are rounded; a bound must exceed the worst kept one by more than this to prune.
-SLACK = 1e-9
+#: Rounding of chords between unit vectors (it is largest near 0, where the root of an error of 1e-15 is 3e-8) and of cosines.
+CHORD_SLACK, COSINE_SLACK = 2e-7, 1e-13
 
 
 def norms(x: np.ndarray) -> np.ndarray:
@@ -23,14 +26,16 @@ def norms(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tree:
-    """Distinct vectors in tree order, each with its smallest ids (-1: none). A node spans rows lo to hi; leaves have no children.
+    """Distinct directions in tree order; those of point i have the ids ``ids[first[i] : first[i + 1]]``. A node spans points lo to hi; leaves have no children.
 
     Distances are chords between unit vectors, a metric that orders as the cosine does. ``near`` and ``far`` bound the distances from the node's vantage
-    point to the rows of its inner and outer child.
+    point to the points of its inner and outer child. ``single`` marks points of one id only.
     """
 
     x: np.ndarray
     ids: np.ndarray
+    first: np.ndarray
+    single: np.ndarray
     lo: np.ndarray
     hi: np.ndarray
     inner: np.ndarray
@@ -50,19 +55,9 @@ class Tree:
             return Tree(**{k: z[k] for k in z.files})
 
 
-def build(ids: np.ndarray, x: np.ndarray, copies: int) -> Tree:
-    """A tree over the distinct rows of x; of equal rows the ``copies`` smallest ids stay."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    distinct, first, which = np.unique(x, axis=0, return_index=True, return_inverse=True)
-    by = np.argsort(which.ravel(), kind="stable")
-    starts = np.searchsorted(which.ravel()[by], np.arange(len(distinct)))
-    nth = np.arange(len(by)) - starts[which.ravel()[by]]
-    few = nth < copies
-    own = np.full((len(distinct), copies), -1, np.int64)
-    own[which.ravel()[by][few], nth[few]] = ids[by][few]
-    unit = distinct / norms(distinct)[:, None]
-
+def build(points: np.ndarray, ids: list[np.ndarray]) -> Tree:
+    """A tree over distinct points, each with its ids in ascending order."""
+    unit = points / norms(points)[:, None]
     perm = np.arange(len(unit))
     nodes: list[list] = []
     rng = np.random.default_rng(5)
@@ -85,34 +80,59 @@ def build(ids: np.ndarray, x: np.ndarray, copies: int) -> Tree:
     child = np.array([[places.get(n[2], -1), places.get(n[3], -1)] if n[2] != -1 else [-1, -1] for n in nodes]).reshape(-1, 2)
     place = np.empty(len(perm), np.int64)
     place[perm] = np.arange(len(perm))
+    own = [ids[i] for i in perm]
     return Tree(
-        distinct[perm], own[perm], np.array([n[0] for n in nodes]), np.array([n[1] for n in nodes]), child[:, 0], child[:, 1],
-        np.array([place[n[4]] for n in nodes]) if len(perm) else np.zeros(1, np.int64), np.array([n[5] for n in nodes]), np.array([n[6] for n in nodes]),
+        points[perm], np.concatenate(own), np.concatenate(([0], np.cumsum([len(i) for i in own]))), np.array([i[0] == i[-1] for i in own]),
+        np.array([n[0] for n in nodes]), np.array([n[1] for n in nodes]), child[:, 0], child[:, 1],
+        np.array([place[n[4]] for n in nodes]), np.array([n[5] for n in nodes]), np.array([n[6] for n in nodes]),
     )
 
 
 def search(tree: Tree, query_ids: np.ndarray, q: np.ndarray, top: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, id, score) of up to ``top`` nearest rows of each query, without its own id.
 
-    A child is left out when its least possible distance times ``factor`` is above the worst kept distance: 1 is exact, more is faster.
+    A first walk finds each query's ``top``-th best cosine, a second one collects all points that reach it, rounding allowed for; these are scored in one fixed
+    way and cut by score, then id. A child is left out when its least possible distance times ``factor`` is above the worst kept distance: 1 is exact, more is faster.
     """
-    n, keep = len(q), min(top + 3, len(tree.x))
-    unit, points = q / norms(q)[:, None], tree.x / norms(tree.x)[:, None]
-    best = np.full((n, keep), np.inf)
-    which = np.full((n, keep), -1, np.int64)
+    n, keep = len(q), min(top, len(tree.x))
+    norm_q, norm_x = norms(q), norms(tree.x)
+    unit, points = q / norm_q[:, None], tree.x / norm_x[:, None]
+    only = tree.ids[tree.first[:-1]]
+    best = np.full((n, keep), -np.inf)
+
+    def cosines(leaf: int, rows: np.ndarray) -> np.ndarray:
+        """Of a leaf's points; a point that holds no other id than the query's doesn't count."""
+        lo, hi = tree.lo[leaf], tree.hi[leaf]
+        c = unit[rows] @ points[lo:hi].T
+        c[tree.single[lo:hi] & (only[lo:hi] == query_ids[rows, None])] = -np.inf
+        return c
 
     def visit(leaf: int, rows: np.ndarray) -> None:
-        lo, hi = tree.lo[leaf], tree.hi[leaf]
-        d = np.sqrt(np.maximum(0, 2 - 2 * (unit[rows] @ points[lo:hi].T)))
-        all_d = np.concatenate((best[rows], d), axis=1)
-        all_i = np.concatenate((which[rows], np.broadcast_to(np.arange(lo, hi), d.shape)), axis=1)
-        part = np.argpartition(all_d, keep - 1, axis=1)[:, :keep]
-        best[rows], which[rows] = np.take_along_axis(all_d, part, 1), np.take_along_axis(all_i, part, 1)
+        both = np.concatenate((best[rows], cosines(leaf, rows)), axis=1)
+        best[rows] = -np.partition(-both, keep - 1, axis=1)[:, :keep]
 
     def distance(node: int, rows: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0, 2 - 2 * (unit[rows] @ points[tree.vantage[node]])))
 
-    # First each query's own leaf, for a bound to prune by; then all nodes that may hold nearer rows.
+    def walk(leave, rows_of_leaf) -> None:
+        """Visit the leaves that may hold points within each query's ``leave`` distance."""
+        todo = [(0, np.arange(n))]
+        while todo:
+            node, rows = todo.pop()
+            if not len(rows):
+                continue
+            if tree.inner[node] < 0:
+                rows_of_leaf(node, rows)
+                continue
+            d, worst = distance(node, rows), leave(rows)
+            for child, (least, most) in ((tree.outer[node], tree.far[node]), (tree.inner[node], tree.near[node])):
+                bound = np.maximum(0, np.maximum(d - most, least - d) - CHORD_SLACK)
+                todo.append((child, rows[bound * factor <= worst]))
+
+    def worst(rows: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(0, 2 - 2 * best[rows].min(axis=1)) + 4 * COSINE_SLACK)
+
+    # First each query's own leaf, for a bound to prune by; then all leaves that may hold nearer points.
     home = np.zeros(n, np.int64)
     todo = [(0, np.arange(n))]
     while todo:
@@ -125,29 +145,28 @@ def search(tree: Tree, query_ids: np.ndarray, q: np.ndarray, top: int, factor: f
             continue
         inside = distance(node, rows) <= (tree.near[node, 1] + tree.far[node, 0]) / 2
         todo += [(tree.inner[node], rows[inside]), (tree.outer[node], rows[~inside])]
-    todo = [(0, np.arange(n))]
-    while todo:
-        node, rows = todo.pop()
-        if not len(rows):
-            continue
-        if tree.inner[node] < 0:
-            rows = rows[home[rows] != node]
-            if len(rows):
-                visit(node, rows)
-            continue
-        d, worst = distance(node, rows), best[rows].max(axis=1) + SLACK
-        for child, (least, most) in ((tree.outer[node], tree.far[node]), (tree.inner[node], tree.near[node])):
-            bound = np.maximum(0, np.maximum(d - most, least - d))
-            todo.append((child, rows[bound * factor <= worst]))
-
-    row = np.repeat(np.arange(n), keep)
-    at = which.ravel()
-    row, at = row[at >= 0], at[at >= 0]
-    score = (q[row] * tree.x[at]).sum(axis=-1) / (norms(q)[row] * norms(tree.x)[at])
-    ids = tree.ids[at]
-    row, score = np.repeat(row, ids.shape[1]), np.repeat(score, ids.shape[1])
-    ids = ids.ravel()
-    use = (ids != -1) & (ids != query_ids[row])
+
+    def elsewhere(leaf: int, rows: np.ndarray) -> None:
+        rows = rows[home[rows] != leaf]
+        if len(rows):
+            visit(leaf, rows)
+
+    walk(worst, elsewhere)
+    least = best.min(axis=1) - COSINE_SLACK
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def collect(leaf: int, rows: np.ndarray) -> None:
+        row, at = np.nonzero(cosines(leaf, rows) >= np.maximum(least[rows], -2)[:, None])
+        found.append((rows[row], at + tree.lo[leaf]))
+
+    walk(worst, collect)
+    row, at = (np.concatenate(x) for x in zip(*found))
+    score = np.concatenate([(q[row[i : i + 65536]] * tree.x[at[i : i + 65536]]).sum(axis=-1) for i in range(0, len(row), 65536)] or [np.zeros(0)]) / (norm_q[row] * norm_x[at])
+    times = np.diff(tree.first)[at]
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    ids = tree.ids[np.repeat(tree.first[at], times) + nth]
+    row, score = np.repeat(row, times), np.repeat(score, times)
+    use = ids != query_ids[row]
     row, ids, score = row[use], ids[use], score[use]
     order = np.lexsort((ids, -score, row))
     row, ids, score = row[order], ids[order], score[order]
@@ -155,43 +174,82 @@ def search(tree: Tree, query_ids: np.ndarray, q: np.ndarray, top: int, factor: f
     return row[near], ids[near], score[near]
 
 
+def _directions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(vec_id, dim, v, is_query) of usable rows: v holds the vector over its largest absolute component, as bytes of doubles.
+
+    Division is rounded correctly, so exact multiples of a vector have the same bytes, and the same scores.
+    """
+    for batch in batches:
+        lists = batch.column("v").cast(pa.list_(pa.float64()))
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        x = pc.fill_null(lists.flatten(), float("nan")).to_numpy(zero_copy_only=False)
+        at = np.concatenate(([0], np.cumsum(size)))
+        some = size > 0
+        good, most = np.zeros(len(size), bool), np.ones(len(size))
+        if some.any():
+            most[some] = np.maximum.reduceat(np.abs(x), at[:-1][some])  # nan and inf stay
+            good[some] = np.isfinite(most[some]) & (most[some] > 0)
+        most[~good] = 1
+        raw = (x / np.repeat(most, size) + 0.0).astype("<f8").tobytes()
+        keep = np.flatnonzero(good & ~batch.column("vec_id").is_null().to_numpy(zero_copy_only=False))
+        blobs = pa.array([raw[8 * at[i] : 8 * at[i + 1]] for i in keep], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(keep)), pa.array(size[keep].astype(np.int32)), blobs, batch.column("is_query").take(pa.array(keep))], ["vec_id", "dim", "v", "is_query"])
+
+
 def nearest(df: DataFrame, query: Column, vec_id: str = "vec_id", embedding: str = "embedding", top: int = 5, factor: float = 1.05) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` rows of largest cosine for each row that ``query`` marks, nearest first, ties to smaller ids.
 
-    Every row is indexed in one of about N / 8192 trees by a hash of its id. Queries travel to the trees in blocks of about 2048. Copies of a vector are one
-    point of a tree with its smallest ids, so they cost nothing and keep ties right. Ids are non-negative numbers.
+    Every direction is indexed in one of about N / 8192 trees, by its hash. Queries travel to the trees in blocks of about 2048, eight blocks together. Rows of one
+    direction are one point of a tree with its smallest ids, so they cost nothing and ties are right; they are brought together before any shuffle. Directions that
+    differ are compared by their scores in double precision. With factor 1 the result is that of comparing all pairs.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id; vectors of another length than a query are not
-    compared with it. A repeated id is one query; its rows are not its own neighbours, but each is one to others. Fewer rows than ``top``: all of them. No rows: no rows.
+    compared with it. A repeated id is one query, by the smallest of its vectors; its rows are not its own neighbours, but each is one to others. Ids may have either sign.
+    Fewer rows than ``top``: all of them. No rows: no rows.
     """
-    v = F.transform(F.col(embedding), lambda c: c.cast("double"))
-    fine = F.size(embedding) > 0
-    fine &= F.forall(v, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.lit(False))) & F.exists(v, lambda c: c != 0)
-    rows = df.filter(F.col(vec_id).isNotNull() & fine).select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"), F.size(embedding).alias("dim"), query.alias("is_query"))
-    total, asked = rows.agg(F.count("*"), F.count_if("is_query")).first()
+    given = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("v"), F.coalesce(query, F.lit(False)).alias("is_query"))
+    rows = given.mapInArrow(_directions, "vec_id long, dim int, v binary, is_query boolean")
+    total, asked = given.agg(F.count("*"), F.count_if("is_query")).first()
     shards, blocks = max(1, -(-total // SHARD_ROWS)), max(1, -(-asked // BLOCK_ROWS))
+    chunks = -(-blocks // CHUNK)
+
+    # Of a direction, the smallest ids: whichever a query leaves out as its own, enough remain.
+    held = rows.groupBy("dim", "v", "vec_id").agg(F.least(F.count("*"), F.lit(top)).alias("n"))
+    nth = F.dense_rank().over(Window.partitionBy("dim", "v").orderBy("vec_id"))
+    held = held.withColumn("nth", nth).filter(F.col("nth") <= top + 1).drop("nth")
 
     def index(p: pd.DataFrame) -> pd.DataFrame:
-        tree = build(p["vec_id"].to_numpy(), np.array(p["v"].tolist()), top + 1)
+        p = p.sort_values(["v", "vec_id"], ignore_index=True)
+        new = np.flatnonzero((p["v"] != p["v"].shift()).to_numpy())
+        points = np.frombuffer(b"".join(p["v"][new]), "<f8").reshape(len(new), -1)
+        ids = np.repeat(p["vec_id"].to_numpy(), p["n"].to_numpy())
+        ends = np.cumsum(p["n"].to_numpy())
+        tree = build(points, np.split(ids, ends[new[1:] - 1]))
         return pd.DataFrame({"shard": p["shard"][:1], "dim": p["dim"][:1], "tree": [tree.dump()]})
 
     def block(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("vec_id", ignore_index=True)
-        return pd.DataFrame({"block": p["block"][:1], "dim": p["dim"][:1], "ids": [p["vec_id"].to_numpy().tobytes()], "q": [np.array(p["v"].tolist()).tobytes()]})
-
-    spread = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n))
-    trees = rows.withColumn("shard", spread(shards, 1)).groupBy("shard", "dim").applyInPandas(index, "shard long, dim int, tree binary")
-    queries = rows.filter("is_query").dropDuplicates(["vec_id"]).withColumn("block", spread(blocks, 2)).groupBy("block", "dim").applyInPandas(block, "block long, dim int, ids binary, q binary")
-    each = queries.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-
-    def find(p: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in p.itertuples():
-            ids = np.frombuffer(r.ids, np.int64)
-            row, near, score = search(Tree.load(r.tree), ids, np.frombuffer(r.q).reshape(len(ids), -1), top, factor)
-            out.append(pd.DataFrame({"query_id": ids[row], "vec_id": near, "score": score}))
+        return pd.DataFrame({"block": p["block"][:1], "dim": p["dim"][:1], "ids": [p["vec_id"].to_numpy().tobytes()], "q": [b"".join(p["v"])]})
+
+    spread = lambda c, n, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(n)).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    trees = held.withColumn("shard", spread("v", shards, 1)).groupBy("shard", "dim").applyInPandas(index, "shard long, dim int, tree binary")
+    queries = rows.filter("is_query").groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("q")).select("vec_id", "q.*")
+    queries = queries.withColumn("block", spread("vec_id", blocks, 2)).groupBy("block", "dim").applyInPandas(block, "block long, dim int, ids binary, q binary")
+
+    def find(key: tuple, tree: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        for blob in tree["tree"] if len(asked) else ():
+            t = Tree.load(blob)
+            for r in asked.itertuples():
+                ids = np.frombuffer(r.ids, np.int64)
+                row, near, score = search(t, ids, np.frombuffer(r.q, "<f8").reshape(len(ids), -1), top, factor)
+                out.append(pd.DataFrame({"query_id": ids[row], "vec_id": near, "score": score}))
         return pd.concat(out)
 
-    found = trees.join(each, ["shard", "dim"]).groupBy("shard", "dim", "block").applyInPandas(find, "query_id long, vec_id long, score double")
+    key = ["shard", "dim", "chunk"]
+    left = trees.withColumn("chunk", every(chunks)).groupBy(*key)
+    right = queries.withColumn("chunk", F.floor(F.col("block") / CHUNK)).withColumn("shard", every(shards)).groupBy(*key)
+    found = left.cogroup(right).applyInPandas(find, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
