@@ -37,24 +37,102 @@ def test_base_secrets_are_those_of_the_patterns(tricky, docs):
     assert all(r["b"] == base_spans(r["text"]) for r in got)
 
 
-def test_random_tokens_are_found_and_words_are_not(spark):
-    rng = np.random.default_rng(5)
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    keys = ["".join(rng.choice(list(alphabet), 40)) + "7a" for _ in range(60)]
-    dull = ["g1" * 20, "path/to/some/place/2024/index", "ggggggggggggggggggggggggggggggg1", "release_notes_version_2_final_copy"] * 15
-    df = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(keys + dull)], "doc_id long, text string")
-    hit = {r["doc_id"] for r in secrets.scan_secrets(df).filter(F.size("spans") > 0).collect()}
-    assert len([i for i in hit if i < 60]) >= 54
-    assert len([i for i in hit if i >= 60]) <= 15
-
-
-def test_battery():
-    assert secrets.battery("abcdefghijklmnopqrstuvwxyz") is None
-    name, p = secrets.battery("1a" * 30)
-    assert name == "hex" and p < 1e-6
+ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def plain_battery(token):
+    """(encoding, combined p-value) of one token, test by test in plain Python; None where it isn't tested."""
+    name = next((k for k, a in secrets.ALPHABETS.items() if set(token) <= set(a)), None)
+    if name is None or len(token) < 12 or not any(c.isalpha() for c in token):
+        return None
+    a = secrets.ALPHABETS[name]
+    k, n, x = len(a), len(token), [a.index(c) for c in token]
+    upper = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    blocks = max(2, min(k, n // 5))
+    width = Counter(i * blocks // k for i in range(k))
+    seen = Counter(i * blocks // k for i in x)
+    df = blocks - 1
+    stat = sum((seen[b] - width[b] * n / k) ** 2 / (width[b] * n / k) for b in range(blocks)) / df
+    ps = [upper((stat ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))]
+    high = [i >= k / 2 for i in x]
+    n1, n0 = sum(high), n - sum(high)
+    if n1 and n0:
+        runs, mean = 1 + sum(p != q for p, q in zip(high, high[1:])), 1 + 2 * n1 * n0 / n
+        var = 2 * n1 * n0 * (2 * n1 * n0 - n) / (n * n * (n - 1))
+        ps.append(min(1, 2 * upper(abs(runs - mean) / math.sqrt(max(var, 1e-9)))))
+    else:
+        ps.append(2.0 ** (1 - n))
+    z = sum((p - (k - 1) / 2) * (q - (k - 1) / 2) for p, q in zip(x, x[1:])) / ((k * k - 1) / 12 * math.sqrt(n - 1))
+    ps.append(min(1, 2 * upper(abs(z))))
+    h = -sum(math.log(max(p, 1e-300)) for p in ps)
+    return name, min(1, math.exp(-h) * (1 + h + h * h / 2))
+
+
+def token_bins(text):
+    """(start, end, encoding, length class, bin) of every token of a text, by a pattern and the plain battery."""
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_-]{12,}", text or ""):
+        got = plain_battery(m[0])
+        if got:
+            out.append((m.start(), m.end(), got[0], max(x for x in secrets.LENGTHS if x <= len(m[0])), min(secrets.LOST, int(-math.log10(max(got[1], 1e-300)) / secrets.STEP))))
+    return out
+
+
+def test_battery_is_that_of_plain_python(docs):
     rng = np.random.default_rng(1)
-    ps = [secrets.battery("".join(rng.choice(list("0123456789abcdef"), 64)))[1] for _ in range(200)]
-    assert 0.3 < np.mean(ps) < 0.7
+    texts = [" ".join("".join(rng.choice(list(a), n)) for a in (*secrets.ALPHABETS.values(), "ab", "aB1") for n in (11, 12, 13, 31, 64, 200)), "Ünïcode" * 9 + "abcdefghijklmnop é 0123456789012 word/word/word_-+", ""]
+    texts += [r[0] or "" for r in docs.select("text").limit(60).collect()]
+    data = [t.encode() for t in texts]
+    at = np.concatenate(([0], np.cumsum([len(x) for x in data])))
+    begins = np.zeros(at[-1] + 1, bool)
+    begins[at[:-1]] = True
+    s, e, group, step = secrets.tokens(np.frombuffer(b"".join(data), np.uint8), begins[:-1])
+    row = np.searchsorted(at, s, "right") - 1
+    names = list(secrets.ALPHABETS)
+    got = Counter((r, data[r][: a - at[r]].decode(), b - a, names[g // len(secrets.LENGTHS)], secrets.LENGTHS[g % len(secrets.LENGTHS)], p) for r, a, b, g, p in zip(row, s, e, group, step))
+    want = Counter((r, t[:a], b - a, name, length, p) for r, t in enumerate(texts) for a, b, name, length, p in token_bins(t))
+    assert sum((got - want).values()) <= 1 and sum((want - got).values()) <= 1 and sum(want.values()) > 60  # a p-value may lie on a bin's edge
+
+
+def test_findings_are_those_of_plain_control(docs):
+    """Spans of the method from a plain-Python count of all tokens and Benjamini-Hochberg per group; the null histogram is the operator's."""
+    rng = np.random.default_rng(8)
+    more = [(10**6 + i, f"key {''.join(rng.choice(list(ALNUM), 40))} and wordsWithoutAnyMeaning{i} end") for i in range(30)]
+    rows = docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame(more, "doc_id long, text string"))
+    texts = [(r[0], r[1] or "") for r in rows.collect()]
+    data = [t.encode() for _, t in texts]
+    null = defaultdict(Counter)
+    for x in data:
+        for g, b in zip(*secrets.ordinary(np.frombuffer(x, np.uint8), np.array([0, len(x)]))):
+            null[int(g)][int(b)] += 1
+    names, tokens = list(secrets.ALPHABETS), defaultdict(list)
+    for d, t in texts:
+        for a, b, name, length, step in token_bins(t):
+            tokens[names.index(name) * len(secrets.LENGTHS) + secrets.LENGTHS.index(length)].append((step, d, a, b))
+    want = set()
+    for g, found in tokens.items():
+        n = sum(null[g].values())
+        p = {step: (1 + sum(c for b, c in null[g].items() if b <= step)) / (1 + n) for step, *_ in found}
+        ok = [s for s in p if s < secrets.LOST and p[s] <= 0.05 * sum(t[0] <= s for t in found) / len(found)]
+        want |= {(d, a, b) for step, d, a, b in found if ok and step <= max(ok)}
+    got = {(r["doc_id"], s["start"], s["end"]) for r in secrets.scan_secrets(rows).collect() for s in r["spans"] if s["kind"] == 3}
+    assert got == want and len([1 for d, *_ in got if d >= 10**6]) >= 25
+
+
+def test_random_tokens_are_found_and_words_are_not(spark, docs):
+    rng = np.random.default_rng(5)
+    keys = ["".join(rng.choice(list(ALNUM), 40)) + "7a" for _ in range(60)]
+    dull = ["g1" * 20, "getElementsByClassName12345", "com/example/app/MainActivity2", "release_notes_version_2_final_copy", "internationalisation", "deadbeefdeadbeefdeadbeef"[:22], "AAAAAAAAAAAAAAAAAAAAAAAA"] * 9
+    own = spark.createDataFrame([(10**6 + i, f"see {t} here") for i, t in enumerate(keys + dull)], "doc_id long, text string")
+    hit = {r["doc_id"] - 10**6 for r in secrets.scan_secrets(docs.select("doc_id", "text").union(own)).filter(F.exists("spans", lambda s: s["kind"] == 3)).collect()}
+    assert len([i for i in hit if 0 <= i < 60]) >= 54
+    assert not [i for i in hit if i >= 60]
+
+
+def test_names_of_results_cannot_be_kept(tricky):
+    assert secrets.scan_secrets(tricky, keep=("doc_id", "found", "text")).columns == ["doc_id", "found", "text", "base", "spans"]
+    with pytest.raises(ValueError):
+        secrets.scan_secrets(tricky, keep=("doc_id", "spans"))
 
 
 def test_redaction(spark):

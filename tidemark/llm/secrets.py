@@ -1,4 +1,4 @@
-"""Secret scans: fixed patterns, and a randomness test battery over long tokens with false-discovery control."""
+"""Secret scans: fixed patterns, and a randomness test battery over tokens with false-discovery control of what is reported."""
 
 from __future__ import annotations
 
@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.llm.common import written
-from tidemark.llm.vector import slices
+from tidemark.llm.vector import mix64, slices
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 KEYWORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 KINDS = ("assign", "access", "hex", "random")
-LEAST = {"assign": 6, "access": 20, "hex": 24, "random": 20}
+LEAST = {"assign": 6, "access": 20, "hex": 24, "random": 12}
 
 
 def _class(chars: str) -> np.ndarray:
@@ -29,17 +29,28 @@ def _class(chars: str) -> np.ndarray:
 
 
 _UP, _LOW, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-HEX, ACCESS, TOKEN = _class(_DIGIT + "abcdef"), _class(_UP + _DIGIT), _class(_UP + _LOW + _DIGIT + "+/_=-")
+HEX, ACCESS, TOKEN = _class(_DIGIT + "abcdef"), _class(_UP + _DIGIT), _class(_UP + _LOW + _DIGIT + "+/_-")
+#: Letters from common to rare (as in English): blocks of this order tell words from random draws best.
+_COMMON = "etaoinshrdlcumwfgypbvkjxqz"
 #: Encodings a token may have, narrowest first: the first whose alphabet holds all its symbols is inferred.
-ALPHABETS = {"hex": _DIGIT + "abcdef", "hex_upper": _DIGIT + "ABCDEF", "base32": _UP + "234567", "base36": _DIGIT + _LOW, "base62": _DIGIT + _UP + _LOW, "base64": _UP + _LOW + _DIGIT + "+/", "base64_url": _UP + _LOW + _DIGIT + "-_"}
-_INDEX = {k: {c: i for i, c in enumerate(v)} for k, v in ALPHABETS.items()}
+ALPHABETS = {
+    "hex": _DIGIT + "abcdef", "hex_upper": _DIGIT + "ABCDEF", "lower": _COMMON, "upper": _COMMON.upper(), "base32": _COMMON.upper() + "234567", "base36": _COMMON + _DIGIT,
+    "letters": _COMMON + _COMMON.upper(), "base62": _COMMON + _COMMON.upper() + _DIGIT, "base64": _COMMON + _COMMON.upper() + _DIGIT + "+/", "base64_url": _COMMON + _COMMON.upper() + _DIGIT + "-_",
+}
+_NAMES, _SIZES = list(ALPHABETS), np.array([len(a) for a in ALPHABETS.values()])
+_INDEX = np.full((len(ALPHABETS), 256), -1, np.int16)
+for _i, _a in enumerate(ALPHABETS.values()):
+    _INDEX[_i, list(_a.encode())] = np.arange(len(_a))
+#: For each byte, the alphabets that hold it, as bits.
+_HOLDS = ((_INDEX >= 0) << np.arange(len(ALPHABETS))[:, None]).sum(0).astype(np.int32)
 #: Length classes: tests on longer tokens have more power, so each class controls its own false discoveries.
-LENGTHS = (20, 28, 40, 64)
-#: p-values are counted in steps of a twentieth of a power of ten.
-STEP, BINS = 0.05, 400
+LENGTHS = (12, 16, 20, 28, 40, 64)
+#: p-values are counted in steps of a twentieth of a power of ten. From ``LOST`` on a token is no candidate: draws at random come there once in 100,000.
+STEP, LOST = 0.05, 100
 
 SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-CANDIDATE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("group", pa.string()), ("bin", pa.int32())])
+CANDIDATE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("group", pa.int32()), ("bin", pa.int32())])
+COUNT = pa.struct([("group", pa.int32()), ("bin", pa.int32()), ("tokens", pa.int64()), ("ordinary", pa.int64())])
 
 
 def _runs(member: np.ndarray, begins: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,66 +63,134 @@ def _runs(member: np.ndarray, begins: np.ndarray, least: int) -> tuple[np.ndarra
     return s[long], e[long]
 
 
-def _upper_normal(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
+_erfc = np.frompyfunc(math.erfc, 1, 1)
 
 
-def chi_squared_p(x: np.ndarray, k: int) -> float:
-    """Upper tail of the alphabet's uniformity, in as many blocks of the alphabet as five symbols each allow."""
-    n = len(x)
-    blocks = int(max(2, min(k, n // 5)))
-    which = np.arange(k) * blocks // k
-    expected = np.bincount(which, minlength=blocks) * (n / k)
-    seen = np.bincount(which[x], minlength=blocks)
-    stat, df = float(((seen - expected) ** 2 / expected).sum()), blocks - 1
-    return _upper_normal(((stat / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))  # Wilson and Hilferty
+def _upper_normal(z: np.ndarray) -> np.ndarray:
+    return 0.5 * _erfc(z / math.sqrt(2)).astype(np.float64)
 
 
-def runs_p(x: np.ndarray, k: int) -> float:
-    """Two-sided Wald-Wolfowitz test of runs above and below the alphabet's middle."""
-    high = x >= k / 2
-    n1, n = int(high.sum()), len(x)
+def battery(symbols: np.ndarray, first: np.ndarray, n: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Fisher's combined p-value under "drawn at random" for each token: ``symbols`` holds all tokens' places in their alphabets of ``k``, token i's from ``first[i]`` on.
+
+    Three tests: chi-squared of the alphabet's uniformity, in as many blocks of the alphabet as five symbols each allow (upper tail, Wilson and Hilferty); Wald and
+    Wolfowitz's runs above and below the alphabet's middle; and the correlation of neighbours against the alphabet's mean and variance (both two-sided).
+    """
+    if not len(n):
+        return np.zeros(0)
+    x, of = symbols.astype(np.int64), np.repeat(np.arange(len(n)), n)
+    blocks = np.maximum(2, np.minimum(k, n // 5))
+    base = np.concatenate(([0], np.cumsum(blocks)))
+    seen = np.bincount(base[of] + x * blocks[of] // k[of], minlength=base[-1]).astype(np.float64)
+    block = np.arange(base[-1]) - np.repeat(base[:-1], blocks)
+    b, a = np.repeat(blocks, blocks), np.repeat(k, blocks)
+    expected = (-(-(block + 1) * a // b) - -(-block * a // b)) * np.repeat(n / k, blocks)
+    df = blocks - 1.0
+    stat = np.add.reduceat((seen - expected) ** 2 / expected, base[:-1]) / df
+    chi = _upper_normal((np.cbrt(stat) - (1 - 2 / (9 * df))) / np.sqrt(2 / (9 * df)))
+
+    high = x >= k[of] / 2
+    n1 = np.add.reduceat(high.astype(np.int64), first)
     n0 = n - n1
-    if not n1 or not n0:
-        return 2.0 ** (1 - n)
-    runs = 1 + int((high[1:] != high[:-1]).sum())
-    mean, var = 1 + 2 * n1 * n0 / n, 2 * n1 * n0 * (2 * n1 * n0 - n) / (n * n * (n - 1))
-    return min(1.0, 2 * _upper_normal(abs(runs - mean) / math.sqrt(max(var, 1e-9))))
+    inside = np.ones(len(x), bool)
+    inside[first] = False
+    turns = np.zeros(len(x), np.int64)
+    turns[1:] = high[1:] != high[:-1]
+    runs = 1 + np.add.reduceat(turns * inside, first)
+    both = 2.0 * n1 * n0
+    spread = np.sqrt(np.maximum(both * (both - n) / (n * n * (n - 1.0)), 1e-9))
+    one_sided = (n1 == 0) | (n0 == 0)
+    run = np.where(one_sided, 2.0 ** (1 - np.minimum(n, 1000.0)), np.minimum(1, 2 * _upper_normal(np.abs(runs - 1 - both / n) / spread)))
+
+    y = x - (k[of] - 1) / 2
+    product = np.zeros(len(x))
+    product[1:] = y[1:] * y[:-1]
+    z = np.add.reduceat(product * inside, first) / ((k * k - 1) / 12 * np.sqrt(n - 1.0))
+    serial = np.minimum(1, 2 * _upper_normal(np.abs(z)))
+    half = -(np.log(np.maximum(chi, 1e-300)) + np.log(np.maximum(run, 1e-300)) + np.log(np.maximum(serial, 1e-300)))
+    return np.minimum(1, np.exp(-half) * (1 + half + half * half / 2))
+
 
+def _bins(p: np.ndarray) -> np.ndarray:
+    return np.minimum(LOST, (-np.log10(np.maximum(p, 1e-300)) / STEP).astype(np.int32))
 
-def serial_p(x: np.ndarray, k: int) -> float:
-    """Two-sided test of the correlation of neighbours against the alphabet's mean and variance."""
-    y = x - (k - 1) / 2
-    z = float((y[1:] * y[:-1]).sum()) / ((k * k - 1) / 12 * math.sqrt(len(x) - 1))
-    return min(1.0, 2 * _upper_normal(abs(z)))
 
+def _grouped(name: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The number of a token's encoding and length class."""
+    return (name * len(LENGTHS) + np.searchsorted(LENGTHS, n, "right") - 1).astype(np.int32)
 
-def battery(token: str) -> tuple[str, float] | None:
-    """The inferred encoding and Fisher's combined p-value under "drawn at random"; None where no test applies.
 
-    A token needs a letter and a digit: words are never candidates.
+def tokens(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, group, bin) of all tokens that the battery tests: maximal runs of at least 12 symbols of one inferred encoding with a letter among them.
+
+    Padding ("=") ends a token and isn't part of it. Digits alone are a number, no token.
+    """
+    s, e = _runs(TOKEN[data], begins, LEAST["random"])
+    if not len(s):
+        return s, e, np.zeros(0, np.int32), np.zeros(0, np.int32)
+    n = e - s
+    first = np.concatenate(([0], np.cumsum(n)[:-1]))
+    raw = data[np.repeat(s - first, n) + np.arange(n.sum())]
+    fits = np.bitwise_and.reduceat(_HOLDS[raw], first)
+    use = (fits > 0) & (np.maximum.reduceat(raw, first) >= 65)  # letters lie above the digits
+    name = np.argmax((fits[:, None] >> np.arange(len(_NAMES))) & 1, axis=1)
+    s, e, n, name, raw = s[use], e[use], n[use], name[use], raw[np.repeat(use, n)]
+    first = np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64)[: len(n)]
+    p = battery(_INDEX[np.repeat(name, n), raw], first, n, _SIZES[name])
+    return s, e, _grouped(name, n), _bins(p)
+
+
+def ordinary(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, bin) of ordinary identifiers made of each text's own words: one of every encoding and length class for every text with enough letters.
+
+    Words are joined as people join them: in lower case, in capitals, in camel case, with "/" or "_" before words, and with two to four digits behind where the
+    encoding has digits; for hexadecimal only the letters a to f are taken. The place in the text comes from the text's length.
     """
-    body = token.rstrip("=")
-    symbols = set(body)
-    if len(body) < LEAST["random"] or not symbols & set(_DIGIT) or not symbols & set(_UP + _LOW):
-        return None
-    name = next((k for k, index in _INDEX.items() if symbols <= index.keys()), None)
-    if name is None:
-        return None
-    x = np.array([_INDEX[name][c] for c in body])
-    k = len(ALPHABETS[name])
-    half = -sum(math.log(max(p, 1e-300)) for p in (chi_squared_p(x, k), runs_p(x, k), serial_p(x, k)))
-    return name, min(1.0, math.exp(-half) * (1 + half + half * half / 2))
-
-
-def _scan(batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> tuple[list, list]:
+    low = data.copy()
+    low[(low >= 65) & (low <= 90)] += 32
+    groups, bins = [], []
+    letter = (low >= 97) & (low <= 122)
+    for narrow in (True, False):
+        use = np.flatnonzero(letter & (low <= 102) if narrow else letter)
+        upto = np.searchsorted(use, at)
+        start = np.zeros(len(data) + 1, bool)  # a word's first letter
+        start[:-1] = letter
+        start[1:-1] &= ~letter[:-1]
+        for i, length in enumerate(LENGTHS):
+            for j, encoding in enumerate(_NAMES):
+                if encoding.startswith("hex") != narrow:
+                    continue
+                text = np.flatnonzero(np.diff(upto) >= length)
+                if not len(text):
+                    continue
+                room = np.diff(upto)[text] - length
+                shift = (mix64((at[text + 1] - at[text]).astype(np.uint64) * np.uint64(64) + np.uint64(8 * i + j)) >> np.uint64(2)).astype(np.int64)
+                place = use[(upto[text] + shift % (room + 1))[:, None] + np.arange(length)]
+                token, word = low[place], start[place]
+                if encoding in ("upper", "base32", "hex_upper"):
+                    token = token - 32
+                if encoding in ("letters", "base62", "base64", "base64_url"):
+                    token = np.where(word, token - 32, token)
+                if encoding.startswith("base64"):
+                    token[:, 1:] = np.where(word[:, 1:], ord("/" if encoding == "base64" else "_"), token[:, 1:])
+                if encoding not in ("lower", "upper", "letters"):
+                    tail = np.arange(length) >= length - 2 - (shift % 3)[:, None]
+                    digit = 50 + (shift[:, None] // 7 + np.arange(length) * (1 + shift[:, None] // 11 % 5)) % (6 if encoding == "base32" else 8)
+                    token = np.where(tail, digit, token)
+                n = np.full(len(text), length)
+                k = np.full(len(text), _SIZES[j])
+                groups.append(np.full(len(text), j * len(LENGTHS) + i, np.int32))
+                bins.append(_bins(battery(_INDEX[j, token.ravel()], np.arange(len(text)) * length, n, k)))
+    return (np.concatenate(groups), np.concatenate(bins)) if groups else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+
+
+def _scan(batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> tuple[list, pa.Array, list]:
+    """Base spans of each text, its candidates, and the batch's histogram of tested tokens and ordinary identifiers (with its first row)."""
     n = len(batch)
     base: list[list] = [[] for _ in range(n)]
-    found: list[list] = [[] for _ in range(n)]
-    if not len(data):
-        return base, found
-    begins = np.zeros(len(data), bool)
-    begins[at[:-1][at[:-1] < len(data)]] = True
+    begins = np.zeros(len(data) + 1, bool)
+    begins[at[:-1]] = True
+    begins = begins[:-1]
     point = np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)  # code points up to and with each byte
     before = np.concatenate(([0], point))
 
@@ -134,61 +213,78 @@ def _scan(batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> tuple[list
             base[row].append((start + i - a, 1, end))
     for row, _a, _b, start, end in spans(HEX, LEAST["hex"]):
         base[row].append((start, 2, end))
-    for row, a, b, start, end in spans(TOKEN, LEAST["random"]):
-        if any(s < end and start < e for s, _, e in base[row]):
-            continue
-        tested = battery(raw[a:b].decode())
-        if tested:
-            length = max(x for x in LENGTHS if x <= max(b - a, LENGTHS[0]))
-            step = min(BINS, int(-math.log10(max(tested[1], 1e-300)) / STEP))
-            found[row].append({"start": start, "end": end, "group": f"{tested[0]}:{length}", "bin": step})
-    return [[{"start": s, "kind": k, "end": e} for s, k, e in sorted(x)] for x in base], found
-
-
-def _dismissed_from(counts: list[tuple[str, int, int]], q: float) -> dict[str, int]:
-    """For each group the least bin that is dismissed as not random, by Benjamini and Hochberg over the binned p-values."""
-    groups: dict[str, list[tuple[int, int]]] = {}
-    for group, step, n in counts:
-        groups.setdefault(group, []).append((step, n))
+
+    s, e, group, step = tokens(data, begins)
+    o_group, o_step = ordinary(data, at)
+    cells = len(_NAMES) * len(LENGTHS) * (LOST + 1)
+    seen, null = (np.bincount(g.astype(np.int64) * (LOST + 1) + b, minlength=cells) for g, b in ((group, step), (o_group, o_step)))
+    counts: list = [None] * n
+    counts[0] = [{"group": int(c) // (LOST + 1), "bin": int(c) % (LOST + 1), "tokens": int(seen[c]), "ordinary": int(null[c])} for c in np.flatnonzero(seen + null)]
+    may = step < LOST
+    s, e, group, step = s[may], e[may], group[may], step[may]
+    row = np.searchsorted(at, s, "right") - 1
+    offsets = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
+    of = before[at[row]]
+    fields = [(before[s] - of).astype(np.int32), (before[e] - of).astype(np.int32), group, step.astype(np.int32)]
+    found = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(f) for f in fields], fields=list(CANDIDATE)))
+    return [[{"start": s, "kind": k, "end": e} for s, k, e in sorted(x)] for x in base], found, counts
+
+
+def found_upto(counts: list[tuple[int, int, int, int]], q: float) -> dict[int, int]:
+    """For each group the last bin whose tokens are findings, by Benjamini and Hochberg: of all findings of the group at most the share ``q`` is expected to be ordinary.
+
+    A token's p-value under "ordinary identifier" is the share of the group's ordinary identifiers that look at least as random, one more on either side.
+    """
+    groups: dict[int, list[tuple[int, int, int]]] = {}
+    for group, step, n, null in counts:
+        groups.setdefault(group, []).append((step, n, null))
     out = {}
     for group, steps in groups.items():
-        m, rank, cut = sum(n for _, n in steps), 0, BINS + 1
-        for step, n in sorted(steps, reverse=True):  # smallest p-values first
-            rank += n
-            if 10 ** (-step * STEP) <= q * rank / m:  # a bin's largest p-value
-                cut = step
-        out[group] = cut
+        m, nulls = sum(n for _, n, _ in steps), sum(x for _, _, x in steps)
+        rank = below = 0
+        for step, n, null in sorted(steps):  # most random first
+            rank, below = rank + n, below + null
+            if step < LOST and rank and (1 + below) / (1 + nulls) <= q * rank / m:
+                out[group] = step
     return out
 
 
 def scan_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), q: float = 0.05) -> DataFrame:
     """The columns ``keep`` and (base, spans): the secrets of every text, as arrays of (start, kind number, end) in code points.
 
-    Base kinds are fixed patterns. Kind ``random`` are further tokens of at least 20 symbols with a letter and a digit that the battery
-    can't tell from random draws of their inferred encoding. Within each encoding and length class the tokens *dismissed* as not random
-    are chosen by Benjamini-Hochberg at level ``q`` over the whole corpus: at most that share of the dismissals are expected
-    to be random after all. The histogram of p-values that this needs has at most 7 x 4 x 401 rows.
+    Base kinds are fixed patterns. Kind ``random`` are tokens of at least 12 symbols of an inferred encoding, inside base spans too, that look more like random draws
+    than ordinary identifiers do. The null is "ordinary identifier": what the battery says of identifiers joined from the words of all texts. Within each encoding and length
+    class the findings are chosen by Benjamini-Hochberg at level ``q`` over the whole corpus, so of those reported at most that share is expected to be ordinary; short classes,
+    where the battery can't tell, report nothing. A token that random draws of its encoding would match once in 100,000 at most is never reported. The histogram that this needs
+    has at most 10 x 6 x 101 rows.
 
-    A null text is empty and has no spans; one row comes out for each row that goes in, repeated rows too. No rows: no rows.
+    A null text is empty and has no spans; one row comes out for each row that goes in, repeated rows too. Kept columns may have any name but ``base`` and ``spans``,
+    which are an error. No rows: no rows.
     """
-    added = StructType.fromDDL("base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,end:int,group:string,bin:int>>")
-    schema = StructType(df.select(*keep).schema.fields + added.fields)
+    clash = {"base", "spans"} & set(keep)
+    if clash:
+        raise ValueError(f"columns can't be kept under the names of results: {sorted(clash)}")
+    added = StructType.fromDDL("secret_base array<struct<start:int,kind:int,end:int>>, secret_found array<struct<start:int,end:int,group:int,bin:int>>, secret_counts array<struct<group:int,bin:int,tokens:long,ordinary:long>>")
+    kept = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
+    given = df.select(*kept, F.col(text).alias("scanned_text"))
+    schema = StructType(given.drop("scanned_text").schema.fields + added.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch, data, at in slices(whole, "scanned_text"):
-                base, found = _scan(batch, data, at)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(base, pa.list_(SPAN)), pa.array(found, pa.list_(CANDIDATE))], [*keep, "base", "found"])
+                base, found, counts = _scan(batch, data, at)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(base, pa.list_(SPAN)), found, pa.array(counts, pa.list_(COUNT))], schema.names)
 
-    scanned = written(df.select(*keep, F.col(text).alias("scanned_text")).mapInArrow(run, schema))
-    counts = scanned.select(F.explode("found").alias("f")).groupBy("f.group", "f.bin").count().collect()  # bounded: groups x bins
-    cut = _dismissed_from([tuple(r) for r in counts], q)
+    scanned = written(given.mapInArrow(run, schema))
+    counts = scanned.select(F.explode("secret_counts").alias("c")).groupBy("c.group", "c.bin").agg(F.sum("c.tokens"), F.sum("c.ordinary")).collect()  # bounded: groups x bins
+    last = found_upto([tuple(r) for r in counts], q)
 
     def random(f: Column) -> Column:
-        return F.lit(False) if not cut else f["bin"] < F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in cut.items() for x in kv]), f["group"]), F.lit(BINS + 1))
+        return F.lit(False) if not last else F.coalesce(f["bin"] <= F.element_at(F.create_map(*[F.lit(x) for kv in last.items() for x in kv]), f["group"]), F.lit(False))
 
-    more = F.transform(F.filter("found", random), lambda f: F.struct(f["start"].alias("start"), F.lit(3).alias("kind"), f["end"].alias("end")))
-    return scanned.select(*keep, "base", F.array_sort(F.concat("base", more)).alias("spans"))
+    more = F.transform(F.filter("secret_found", random), lambda f: F.struct(f["start"].alias("start"), F.lit(3).alias("kind"), f["end"].alias("end")))
+    names = [F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)]
+    return scanned.select(*names, F.col("secret_base").alias("base"), F.array_sort(F.concat("secret_base", more)).alias("spans"))
 
 
 def label(spans: Column) -> Column:
