@@ -140,6 +140,37 @@ def test_rates_are_tilted_exponentially(spark):
     assert len(tilt) == 1
 
 
+def test_ranges_change_nothing(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.substring("text", 1, 40).alias("text"), "source")
+    got = []
+    for n in (1, 10**9):
+        monkeypatch.setattr(mixing, "RANGE_ROWS", n)
+        got.append(sorted(tuple(r) for r in mixing.mix(docs).select("doc_id", "copies", "taken").collect()))
+    assert got[0] == got[1] and len({c for _, c, _ in got[0]}) > 1
+
+
+def test_a_mix_that_does_not_converge_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_newton", lambda cells, dual, most: dual)
+    with pytest.raises(RuntimeError):
+        mixing.mix(spark.read.parquet(f"{SF}/documents.parquet"), rounds=1)
+
+
+def test_one_text_without_ids_is_split_too(spark):
+    df = spark.range(6000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 1, "the same text " * 20).otherwise(F.concat(F.lit("own "), F.repeat(F.col("id").cast("string"), 50))).alias("text"))
+    rows = sharding.shard_by_bytes(df).collect()
+    size = Counter()
+    for r in rows:
+        size[r["shard"]] += r["size"]
+    assert gapless(rows) and max(size.values()) < 1.15 * sum(size.values()) / 16
+
+
+@pytest.mark.parametrize("name", ["op4_sampled_splitters", "op5_entropy_balancing"])
+def test_queries_return_every_document_and_their_columns(spark, name):
+    columns = {"op4_sampled_splitters": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"], "op5_entropy_balancing": ["doc_id", "size", "source_size", "target", "taken"]}[name]
+    out = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert out.columns[: len(columns)] == columns and out.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
 def test_digest_of_roles_and_texts(spark):
     got = QUERIES["op3_chat_round_trip"](spark, "/root/testdata/sf0.001").filter("conv_id = -7").first()
     ok = "</s>[INST] ok [/INST]"

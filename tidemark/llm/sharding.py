@@ -27,7 +27,7 @@ def shard_by_bytes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     The key is a 52-bit hash of the text, so equal texts lie together. A sample of
     ``shards * ranges_per_shard * draws_per_range`` expected draws, weighted by size and by row, gives quantile splitters;
     its size doesn't depend on the input. Every row then goes to a range, all ranges are measured exactly, and overfull ones are
-    subdivided: by a second hash of the text, or, if one text alone fills the range, by a hash of the id. Consecutive
+    subdivided: by a second hash of the text, or, if one text alone fills the range, by a hash of the running number (ids may be null or repeated). Consecutive
     ranges fill the shards by their exact bytes, so a shard is off by one range at most (about 1/32 of a shard). Slots number a
     shard's rows without gaps: the rows of the ranges before, plus the place within the range.
 
@@ -41,6 +41,7 @@ def shard_by_bytes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
             (F.octet_length(body) + 1).cast("long").alias("size"),
             F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
             F.shiftrightunsigned(F.xxhash64(body), 64 - KEY_BITS).alias("key"),
+            F.monotonically_increasing_id().alias("nth"),
         )
     )
     ranges = shards * ranges_per_shard
@@ -60,7 +61,7 @@ def shard_by_bytes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     full = F.greatest(F.sum("size") * ranges / F.lit(float(total)), F.count("*") * ranges / F.lit(float(rows)))
     measured = ranged.groupBy("range").agg(F.greatest(F.lit(1), F.when(full > 2, F.ceil(full)).otherwise(1)).alias("pieces"), (F.min("key") == F.max("key")).alias("one_key"))
     cut = ranged.join(F.broadcast(measured), "range")  # at most twice as many rows as ranges
-    by = F.when(F.col("one_key"), F.xxhash64("doc_id", F.lit(3))).otherwise(F.xxhash64("key", F.lit(5)))
+    by = F.when(F.col("one_key"), F.xxhash64("nth", F.lit(3))).otherwise(F.xxhash64("key", F.lit(5)))
     cut = cut.withColumn("part", F.pmod(by, F.col("pieces"))).select("doc_id", "size", "text_crc32", "key", "range", "part")
 
     parts = cut.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
