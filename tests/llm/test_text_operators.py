@@ -283,6 +283,22 @@ def test_scores_of_tricky_rows(tricky):
     assert len(got) == tricky.count() and all(r["score"] < 0 for r in got)
 
 
+def test_other_tokenizers_encode_whole_texts(docs):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, encode = Tokenizer.from_file(path), packing._encoder(path)
+    for t in [r[0] or "" for r in docs.select("text").limit(40).collect()] + ["A  B\tc İ", ""]:
+        assert np.frombuffer(encode(t.encode()), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_rows_without_ids_are_packed_in_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 50)
+    rows = packing.pack(spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text")), TOKENIZER).collect()
+    groups = Counter(r["sequence_id"] >> 24 for r in rows)
+    assert len(rows) == 1000 and len(groups) >= 15 and max(groups.values()) < 120
+
+
 @pytest.mark.parametrize("name", ["op2_secret_scan", "op8_harmonic_packing", "op10_context_tree_weighting"])
 def test_queries_run(spark, name):
     assert QUERIES[name](spark, SF).count() >= 200

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -54,6 +55,15 @@ _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 _LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 _MARKS = ".,;:!?"
+# The normalizer and the splitter for which words may be encoded one by one. With any other, texts are encoded whole.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 @lru_cache(2)
@@ -61,11 +71,15 @@ def _encoder(tokenizer: str):
     """bytes of a text -> little-endian bytes of its ids; one for each worker process.
 
     White space only parts words, so words are encoded once and remembered. Plain Latin letters, with or without marks behind, go to the
-    tokenizer's model at once: its normalizer would only lower them and its splitter only part the marks. All else is encoded whole.
+    tokenizer's model at once: its normalizer would only lower them and its splitter only part the marks. All else is encoded whole. Tokenizers that
+    normalize or split otherwise encode every text whole.
     """
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer)
+    made = json.loads(tok.to_str())
+    if (made["normalizer"], made["pre_tokenizer"]) != (_NORMALIZER, _SPLITTER):
+        return lambda body: np.array(tok.encode(body.decode(), add_special_tokens=False).ids, "<u4").tobytes()
     known: dict[bytes, bytes] = {}
 
     def model(piece: str) -> bytes:
@@ -164,7 +178,7 @@ def pack(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "tex
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): every piece in its place.
 
     Documents are cut into pieces by reciprocal-capacity classes: a bin of class k holds k pieces of at most capacity // k tokens. Pieces are dealt
-    by a hash to groups of about 8192, and every group fills its own bins, so workers need not talk; a group leaves at most
+    by a hash of their running number to groups of about 8192, and every group fills its own bins, so workers need not talk; a group leaves at most
     one unfinished bin for each class, and these share bins where they fit. Repeated rows are packed each. No rows: no rows.
     """
     got = written(pieces(df, tokenizer, doc_id, text, capacity))
@@ -180,4 +194,5 @@ def pack(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "tex
         return t.select(names).append_column("sequence_id", pa.array(first + bins)).append_column("offset", pa.array(offset))
 
     shape = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return got.withColumn("group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups))).groupBy("group").applyInArrow(run, shape)
+    # Rows of the written pieces are numbered, so null or repeated ids spread as all others do.
+    return got.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))).groupBy("group").applyInArrow(run, shape)
