@@ -17,6 +17,10 @@ from tidemark.llm.common import written
 from tidemark.llm.vector import LOWER, mix64, slices, words
 
 
+#: Shingles of a block of texts that a task holds at once.
+BLOCK_BYTES = 16 << 20
+
+
 @dataclass(frozen=True)
 class Settings:
     """Two texts at the similarity agree in a band with probability similarity ** rows; at 0.8 one in 550 pairs shares no band of 12.
@@ -124,6 +128,20 @@ def samples(row: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int, n: i
     return out
 
 
+def heavy(counts: DataFrame, key: str, rows: int) -> DataFrame:
+    """(key, salts) of the keys with over a thousandth of ``rows``, from (key, n): at most 1000, so they may be broadcast."""
+    each = max(64, rows // 1000)
+    return counts.filter(F.col("n") > each).select(F.col(key).alias("_hot"), F.ceil(F.col("n") / each).cast("int").alias("_salts"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """``left`` (written rows) joined with ``right`` (one row for a key) so that no key's rows go to one task: heavy keys are dealt by a hash of ``by`` to copies of their right row."""
+    hot = F.broadcast(heavy(left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts, key, left.count()))
+    dealt = left.join(hot, left[key] == F.col("_hot"), "left").withColumn("_salt", F.pmod(F.xxhash64(by, F.lit(7)), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_hot", "_salts")
+    copies = right.join(hot, right[key] == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_hot", "_salts")
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
+
+
 def _signatures(docs: DataFrame, idf: np.ndarray, s: Settings) -> DataFrame:
     """(node, sample) of texts that have a word."""
     n = s.bands * s.rows
@@ -154,12 +172,12 @@ def _all_pairs(rows: DataFrame) -> DataFrame:
 
 
 def _sized(rows: DataFrame) -> DataFrame:
-    """Rows of keys with more than one node, and the key's count."""
+    """Written rows of keys with more than one node, and the key's count."""
     n = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    return rows.join(n, "key")
+    return spread_join(rows, n, "key", "node", n)
 
 
-def _sets(docs: DataFrame, need: DataFrame, s: Settings) -> DataFrame:
+def _sets(texts: DataFrame, need: DataFrame, s: Settings) -> DataFrame:
     """(node, h, times) of the needed texts: sorted shingles, and their counts unless all are 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,44 +189,51 @@ def _sets(docs: DataFrame, need: DataFrame, s: Settings) -> DataFrame:
                 counts = [times[i:j].astype("<u4").tobytes() if j > i and times[i:j].max() > 1 else b"" for i, j in zip(cut, cut[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(blobs, pa.binary()), pa.array(counts, pa.binary())], ["node", "h", "times"])
 
-    once = docs.select("node", "text").join(need, "node", "left_semi").dropDuplicates(["node"])
-    return written(once.mapInArrow(run, "node long, h binary, times binary"))
+    return written(texts.join(need, "node", "left_semi").mapInArrow(run, "node long, h binary, times binary"))
+
+
+def _weighted(idf: np.ndarray, s: Settings, h: bytes, times: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A text's shingles and their weights."""
+    x = np.frombuffer(h, "<u4")
+    w = idf[_bucket(x, s)].astype(np.float64)
+    return x, w * np.frombuffer(times, "<u4") if times else w
+
+
+def _similarity(x: np.ndarray, u: np.ndarray, y: np.ndarray, v: np.ndarray) -> float:
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    same = y[at] == x
+    both = np.minimum(u[same], v[at[same]]).sum()
+    return both / (u.sum() + v.sum() - both)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, idf: np.ndarray, s: Settings) -> DataFrame:
-    """Of (a, b), those whose weighted Jaccard similarity, from their whole texts, is high enough."""
+    """Of (a, b), those whose weighted Jaccard similarity, from their whole texts, is high enough. A text with many partners is dealt to several tasks."""
     a, b = (nodes.select(F.col("node").alias(x), F.col("sample").alias(f"{x}_sample")) for x in "ab")
     agree = F.size(F.filter(F.zip_with("a_sample", "b_sample", lambda x, y: x == y), lambda x: x))
-    likely = pairs.distinct().join(a, "a").join(b, "b").filter(agree >= s.doubt * s.bands * s.rows).select("a", "b")
+    pairs = written(pairs.distinct())
+    likely = spread_join(pairs, a, "a", "b")
+    likely = written(spread_join(likely, b, "b", "a", pairs.groupBy("b").agg(F.count("*").alias("n"))).filter(agree >= s.doubt * s.bands * s.rows).select("a", "b"))
     a, b = (sets.select(F.col("node").alias(x), F.col("h").alias(f"{x}_h"), F.col("times").alias(f"{x}_times")) for x in "ab")
 
-    def weighted(h: bytes, times: bytes) -> tuple[np.ndarray, np.ndarray]:
-        x = np.frombuffer(h, "<u4")
-        w = idf[_bucket(x, s)].astype(np.float64)
-        return x, w * np.frombuffer(times, "<u4") if times else w
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = [batch.column(c) for c in ("a_h", "a_times", "b_h", "b_times")]
             out = np.empty(len(batch))
             for k in range(len(batch)):
-                (x, u), (y, v) = (weighted(cols[c][k].as_py(), cols[c + 1][k].as_py()) for c in (0, 2))
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                same = y[at] == x
-                both = np.minimum(u[same], v[at[same]]).sum()
-                out[k] = both / (u.sum() + v.sum() - both)
+                out[k] = _similarity(*_weighted(idf, s, cols[0][k].as_py(), cols[1][k].as_py()), *_weighted(idf, s, cols[2][k].as_py(), cols[3][k].as_py()))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out)], ["a", "b", "similarity"])
 
-    return written(likely.join(a, "a").join(b, "b").mapInArrow(compare, "a long, b long, similarity double").filter(F.col("similarity") >= s.similarity))
+    both = spread_join(spread_join(likely, a, "a", "b"), b, "b", "a", likely.groupBy("b").agg(F.count("*").alias("n")))
+    return written(both.mapInArrow(compare, "a long, b long, similarity double").filter(F.col("similarity") >= s.similarity))
 
 
 def _led(rows: DataFrame, nth: int = 1) -> DataFrame:
-    """Rows of (key, node, weight) with their key's leader: the text of the largest weight, or (nth 2) of the second largest."""
+    """Written rows of (key, node, weight) with their key's leader: the text of the largest weight, or (nth 2) of the second largest."""
     first = rows.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
     if nth == 2:
-        others = rows.join(first, "key").filter("node != leader").drop("leader")
+        others = spread_join(rows, first, "key", "node").filter("node != leader").drop("leader")
         first = others.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
-    led = rows.join(first, "key").filter("node != leader")
+    led = spread_join(rows, first, "key", "node").filter("node != leader")
     return led.withColumn("a", F.least("node", "leader")).withColumn("b", F.greatest("node", "leader"))
 
 
@@ -217,58 +242,94 @@ def _apart(led: DataFrame, edges: DataFrame) -> DataFrame:
     return led.join(edges.select("a", "b"), ["a", "b"], "left_anti").drop("a", "b", "leader")
 
 
-def _block(rows: DataFrame, n: str, size: int, name: str) -> DataFrame:
-    """Rows with a block of about ``size`` nodes of their key, by the node's hash; ``n`` counts the key's rows."""
-    return rows.withColumn(name, F.pmod(F.xxhash64(F.lit(name), "node"), F.ceil(F.col(n) / size)).cast("int"))
-
-
-def _across(rows: DataFrame, roots: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
-    """(a, b): the pairs of (key, node) rows with one key that ``roots`` doesn't link yet and that may be alike.
-
-    A key's commonest class is left out on one side, so nothing is to do where a key is of one class. Each row of blocks holds the pairs of two
-    blocks of nodes, dealt by key and blocks, and is compared at once by the lowest bytes of all samples: these agree wherever the samples do.
+def _block(rows: DataFrame, n: str, size: int, room: str, name: str) -> DataFrame:
+    """Rows with a block of about ``size`` nodes and ``BLOCK_BYTES`` of shingles of their key, by the node's hash; ``n`` counts the key's rows, ``room`` their bytes."""
+    count = F.greatest(F.ceil(F.col(n) / size), F.ceil(F.col(room) / BLOCK_BYTES))
+    return rows.withColumn(f"{name}s", count.cast("int")).withColumn(name, F.pmod(F.xxhash64(F.lit(name), "node"), f"{name}s").cast("int"))
+
+
+def _occurrences(idf: np.ndarray, s: Settings, h: list[bytes], times: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, element, weight) of all texts' elements, and the texts' whole weights: the j-th occurrence of a shingle is an element of its own, so sets do for multisets."""
+    x = [np.frombuffer(b, "<u4") for b in h]
+    n = [np.frombuffer(t, "<u4") if t else np.ones(len(b), "<u4") for b, t in zip(x, times)]
+    text, of = np.repeat(np.arange(len(x)), [len(b) for b in x]), np.concatenate(n).astype(np.int64)
+    shingle = np.repeat(np.concatenate(x), of)
+    nth = np.arange(len(shingle)) - np.repeat(np.cumsum(of) - of, of)
+    text, w = np.repeat(text, of), idf[_bucket(shingle, s)].astype(np.float64)
+    return text, shingle.astype(np.uint64) << np.uint64(32) | nth.astype(np.uint64), w, np.bincount(text, w, len(x))
+
+
+def alike(idf: np.ndarray, s: Settings, x: tuple[list[bytes], list[bytes]], y: tuple[list[bytes], list[bytes]], columns: int = 4096) -> np.ndarray:
+    """[texts of x, texts of y]: whether their weighted Jaccard similarity, but for rounding, reaches the threshold. Common weights are sums of matrix products, some columns at a time."""
+    (tx, ex, wx, ux), (ty, ey, wy, uy) = (_occurrences(idf, s, *side) for side in (x, y))
+    shared = np.intersect1d(ex, ey)
+    both = np.zeros((len(ux), len(uy)))
+    for i in range(0, len(shared), columns):
+        part = shared[i : i + columns]
+        m = []
+        for t, e, w, n in ((tx, ex, wx, len(ux)), (ty, ey, np.ones(len(wy)), len(uy))):
+            at = np.minimum(np.searchsorted(part, e), len(part) - 1)
+            hit = part[at] == e
+            m.append(np.zeros((n, len(part)), np.float32))
+            m[-1][t[hit], at[hit]] = w[hit]
+        both += m[0] @ m[1].T
+    return both >= (s.similarity - 1e-4) * (ux[:, None] + uy - both)
+
+
+def _across(rows: DataFrame, roots: DataFrame, sets: DataFrame, idf: np.ndarray, s: Settings) -> DataFrame:
+    """(a, b): links between the classes of ``roots`` among (key, node) rows with one key, from all pairs of whole texts; of the links that join the same classes one is enough.
+
+    A key's commonest class is left out on one side, so nothing is to do where a key is of one class. A task takes two blocks of a key's nodes, of bounded rows and
+    bytes, compares all their pairs at once, and returns the links that its own union-find needs: fewer than its nodes.
     """
-    n, least, left, right = s.bands * s.rows, s.doubt * s.bands * s.rows, 128, 1024
-    rows = rows.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    left, right = 128, 1024
+    rows = written(rows.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
     of = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = of.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("apart")).filter("apart > 0")
-    low = nodes.select("node", F.transform("sample", lambda x: x.bitwiseAND(255).cast("smallint")).alias("low"))
-    rows = written(_block(_block(rows.join(main, "key"), "apart", left, "x"), "all", right, "y").join(low, "node"))
+    rows = spread_join(rows, main, "key", "node").join(sets, "node")
+    room = F.octet_length("h") + F.octet_length("times") + 8
+    rows = written(rows.withColumn("away", F.col("root") != F.col("main")).withColumn("room", room))
+    sizes = written(rows.groupBy("key").agg(F.sum("room").alias("all_room"), F.sum(F.when(F.col("away"), F.col("room"))).alias("apart_room")))
+    rows = written(_block(_block(spread_join(rows, sizes, "key", "node"), "apart", left, "apart_room", "x"), "all", right, "all_room", "y").drop("main", "room", "all_room", "apart_room", "all", "apart"))
 
-    def blocks(side: DataFrame, own: str, other: str, count: str, size: int, name: str) -> DataFrame:
-        held = side.groupBy("key", own).agg(F.collect_list(F.struct("node", "root", (F.col("root") != F.col("main")).alias("apart"), "low")).alias("m"), F.first(count).alias("count"))
-        held = held.select("key", own, F.col("m.node").alias(f"{name}_node"), F.col("m.root").alias(f"{name}_root"), F.col("m.apart").alias(f"{name}_apart"), F.flatten("m.low").alias(f"{name}_low"), "count")
-        return held.withColumn(other, F.explode(F.sequence(F.lit(0), F.ceil(F.col("count") / size).cast("int") - 1))).drop("count")
+    def blocks(side: DataFrame, own: str, other: str, name: str) -> DataFrame:
+        held = side.groupBy("key", own).agg(F.collect_list(F.struct("node", "root", "away", "h", "times")).alias(name), F.first(f"{other}s").alias("count"))
+        return held.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("count") - 1))).drop("count")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = {c: batch.column(c) for c in batch.schema.names}
             for k in range(len(batch)):
-                get = lambda c: cols[c][k].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
-                x, y, u, v = (get(f"{i}_{c}") for c in ("node", "root") for i in "xy")
-                p, q = (get(f"{i}_low").astype(np.uint8).reshape(-1, n) for i in "xy")
-                q, inside = np.ascontiguousarray(q.T), ~get("y_apart")
-                for i in range(len(x)):
-                    # Of two nodes that are both apart, each meets the other: one meeting is enough.
-                    likely = (u[i] != v) & ((x[i] < y) | inside) & ((p[i][:, None] == q).sum(0, dtype=np.int32) >= least)
-                    b = y[likely]
-                    if len(b):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[i], b)), pa.array(np.maximum(x[i], b))], ["a", "b"])
+                (x, u, _, *p), (y, v, away, *q) = ([f.to_pylist() for f in batch.column(c)[k].values.flatten()] for c in ("mx", "my"))
+                # Of two nodes that are both away from the key's commonest class, each meets the other: one meeting is enough.
+                x, u, y, v, away = (np.array(c) for c in (x, u, y, v, away))
+                i, j = np.nonzero(alike(idf, s, p, q) & (u[:, None] != v) & ((x[:, None] < y) | ~away))
+                up: dict[int, int] = {}
+
+                def find(r: int) -> int:
+                    while up.get(r, r) != r:  # noqa: B023
+                        r = up[r]  # noqa: B023
+                    return r
+
+                for a, b in zip(i, j):
+                    m, n = find(int(u[a])), find(int(v[b]))
+                    if m != n and _similarity(*_weighted(idf, s, p[0][a], p[1][a]), *_weighted(idf, s, q[0][b], q[1][b])) >= s.similarity:
+                        up[max(m, n)] = min(m, n)
+                        yield pa.RecordBatch.from_arrays([pa.array([min(x[a], y[b])]), pa.array([max(x[a], y[b])])], ["a", "b"])
 
-    sides = blocks(rows.filter("root != main"), "x", "y", "all", right, "x"), blocks(rows, "y", "x", "apart", left, "y")
-    return sides[0].join(sides[1], ["key", "x", "y"]).drop("key", "x", "y").mapInArrow(compare, "a long, b long")
+    sides = blocks(rows.filter("away"), "x", "y", "mx"), blocks(rows, "y", "x", "my")
+    return written(sides[0].join(sides[1], ["key", "x", "y"]).select("mx", "my").mapInArrow(compare, "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node that each node of the (a, b) edges is linked with, by least neighbours and pointer jumps."""
+    """(node, root): the least node that each node of the (a, b) edges is linked with, by least neighbours and pointer jumps. Hubs are dealt to several tasks."""
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    degrees = written(both.groupBy("b").agg(F.count("*").alias("n")))
     now = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
     while True:
-        near = both.join(now.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("m")).withColumnRenamed("a", "node")
-        step = now.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "m").alias("next"))
-        step = written(step)
+        near = spread_join(both, now.withColumnRenamed("node", "b"), "b", "a", degrees).groupBy("a").agg(F.min("root").alias("m")).withColumnRenamed("a", "node")
+        step = written(now.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "m").alias("next")))
         jump = step.select(F.col("node").alias("next"), F.col("next").alias("root"))
-        new = written(step.join(jump, "next").select("node", "was", "root"))
+        new = written(spread_join(step, jump, "next", "node").select("node", "was", "root"))
         if not new.filter("root != was").limit(1).count():
             return new.select("node", "root")
         now = new.select("node", "root")
@@ -283,12 +344,13 @@ def _rooted(df: DataFrame, doc_id: str, text: str, s: Settings) -> DataFrame:
     docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("node", _node("text"))
     ids = written(docs.select("doc_id", "node"))
     idf = frequencies(docs, s)
-    nodes = written(_signatures(docs, idf, s).dropDuplicates(["node"]))
+    texts = written(docs.select("node", "text").dropDuplicates(["node"]))  # copies are dropped before the shuffle
+    nodes = written(_signatures(texts, idf, s))
 
     band = lambda i: F.xxhash64(F.lit(i), F.slice("sample", i * s.rows + 1, s.rows))
-    banded = nodes.select("node", F.posexplode(F.array(*[band(i) for i in range(s.bands)])).alias("i", "key"), F.array(*[band(i) for i in range(s.bands)]).alias("all"))
-    sized = written(_sized(banded))
-    sets = _sets(docs, sized.select("node").distinct(), s)
+    banded = nodes.select("node", F.array(*[band(i) for i in range(s.bands)]).alias("all")).select("node", F.posexplode("all").alias("i", "key"), "all")
+    sized = written(_sized(written(banded)))
+    sets = _sets(texts, sized.select("node").distinct(), s)
     weight = sized.groupBy("node").agg(F.sum("n").alias("weight"))
     further = F.posexplode(F.sequence(F.lit(1), F.lit(s.further)))
 
@@ -296,7 +358,7 @@ def _rooted(df: DataFrame, doc_id: str, text: str, s: Settings) -> DataFrame:
         """Rows of large keys under new keys, each joined with one of the text's next bands; keys with one text go."""
         other = F.element_at("all", F.pmod(F.col("i") + F.col("j"), F.lit(s.bands)).cast("int") + 1)
         new = rows.select("node", "i", "all", "key", further.alias("pos", "j")).select("node", "i", "all", F.xxhash64("key", other).alias("key"))
-        return written(_sized(new))
+        return written(_sized(written(new)))
 
     def few(rows: DataFrame) -> DataFrame:
         return _all_pairs(rows.filter(F.col("n") <= s.small).select("key", "node"))
@@ -316,17 +378,17 @@ def _rooted(df: DataFrame, doc_id: str, text: str, s: Settings) -> DataFrame:
     more = _verified(second.select("a", "b").union(own.select("a", "b")), nodes, sets, idf, s)
     edges = edges.union(more)
     # What is still apart is parted by a third band; small parts give all pairs, large ones are led once more.
-    apart = written(_sized(_apart(own, more).drop("weight")))
+    apart = written(_sized(written(_apart(own, more).drop("weight"))))
     third = parted(many(apart))
-    edges = edges.union(_verified(few(apart).union(few(third)).union(_led(many(third).drop("n").join(weight, "node")).select("a", "b")), nodes, sets, idf, s))
+    edges = edges.union(_verified(few(apart).union(few(third)).union(_led(written(many(third).drop("n").join(weight, "node"))).select("a", "b")), nodes, sets, idf, s))
     # The exact rest: within a large bucket, texts of different classes meet, whatever they met before.
     first = components(edges)
-    rest = _verified(_across(many(sized), first, nodes, s), nodes, sets, idf, s)
+    rest = _across(many(sized), first, sets, idf, s)
     if not rest.limit(1).count():
         roots = first
     else:
-        roots = components(edges.union(rest))
-    return written(ids.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root")))
+        roots = components(edges.select("a", "b").union(rest))
+    return written(spread_join(ids, roots, "node", "doc_id", how="left").select("doc_id", "node", F.coalesce("root", "node").alias("root")))
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -336,7 +398,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     components of these links. Equal texts are one node from the start, so copies make no pairs. A bucket of up to ``small`` texts gives all its
     pairs. A larger one is parted anew by pairs of bands. In parts that are still large, all texts are compared with the part's hub, the text in the most and
     largest buckets; those unlike it with a second hub and with a hub of their own; the rest are parted by a third band. All pairs of a large bucket
-    that are then still in different classes are compared by their samples and, if likely, in full. So the links are those of all pairs within buckets. Work is
+    that are then still in different classes are compared in full. So the classes are those of all pairs within buckets. Work is
     linear in a bucket's size for texts that the hubs link, and grows with the square for texts that nothing links.
 
     Null texts are empty. Texts without words are only like equal texts. Repeated ids, null ids and repeated rows each get a
@@ -344,14 +406,14 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     """
     known = _rooted(df, doc_id, text, settings)
     least = known.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return known.join(least, "root").select("doc_id", "class_id", "class_size")
+    return spread_join(known, least, "root", "doc_id", least.select("root", F.col("class_size").alias("n"))).select("doc_id", "class_id", "class_size")
 
 
 def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """The rows of one document of each class, with all their columns: that of least id (null last); of repeated rows, one."""
+    """The rows of one document of each class, with all their columns: that of least id (null last); of repeated rows, the first by a hash of all columns."""
     known = _rooted(df, doc_id, text, settings)
     first = known.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("f")).select(F.col("f.doc_id").alias("kept_id"), F.col("f.node").alias("kept_node"))
-    rows = df.withColumn("dedup_node", _node(text))
+    rows = df.withColumn("dedup_node", _node(text)).withColumn("dedup_row", F.xxhash64(*df.columns))
     kept = rows.join(first, rows[doc_id].eqNullSafe(first["kept_id"]) & (rows["dedup_node"] == first["kept_node"]), "left_semi")
-    nth = F.row_number().over(Window.partitionBy(doc_id, "dedup_node").orderBy(F.lit(0)))
-    return kept.withColumn("dedup_nth", nth).filter("dedup_nth = 1").drop("dedup_node", "dedup_nth")
+    nth = F.row_number().over(Window.partitionBy(doc_id, "dedup_node").orderBy("dedup_row"))
+    return kept.withColumn("dedup_nth", nth).filter("dedup_nth = 1").drop("dedup_node", "dedup_row", "dedup_nth")
