@@ -26,7 +26,7 @@ class Settings:
     """Two texts at the similarity agree in a band with probability similarity ** rows; at 0.8 one in 550 pairs shares no band of 12.
 
     ``idf``: a shingle's weight is its count in the text times 1 + idf * ln((1 + N) / (1 + df)) / ln(1 + N).
-    ``small``: buckets up to this many texts give all pairs; larger ones are parted by further bands and linked by leaders, then what is unlinked meets the whole bucket.
+    ``small``: buckets up to this many texts give all pairs; larger ones are linked by leaders, what is unlike them is parted by ``further`` bands, and then what is still unlinked meets the whole bucket.
     ``doubt``: pairs whose samples agree in a smaller share aren't verified; a pair at 0.8 falls below half with a probability of about 1e-7.
     """
 
@@ -37,7 +37,7 @@ class Settings:
     idf: float = 0.25
     sketch: int = 1 << 20
     small: int = 16
-    further: int = 3
+    further: int = 6
     doubt: float = 0.5
 
 
@@ -128,17 +128,21 @@ def samples(row: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int, n: i
     return out
 
 
-def heavy(counts: DataFrame, key: str, rows: int) -> DataFrame:
-    """(key, salts) of the keys with over a thousandth of ``rows``, from (key, n): at most 1000, so they may be broadcast."""
-    each = max(64, rows // 1000)
-    return counts.filter(F.col("n") > each).select(F.col(key).alias("_hot"), F.ceil(F.col("n") / each).cast("int").alias("_salts"))
-
-
 def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
-    """``left`` (written rows) joined with ``right`` (one row for a key) so that no key's rows go to one task: heavy keys are dealt by a hash of ``by`` to copies of their right row."""
-    hot = F.broadcast(heavy(left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts, key, left.count()))
-    dealt = left.join(hot, left[key] == F.col("_hot"), "left").withColumn("_salt", F.pmod(F.xxhash64(by, F.lit(7)), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_hot", "_salts")
-    copies = right.join(hot, right[key] == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_hot", "_salts")
+    """``left`` (written rows) joined with ``right`` (one row for a key) so that no key's rows go to one task.
+
+    Keys with over a thousandth of the rows, at most 1000, are dealt by a hash of ``by`` to 8, 64 or 512 copies of their right row. ``counts`` may give
+    (key, n) where they are known.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    each = max(64, left.count() // 1000)
+    hot = counts.filter(F.col("n") > each).select(key, "n").collect()  # at most 1000
+    salts = F.lit(1)
+    for n in (8, 64, 512):
+        keys = [r[0] for r in hot if n == min(m for m in (8, 64, 512) if r[1] <= m * each or m == 512)]
+        salts = F.when(F.col(key).isin(keys), n).otherwise(salts) if keys else salts
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(by, F.lit(7)), salts).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return dealt.join(copies, [key, "_salt"], how).drop("_salt")
 
 
@@ -286,6 +290,9 @@ def _across(rows: DataFrame, roots: DataFrame, sets: DataFrame, idf: np.ndarray,
     rows = written(rows.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
     of = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = of.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("apart")).filter("apart > 0")
+    main = written(main)
+    if main.isEmpty():
+        return rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     rows = spread_join(rows, main, "key", "node").join(sets, "node")
     room = F.octet_length("h") + F.octet_length("times") + 8
     rows = written(rows.withColumn("away", F.col("root") != F.col("main")).withColumn("room", room))
@@ -366,27 +373,26 @@ def _rooted(df: DataFrame, doc_id: str, text: str, s: Settings) -> DataFrame:
     def many(rows: DataFrame) -> DataFrame:
         return rows.filter(F.col("n") > s.small)
 
-    # Small buckets and parts give all pairs; in large parts all texts are compared with the text that lies in the most and largest buckets.
-    parts = parted(many(sized))
-    large = written(many(parts).drop("n").join(weight, "node"))
+    # Small buckets give all pairs. Texts of large ones are compared with the hub of the largest of them: the text that lies in the most and largest buckets.
+    large = written(many(sized).groupBy("node").agg(F.max_by("key", F.struct("n", "key")).alias("key")).join(weight, "node"))
     led = written(_led(large))
-    edges = _verified(few(sized).union(few(parts)).union(led.select("a", "b")), nodes, sets, idf, s)
+    edges = _verified(few(sized).union(led.select("a", "b")), nodes, sets, idf, s)
     # Those that aren't like it are compared with the second such text, and among themselves in the same way.
     apart = written(_apart(led, edges))
-    second = _led(large, 2).join(apart.select("key", "node"), ["key", "node"], "left_semi")
-    own = written(_led(apart))
-    more = _verified(second.select("a", "b").union(own.select("a", "b")), nodes, sets, idf, s)
-    edges = edges.union(more)
-    # What is still apart is parted by a third band; small parts give all pairs, large ones are led once more.
-    apart = written(_sized(written(_apart(own, more).drop("weight"))))
-    third = parted(many(apart))
-    edges = edges.union(_verified(few(apart).union(few(third)).union(_led(written(many(third).drop("n").join(weight, "node"))).select("a", "b")), nodes, sets, idf, s))
+    if not apart.isEmpty():
+        second = _led(large, 2).join(apart.select("key", "node"), ["key", "node"], "left_semi")
+        own = written(_led(apart))
+        more = _verified(second.select("a", "b").union(own.select("a", "b")), nodes, sets, idf, s)
+        edges = edges.union(more)
+        # What is still apart is parted by further bands, in all its large buckets; small parts give all pairs, large ones are led once more.
+        still = _apart(own, more).select("node").distinct()
+        apart = written(_sized(written(many(sized).drop("n").join(still, "node", "left_semi"))))
+        third = parted(many(apart))
+        edges = edges.union(_verified(few(apart).union(few(third)).union(_led(written(many(third).drop("n").join(weight, "node"))).select("a", "b")), nodes, sets, idf, s))
     # The exact rest: within a large bucket, texts of different classes meet, whatever they met before.
-    first = components(edges)
-    rest = _across(many(sized), first, sets, idf, s)
-    if not rest.limit(1).count():
-        roots = first
-    else:
+    roots = components(edges)
+    rest = None if large.isEmpty() else _across(many(sized), roots, sets, idf, s)
+    if rest is not None and not rest.isEmpty():
         roots = components(edges.select("a", "b").union(rest))
     return written(spread_join(ids, roots, "node", "doc_id", how="left").select("doc_id", "node", F.coalesce("root", "node").alias("root")))
 
@@ -396,8 +402,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
     Texts are linked when the weighted Jaccard similarity of their TF-IDF weighted five-word shingles is 0.8 or more; classes are the
     components of these links. Equal texts are one node from the start, so copies make no pairs. A bucket of up to ``small`` texts gives all its
-    pairs. A larger one is parted anew by pairs of bands. In parts that are still large, all texts are compared with the part's hub, the text in the most and
-    largest buckets; those unlike it with a second hub and with a hub of their own; the rest are parted by a third band. All pairs of a large bucket
+    pairs. A text of larger ones is compared with the hub of its largest bucket, the text in the most and
+    largest buckets; those unlike it with a second hub and with a hub of their own; the rest are parted by further bands. All pairs of a large bucket
     that are then still in different classes are compared in full. So the classes are those of all pairs within buckets. Work is
     linear in a bucket's size for texts that the hubs link, and grows with the square for texts that nothing links.
 
