@@ -2,8 +2,11 @@
 
 import inspect
 
-from tidemark.operators import learn
-from tidemark.plans import registry
+import numpy as np
+from pyspark.sql import functions as F
+
+from tidemark.operators import boosting, learn
+from tidemark.plans import batch, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,22 +16,83 @@ def default(f, name):
 
 
 def test_sweep_has_all_ks_and_davies_bouldin(spark, monkeypatch):
-    fits = []
-    best = learn.best_kmeans
-    monkeypatch.setattr(learn, "best_kmeans", lambda x, k, seeds, iterations: fits.append((k, seeds, iterations)) or best(x, k, 1, iterations))
+    jobs = []
+    lloyd = learn.lloyd
+    monkeypatch.setattr(learn, "lloyd", lambda x, j, iterations: jobs.append((j, iterations)) or lloyd(x, j, iterations))
     rows = registry.QUERIES["k_sweep"](spark, SF).collect()
-    assert [r["k"] for r in rows] == list(range(2, 9)) and fits == [(k, 10, 300) for k in range(2, 9)]
+    assert [r["k"] for r in rows] == list(range(2, 9)) and jobs == [([(k, 42 + i, None) for k in range(2, 9) for i in range(10)], 300)]
     assert all(r["davies_bouldin"] > 0 and r["inertia"] > 0 and -1 <= r["silhouette"] <= 1 for r in rows)
+    assert [r["inertia"] for r in rows] == sorted((r["inertia"] for r in rows), reverse=True)
 
 
 def test_bootstrap_rests_on_a_hundred_resamples(spark):
-    assert default(learn.bootstrap_stability, "n") == 100 and default(learn.bootstrap_stability, "seeds") == 5
-    got = learn.bootstrap_stability(registry.QUERIES["customer_features"](spark, SF), n=2, seeds=2).first()
-    assert -1 <= got["min"] <= got["mean"] <= got["max"] <= 1 and got["grade"]
+    got = learn.bootstrap_agreement(registry.QUERIES["customer_features"](spark, SF))
+    assert default(learn.bootstrap_stability, "n") == 100 and default(learn.bootstrap_stability, "seeds") == 5 and got.count() == 100
+    out = registry.QUERIES["bootstrap_stability"](spark, SF).first()
+    aris = [r["ari"] for r in got.collect()]
+    assert abs(out["mean"] - sum(aris) / 100) < 1e-9 and out["min"] == min(aris) and out["max"] == max(aris) and out["grade"]
 
 
 def test_fits_have_the_size_of_the_reference():
-    assert (default(learn.best_kmeans, "seeds"), default(learn.best_kmeans, "iterations"), default(learn.kmeans_segments, "seeds")) == (20, 500, 20)
+    assert (default(learn.best_kmeans, "seeds"), default(learn.best_kmeans, "iterations"), default(learn.kmeans_segments, "seeds"), default(learn.kmeans_segments, "iterations")) == (20, 500, 20, 500)
     assert (default(learn.gmm_soft, "seeds"), default(learn.gmm_soft, "iterations")) == (5, 200)
-    assert (default(learn.segment_scores, "iterations"), default(learn.segment_scores, "depth")) == (500, 6)
-    assert (default(learn.uplift_scores, "iterations"), default(learn.uplift_scores, "depth")) == (200, 4)
+    assert (default(learn.churn_models, "rounds"), default(learn.churn_models, "depth"), default(learn.churn_models, "cv_rounds"), default(learn.churn_models, "folds")) == (500, 6, 100, 3)
+    assert (default(learn.segment_scores, "rounds"), default(learn.segment_scores, "depth")) == (500, 6)
+    assert (default(learn.uplift_scores, "rounds"), default(learn.uplift_scores, "depth")) == (200, 4)
+
+
+def test_all_starts_at_once_are_those_of_plain_lloyd(spark):
+    """Each restart and resample ends where a plain numpy K-means from the same centres and weights does."""
+    rng = np.random.default_rng(0)
+    m = rng.normal(size=(300, 3)) + 3 * rng.integers(0, 3, 300)[:, None]
+    x = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(m)], "CustomerID string, x array<double>").repartition(5)
+    ids = {r[0]: r[1] for r in x.selectExpr("CustomerID", "xxhash64(CustomerID)").collect()}
+    h = np.array([ids[str(i)] for i in range(300)]).view(np.uint64)
+    jobs = [(3, 1, None), (4, 2, None), (3, 1, 0), (3, 5, 7)]
+    start = learn.lloyd(x, jobs, 0)
+    for (k, _, draw), (c, _), (got, _) in zip(jobs, start, learn.lloyd(x, jobs, 100, tolerance=0.0)):
+        w = learn._times(h, draw, 0.8)
+        for _ in range(100):
+            near = ((m[:, None] - c) ** 2).sum(-1).argmin(1)
+            c = np.array([np.average(m[near == j], axis=0, weights=w[near == j]) if w[near == j].sum() else c[j] for j in range(k)])
+        assert np.allclose(c, got)
+    assert abs(learn._times(rng.integers(0, 1 << 63, 20000).astype(np.uint64), 3, 0.8).mean() - 0.8) < 0.03
+
+
+def test_boosting_learns_and_scores_alike():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1500, 5))
+    y = (x[:, 0] * x[:, 1] + 0.5 * x[:, 2] + rng.normal(size=1500) * 0.3 > 0).astype(float)
+    m = boosting.fit(x[:1000], y[:1000], np.ones(1000), 200, 4)
+    auc, ap, brier = boosting.quality(y[1000:], boosting.predict(m, x[1000:]))
+    assert auc > 0.9 and ap > 0.9 and brier < 0.15 and set(np.argsort(-m["gain"])[:3]) == {0, 1, 2}
+    pairs = [(p > q) + 0.5 * (p == q) for p in (0.2, 0.7, 0.7) for q in (0.7, 0.1)]
+    assert abs(boosting.quality(np.array([1, 1, 1, 0, 0.0]), np.array([0.2, 0.7, 0.7, 0.7, 0.1]))[0] - sum(pairs) / 6) < 1e-12
+    assert boosting.quality(np.ones(4), np.ones(4) / 2) == (0.5, 0.0, 0.25)
+
+
+def test_churn_models_have_figures_and_small_segments_none(spark):
+    rng = np.random.default_rng(2)
+    rows = [(str(i), "a" if i < 400 else "b" if i < 430 else "c", int(v[0] + 0.3 * rng.normal() > 0) if i < 430 else 1, *map(float, v)) for i, v in enumerate(rng.normal(size=(530, len(learn.CHURN_FEATURES))))]
+    df = spark.createDataFrame(rows, "CustomerID string, Segment string, Churn int, " + ", ".join(f"{c} double" for c in learn.CHURN_FEATURES))
+    models = learn.churn_models(df, rounds=60, depth=3, cv_rounds=20).persist()
+    r = models.collect()
+    assert [x["Segment"] for x in r] == ["a"] and r[0]["train_auc"] > 0.85 and r[0]["holdout_auc"] > 0.85 and r[0]["cv_auc"] > 0.85
+    top = learn.top_importances(models, "a").collect()
+    assert top[0]["feature"] == learn.CHURN_FEATURES[0] and top[0]["importance"] == 1.0 and len(top) == 15
+    got = learn.segment_scores(df, models=models)
+    assert got.count() == 530 and {tuple(x) for x in got.groupBy("Segment").agg(F.count("ChurnProbability")).collect()} == {("a", 400), ("b", 0), ("c", 0)}
+    assert {x["Segment"] for x in learn.model_drivers(df, models).collect()} == {"a"}
+    assert learn.run_metrics(models).count() == 7
+
+
+def test_batch_run_writes_every_stage(spark, tmp_path):
+    out = str(tmp_path)
+    got = batch.run(registry.QUERIES["customer_features"](spark, SF), out, seeds=3, rounds=20, uplift_rounds=20)
+    n = registry.QUERIES["customer_features"](spark, SF).count()
+    assert got.count() == n and {"segment", "churn_probability", "uplift_score", "umap_1", "gmm_prob_seg4", "net_roi"} <= set(got.columns)
+    for stage in ("features", "segmented", "scored", "uplift", "customers"):
+        assert spark.read.parquet(f"{out}/{stage}").count() == n
+    again = learn.segment_scores(spark.read.parquet(f"{out}/segmented"), models=spark.read.parquet(f"{out}/churn_models"))
+    kept = spark.read.parquet(f"{out}/scored").select("CustomerID", F.col("ChurnProbability").alias("p"))
+    assert again.join(kept, "CustomerID").filter(F.col("p").eqNullSafe(F.col("ChurnProbability"))).count() == n

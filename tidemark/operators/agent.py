@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.semantics import CLV, COST, is_true, js_round, steady
@@ -161,3 +161,28 @@ def execute_tool(name: str, *args, **kwargs) -> DataFrame:
     if name not in TOOLS:
         raise KeyError(f"unknown tool: {name}")
     return TOOLS[name](*args, **kwargs)
+
+
+def segment_revenue_at_risk(customers: DataFrame, segment: str, clv: float = CLV) -> DataFrame:
+    """(segment, total, expected_churners, revenue_at_risk) of one segment; no row where nobody is in it."""
+    s = customers.filter(F.col("segment") == segment).groupBy("segment").agg(F.count("*").alias("total"), js_round(F.count("*") * F.round(F.avg("churn_probability"), 9)).cast("long").alias("expected_churners"))
+    return s.withColumn("revenue_at_risk", F.col("expected_churners") * clv)
+
+
+def ranked_success_rates(actions: DataFrame, feedback: DataFrame, n: int = 5) -> DataFrame:
+    """The intervention types with the most actions, first by total, then by name."""
+    return success_rates(actions, feedback).orderBy(F.desc("total"), "intervention_type").limit(n)
+
+
+TOOLS |= {f.__name__: f for f in (roi, playbook_match, keyword_match, segment_revenue_at_risk, ranked_success_rates)}
+
+
+def tool_result(spark: SparkSession, name: str, *args, **kwargs) -> DataFrame:
+    """A tool's result, or one row with an ``error``: for an unknown tool, missing or wrong arguments."""
+    try:
+        return execute_tool(name, *args, **kwargs)
+    except KeyError:
+        text = f"unknown tool: {name}"
+    except (TypeError, ValueError) as e:
+        text = f"{name}: {e}"
+    return spark.createDataFrame([(text,)], "error string")

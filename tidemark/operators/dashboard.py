@@ -131,3 +131,53 @@ def uplift_box(customers: DataFrame) -> DataFrame:
 
 def heatmap(profiles: DataFrame, columns: list[str]) -> DataFrame:
     return profiles.select("Segment", F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("double"))])).alias("feature", "mean"))
+
+
+def segment_kpis(customers: DataFrame, labels: list[str]) -> DataFrame:
+    """(segment, customers, churn_rate) of a fixed list of labels; one without customers has zeros."""
+    known = customers.groupBy("segment").agg(F.count("*").alias("customers"), F.avg("churn").alias("churn_rate"))
+    every = customers.sparkSession.createDataFrame([(s,) for s in labels], "segment string")
+    return every.join(known, "segment", "left").select("segment", F.coalesce("customers", F.lit(0)).alias("customers"), F.round(F.coalesce("churn_rate", F.lit(0.0)), 6).alias("churn_rate"))
+
+
+def confidence_share(customers: DataFrame) -> DataFrame:
+    """(segment, high_pct, medium_pct, boundary_pct, sure_share): tiers in whole percent of the segment, and the share of memberships of 0.8 or more."""
+    top = F.greatest(*[F.coalesce(F.col(f"gmm_prob_seg{i}"), F.lit(0.0)) for i in range(5)])
+    c = customers.withColumn("top", top).groupBy("segment").agg(F.count("*").alias("n"), F.count_if(F.col("top") >= 0.9).alias("high"), F.count_if((F.col("top") >= 0.8) & (F.col("top") < 0.9)).alias("medium"))
+    pct = lambda x: F.floor(x * 100 / F.greatest("n", F.lit(1)) + 0.5)
+    high, medium = F.col("high"), F.col("medium")
+    return c.select("segment", pct(high).alias("high_pct"), pct(medium).alias("medium_pct"), pct(F.col("n") - high - medium).alias("boundary_pct"), F.round((high + medium) / F.col("n"), 6).alias("sure_share"))
+
+
+def binned(df: DataFrame, column: str, bins: int, low: float, high: float, by: str | None = None, only: list[str] | None = None) -> DataFrame:
+    """(by, bin, count): equal bins of a column's range, the last closed on both sides; values outside and unknown ones are left out. ``only``: values of ``by`` to take."""
+    df = df.filter(F.col(by).isin(only)) if only else df
+    rows = df.filter(F.col(column).between(low, high))
+    b = F.least(F.floor((F.col(column) - low) / (high - low) * bins), F.lit(bins - 1)).cast("int")
+    return rows.groupBy(*([by] if by else []), b.alias("bin")).agg(F.count("*").alias("count"))
+
+
+def scatter(customers: DataFrame, columns: list[str], limit: int = 5000) -> DataFrame:
+    """The first rows by id with some columns and ``risk``: 1, 0.5 or 0 by tier."""
+    risk = F.when(F.col("risk_tier") == "High Risk", 1.0).when(F.col("risk_tier") == "Medium Risk", 0.5).otherwise(0.0)
+    return customers.orderBy("customer_id").limit(limit).select("customer_id", *columns, risk.alias("risk"))
+
+
+def symmetric_range(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(axis, bound): the largest absolute value of each column, for axes from -bound to bound."""
+    return df.agg(*[F.max(F.abs(c)).alias(c) for c in columns]).unpivot([], columns, "axis", "bound")
+
+
+def campaign_summary(actions: DataFrame, feedback: DataFrame) -> DataFrame:
+    """(total, retained, churned, pending, retained_pct, churned_pct, overall_rate) of the last outcomes; the rate is that of known outcomes, null without any."""
+    from tidemark.operators import audit
+
+    c = audit.with_latest(actions, feedback).agg(F.count("*").alias("total"), F.count_if(F.col("outcome") == "retained").alias("retained"), F.count_if(F.col("outcome") == "churned").alias("churned"))
+    pct = lambda a, b: F.floor(F.try_divide(F.col(a) * 100, b) + 0.5)
+    known = F.col("retained") + F.col("churned")
+    return c.select("total", "retained", "churned", (F.col("total") - known).alias("pending"), pct("retained", F.col("total")).alias("retained_pct"), pct("churned", F.col("total")).alias("churned_pct"), pct("retained", known).alias("overall_rate"))
+
+
+def total_customers(summary: DataFrame) -> DataFrame:
+    """(total): a fold over the segment summary."""
+    return summary.agg(F.coalesce(F.sum("customer_count"), F.lit(0)).alias("total"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.semantics import clip, first_digits, is_true, mapped, r6, whole_days, with_default, yes_no
 
+# Column names of the inputs and features, and which of them each model takes.
 COMPOSITES = ["EngagementScore", "RecencySignal", "StickinessIndex", "SpendTrend", "SupportRiskScore", "DiscountSensitivity", "TenureStability", "WarehouseFriction"]
 CLUSTERING = [*COMPOSITES, "CityTier", "HourSpendOnApp", "OrderCount", "NumberOfDeviceRegistered", "SatisfactionScore"]
 UPLIFT = ["EngagementScore", "RecencySignal", "StickinessIndex", "SpendTrend", "SupportRiskScore", "TenureStability", "CityTier", "SatisfactionScore", "Complain"]
@@ -61,8 +63,6 @@ def impute_medians(df: DataFrame, columns: list[str], medians: DataFrame | None
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """(value, code): codes from 0 by sorted value; null is the category ``nan``. One row for each category."""
-    from pyspark.sql import Window
-
     values = df.select(F.coalesce(F.col(column).cast("string"), F.lit("nan")).alias("value")).distinct()
     return values.withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("int"))
 
@@ -196,7 +196,18 @@ def telecom_clean(df: DataFrame) -> DataFrame:
         out = out.withColumn("Homeownership", is_true(F.lower("Homeownership") == "known homeowner").cast("int"))
     if "IncomeGroup" in df.columns:
         out = out.withColumn("IncomeGroup", first_digits(F.col("IncomeGroup").cast("string"), 3.0))
-    return out.withColumnRenamed(label, "Churn").withColumn("CustomerID", F.col("CustomerID").cast("string"))
+    out = out.withColumnRenamed(label, "Churn")
+    return out.withColumn("CustomerID", F.col("CustomerID").cast("string")) if "CustomerID" in out.columns else numbered(out)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """Adds a CustomerID from 0 where a table has none: rows are ordered by all their columns within ranges, and ranges follow each other, so no task sees all rows."""
+    order = F.xxhash64(*df.columns)
+    ranged = df.withColumn("_order", order).withColumn("_range", F.shiftrightunsigned(order, 52))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over at most 4096 ranges
+    starts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy("_order", *df.columns)) - 1
+    return ranged.join(F.broadcast(starts), "_range").withColumn("CustomerID", (F.col("_before") + nth).cast("string")).drop("_order", "_range", "_before")
 
 
 def telecom(df: DataFrame) -> DataFrame:
@@ -231,5 +242,22 @@ def telecom(df: DataFrame) -> DataFrame:
     return impute_medians(composites(common, guard=True), ["Tenure", "OrderCount", "TenureStability", "EngagementScore", "DiscountSensitivity"])
 
 
+def impute_all(df: DataFrame, skip: tuple[str, ...] = ("CustomerID", "Churn")) -> DataFrame:
+    """Every numeric column's nulls become its exact median."""
+    return impute_medians(df, [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in skip])
+
+
+def order_payments(payments: DataFrame) -> DataFrame:
+    """(order_id, payment_value, avg_installments, payment_type): of an order's payments the sum, the mean number of instalments and the commonest type (ties to the smallest; credit_card if none is known)."""
+    return payments.groupBy("order_id").agg(
+        F.coalesce(F.sum("payment_value"), F.lit(0.0)).alias("payment_value"), F.avg("payment_installments").alias("avg_installments"), F.coalesce(F.mode("payment_type", True), F.lit("credit_card")).alias("payment_type")
+    )
+
+
+def order_inputs(orders: DataFrame, payments: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Orders with their payments and their latest review, as ``orders_enriched`` takes them."""
+    return orders.join(order_payments(payments), "order_id", "left").join(latest_reviews(reviews), "order_id", "left")
+
+
 def score_columns(df: DataFrame, columns: list[str]) -> list[Column]:
     return [F.col(c).cast("double").alias(c) for c in columns]

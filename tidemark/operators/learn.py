@@ -1,142 +1,353 @@
-"""Learned stages with Spark ML: clusters, soft memberships, a projection, per-segment churn models and uplift learners."""
+"""Learned stages: clusters with all restarts in one pass, soft memberships, a projection, per-segment churn models and uplift learners."""
 
 from __future__ import annotations
 
-import tempfile
-from functools import reduce
+import pickle
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.clustering import GaussianMixture, KMeans, KMeansModel
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
-from tidemark.operators import metrics
+from tidemark.functions.semantics import is_true, risk_tier
+from tidemark.operators import boosting, metrics
 from tidemark.operators.features import CHURN_NUMERIC, CLUSTERING, COMPOSITES, UPLIFT, one_row_join, score_columns
 
+#: Rows from which starting centres are drawn.
+START_ROWS = 2048
+#: Labelled rows that a boosted model is fitted on, for each group; the rest is only scored.
+FIT_ROWS = 50_000
+CHURN_FEATURES = [*CHURN_NUMERIC, *COMPOSITES]
+
 
 def scaled(df: DataFrame, columns: list[str] = CLUSTERING, key: str = "CustomerID") -> DataFrame:
-    """(key, features): z-scores by the population deviation (1 where it is 0), as a vector; kept for iterative fits."""
+    """(key, x): z-scores by the population deviation (1 where it is 0), as an array; kept while a fit passes over it again and again. Unpersist it afterwards."""
     rows = df.select(key, *score_columns(df, columns))
     stats = rows.agg(*[x for c in columns for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))])
-    z = [((F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")).otherwise(1.0)).alias(c) for c in columns]
-    out = VectorAssembler(inputCols=columns, outputCol="features").transform(one_row_join(rows, stats).select(key, *z)).select(key, "features")
-    return out.persist(StorageLevel.MEMORY_AND_DISK)
+    z = [F.coalesce((F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")).otherwise(1.0), F.lit(0.0)) for c in columns]
+    return one_row_join(rows, stats).select(key, F.array(*z).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    x = batch.column("x")
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) if len(x) else np.zeros((0, 1))
+
+
+def _times(ids: np.ndarray, draw: int | None, share: float) -> np.ndarray:
+    """How often a resample with replacement holds each row: Poisson of mean ``share``, by a hash of the row and the resample. None: once each."""
+    if draw is None:
+        return np.ones(len(ids))
+    h = (ids ^ np.uint64(draw * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    u = ((h ^ (h >> np.uint64(32))) >> np.uint64(11)) / float(1 << 53)
+    steps = np.cumsum([np.exp(-share) * share**i / np.prod(np.arange(1, i + 1, dtype=float)) for i in range(12)])
+    return np.searchsorted(steps, u).astype(float)
+
+
+def _total(x: DataFrame, part) -> np.ndarray:
+    """The sum of ``part(matrix, row hashes)``, an array of fixed size, over all batches: added up in each task, then in 32 groups, then here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for whole in batches:
+            for i in range(0, len(whole), 1024):
+                batch = whole.slice(i, 1024)
+                got = part(_matrix(batch), batch.column("id").to_numpy().view(np.uint64))
+                total = got if total is None else total + got
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f8").tobytes()])], ["total"])
+
+    def add(p: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"total": [sum(np.frombuffer(b, "<f8") for b in p["total"]).tobytes()]})
+
+    sums = x.select("x", F.xxhash64(x.columns[0]).alias("id")).mapInArrow(run, "total binary")
+    if x.rdd.getNumPartitions() > 32:
+        sums = sums.groupBy(F.pmod(F.spark_partition_id(), F.lit(32))).applyInPandas(add, "total binary")
+    return sum(np.frombuffer(r[0], "<f8") for r in sums.collect())  # at most 32 rows
+
+
+def lloyd(x: DataFrame, jobs: list[tuple[int, int, int | None]], iterations: int = 300, share: float = 0.8, tolerance: float = 1e-4) -> list[tuple[np.ndarray, float]]:
+    """(centres, cost) of each job (k, seed, resample): K-means with all jobs advancing in the same pass over the rows.
+
+    A pass reads every row once for all restarts and resamples that haven't converged, so 500 fits cost as many passes as the slowest of them. Starting centres are drawn by
+    K-means++ from ``START_ROWS`` rows, the first by a hash; every other step takes all rows. A cluster that loses all rows keeps its centre.
+    """
+    pick = x.select("x", F.xxhash64(x.columns[0]).alias("id")).orderBy(F.xxhash64(x.columns[0], F.lit(1)), "x").limit(START_ROWS).toPandas()
+    some, ids = np.array(pick["x"].tolist()), pick["id"].to_numpy().view(np.uint64)
+    centres = []
+    for k, seed, draw in jobs:
+        rng, own = np.random.default_rng([seed, k]), some[_times(ids, draw, share) > 0]
+        own = own if len(own) else some
+        c = own[rng.integers(len(own))][None]
+        while len(c) < k:
+            d = ((own[:, None] - c) ** 2).sum(-1).min(1)
+            c = np.vstack((c, own[rng.choice(len(own), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(own))]))
+        centres.append(c)
+    costs, active = np.zeros(len(jobs)), list(range(len(jobs)))
+    width = some.shape[1]
+    for _ in range(iterations):
+        if not active:
+            break
+        now, draws = [centres[j] for j in active], [jobs[j][2] for j in active]
 
+        def part(m: np.ndarray, h: np.ndarray, now=now, draws=draws) -> np.ndarray:
+            weights = {d: _times(h, d, share) for d in set(draws)}
+            out = []
+            for c, d in zip(now, draws):
+                far = (m * m).sum(1)[:, None] - 2 * m @ c.T + (c * c).sum(1)
+                near = far.argmin(1)
+                z = np.zeros((len(m), len(c)))
+                z[np.arange(len(m)), near] = weights[d]
+                out += [(z.T @ m).ravel(), z.sum(0), [np.maximum(0, far[np.arange(len(m)), near]) @ weights[d]]]
+            return np.concatenate(out)
 
-def best_kmeans(x: DataFrame, k: int = 5, seeds: int = 20, iterations: int = 500, seed: int = 42) -> KMeansModel:
-    """The fit of least cost over several seeds."""
-    return min((KMeans(k=k, maxIter=iterations, seed=seed + i).fit(x) for i in range(seeds)), key=lambda m: m.summary.trainingCost)
+        total, at, left = _total(x, part), 0, []
+        for j, c in zip(active, now):
+            k = len(c)
+            sums, n = total[at : at + k * width].reshape(k, width), total[at + k * width : at + k * width + k]
+            costs[j] = total[at + k * width + k]
+            at += k * width + k + 1
+            centres[j] = np.where(n[:, None] > 0, sums / np.maximum(n, 1e-12)[:, None], c)
+            if ((centres[j] - c) ** 2).sum() > tolerance:
+                left.append(j)
+        active = left
+    return list(zip(centres, costs))
 
 
-def kmeans_segments(df: DataFrame, k: int = 5, seeds: int = 20) -> DataFrame:
+def best_kmeans(x: DataFrame, k: int = 5, seeds: int = 20, iterations: int = 500, seed: int = 42) -> np.ndarray:
+    """The centres of least cost over several starts."""
+    return min(lloyd(x, [(k, seed + i, None) for i in range(seeds)], iterations), key=lambda m: m[1])[0]
+
+
+def assigned(x: DataFrame, centres: np.ndarray) -> DataFrame:
+    """``x`` with ``prediction``, the nearest centre."""
+    d = [F.aggregate(F.zip_with("x", F.lit(c.tolist()), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) for c in centres]
+    return x.withColumn("prediction", F.array_min(F.array(*[F.struct(v.alias("d"), F.lit(i).alias("i")) for i, v in enumerate(d)]))["i"])
+
+
+def kmeans_segments(df: DataFrame, k: int = 5, seeds: int = 20, iterations: int = 500) -> DataFrame:
     """(CustomerID, RawSegment, Segment): clusters, labelled by their ranked profiles."""
     from tidemark.operators.scoring import rank_labels
 
     x = scaled(df)
-    got = best_kmeans(x, k, seeds).transform(x).select("CustomerID", F.col("prediction").alias("RawSegment"))
-    labelled = df.join(got, "CustomerID")
-    names = rank_labels(labelled).select("RawSegment", F.col("label").alias("Segment"))
+    got = assigned(x, best_kmeans(x, k, seeds, iterations)).select("CustomerID", F.col("prediction").alias("RawSegment"))
+    x.unpersist()
+    names = rank_labels(df.join(got, "CustomerID")).select("RawSegment", F.col("label").alias("Segment"))
     return got.join(F.broadcast(names), "RawSegment").select("CustomerID", "RawSegment", "Segment")  # one row for each cluster
 
 
 def gmm_soft(df: DataFrame, k: int = 5, seeds: int = 5, iterations: int = 200) -> DataFrame:
-    """(CustomerID, GMM_Prob_Seg0..): soft memberships of the mixture of greatest likelihood over several seeds."""
-    x = scaled(df, COMPOSITES)
-    model = max((GaussianMixture(k=k, maxIter=iterations, seed=42 + i).fit(x) for i in range(seeds)), key=lambda m: m.summary.logLikelihood)
+    """(CustomerID, GMM_Segment, GMM_Prob_Seg0..): the likeliest component and soft memberships of the mixture of greatest likelihood over several seeds, which are fitted side by side."""
+    rows = scaled(df)
+    x = rows.select("CustomerID", array_to_vector("x").alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
+    with ThreadPoolExecutor(seeds) as pool:
+        model = max(pool.map(lambda i: GaussianMixture(k=k, maxIter=iterations, seed=42 + i).fit(x), range(seeds)), key=lambda m: m.summary.logLikelihood)
+    rows.unpersist(), x.unpersist()
     p = vector_to_array("probability")
-    return model.transform(x).select("CustomerID", *[p[i].alias(f"GMM_Prob_Seg{i}") for i in range(k)])
+    return model.transform(x).select("CustomerID", F.col("prediction").alias("GMM_Segment"), *[p[i].alias(f"GMM_Prob_Seg{i}") for i in range(k)])
 
 
 def pca_embedding(df: DataFrame) -> DataFrame:
     """(CustomerID, UMAP_1, UMAP_2): a linear projection under the reference's column names."""
-    x = scaled(df)
-    a = vector_to_array("p")
-    return PCA(k=2, inputCol="features", outputCol="p").fit(x).transform(x).select("CustomerID", a[0].alias("UMAP_1"), a[1].alias("UMAP_2"))
+    rows = scaled(df)
+    x, a = rows.select("CustomerID", array_to_vector("x").alias("features")), vector_to_array("p")
+    model = PCA(k=2, inputCol="features", outputCol="p").fit(x)
+    rows.unpersist()
+    return model.transform(x).select("CustomerID", a[0].alias("UMAP_1"), a[1].alias("UMAP_2"))
 
 
-def k_sweep(df: DataFrame, ks: range = range(2, 9), seeds: int = 10) -> DataFrame:
-    """(k, inertia, silhouette, davies_bouldin) for each number of clusters."""
+def k_sweep(df: DataFrame, ks: range = range(2, 9), seeds: int = 10, iterations: int = 300) -> DataFrame:
+    """(k, inertia, silhouette, davies_bouldin) for each number of clusters; all fits advance together."""
     x = scaled(df)
-    axes = vector_to_array("features")
-    rows = []
+    jobs = [(k, 42 + i, None) for k in ks for i in range(seeds)]
+    fits, rows = lloyd(x, jobs, iterations), []
     for k in ks:
-        m = best_kmeans(x, k, seeds, 300)
-        got = m.transform(x)
-        near = metrics.davies_bouldin(got.select("prediction", *[axes[i].alias(c) for i, c in enumerate(CLUSTERING)]), "prediction", CLUSTERING).first()[0]
-        rows.append((k, float(m.summary.trainingCost), float(ClusteringEvaluator().evaluate(got)), near))
+        centres, cost = min((f for f, j in zip(fits, jobs) if j[0] == k), key=lambda m: m[1])
+        got = assigned(x, centres).withColumn("features", array_to_vector("x"))
+        near = metrics.davies_bouldin(got.select("prediction", *[F.col("x")[i].alias(c) for i, c in enumerate(CLUSTERING)]), "prediction", CLUSTERING).first()[0]
+        rows.append((k, float(cost), float(ClusteringEvaluator().evaluate(got)), near))
+    x.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, davies_bouldin double")
 
 
-def bootstrap_stability(df: DataFrame, n: int = 100, k: int = 5, share: float = 0.8, seeds: int = 5) -> DataFrame:
-    """(mean, std, min, max, grade) of the agreement between a fit on all rows and fits on ``n`` resamples, each the best of several seeds."""
+def bootstrap_agreement(df: DataFrame, n: int = 100, k: int = 5, share: float = 0.8, seeds: int = 5, iterations: int = 300) -> DataFrame:
+    """(resample, ari): the agreement between a fit on all rows and the fit on each of ``n`` resamples with replacement, each the best of several seeds, over all rows."""
     x = scaled(df)
-    model = best_kmeans(x, k, 10, 300)
-    base = model.transform(x).select("CustomerID", "features", F.col("prediction").alias("a")).persist(StorageLevel.MEMORY_AND_DISK)
-    each = []
-    for i in range(n):
-        own = x.sample(True, share, seed=i).persist(StorageLevel.MEMORY_AND_DISK)
-        m = best_kmeans(own, k, seeds, 300, i * seeds)
-        each.append((metrics.adjusted_rand(m.transform(base).select("a", F.col("prediction").alias("b")), "a", "b").first()[0],))  # one row
-        own.unpersist()
-    base.unpersist()
-    got = df.sparkSession.createDataFrame(each, "ari double")
+    jobs = [(k, i * seeds + s, i) for i in range(n) for s in range(seeds)] + [(k, 42 + i, None) for i in range(10)]
+    fits = lloyd(x, jobs, iterations, share)
+    best = [min((f for f, j in zip(fits, jobs) if j[2] == i), key=lambda m: m[1])[0] for i in [*range(n), None]]
+
+    def part(m: np.ndarray, _: np.ndarray) -> np.ndarray:
+        near = [((m * m).sum(1)[:, None] - 2 * m @ c.T + (c * c).sum(1)).argmin(1) for c in best]
+        return np.concatenate([np.bincount(near[-1] * k + a, minlength=k * k) for a in near[:-1]])
+
+    cells = _total(x, part).reshape(n, k, k)
+    x.unpersist()
+    two = lambda v: (v * (v - 1) / 2).sum()
+    rows = []
+    for i, c in enumerate(cells):
+        both, a, b, pairs = two(c), two(c.sum(1)), two(c.sum(0)), two(c.sum())
+        expected = a * b / pairs if pairs else 0.0
+        most = (a + b) / 2 - expected
+        rows.append((i, float((both - expected) / most) if most else 1.0))
+    return df.sparkSession.createDataFrame(rows, "resample int, ari double")
+
+
+def bootstrap_stability(df: DataFrame, n: int = 100, k: int = 5, share: float = 0.8, seeds: int = 5) -> DataFrame:
+    """(mean, std, min, max, grade) of ``bootstrap_agreement``."""
+    got = bootstrap_agreement(df, n, k, share, seeds)
     out = got.agg(F.avg("ari").alias("mean"), F.stddev_pop("ari").alias("std"), F.min("ari").alias("min"), F.max("ari").alias("max"))
     return out.withColumn("grade", F.when(F.col("mean") >= 0.85, "Highly Stable").when(F.col("mean") >= 0.70, "Moderately Stable").otherwise("Unstable"))
 
 
-def _vectors(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
-    return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(df.select(*keep, *score_columns(df, columns))).select(*keep, "features")
+def _features(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
+    return df.select(*keep, *score_columns(df, columns)).select(*keep, F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in columns]).alias("x"))
+
 
+def _nothing(*names: str) -> pd.DataFrame:
+    return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
 
-def _checkpointed(df: DataFrame) -> None:
-    """Hundreds of boosting rounds need their lineage cut: a checkpoint folder is set where the session names none (local runs)."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
 
+def _sampled(df: DataFrame, group: str, label: str, most: int) -> DataFrame:
+    """At most ``most`` labelled rows of each group, by a hash; Spark limits the groups before the shuffle."""
+    order = Window.partitionBy(group).orderBy(F.xxhash64("CustomerID", F.lit(42)), "CustomerID")
+    return df.filter(F.col(label).isNotNull()).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most)
 
-def segment_scores(df: DataFrame, iterations: int = 500, depth: int = 6) -> DataFrame:
-    """(CustomerID, Segment, ChurnProbability): each segment's rows scored by its own boosted trees; null where a segment is too small or has one class.
 
-    There are as many fits as segments. Positives weigh as much as negatives do.
+def churn_models(df: DataFrame, rounds: int = 500, depth: int = 6, cv_rounds: int = 100, folds: int = 3, most: int = FIT_ROWS) -> DataFrame:
+    """(Segment, rows, model, importance, cv_auc, train_*, holdout_*): one row for each segment of at least 50 rows with both classes.
+
+    Each segment's model is fitted in one task, from at most ``most`` labelled rows: 80 % of each class for training and the rest for the holdout, both by a hash
+    of the id; ``folds`` stratified folds of the training rows with ``cv_rounds`` rounds give cv_auc. Positives weigh as much as negatives do. Importances are gains over the largest gain.
+    """
+    rows = _sampled(_features(df, CHURN_FEATURES, "CustomerID", "Segment", "Churn"), "Segment", "Churn", most)
+    names = [f"{a}_{b}" for a in ("train", "holdout") for b in ("auc", "ap", "brier")]
+
+    def train(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("nth")
+        x, y = np.array(p["x"].tolist()), p["Churn"].to_numpy().astype(float)
+        if len(y) < 50 or len(set(y)) < 2:
+            return _nothing("Segment", "rows", "model", "importance", "cv_auc", *names)
+        nth = np.empty(len(y), np.int64)  # of its class
+        for c in (0.0, 1.0):
+            nth[y == c] = np.arange((y == c).sum())
+        is_train = nth < np.round(0.8 * np.where(y == 1, y.sum(), len(y) - y.sum()))
+        weight = np.where(y == 1, max(1.0, (y == 0).sum() / max(1, (y == 1).sum())), 1.0)
+
+        def fitted(use: np.ndarray, n: int) -> dict | None:
+            return boosting.fit(x[use], y[use], weight[use], n, depth) if len(set(y[use])) == 2 else None
+
+        cv = []
+        for f in range(folds):
+            out = is_train & (nth % folds == f)
+            m = fitted(is_train & ~out, cv_rounds)
+            if m and out.any():
+                cv.append(boosting.quality(y[out], boosting.predict(m, x[out]))[0])
+        model = fitted(is_train, rounds)
+        if model is None:
+            return _nothing("Segment", "rows", "model", "importance", "cv_auc", *names)
+        scores = boosting.predict(model, x)
+        got = [*boosting.quality(y[is_train], scores[is_train]), *boosting.quality(y[~is_train], scores[~is_train])]
+        gain = model["gain"] / max(model["gain"].max(), 1e-300)
+        return pd.DataFrame({"Segment": p["Segment"].iloc[:1].to_list(), "rows": [len(y)], "model": [pickle.dumps(model)], "importance": [gain.tolist()], "cv_auc": [float(np.mean(cv)) if cv else 0.5], **{n: [v] for n, v in zip(names, got)}})
+
+    return rows.groupBy("Segment").applyInPandas(train, "Segment string, rows long, model binary, importance array<double>, cv_auc double, " + ", ".join(f"{n} double" for n in names))
+
+
+def segment_importance(models: DataFrame) -> DataFrame:
+    """(Segment, feature, importance, rank): importances of each segment's model, largest first."""
+    return models.select("Segment", F.posexplode("importance").alias("pos", "importance")).select(
+        "Segment", F.element_at(F.lit(CHURN_FEATURES), F.col("pos") + 1).alias("feature"), "importance", F.row_number().over(Window.partitionBy("Segment").orderBy(F.desc("importance"), "pos")).alias("rank")
+    )
+
+
+def top_importances(models: DataFrame, segment: str, n: int = 15) -> DataFrame:
+    return segment_importance(models).filter((F.col("Segment") == segment) & (F.col("rank") <= n)).orderBy("rank")
+
+
+def run_metrics(models: DataFrame) -> DataFrame:
+    """(Segment, rows, metric, value): the figures of each segment's model, long."""
+    return models.unpivot(["Segment", "rows"], [c for c in models.columns if c not in ("Segment", "rows", "model", "importance")], "metric", "value")
+
+
+def _applied(rows: DataFrame, models: dict, group: str | None, names: list[str]) -> DataFrame:
+    """``rows`` without ``x``, with one probability a name: models[(group value, name)] of the row, null where there is none."""
+    keep = [c for c in rows.columns if c != "x"]
+    schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField(n, T.DoubleType()) for n in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch)
+            of = np.array(batch.column(group).to_pylist(), object) if group else np.full(len(x), None, object)
+            out = []
+            for n in names:
+                p = np.full(len(x), np.nan)
+                for g in set(of):
+                    if (g, n) in models:
+                        m, extra = models[g, n]
+                        own = of == g
+                        p[own] = boosting.predict(m, x[own] if extra is None else np.column_stack((x[own], np.full(own.sum(), extra))))
+                out.append(pa.array(p, from_pandas=True))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *out], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def segment_scores(df: DataFrame, rounds: int = 500, depth: int = 6, most: int = FIT_ROWS, models: DataFrame | None = None) -> DataFrame:
+    """(CustomerID, Segment, ChurnProbability, ChurnPrediction, RiskTier): each row scored by its segment's own model; null where there is none (too few rows, one class).
+
+    The models of all segments travel to the tasks; there is one for each segment, of fixed size.
+    """
+    models = churn_models(df, rounds, depth, most=most) if models is None else models
+    own = {(r["Segment"], "ChurnProbability"): (pickle.loads(r["model"]), None) for r in models.select("Segment", "model").collect()}  # noqa: S301 - written by this session
+    out = _applied(_features(df, CHURN_FEATURES, "CustomerID", "Segment"), own, "Segment", ["ChurnProbability"])
+    p = F.col("ChurnProbability")
+    return out.withColumn("ChurnPrediction", F.when(p.isNotNull(), is_true(p >= 0.5).cast("int"))).withColumn("RiskTier", risk_tier(p))
+
+
+def model_drivers(df: DataFrame, models: DataFrame, n: int = 5) -> DataFrame:
+    """(CustomerID, Segment, TopDrivers): as ``scoring.top_drivers``, by the importances of the segment's own model; rows of segments without a model are left out."""
+    from tidemark.operators.scoring import top_drivers
+
+    parts = []
+    for r in models.select("Segment", "importance").collect():  # one row for each segment
+        own = df.filter(F.col("Segment") == r["Segment"])
+        parts.append(top_drivers(own, CHURN_FEATURES, dict(zip(CHURN_FEATURES, r["importance"])), n).select("CustomerID", "Segment", "TopDrivers"))
+    out = parts[0] if parts else df.limit(0).select("CustomerID", "Segment", F.lit(None).cast("map<string,double>").alias("TopDrivers"))
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def uplift_scores(df: DataFrame, rounds: int = 200, depth: int = 4, most: int = FIT_ROWS) -> DataFrame:
+    """(CustomerID, UpliftScore, ChurnProbNoTreatment): the mean of a two-model and a one-model learner, control less treated; zeros without both groups and classes in them.
+
+    The three learners are fitted side by side, one in a task, each from at most ``most`` labelled rows; all rows are scored.
     """
-    _checkpointed(df)
-    columns = [*CHURN_NUMERIC, *COMPOSITES]
-    rows = _vectors(df, columns, "CustomerID", "Segment", "Churn").withColumn("label", F.col("Churn").cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
-    weights = metrics.class_weights(rows, "Segment", "Churn").collect()  # one row for each segment
-    out = []
-    for w in weights:
-        own = rows.filter(F.col("Segment") == w["Segment"])
-        if w["positives"] + w["negatives"] < 50 or not w["positives"] or not w["negatives"]:
-            out.append(own.select("CustomerID", "Segment", F.lit(None).cast("double").alias("ChurnProbability")))
-            continue
-        weighted = own.withColumn("w", F.when(F.col("label") == 1, w["weight"]).otherwise(1.0))
-        model = GBTClassifier(maxIter=iterations, maxDepth=depth, stepSize=0.05, weightCol="w", seed=42).fit(weighted)
-        out.append(model.transform(own).select("CustomerID", "Segment", vector_to_array("probability")[1].alias("ChurnProbability")))
-    return reduce(DataFrame.unionByName, out)
-
-
-def uplift_scores(df: DataFrame, iterations: int = 200, depth: int = 4) -> DataFrame:
-    """(CustomerID, UpliftScore, ChurnProbNoTreatment): the mean of a two-model and a one-model learner, control less treated; zeros without a control group."""
-    _checkpointed(df)
-    base = df.withColumn("T", F.col("Treatment").cast("double"))
-    rows = _vectors(base, UPLIFT, "CustomerID", "Churn", "T").withColumn("label", F.col("Churn").cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
-    kinds = {(r["T"], r["label"]) for r in rows.select("T", "label").distinct().collect()}  # at most four
-    if len(kinds) < 4:
+    rows = _features(df, UPLIFT, "CustomerID", "Churn", "Treatment")
+    every = rows.withColumn("learner", F.explode(F.array(F.concat(F.lit("t"), F.col("Treatment").cast("string")), F.lit("s"))))
+
+    def train(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("nth")
+        x, y = np.array(p["x"].tolist()), p["Churn"].to_numpy().astype(float)
+        if len(set(y)) < 2:
+            return _nothing("learner", "model")
+        if p["learner"].iloc[0] == "s":
+            x = np.column_stack((x, p["Treatment"].to_numpy().astype(float)))
+        return pd.DataFrame({"learner": p["learner"].iloc[:1].to_list(), "model": [pickle.dumps(boosting.fit(x, y, np.ones(len(y)), rounds, depth))]})
+
+    fits = {r[0]: pickle.loads(r[1]) for r in _sampled(every, "learner", "Churn", most).groupBy("learner").applyInPandas(train, "learner string, model binary").collect()}  # noqa: S301 - at most three
+    if not {"t0", "t1", "s"} <= fits.keys():
         return rows.select("CustomerID", F.lit(0.0).alias("UpliftScore"), F.lit(0.0).alias("ChurnProbNoTreatment"))
-    learner = GBTClassifier(maxIter=iterations, maxDepth=depth, stepSize=0.05, seed=42)
-    p = lambda name: vector_to_array("probability")[1].alias(name)
-    drop = ("rawPrediction", "probability", "prediction")
-    scored = rows
-    for name, value in (("t1", 1.0), ("t0", 0.0)):
-        scored = learner.fit(rows.filter(F.col("T") == value)).transform(scored).withColumn(name, p(name)).drop(*drop)
-    both = VectorAssembler(inputCols=["features", "T"], outputCol="with_t")
-    one = learner.copy().setFeaturesCol("with_t").fit(both.transform(rows))
-    for name, value in (("s1", 1.0), ("s0", 0.0)):
-        scored = one.transform(both.transform(scored.withColumn("T", F.lit(value)))).withColumn(name, p(name)).drop("with_t", *drop)
-    lift = ((F.col("t0") - F.col("t1")) + (F.col("s0") - F.col("s1"))) / 2
-    return scored.select("CustomerID", lift.alias("UpliftScore"), F.col("t0").alias("ChurnProbNoTreatment"))
+    models = {(None, "t1"): (fits["t1"], None), (None, "t0"): (fits["t0"], None), (None, "s1"): (fits["s"], 1.0), (None, "s0"): (fits["s"], 0.0)}
+    out = _applied(rows.select("CustomerID", "x"), models, None, ["t1", "t0", "s1", "s0"])
+    return out.select("CustomerID", (((F.col("t0") - F.col("t1")) + (F.col("s0") - F.col("s1"))) / 2).alias("UpliftScore"), F.col("t0").alias("ChurnProbNoTreatment"))

@@ -16,6 +16,7 @@ CHURN_BIAS = -1.2
 UPLIFT_WEIGHTS = {"SupportRiskScore": 0.12, "RecencySignal": -0.10, "EngagementScore": -0.08}
 UPLIFT_BIAS = 0.03
 IMPORTANCE = {c: round(1 - 0.05 * i, 2) for i, c in enumerate(CLUSTERING)}
+# The serving table's column names.
 SERVED = {
     "CustomerID": "customer_id", "Segment": "segment", "ChurnProbability": "churn_probability", "RiskTier": "risk_tier", "UpliftScore": "uplift_score",
     "CustomerType": "customer_type", "NetROI": "net_roi", "ROIPositive": "roi_positive", "InterventionPriority": "intervention_priority", "UMAP_1": "umap_1", "UMAP_2": "umap_2",

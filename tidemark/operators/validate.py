@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MISSING_AT, LEAST_ROWS = 0.30, 100
-RANGES = {"Tenure": (0, None), "CityTier": (1, 3), "WarehouseToHome": (0, None), "HourSpendOnApp": (0, None), "NumberOfDeviceRegistered": (1, None), "SatisfactionScore": (1, 5), "NumberOfAddress": (1, None), "Complain": (0, 1), "OrderAmountHikeFromlastYear": (None, None), "CouponUsed": (0, None), "OrderCount": (0, None), "DaySinceLastOrder": (0, None), "CashbackAmount": (0, None)}
+RANGES = {"Tenure": (0, None), "CityTier": (1, 3), "WarehouseToHome": (0, None), "HourSpendOnApp": (0, None), "NumberOfDeviceRegistered": (1, None), "SatisfactionScore": (1, 5), "NumberOfAddress": (1, None), "Complain": (0, 1), "OrderAmountHikeFromlastYear": (0, None), "CouponUsed": (0, None), "OrderCount": (0, None), "DaySinceLastOrder": (0, None), "CashbackAmount": (0, None)}
 
 
 def missing_rates(df: DataFrame) -> DataFrame:
@@ -49,3 +49,10 @@ def label_column(df: DataFrame, name: str = "churn") -> str:
     if found is None:
         raise ValueError(f"no {name} column")
     return found
+
+
+def some_rows(df: DataFrame, what: str = "history") -> DataFrame:
+    """The table itself; an error where it is empty."""
+    if df.isEmpty():
+        raise ValueError(f"no rows in {what}")
+    return df

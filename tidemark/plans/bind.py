@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import features, scoring
+from tidemark.sources.stage import staged
 from tidemark.sources.tables import load
 
 CUTOFF, WINDOW_START, WINDOW_END = "2000-12-31", "2001-01-01", "2001-08-02"
@@ -32,22 +33,25 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hours = load(spark, sf_dir, "events").groupBy(F.col("user_id").alias("customer_id")).agg(F.count("*").cast("double").alias("HourSpendOnApp"))
-    return features.marketplace(history(spark, sf_dir), hours).withColumn("CustomerID", F.col("customer_id").cast("string"))
+    def build() -> DataFrame:
+        hours = load(spark, sf_dir, "events").groupBy(F.col("user_id").alias("customer_id")).agg(F.count("*").cast("double").alias("HourSpendOnApp"))
+        return features.marketplace(history(spark, sf_dir), hours).withColumn("CustomerID", F.col("customer_id").cast("string"))
+
+    return staged(spark, sf_dir, "features", build)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features, segments, churn, uplift and ROI: one row for each customer with history."""
-    return scoring.intervention_roi(scoring.score(scoring.assign_segments(customer_features(spark, sf_dir))))
+    return staged(spark, sf_dir, "scored", lambda: scoring.intervention_roi(scoring.score(scoring.assign_segments(customer_features(spark, sf_dir)))))
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The serving table."""
-    return scoring.serving_table(scored(spark, sf_dir))
+    return staged(spark, sf_dir, "customers", lambda: scoring.serving_table(scored(spark, sf_dir)))
 
 
 def with_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.top_drivers(scored(spark, sf_dir))
+    return staged(spark, sf_dir, "drivers", lambda: scoring.top_drivers(scored(spark, sf_dir)))
 
 
 TYPES = ["Discount Offer", "Loyalty Reward", "Personalized Content", "Proactive Support Call", "Reactivation Campaign", "Premium Upgrade", "Service Recovery"]

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.semantics import steady
-from tidemark.operators import agent, audit, dashboard, features, learn, metrics, scoring, validate
+from tidemark.functions.semantics import SEGMENTS, steady
+from tidemark.operators import agent, audit, dashboard, features, learn, metrics, scoring, serving, validate
 from tidemark.plans import bind, oracle
+from tidemark.sources.stage import staged
 from tidemark.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -351,3 +352,156 @@ _add("k_sweep", _on(bind.customer_features, learn.k_sweep))
 _add("bootstrap_stability", _on(bind.customer_features, learn.bootstrap_stability))
 _add("gbt_segment_scores", _on(bind.scored, learn.segment_scores))
 _add("uplift_t_s", _on(bind.scored, learn.uplift_scores))
+_churn_models = lambda s, d: staged(s, d, "churn_models", lambda: learn.churn_models(bind.scored(s, d)))
+QUERIES["gbt_segment_scores"] = lambda s, d: learn.segment_scores(bind.scored(s, d), models=_churn_models(s, d))
+_add("model_metrics", _on(_churn_models, learn.run_metrics))
+_add("importance_top15", _on(_churn_models, learn.top_importances, "Champions"))
+_add("model_drivers", lambda s, d: learn.model_drivers(bind.scored(s, d), _churn_models(s, d)).select("CustomerID", "Segment", F.to_json("TopDrivers").alias("TopDrivers")))
+_add("ari_histogram", lambda s, d: dashboard.binned(learn.bootstrap_agreement(bind.customer_features(s, d)), "ari", 25, -1.0, 1.0))
+
+# ---------------------------------------------------------------- more dashboards, requests, plans
+
+_labels = ", ".join(f"('{x}')" for x in SEGMENTS)
+_add(
+    "segment_kpis",
+    _on(bind.customers, dashboard.segment_kpis, SEGMENTS),
+    C,
+    f"SELECT segment, coalesce(n, 0)::BIGINT AS customers, round(coalesce(r, 0), 6)::DOUBLE AS churn_rate FROM (VALUES {_labels}) v(segment) LEFT JOIN (SELECT segment, count(*) AS n, avg(churn) AS r FROM customers GROUP BY 1) USING (segment)",
+)
+_share = ", ".join(f"floor({x} * 100 / greatest(n, 1)::DOUBLE + 0.5)::BIGINT AS {k}_pct" for k, x in (("high", "h"), ("medium", "m"), ("boundary", "(n - h - m)")))
+_add(
+    "confidence_tiers_pct",
+    _on(bind.customers, dashboard.confidence_share),
+    C,
+    f"SELECT segment, {_share}, round((h + m) / n::DOUBLE, 6) AS sure_share FROM (SELECT segment, count(*) AS n, sum(({_top} >= 0.9)::INT) AS h, sum(({_top} >= 0.8 AND {_top} < 0.9)::INT) AS m FROM customers GROUP BY 1)",
+)
+_add(
+    "churn_histogram40",
+    _on(bind.customers, dashboard.binned, "churn_probability", 40, 0.0, 1.0, "segment", ["At-Risk", "Lapsed", "Champions"]),
+    C,
+    "SELECT segment, least(floor(churn_probability * 40)::INT, 39) AS bin, count(*)::BIGINT AS count FROM customers WHERE segment IN ('At-Risk', 'Lapsed', 'Champions') AND churn_probability BETWEEN 0 AND 1 GROUP BY 1, 2",
+)
+_add(
+    "uplift_scatter",
+    _on(bind.customers, dashboard.scatter, ["segment", "customer_type", "uplift_score", "churn_probability"]),
+    C,
+    "SELECT customer_id, segment, customer_type, uplift_score, churn_probability, CASE risk_tier WHEN 'High Risk' THEN 1.0 WHEN 'Medium Risk' THEN 0.5 ELSE 0.0 END::DOUBLE AS risk FROM customers ORDER BY customer_id LIMIT 5000",
+)
+_add(
+    "symmetric_ranges",
+    _on(bind.customers, dashboard.symmetric_range, ["uplift_score", "net_roi"]),
+    C,
+    "SELECT 'uplift_score' AS axis, max(abs(uplift_score)) AS bound FROM customers UNION ALL SELECT 'net_roi', max(abs(net_roi)) FROM customers",
+)
+_add("sample_customers", lambda s, d: bind.customers(s, d).orderBy("customer_id").limit(10_000).select("customer_id", "segment", "risk_tier"), C, "SELECT customer_id, segment, risk_tier FROM customers ORDER BY customer_id LIMIT 10000")
+_add(
+    "batch_candidates",
+    lambda s, d: serving.candidates(bind.customers(s, d)).select("customer_id", "segment", "net_roi", "intervention_priority"),
+    C,
+    f"SELECT customer_id, segment, net_roi, intervention_priority {_P} ORDER BY intervention_priority NULLS LAST, customer_id LIMIT 50",
+)
+_add(
+    "campaign_summary",
+    _log(dashboard.campaign_summary),
+    oracle.AUDIT,
+    "SELECT n AS total, r AS retained, c AS churned, n - r - c AS pending, floor(r * 100 / nullif(n, 0)::DOUBLE + 0.5)::BIGINT AS retained_pct, floor(c * 100 / nullif(n, 0)::DOUBLE + 0.5)::BIGINT AS churned_pct, floor(r * 100 / nullif(r + c, 0)::DOUBLE + 0.5)::BIGINT AS overall_rate "
+    "FROM (SELECT count(*)::BIGINT AS n, coalesce(sum((outcome = 'retained')::INT), 0)::BIGINT AS r, coalesce(sum((outcome = 'churned')::INT), 0)::BIGINT AS c FROM acts LEFT JOIN latest ON retention_action_id = acts.id)",
+)
+_add("total_customers", lambda s, d: dashboard.total_customers(dashboard.segment_summary(bind.customers(s, d))), C, "SELECT count(*)::BIGINT AS total FROM customers")
+_add(
+    "tool_revenue_at_risk_segment",
+    _on(bind.customers, agent.segment_revenue_at_risk, "Lapsed"),
+    C,
+    "SELECT segment, n::BIGINT AS total, floor(n * p + 0.5)::BIGINT AS expected_churners, floor(n * p + 0.5) * 500.0::DOUBLE AS revenue_at_risk FROM (SELECT segment, count(*) AS n, round(avg(churn_probability), 9) AS p FROM customers WHERE segment = 'Lapsed' GROUP BY 1)",
+)
+_add(
+    "tool_success_rates_top",
+    _log(agent.ranked_success_rates),
+    oracle.AUDIT,
+    f"SELECT * FROM ({_lastwins.format('intervention_type')}) ORDER BY total DESC, intervention_type LIMIT 5",
+)
+_add("tool_unknown", lambda s, d: agent.tool_result(s, "no_such_tool"), None, "SELECT 'unknown tool: no_such_tool' AS error")
+_saved = ["id", "customer_id", "segment", "churn_probability", "uplift_score", "net_roi", "intervention_type", "agent_reasoning", "agentic_mode"]
+
+
+def _saved_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    step = F.array(F.struct(F.lit(1).alias("round"), F.lit("lookup").alias("tool"), F.col("customer_id").alias("args")))
+    traced = bind.actions(spark, sf_dir).withColumn("trace", F.when(F.col("agentic_mode"), step))
+    return serving.action_rows(traced, bind.customers(spark, sf_dir)).select(*_saved)
+
+
+_add(
+    "audit_saved_actions",
+    _saved_actions,
+    oracle.AUDIT,
+    "SELECT acts.id::VARCHAR AS id, acts.customer_id, c.segment, churn_probability, uplift_score, net_roi, intervention_type, CASE WHEN agentic_mode THEN '[{\"round\":1,\"tool\":\"lookup\",\"args\":\"' || acts.customer_id || '\"}]' END AS agent_reasoning, agentic_mode "
+    "FROM acts LEFT JOIN customers c ON acts.customer_id = c.customer_id WHERE intervention_type IS NOT NULL",
+)
+
+
+def _config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key is missing, one value differs from its fallback."""
+    rows = {**serving.CONFIG, "assumed_clv_usd": "750"}
+    del rows["channels"]
+    got = serving.config(serving.config_rows(spark, rows))
+    return got.select("assumed_clv", *[F.array_join(c, "|").alias(c) for c in ("intervention_types", "channels", "timing_options")])
+
+
+_add("config_values", _config, None, "SELECT 750.0::DOUBLE AS assumed_clv, " + ", ".join(f"'{serving.CONFIG[c].replace(',', '|')}' AS {c}" for c in ("intervention_types", "channels", "timing_options")))
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as requests: every tenth has an impossible satisfaction, every thirteenth no tenure."""
+    f = bind.customer_features(spark, sf_dir)
+    n = F.col("CustomerID").cast("long")
+    rows = f.select("CustomerID", *features.CHURN_NUMERIC).withColumn("SatisfactionScore", F.when(n % 10 == 0, 10).otherwise(F.col("SatisfactionScore"))).withColumn("Tenure", F.when(n % 13 != 0, F.col("Tenure")))
+    return serving.score_requests(rows, features.feature_stats(f)).drop("errors")
+
+
+_add(
+    "score_requests",
+    _requests,
+    S,
+    "SELECT CustomerID, ok AS valid, CASE WHEN ok THEN Segment END AS segment, CASE WHEN ok THEN round(ChurnProbability + 3.1e-7, 4) END AS churn_probability, CASE WHEN ok THEN (ChurnProbability >= 0.5)::INT END AS churn_prediction, "
+    "CASE WHEN NOT ok THEN NULL WHEN ChurnProbability < 0.3 THEN 'Low Risk' WHEN ChurnProbability < 0.6 THEN 'Medium Risk' ELSE 'High Risk' END AS risk_tier, CASE WHEN NOT ok THEN NULL WHEN ChurnProbability >= 0.3 THEN 'Lost Cause' ELSE 'Sleeping Dog' END AS customer_type "
+    "FROM (SELECT *, (customer_id % 10 <> 0 AND customer_id % 13 <> 0) AS ok FROM scored)",
+)
+_replies = [
+    "<think>so\nmany</think> ```json\n{\"a\": 1}\n``` bye", "```\n{\"a\": 2, \"b\": 3.5}\n```", "  {\"a\": 4}  ", "<THINK>x</think><function=f>{}</function>no json", "```json {\"a\": oops} ```", "",
+]
+
+
+def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reply = F.element_at(F.lit(_replies), (F.col("c_custkey") % len(_replies) + 1).cast("int"))
+    rows = load(spark, sf_dir, "customer").select("c_custkey", serving.stripped(reply).alias("reply"))
+    rows = rows.withColumn("json", serving.fenced_json(F.col("reply")))
+    return rows.withColumn("a", F.element_at(serving.numbers_of(F.col("json")), "a"))
+
+
+_lit = ", ".join("'" + x.replace("'", "''") + "'" for x in _replies)
+_add(
+    "clean_replies",
+    _clean,
+    f"r AS (SELECT c_custkey, [{_lit}][c_custkey % {len(_replies)} + 1] AS x FROM customer), "
+    "t AS (SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace(x, '(?is)<think>.*?</think>', '', 'g'), '(?is)<function=.*?</function>', '', 'g'), '^\\s+|\\s+$', '', 'g') AS reply FROM r), "
+    "j AS (SELECT *, regexp_replace(CASE WHEN contains(reply, '```json') THEN split_part(split_part(reply, '```json', 2), '```', 1) WHEN contains(reply, '```') THEN split_part(split_part(reply, '```', 2), '```', 1) ELSE reply END, '^\\s+|\\s+$', '', 'g') AS json FROM t)",
+    "SELECT c_custkey, reply, json, CASE WHEN json_valid(json) THEN TRY_CAST(json_extract_string(json, '$.a') AS DOUBLE) END AS a FROM j",
+)
+_both = oracle.DRIVERS + ",\n" + oracle.CUSTOMERS[len(oracle.SCORED) :].lstrip(",\n ")
+_add(
+    "retention_prompts",
+    lambda s, d: serving.prompts(bind.customers(s, d), bind.with_drivers(s, d)),
+    f"{_both}, why AS (SELECT CustomerID AS customer_id, string_agg(printf('%s %.4f', feature, value), '; ' ORDER BY rank) AS why FROM drivers GROUP BY 1)",
+    "SELECT customer_id, printf('Customer %s. Segment: %s. Type: %s. Tier: %s. Churn probability %.1f%%. Uplift %.4f. Net ROI $%.2f. Tenure %.0f. Satisfaction %d of 5. Days since last order %.0f. Hours on app %.1f. Complained: %d. Orders %d. Cashback $%.2f.', customer_id, segment, customer_type, risk_tier, "
+    "round(churn_probability * 100 + 3.1e-4, 1), round(uplift_score + 3.1e-7, 4), round(net_roi + 3.1e-5, 2), tenure, satisfaction_score, days_since_last_order, hour_spend_on_app, complain, order_count, round(cashback_amount + 3.1e-5, 2)) || ' Drivers: ' || coalesce(why, 'none') || '.' AS prompt "
+    "FROM customers LEFT JOIN why USING (customer_id)",
+)
+_plan_risk = "CASE WHEN value > 0 THEN 'high ' ELSE 'low ' END || feature"
+_add(
+    "batch_plans",
+    lambda s, d: serving.displayed(serving.batch_plans(bind.customers(s, d), bind.with_drivers(s, d))).select("customer_id", "segment", "intervention_priority", "risk", "intervention_type", "channel", "timing", "error", "display"),
+    f"{_both}, best AS (SELECT customer_id, segment, intervention_priority {_P} ORDER BY intervention_priority NULLS LAST, customer_id LIMIT 50), asked AS (SELECT best.*, {_plan_risk} AS risk FROM best JOIN drivers ON CustomerID = customer_id AND rank = 1), "
+    f"found AS (SELECT *, {_case} AS keyword FROM asked), typed2 AS (SELECT *, {_kv} AS intervention_type FROM found)",
+    "SELECT customer_id, segment, intervention_priority, risk, intervention_type, 'Email' AS channel, 'Within 24 hours' AS timing, NULL::VARCHAR AS error, "
+    "'**Intervention:** ' || intervention_type || chr(10) || '**Channel:** Email | **Timing:** Within 24 hours' || chr(10) || '**Why they''re at risk:** ' || keyword AS display FROM typed2",
+)
