@@ -2,29 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.sources.stage import shared_dir
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet under the shared folder and read it back."""
     spark = df.sparkSession
