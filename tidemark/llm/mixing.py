@@ -39,7 +39,7 @@ def _newton(cells: DataFrame, dual: DataFrame, most: float) -> DataFrame:
     x = F.col("size") / F.col("mean")
     p = 1 / (1 + F.exp(-F.col("tilt") * x))
     words = F.col("docs") * F.col("size") * most * p
-    sums = cells.join(dual, "name").groupBy("name", "mean", "target", "tilt").agg(F.sum(words).alias("words"), F.sum(words * (1 - p) * x).alias("slope"))
+    sums = cells.join(dual.hint("merge"), "name").groupBy("name", "mean", "target", "tilt").agg(F.sum(words).alias("words"), F.sum(words * (1 - p) * x).alias("slope"))
     step = F.coalesce(F.try_divide(F.col("words") - F.col("target"), F.col("slope")), F.lit(0.0))
     moved = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), F.col("tilt") - F.greatest(F.lit(-2.0), F.least(F.lit(2.0), step))))
     return sums.select("name", "mean", "target", moved.alias("tilt"), (F.abs(F.col("words") - F.col("target")) / F.greatest(F.col("target"), F.lit(1.0))).alias("gap"))
@@ -79,7 +79,7 @@ def mix(
 
     sizes = cells.groupBy("name", "source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"), F.sum("docs").alias("n"))
     means = sizes.select("name", (F.greatest(F.col("source_size"), F.lit(1)) / F.col("n")).alias("mean"))
-    targets = written(source_targets(sizes.select("name", "source", "source_size"), weights, share, most_f).join(means, "name"))
+    targets = written(source_targets(sizes.select("name", "source", "source_size"), weights, share, most_f).join(means.hint("merge"), "name"))
 
     # Sources at their cap take every document as often as they may; the rest have a finite tilt.
     free = F.col("target") < F.col("source_size") * most_f * (1 - 1e-9)
@@ -94,7 +94,7 @@ def mix(
     if worst is not None and worst > 1e-3:
         raise RuntimeError(f"the mix hasn't converged: a source is {worst:.2%} from its target after {4 * rounds} Newton steps")
 
-    plan = cells.join(targets.drop("source").join(dual.select("name", "tilt"), "name", "left"), "name")
+    plan = cells.join(targets.drop("source").join(dual.select("name", "tilt").hint("merge"), "name", "left").hint("merge"), "name")
     rate = F.when(F.col("tilt").isNull(), F.when(F.col("target") > 0, most_f).otherwise(0.0)).otherwise(most_f / (1 + F.exp(-F.col("tilt") * F.col("size") / F.col("mean"))))
     plan = plan.withColumn("rate", rate).withColumn("class", F.floor(F.log2(F.col("size") + 1)))
     w = Window.partitionBy("name", "class").orderBy(F.desc("size"))  # over distinct sizes
@@ -136,5 +136,5 @@ def _closer(plan: DataFrame, most: int) -> DataFrame:
     room = F.when(F.col("gap") > 0, F.col("docs") * most - F.col("copies")).otherwise(F.col("copies"))
     fits = (F.col("size") > 0) & (F.col("size") <= F.abs("gap")) & (room > 0)
     change = F.signum("gap") * F.least(room, F.floor(F.abs("gap") / F.col("size")))
-    best = plan.join(gaps, "name").filter(fits).groupBy("name").agg(F.max(F.struct(F.col("size"), change.cast("long").alias("change"))).alias("best")).select("name", "best.*")
-    return plan.join(best, ["name", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0))).drop("change")
+    best = plan.join(gaps.hint("merge"), "name").filter(fits).groupBy("name").agg(F.max(F.struct(F.col("size"), change.cast("long").alias("change"))).alias("best")).select("name", "best.*")
+    return plan.join(best.hint("merge"), ["name", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0))).drop("change")
