@@ -77,6 +77,71 @@ def test_images_of_all_kinds_at_once_and_broken_ones(spark):
     assert got[4, 0]["error"] and (3, 0) not in got
 
 
+def test_damaged_files_end_soon():
+    """Truncated files and files with wrong bytes, many of which claim large images: decoded or refused, each within a second."""
+    import struct
+    import time
+
+    rng = np.random.default_rng(11)
+    px = image(40, 30)
+    files = [Writer(40, 30).plain(px), Writer(40, 30).predictor(px, 11, 3), Writer(40, 30).palette(image(40, 30, 5)), Writer(40, 30).references(np.tile(image(40, 5, 5), 6), 50, cache=4)]
+    for i in range(1000):
+        f = bytearray(files[i % len(files)])
+        for j in rng.integers(20, len(f), rng.integers(0, 4)):
+            f[j] = rng.integers(0, 256)
+        if i % 3 == 0:
+            f[21:25] = struct.pack("<I", 1999 | 1999 << 14)
+        f = bytes(f[: rng.integers(26, len(f) + 1)]) if i % 2 else bytes(f)
+        start = time.perf_counter()
+        got = media._one(f, webp.MOST_PIXELS)
+        assert (isinstance(got, str) or len(got[2]) == got[0] * got[1]) and time.perf_counter() - start < 1
+    huge = bytearray(files[0])
+    huge[21:25] = struct.pack("<I", 16383 | 16383 << 14)
+    assert "pixels" in media._one(bytes(huge), webp.MOST_PIXELS)
+
+
+def test_predictor_of_a_large_image_is_fast_and_edges_are_right():
+    import time
+
+    px = image(700, 500)
+    modes = np.random.default_rng(1).integers(0, 14, 44 * 32).astype(np.uint32)
+    start = time.perf_counter()
+    assert (webp.predictor(webp.predictor(px, 700, modes, 4, False), 700, modes, 4, True) == px).all()
+    assert time.perf_counter() - start < 20
+    for w, h in ((1, 5), (5, 1), (2, 2), (1, 1)):
+        small = image(w, h)
+        assert (webp.predictor(webp.predictor(small, w, modes, 2, False), w, modes, 2, True) == small).all()
+
+
+def test_media_that_are_null_or_empty(spark):
+    rows = spark.createDataFrame([(1, None, 0), (2, bytearray(b""), 0)], "doc_id long, media binary, n_bytes long")
+    assert [(r["payload_bytes"], r["media_bytes"]) for r in media.read_back(rows).collect()] == [(None, 0)] * 2
+    with pytest.raises(ValueError):
+        media.pixel_arrays(rows.withColumnRenamed("doc_id", "width"), "width")
+
+
+def test_digests_of_the_query_are_those_of_plain_python(spark):
+    """Payload and stored form, from scratch: bytes filled up, digests, the last 32 bytes; media hold what a decoder of one file at a time reads."""
+    import hashlib
+    import zlib
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    stored = {r["doc_id"]: r["media"] for r in media.store_texts(docs).collect()}
+    got = {r["doc_id"]: r for r in media.read_back(media.store_texts(docs)).collect()}
+    for d, t in docs.select("doc_id", "text").collect():
+        b = (t or "").encode()
+        payload = b + b"\xff" * (576 * max(1, -(-len(b) // 576)) - len(b))
+        r = got[d]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(b), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored[d]), hashlib.sha256(stored[d]).hexdigest())
+        images = [webp.decode([f])[0] for f in media.split_images(stored[d])]
+        x = np.concatenate([p for _, _, p in images])
+        channels = np.stack([(x >> s) & 255 for s in (16, 8, 0)], 1)
+        assert channels.astype(np.uint8).tobytes() == payload
+        tenths = [",".join(str(int(v)) for v in np.rint(f(axis=0) * 10)) for f in (channels.mean, channels.std)]
+        assert r["feature"] == f"{len(images)}:{images[0][0]}x{sum(h for _, h, _ in images)}:{tenths[0]}:{tenths[1]}"
+
+
 def test_random_payloads():
     rng = np.random.default_rng(3)
     rows = rng.integers(1, 17, 40)

@@ -70,17 +70,20 @@ def _groups(values: list[bytes], most: int = 4 << 20) -> Iterator[tuple[int, int
 def read_back(df: DataFrame, doc_id: str = "doc_id", media: str = "media", also: tuple[str, ...] = ("n_bytes",)) -> DataFrame:
     """Digests and features of payloads, from their decoded pixels: what ``store_texts`` made is read, nothing else.
 
-    ``feature`` has the images' count and size, and each channel's mean and standard deviation in tenths.
+    ``feature`` has the images' count and size, and each channel's mean and standard deviation in tenths. Null or empty media have no payload: nulls, and 0 media bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column("media").to_pylist()
+            values = [v or b"" for v in batch.column("media").to_pylist()]
             for a, b in _groups(values):
                 files = [split_images(v) for v in values[a:b]]
                 decoded = iter(webp.decode([f for own in files for f in own]))
                 rows: list[tuple] = []
                 for value, own in zip(values[a:b], files):
+                    if not own:
+                        rows.append((None, None, None, 0, None, None))
+                        continue
                     images = [next(decoded) for _ in own]
                     px = np.concatenate([p for _, _, p in images])
                     channels = np.ascontiguousarray(px, "<u4").view(np.uint8).reshape(-1, 4)[:, 2::-1]
@@ -90,7 +93,7 @@ def read_back(df: DataFrame, doc_id: str = "doc_id", media: str = "media", also:
                     feature = f"{len(own)}:{images[0][0]}x{sum(h for _, h, _ in images)}:{','.join(map(str, mean))}:{','.join(map(str, spread))}"
                     rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(value), hashlib.sha256(value).hexdigest(), feature))
                 part = batch.slice(a, b - a)
-                cols = [part.column(c) for c in ("doc_id", *also)] + [pa.array(x) for x in zip(*rows)]
+                cols = [part.column(c) for c in ("doc_id", *also)] + [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", *also, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     kept = df.select(F.col(doc_id).alias("doc_id"), *also, F.col(media).alias("media"))
@@ -100,11 +103,14 @@ def read_back(df: DataFrame, doc_id: str = "doc_id", media: str = "media", also:
     return kept.mapInArrow(run, schema)
 
 
-def pixel_arrays(df: DataFrame, key: str, media: str = "media") -> DataFrame:
+def pixel_arrays(df: DataFrame, key: str, media: str = "media", most_pixels: int = webp.MOST_PIXELS) -> DataFrame:
     """(key, image, width, height, pixels, error): one row for each WebP file of a value; pixels are 32-bit ARGB, little-endian, by rows.
 
-    A file that can't be decoded has null pixels and the reason in ``error``. Null and empty values have no images.
+    A file that can't be decoded, or claims more than ``most_pixels``, has null pixels and the reason in ``error``. Null and empty values have no images. A key that has
+    the name of a result is an error.
     """
+    if key in ("image", "width", "height", "pixels", "error"):
+        raise ValueError(f"the key can't be called {key}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,9 +118,9 @@ def pixel_arrays(df: DataFrame, key: str, media: str = "media") -> DataFrame:
             for a, b in _groups(values):
                 files = [(i, k, f) for i in range(a, b) for k, f in enumerate(split_images(values[i]))]
                 try:
-                    got: list = webp.decode([f for _, _, f in files])
-                except webp.WebPError:
-                    got = [_one(f) for _, _, f in files]
+                    got: list = webp.decode([f for _, _, f in files], most_pixels)
+                except (webp.WebPError, IndexError, ValueError):
+                    got = [_one(f, most_pixels) for _, _, f in files]
                 if not files:
                     continue
                 yield pa.RecordBatch.from_arrays(
@@ -135,8 +141,8 @@ def pixel_arrays(df: DataFrame, key: str, media: str = "media") -> DataFrame:
     return df.select(F.col(key).alias("key"), F.col(media).alias("media")).mapInArrow(run, schema)
 
 
-def _one(file: bytes) -> tuple | str:
+def _one(file: bytes, most_pixels: int) -> tuple | str:
     try:
-        return webp.decode([file])[0]
+        return webp.decode([file], most_pixels)[0]
     except (webp.WebPError, IndexError, ValueError) as e:
         return str(e) or "broken"

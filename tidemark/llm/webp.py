@@ -32,6 +32,10 @@ class WebPError(ValueError):
 # ---------------------------------------------------------------- bits and prefix codes
 
 
+#: Pixels of one image; larger ones are refused, as their pixels would have to fit in one task.
+MOST_PIXELS = 1 << 22
+
+
 class Bits:
     """All images' bytes in one buffer; positions are bits in it."""
 
@@ -159,8 +163,8 @@ def _value(bits: Bits, at: np.ndarray, prefix: np.ndarray) -> np.ndarray:
     return base + bits.take(at, extra) + 1
 
 
-def _images(bits: Bits, at: np.ndarray, width: np.ndarray, height: np.ndarray, main: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pixels of one entropy-coded image for every position, joined, and where each begins; positions move on."""
+def _images(bits: Bits, at: np.ndarray, ends: np.ndarray, width: np.ndarray, height: np.ndarray, main: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pixels of one entropy-coded image for every position, joined, and where each begins; positions move on. An image that reads beyond its file's end is an error at once."""
     lanes = len(at)
     cache_bits = bits.take(at, 1)
     cached = np.flatnonzero(cache_bits)
@@ -177,7 +181,7 @@ def _images(bits: Bits, at: np.ndarray, width: np.ndarray, height: np.ndarray, m
         q = at[i : i + 1]
         shift[i] = 2 + int(bits.take(q, 3)[0])
         size = 1 << shift[i]
-        maps[i], _ = _images(bits, q, -(-width[i : i + 1] // size), -(-height[i : i + 1] // size), False)
+        maps[i], _ = _images(bits, q, ends[i : i + 1], -(-width[i : i + 1] // size), -(-height[i : i + 1] // size), False)
         maps[i] = ((maps[i] >> np.uint32(8)) & np.uint32(0xFFFF)).astype(np.int64)
         groups[i] = maps[i].max() + 1
     first_group = np.concatenate(([0], np.cumsum(groups)))[:-1]
@@ -187,6 +191,8 @@ def _images(bits: Bits, at: np.ndarray, width: np.ndarray, height: np.ndarray, m
     for g in range(int(groups.max(initial=0))):
         some = np.flatnonzero(groups > g)
         for k in range(5):
+            if (at > ends).any():
+                raise WebPError("the data end too early")
             for n in np.unique(sizes[some]) if k == 0 else [tables[k].shape[1]]:
                 own = some[sizes[some] == n] if k == 0 else some
                 q = at[own]
@@ -208,7 +214,16 @@ def _images(bits: Bits, at: np.ndarray, width: np.ndarray, height: np.ndarray, m
     cb, cf = (32 - cache_bits).astype(np.uint32), cache_first
     here = place.copy()
     many_groups = bool(maps)
+    # Images of a single literal colour take no bits at all.
+    flat = (groups == 1) & green.trivial[first_group] & red.trivial[first_group] & blue.trivial[first_group] & alpha.trivial[first_group]
+    for i in np.flatnonzero(flat):
+        g, r, b, a = (int(c.table[c.first[first_group[i]]]) >> 4 for c in (green, red, blue, alpha))
+        if g < GREENS:
+            out[first[i] : first[i + 1]] = a << 24 | r << 16 | g << 8 | b
+            here[i] = stop[i]
     while len(lane):
+        if (where > ends[lane]).any():
+            raise WebPError("the data end too early")
         on = here < stop[lane]
         if not on.all():
             done = lane[~on]
@@ -275,7 +290,7 @@ def _images(bits: Bits, at: np.ndarray, width: np.ndarray, height: np.ndarray, m
             px = out[here[h_]]
             cache[cf[h_] + ((px * CACHE_FACTOR) >> cb[h_]).astype(np.int64)] = px
         here = here + moved
-    if (at > bits.end).any():
+    if (at > ends).any():
         raise WebPError("the data end too early")
     return out, first
 
@@ -292,12 +307,12 @@ def _packed(planes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(planes.astype(np.uint8)).view("<u4")[..., 0]
 
 
-def _predict(mode: int, left, top, corner, right) -> np.ndarray:
-    """One pixel from its neighbours, as channels in wider integers."""
+def _predict(mode: int, left: np.ndarray, top: np.ndarray, corner: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Pixels from their neighbours, as channels in wider integers."""
     average = lambda a, b: (a + b) >> 1
     if mode == 11:
-        d_left, d_top = np.abs(top - corner).sum(), np.abs(left - corner).sum()
-        return left if d_left < d_top else top
+        d_left, d_top = (np.abs(a - corner).sum(axis=-1, keepdims=True) for a in (top, left))
+        return np.where(d_left < d_top, left, top)
     if mode == 12:
         return np.clip(left + top - corner, 0, 255)
     if mode == 13:
@@ -307,31 +322,30 @@ def _predict(mode: int, left, top, corner, right) -> np.ndarray:
     return {
         1: lambda: left, 2: lambda: top, 3: lambda: right, 4: lambda: corner, 5: lambda: average(average(left, right), top), 6: lambda: average(left, corner),
         7: lambda: average(left, top), 8: lambda: average(corner, top), 9: lambda: average(top, right), 10: lambda: average(average(left, corner), average(top, right)),
-    }.get(mode, lambda: np.array([0, 0, 0, 255]))()
-
-
-def _neighbours(px: np.ndarray, k: int, w: int):
-    """Left, top, top left and top right of pixel k; the last column's top right is the next pixel in memory."""
-    return px[k - 1], px[k - w], px[k - w - 1], px[k - w + 1]
+    }.get(mode, lambda: np.broadcast_to(np.array([0, 0, 0, 255]), left.shape))()
 
 
 def predictor(px: np.ndarray, w: int, modes: np.ndarray, shift: int, invert: bool) -> np.ndarray:
-    """Add (or, to encode, subtract) each pixel's prediction."""
+    """Add (or, to encode, subtract) each pixel's prediction.
+
+    Pixels with equal x + 2 y need only pixels of smaller such sums, so they are done together. The first pixel is predicted as opaque black, the first row from the
+    left, the first column from above; the last column's top right is the next pixel in memory, its own row's first.
+    """
     source = _planes(px).astype(np.int64)
     out = source.copy()
-    ref = out if invert else source
-    across, sign = -(-w // (1 << shift)), 1 if invert else -1
-    for k in range(len(px)):
-        y, x = divmod(k, w)
-        if k == 0:
-            guess = np.array([0, 0, 0, 255])
-        elif y == 0:
-            guess = ref[k - 1]
-        elif x == 0:
-            guess = ref[k - w]
-        else:
-            guess = _predict(int(modes[(y >> shift) * across + (x >> shift)]), *_neighbours(ref, k, w))
-        out[k] = (source[k] + sign * guess) & 255
+    ref, sign, h = (out, 1, len(px) // w) if invert else (source, -1, len(px) // w)
+    y, x = np.divmod(np.arange(len(px)), w)
+    mode = modes[(y >> shift) * -(-w // (1 << shift)) + (x >> shift)].astype(np.int64)
+    mode[y == 0], mode[x == 0] = 1, 2
+    mode[:1] = 0
+    for t in range(w + 2 * h - 2):
+        rows = np.arange(max(0, -(-(t - w + 1) // 2)), min(h - 1, t // 2) + 1)
+        k = rows * w + t - 2 * rows
+        own = mode[k]
+        for m in np.unique(own):
+            i = k[own == m]
+            left, top, corner, right = (ref[np.maximum(0, i - d)] for d in (1, w, w + 1, w - 1))
+            out[i] = (source[i] + sign * _predict(int(m), left, top, corner, right)) & 255
     return _packed(out)
 
 
@@ -372,8 +386,8 @@ def unindex(px: np.ndarray, w: int, h: int, palette: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- decoding
 
 
-def decode(files: list[bytes]) -> list[tuple[int, int, np.ndarray]]:
-    """(width, height, pixels) of lossless WebP files; pixels are ARGB by rows."""
+def decode(files: list[bytes], most_pixels: int = MOST_PIXELS) -> list[tuple[int, int, np.ndarray]]:
+    """(width, height, pixels) of lossless WebP files; pixels are ARGB by rows. A file that claims more than ``most_pixels`` is an error."""
     if not files:
         return []
     offset = np.concatenate(([0], np.cumsum([len(f) for f in files])))
@@ -383,12 +397,17 @@ def decode(files: list[bytes]) -> list[tuple[int, int, np.ndarray]]:
             raise WebPError("not a lossless WebP file")
     at = (offset[:-1] + 21) * 8
     width, height = bits.take(at, 14) + 1, bits.take(at, 14) + 1
+    ends = offset[1:] * 8
+    if (width * height > most_pixels).any():
+        raise WebPError(f"more than {most_pixels} pixels")
     bits.take(at, 1)
     if bits.take(at, 3).any():
         raise WebPError("an unknown version")
     undo: dict[int, list] = {}
     coded = width.copy()
     while True:
+        if (at > ends).any():
+            raise WebPError("the data end too early")
         more = np.flatnonzero(bits.take(at, 1))
         if not len(more):
             break
@@ -398,18 +417,20 @@ def decode(files: list[bytes]) -> list[tuple[int, int, np.ndarray]]:
         for i in more:
             q = at[i : i + 1]
             kind = int(bits.take(q, 2)[0])
+            if any(kind == k for k, *_ in undo.get(int(i), [])):
+                raise WebPError("a transform comes twice")
             step: tuple = (kind, int(coded[i]))
             if kind in (PREDICTOR, CROSS_COLOUR):
                 shift = 2 + int(bits.take(q, 3)[0])
-                data, _ = _images(bits, q, -(-coded[i : i + 1] // (1 << shift)), -(-height[i : i + 1] // (1 << shift)), False)
+                data, _ = _images(bits, q, ends[i : i + 1], -(-coded[i : i + 1] // (1 << shift)), -(-height[i : i + 1] // (1 << shift)), False)
                 step += (data, shift)
             elif kind == COLOUR_INDEXING:
                 n = int(bits.take(q, 8)[0]) + 1
-                data, _ = _images(bits, q, np.array([n]), np.array([1]), False)
+                data, _ = _images(bits, q, ends[i : i + 1], np.array([n]), np.array([1]), False)
                 step += (_packed(np.cumsum(_planes(data), axis=0, dtype=np.uint8)),)
                 coded[i] = -(-coded[i] // (1 << _bundle(n)))
             undo.setdefault(int(i), []).append(step)
-    px, first = _images(bits, at, coded, height, True)
+    px, first = _images(bits, at, ends, coded, height, True)
     out = []
     for i in range(len(files)):
         own = px[first[i] : first[i + 1]]
