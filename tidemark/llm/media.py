@@ -37,7 +37,7 @@ def store_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch, data, at in slices(whole, "text"):
+            for batch, data, at in slices(whole, "text", 2 << 20):
                 n = np.diff(at)
                 rows = np.maximum(1, -(-n // UNIT))
                 first = np.concatenate(([0], np.cumsum(rows)))
@@ -55,7 +55,7 @@ def store_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {id_type}, n_bytes long, media binary")
 
 
-def _groups(values: list[bytes], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def _groups(values: list[bytes], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of values with about ``most`` bytes each."""
     a = 0
     while a < len(values):
