@@ -14,14 +14,17 @@ from tidemark.llm import langid, mixing, neardup, packing, secrets
 from tidemark.llm.common import read, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document goes if its language can't be told: no letter, or a calibrated probability below this.
-LEAST_SCORE = 0.4
+#: A document goes if its language can't be told: no letter, or a calibrated probability below this many times that of a guess (at most the second figure).
+TIMES_A_GUESS, LEAST_SCORE = 1.6, 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognisable language; where none is given, the predicted one is set."""
-    told = langid.predict(docs, langid.train(docs), keep=COLUMNS)
-    known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    """Documents with a recognisable language; where none is given, the predicted one is set. Where no document has a language, all with a letter stay."""
+    model = langid.train(docs)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    told = langid.predict(docs, model, keep=COLUMNS)
+    known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= min(LEAST_SCORE, TIMES_A_GUESS / len(model.languages)))
     return told.filter(known).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
