@@ -155,3 +155,47 @@ def test_query_on_a_small_table(spark):
 
     got = QUERIES["op1_lossless_webp"](spark, "/root/testdata/sf0.001")
     assert got.count() == got.filter(F.length("media_sha256") == 64).count() == 200
+
+
+def transforms(file):
+    """The kinds of a file's first transform, if any."""
+    head = int.from_bytes(file[20:32], "little") >> 40
+    return (head >> 1) & 3 if head & 1 else None
+
+
+def test_the_encoder_writes_transforms_where_they_are_shorter():
+    """Steps from the left or above, channels that follow green, and few colours: the file has the transform, and comes back as it was, whatever images lie beside it."""
+    rng = np.random.default_rng(5)
+    rows = np.array([16, 16, 1, 16, 3, 16])
+    n = int(rows.sum()) * 192
+    walk = np.cumsum(rng.integers(-2, 3, (n, 3)), axis=0)
+    above = np.cumsum(rng.integers(0, 2, (n // 192, 192, 3)), axis=0) + rng.integers(0, 256, (1, 192, 3))
+    green = rng.integers(0, 256, n)
+    follow = np.stack((green + rng.integers(0, 2, n), green, green + rng.integers(0, 2, n)), 1)
+    steps = np.cumsum(rng.integers(-20, 21, n))
+    both = np.stack((steps, steps, steps + rng.integers(0, 2, n)), 1)
+    few = rng.integers(0, 256, (250, 3))[rng.integers(0, 250, n)]
+    texts = rng.integers(97, 123, (n, 3))
+    for pixels, kind in ((walk, 0), (above, 0), (follow, 1), (both, 0), (few, 3), (texts, None)):
+        data = pixels.astype(np.uint8).ravel()
+        files = webp.encode_payloads(data, rows, 192)
+        px = np.concatenate([p for _, _, p in webp.decode(files)])
+        assert (np.stack(((px >> 16) & 255, (px >> 8) & 255, px & 255), 1).ravel() == data).all() and ((px >> 24) == 255).all()
+        assert transforms(files[0]) == kind
+        at = np.concatenate(([0], np.cumsum(rows))) * 576
+        assert files == [webp.encode_payloads(data[a:b], rows[i : i + 1], 192)[0] for i, (a, b) in enumerate(zip(at, at[1:]))]
+
+
+def test_palettes_of_any_size_and_fill():
+    rng = np.random.default_rng(6)
+    for colours in (1, 2, 3, 5, 16, 17, 256, 257):
+        data = np.concatenate((rng.integers(0, 256, (colours, 3))[rng.integers(0, colours, 2 * 192)].ravel(), np.full(576, 255))).astype(np.uint8)
+        px = webp.decode(webp.encode_payloads(data, np.array([3]), 192))[0][2]
+        assert (np.stack(((px >> 16) & 255, (px >> 8) & 255, px & 255), 1).ravel() == data).all()
+
+
+def test_one_mode_is_inverted_as_by_diagonals():
+    px = image(23, 17)
+    for mode in (1, 2):
+        coded = webp.predictor(px, 23, np.full(1, mode), 9, False)
+        assert (webp.predictor(coded, 23, np.full(1, mode), 9, True) == px).all()

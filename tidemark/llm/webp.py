@@ -2,12 +2,14 @@
 
 Images are lanes of numpy arrays: every step decodes one symbol of each image, so the Python work is a step's, not a pixel's. The decoder
 takes all of the format: prefix codes of 1 to 15 bits, prefix-code groups, back-references, colour caches, and the predictor,
-cross-colour, subtract-green and colour-indexing transforms. Pixels are ARGB in 32 bits.
+cross-colour, subtract-green and colour-indexing transforms. The encoder writes a palette, a predictor or a cross-colour transform where that gives a
+shorter file. Pixels are ARGB in 32 bits.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
 import numpy as np
 
@@ -331,6 +333,14 @@ def predictor(px: np.ndarray, w: int, modes: np.ndarray, shift: int, invert: boo
     Pixels with equal x + 2 y need only pixels of smaller such sums, so they are done together. The first pixel is predicted as opaque black, the first row from the
     left, the first column from above; the last column's top right is the next pixel in memory, its own row's first.
     """
+    if invert and len(modes) and (modes == modes[0]).all() and modes[0] in (1, 2):
+        # From the left or from above only: sums along rows and columns.
+        p = _planes(px).reshape(-1, w, 4).copy()
+        p[0, 0, 3] += np.uint8(255)
+        along = 1 if modes[0] == 1 else 0
+        edge = p[:, :1] if along else p[:1]
+        edge[...] = np.cumsum(edge, axis=1 - along, dtype=np.uint8)
+        return _packed(np.cumsum(p, axis=along, dtype=np.uint8).reshape(-1, 4))
     source = _planes(px).astype(np.int64)
     out = source.copy()
     ref, sign, h = (out, 1, len(px) // w) if invert else (source, -1, len(px) // w)
@@ -414,22 +424,31 @@ def decode(files: list[bytes], most_pixels: int = MOST_PIXELS) -> list[tuple[int
         # Lanes without a further transform stand at their image already; step back for the others' next turn.
         done = np.setdiff1d(np.arange(len(files)), more, assume_unique=True)
         at[done] -= 1
-        for i in more:
-            q = at[i : i + 1]
-            kind = int(bits.take(q, 2)[0])
-            if any(kind == k for k, *_ in undo.get(int(i), [])):
+        q = at[more]
+        kinds = bits.take(q, 2)
+        at[more] = q
+        for kind in range(4):
+            own = more[kinds == kind]
+            if not len(own):
+                continue
+            if any(kind == k for i in own for k, *_ in undo.get(int(i), [])):
                 raise WebPError("a transform comes twice")
-            step: tuple = (kind, int(coded[i]))
+            q = at[own]
+            wide = coded[own]
+            parts: list[tuple] = [()] * len(own)
             if kind in (PREDICTOR, CROSS_COLOUR):
-                shift = 2 + int(bits.take(q, 3)[0])
-                data, _ = _images(bits, q, ends[i : i + 1], -(-coded[i : i + 1] // (1 << shift)), -(-height[i : i + 1] // (1 << shift)), False)
-                step += (data, shift)
+                shift = 2 + bits.take(q, 3)
+                size = 1 << shift
+                data, begin = _images(bits, q, ends[own], -(-wide // size), -(-height[own] // size), False)
+                parts = [(data[begin[j] : begin[j + 1]], int(shift[j])) for j in range(len(own))]
             elif kind == COLOUR_INDEXING:
-                n = int(bits.take(q, 8)[0]) + 1
-                data, _ = _images(bits, q, ends[i : i + 1], np.array([n]), np.array([1]), False)
-                step += (_packed(np.cumsum(_planes(data), axis=0, dtype=np.uint8)),)
-                coded[i] = -(-coded[i] // (1 << _bundle(n)))
-            undo.setdefault(int(i), []).append(step)
+                n = bits.take(q, 8) + 1
+                data, begin = _images(bits, q, ends[own], n, np.ones(len(own), np.int64), False)
+                parts = [(_packed(np.cumsum(_planes(data[begin[j] : begin[j + 1]]), axis=0, dtype=np.uint8)),) for j in range(len(own))]
+                coded[own] = [-(-w // (1 << _bundle(int(c)))) for w, c in zip(wide, n)]
+            at[own] = q
+            for i, w, part in zip(own, wide, parts):
+                undo.setdefault(int(i), []).append((kind, int(w), *part))
     px, first = _images(bits, at, ends, coded, height, True)
     out = []
     for i in range(len(files)):
@@ -527,59 +546,60 @@ def _length_tokens(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return some // n, value, size
 
 
-def encode_payloads(data: np.ndarray, rows: np.ndarray, width: int) -> list[bytes]:
-    """One lossless WebP file for each count of pixel rows, of three payload bytes (red, green, blue) a pixel.
+def _entropy_coded(argb: np.ndarray, total: np.ndarray, main: bool, alpha: int) -> tuple[np.ndarray, Callable[[np.ndarray, np.ndarray], None], np.ndarray]:
+    """Bits of one entropy-coded image for each count of pixels, what writes them into words from given places on, and how many pixels are literals.
 
-    Pixels are literals, hits in a colour cache of 256, or runs of the pixel before as back-references.
+    Pixels of main images have one alpha, and are literals, hits in a colour cache of 256, or runs of the pixel before as back-references. Others (palettes) are literals;
+    their first pixel is opaque, the rest have no alpha.
     """
-    images = len(rows)
-    if not images:
-        return []
-    p = data.reshape(-1, 3).astype(np.uint32)
-    argb = BLACK | p[:, 0] << np.uint32(16) | p[:, 1] << np.uint32(8) | p[:, 2]
-    total = rows * width
+    images = len(total)
     first = np.concatenate(([0], np.cumsum(total)))
     image = np.repeat(np.arange(images), total)
     k = np.arange(len(argb))
-
-    same = np.concatenate(([False], argb[1:] == argb[:-1]))
-    same[first[:-1]] = False
-    begins = same & ~np.concatenate(([False], same[:-1]))
-    ends = same & ~np.concatenate((same[1:], [False]))
-    start, run = np.flatnonzero(begins), np.flatnonzero(ends) + 1 - np.flatnonzero(begins)
-    start, run = start[run >= 3], run[run >= 3]
-    covered = np.zeros(len(argb) + 1, np.int64)
-    covered[start] += 1
-    covered[start + run] -= 1
-    covered = np.cumsum(covered)[:-1] > 0
-
-    slot = ((argb * CACHE_FACTOR) >> np.uint32(32 - CACHE_BITS)).astype(np.int64)
-    by = np.argsort(image * (1 << CACHE_BITS) + slot, kind="stable")
-    key = (image * (1 << CACHE_BITS) + slot)[by]
-    hit = np.zeros(len(argb), bool)
-    hit[by[1:]] = (key[1:] == key[:-1]) & (argb[by[1:]] == argb[by[:-1]])
-
-    symbol = np.where(hit, GREENS + LENGTHS + slot, (argb >> np.uint32(8) & np.uint32(255)).astype(np.int64))
+    symbol = (argb >> np.uint32(8) & np.uint32(255)).astype(np.int64)
     extra, extra_bits = np.zeros(len(argb), np.int64), np.zeros(len(argb), np.int64)
-    step = run - 1
-    e = np.maximum(0, np.frexp(np.maximum(step, 1))[1] - 2)
-    prefix = np.where(step < 4, step, 2 * e + 2 + ((step >> e) & 1))
-    symbol[start] = GREENS + prefix
-    extra[start], extra_bits[start] = np.where(step < 4, 0, step - ((2 + (prefix & 1)) << e)), np.where(step < 4, 0, e)
-    kept = np.flatnonzero(~covered)
-    kept = np.sort(np.concatenate((kept, start)))
-    image, symbol, k, extra, extra_bits = image[kept], symbol[kept], k[kept], extra[kept], extra_bits[kept]
+    if main:
+        same = np.concatenate(([False], argb[1:] == argb[:-1]))
+        same[first[:-1]] = False
+        begins = same & ~np.concatenate(([False], same[:-1]))
+        ends = same & ~np.concatenate((same[1:], [False]))
+        start, run = np.flatnonzero(begins), np.flatnonzero(ends) + 1 - np.flatnonzero(begins)
+        start, run = start[run >= 3], run[run >= 3]
+        covered = np.zeros(len(argb) + 1, np.int64)
+        covered[start] += 1
+        covered[start + run] -= 1
+        covered = np.cumsum(covered)[:-1] > 0
+
+        slot = ((argb * CACHE_FACTOR) >> np.uint32(32 - CACHE_BITS)).astype(np.int64)
+        by = np.argsort(image * (1 << CACHE_BITS) + slot, kind="stable")
+        key = (image * (1 << CACHE_BITS) + slot)[by]
+        hit = np.zeros(len(argb), bool)
+        hit[by[1:]] = (key[1:] == key[:-1]) & (argb[by[1:]] == argb[by[:-1]])
+
+        symbol = np.where(hit, GREENS + LENGTHS + slot, symbol)
+        step = run - 1
+        e = np.maximum(0, np.frexp(np.maximum(step, 1))[1] - 2)
+        prefix = np.where(step < 4, step, 2 * e + 2 + ((step >> e) & 1))
+        symbol[start] = GREENS + prefix
+        extra[start], extra_bits[start] = np.where(step < 4, 0, step - ((2 + (prefix & 1)) << e)), np.where(step < 4, 0, e)
+        kept = np.sort(np.concatenate((np.flatnonzero(~covered), start)))
+        image, symbol, k, extra, extra_bits = image[kept], symbol[kept], k[kept], extra[kept], extra_bits[kept]
     literal = symbol < GREENS
-    red, blue = p[k, 0].astype(np.int64), p[k, 2].astype(np.int64)
+    red, blue = (argb[k] >> np.uint32(16) & np.uint32(255)).astype(np.int64), (argb[k] & np.uint32(255)).astype(np.int64)
 
-    alphabets = (GREENS + LENGTHS + (1 << CACHE_BITS), 256, 256)
+    alphabets = (GREENS + LENGTHS + (main << CACHE_BITS), 256, 256)
     used = ((image, symbol), (image[literal], red[literal]), (image[literal], blue[literal]))
     counts = [np.bincount(i * n + s, minlength=images * n).reshape(images, n) for n, (i, s) in zip(alphabets, used)]
     lengths, codes, tokens = [], [], []
     meta_bits = sum(int(META[s]) << (3 * i) for i, s in enumerate(LENGTH_ORDER))
-    for c in counts:
-        single = (c > 0).sum(axis=1) == 1
+    for j, c in enumerate(counts):
+        # A simple code names one symbol below 256; a green code of one other symbol is written in full, with a second one.
+        c[c.sum(axis=1) == 0, 0] = 1
         one = c.argmax(axis=1)
+        single = (c > 0).sum(axis=1) == 1
+        if j == 0:
+            lone = single & (one > 255)
+            c[lone, 0], single = 1, single & ~lone
         n = np.zeros(c.shape, np.int64)
         if (~single).any():
             n[~single] = _code_lengths(c[~single])
@@ -589,48 +609,187 @@ def encode_payloads(data: np.ndarray, rows: np.ndarray, width: int) -> list[byte
         tokens.append((single, one, np.flatnonzero(~single)[row] if len(row) else row, value, size))
 
     # Bit sizes of all parts, then their places.
-    fixed = 8 + 28 + 4 + 1 + 5 + 1  # signature, size, alpha and version, no transform, cache, one group
-    at = np.full(images, fixed)
+    at = np.full(images, 6 if main else 1)  # the cache, and (of main images) one group
     places = []
     for single, _, row, _, size in tokens:
-        code_bits = np.where(single, 11, 1 + 4 + 57 + 1) + np.bincount(row, size, images).astype(np.int64)
         places.append(at.copy())
-        at += code_bits
-    tail = at.copy()  # the alpha and distance codes, both of one symbol
-    at += 22
-    pixel_bits = lengths[0][image, symbol] + np.where(literal, lengths[1][image, red] + lengths[2][image, blue], extra_bits)
+        at += np.where(single, 11, 1 + 4 + 57 + 1) + np.bincount(row, size, images).astype(np.int64)
+    tail = at.copy()  # the alpha and distance codes
+    both = (total > 1) & (not main)
+    at += np.where(both, 19, 11) + 11
+    faded = both[image]
+    pixel_bits = lengths[0][image, symbol] + np.where(literal, lengths[1][image, red] + lengths[2][image, blue] + faded, extra_bits)
     body = at.copy()
     at = at + np.bincount(image, pixel_bits, images).astype(np.int64)
-    size = -(-at // 8)
+
+    def write(words: np.ndarray, bit: np.ndarray) -> None:
+        _put(words, bit, np.full(images, main | CACHE_BITS * main << 1))
+        for (single, one, row, value, bits_), place in zip(tokens, places):
+            where = bit + place
+            if single.any():
+                _put(words, where[single], 1 | 1 << 2 | one[single] << 3)
+            if len(row):
+                _put(words, where[~single], np.full(int((~single).sum()), 15 << 1))
+                _put(words, where[~single] + 5, np.full(int((~single).sum()), meta_bits))
+                before = np.cumsum(bits_) - bits_
+                at_row = np.searchsorted(row, row)
+                _put(words, where[row] + 63 + before - before[at_row], value)
+        no_distance = 1 | 1 << 2 | 1 << 3
+        _put(words, bit + tail, np.where(both, (1 | 1 << 1 | 1 << 2 | 255 << 11) | no_distance << 19, (1 | 1 << 2 | alpha << 3) | no_distance << 11))
+        before = np.cumsum(pixel_bits) - pixel_bits
+        at_image = np.searchsorted(image, np.arange(images))
+        g, r, b = lengths[0][image, symbol], lengths[1][image, red], lengths[2][image, blue]
+        opaque = (k == first[image]) & faded
+        coded = codes[1][image, red] | codes[2][image, blue] << r | opaque << (r + b)
+        _put(words, (bit + body)[image] + before - before[at_image][image], codes[0][image, symbol] | np.where(literal, coded, extra) << g)
+
+    return at, write, np.bincount(image[literal], minlength=images)
+
+
+def _files(argb: np.ndarray, total: np.ndarray, width: int, rows: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]] = [], palette=None, alpha: int = 255) -> tuple[list[bytes], np.ndarray]:
+    """Whole files of coded main images, and how many of their pixels are literals. ``steps`` are transforms of one block: (6 bits of head, its pixel), of all images; ``palette`` is (colours, how many for each image)."""
+    images = len(total)
+    at = np.full(images, 40)
+    if palette is not None:
+        inner, put_palette, _ = _entropy_coded(*palette, False, 255)
+        at += 11 + inner
+    at += 62 * len(steps) + 1
+    bits, put_main, literals = _entropy_coded(argb, total, True, alpha)
+    size = -(-(at + bits) // 8)
     whole = 20 + size + (size & 1)
     begin = np.concatenate(([0], np.cumsum(whole)))
     words = np.zeros(int(begin[-1]) // 4 + 4, np.uint64)
     bit = (begin[:-1] + 20) * 8
-
-    i_all = np.arange(images)
-    start_value = np.full(images, 0x2F) | (width - 1) << 8 | (rows - 1) << 22
-    _put(words, bit, start_value)
-    _put(words, bit + 40, np.full(images, 1 << 1 | CACHE_BITS << 2))
-    for (single, one, row, value, bits_), place in zip(tokens, places):
-        where = bit + place
-        _put(words, where[single], 1 | 1 << 2 | one[single] << 3) if single.any() else None
-        if len(row):
-            _put(words, where[~single], np.full(int((~single).sum()), 15 << 1))
-            _put(words, where[~single] + 5, np.full(int((~single).sum()), meta_bits))
-            before = np.cumsum(bits_) - bits_
-            at_row = np.searchsorted(row, row)
-            _put(words, where[row] + 63 + before - before[at_row], value)
-    _put(words, bit + tail, np.full(images, (1 | 1 << 2 | 255 << 3) | (1 | 1 << 2 | 1 << 3) << 11))
-    before = np.cumsum(pixel_bits) - pixel_bits
-    at_image = np.searchsorted(image, i_all)
-    g = lengths[0][image, symbol]
-    r = lengths[1][image, red]
-    value = codes[0][image, symbol] | np.where(literal, (codes[1][image, red] | codes[2][image, blue] << r), extra) << g
-    _put(words, (bit + body)[image] + before - before[at_image][image], value)
-
+    _put(words, bit, np.full(images, 0x2F) | (width - 1) << 8 | (rows - 1) << 22)
+    if palette is not None:
+        _put(words, bit + 40, 1 | COLOUR_INDEXING << 1 | (palette[1] - 1) << 3)
+        put_palette(words, bit + 51)
+    for i, (head, pixel) in enumerate(steps):
+        _put(words, bit + 40 + 62 * i, head)
+        # No cache, then codes of one symbol each: green, red, blue, opaque, and no distance.
+        blue, green, red = (pixel >> s & 255 for s in (0, 8, 16))
+        code = lambda v: 5 | v << 3
+        _put(words, bit + 47 + 62 * i, code(green) | code(red) << 11 | code(blue) << 22 | code(255) << 33)
+        _put(words, bit + 91 + 62 * i, np.full(images, code(0)))
+    put_main(words, bit + at)
     raw = words.astype("<u4").tobytes()
     out = []
     for i in range(images):
         n, a = int(size[i]), int(begin[i])
         out.append(struct.pack("<4sI8sI", b"RIFF", int(whole[i]) - 8, b"WEBPVP8L", n) + raw[a + 20 : a + int(whole[i])])
+    return out, literals
+
+
+#: Predictor modes and shares of green (32 is all) that the encoder tries, and the most colours of a palette.
+MODES, SHARES, COLOURS = (1, 2), (16, 32), 256
+#: Every third pixel tells what a transform is worth; palettes are tried where colours are literals this many times.
+SAMPLE, TIMES = 3, 1.25
+LOG2 = np.log2(np.maximum(np.arange(1 << 14), 1))
+
+
+def _residuals(p: np.ndarray, k: np.ndarray, width: int, top_row: np.ndarray, mode: int) -> np.ndarray:
+    """What a predictor (none, left or above) leaves of pixels ``k`` of [n, 3]; ``top_row`` marks those in an image's first row."""
+    if not mode:
+        return p[k]
+    edge = k % width == 0
+    back = np.where(top_row, 1, np.where(edge, width, width if mode == 2 else 1))
+    before = p[np.maximum(0, k - back)]
+    before[top_row & edge] = 0
+    return p[k] - before
+
+
+def _less_green(p: np.ndarray, share: int) -> np.ndarray:
+    """Pixels (red, green, blue) without shares of green in red and blue."""
+    delta = (share * p[:, 1].astype(np.int8).astype(np.int16) >> 5).astype(np.uint8)
+    return np.stack((p[:, 0] - delta, p[:, 1], p[:, 2] - delta), axis=1)
+
+
+def _information(p: np.ndarray, image: np.ndarray, images: int) -> np.ndarray:
+    """Bits of each image's pixels [n, 3] by the entropy of their channels."""
+    out = np.zeros(images)
+    for c in range(3):
+        n = np.bincount(image << 8 | p[:, c], minlength=images << 8)
+        total = n.reshape(images, 256).sum(axis=1)
+        out += total * LOG2[np.minimum(total, len(LOG2) - 1)] - (n * LOG2[np.minimum(n, len(LOG2) - 1)]).reshape(images, 256).sum(axis=1)
     return out
+
+
+def _of(chosen: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The pixels of chosen images."""
+    return np.repeat(chosen, total)
+
+
+def _argb(p: np.ndarray, alpha: int) -> np.ndarray:
+    q = p.astype(np.uint32)
+    return np.uint32(alpha << 24) | q[:, 0] << np.uint32(16) | q[:, 1] << np.uint32(8) | q[:, 2]
+
+
+def encode_payloads(data: np.ndarray, rows: np.ndarray, width: int) -> list[bytes]:
+    """One lossless WebP file for each count of pixel rows, of three payload bytes (red, green, blue) a pixel.
+
+    Every image is coded as it is; those of at most 256 colours that recur also by their palette, and those whose channels tell less after a predictor or without their
+    share of green also by these transforms. The shortest file stays, the plainest of equal ones.
+    """
+    images = len(rows)
+    if not images:
+        return []
+    p = data.reshape(-1, 3)
+    argb = _argb(p, 255)
+    total = rows * width
+    image = np.repeat(np.arange(images), total)
+    files, literals = _files(argb, total, width, rows)
+
+    def keep(chosen: np.ndarray, other: list[bytes]) -> None:
+        for i, f in zip(np.flatnonzero(chosen), other):
+            if len(f) < len(files[i]):
+                files[i] = f
+
+    # Palettes. Small ones have several indices in a pixel.
+    # A lower bound of the colours by 1,024 hashes saves the sort of most images.
+    slots = np.bincount(image << 10 | ((argb * CACHE_FACTOR) >> np.uint32(22)), minlength=images << 10).reshape(images, 1024)
+    few = (slots > 0).sum(axis=1) * TIMES <= np.minimum(literals, COLOURS * TIMES)
+    own = _of(few, total)
+    key = np.unique(image[own] << 32 | argb[own])
+    colours = np.bincount(key >> 32, minlength=images)
+    few &= (colours <= COLOURS) & (colours * TIMES <= literals)
+    for bundle in range(4):
+        some = few & (np.array([_bundle(n) for n in range(COLOURS + 1)])[np.minimum(colours, COLOURS)] == bundle)
+        if not some.any():
+            continue
+        own = key[some[key >> 32]]
+        at = np.concatenate(([0], np.cumsum(colours[some])))[:-1]
+        number = np.cumsum(some) - 1
+        index = np.searchsorted(own, image[_of(some, total)] << 32 | argb[_of(some, total)]) - at[number[image[_of(some, total)]]]
+        each, bits = 1 << bundle, 8 >> bundle
+        index = np.pad(index.reshape(-1, width), ((0, 0), (0, -width % each))).reshape(-1, each)
+        packed = (index << (np.arange(each) * bits)).sum(axis=1)
+        planes = _planes(own.astype(np.uint32))
+        steps = planes - np.concatenate((np.zeros((1, 4), np.uint8), planes[:-1]))
+        steps[at] = planes[at]
+        main = BLACK | packed.astype(np.uint32) << np.uint32(8)
+        keep(some, _files(main, rows[some] * -(-width // each), width, rows[some], palette=(_packed(steps), colours[some]))[0])
+
+    # Predictor and cross-colour, of one block each.
+    k = np.arange(len(p))
+    within = k - np.repeat(np.cumsum(total) - total, total)
+    top_row, some = within < width, np.flatnonzero(within % SAMPLE == 0)
+    best, how = np.full(images, np.inf), np.zeros((images, 2), np.int64)
+    for mode in (0, *MODES):
+        q = _residuals(p, some, width, top_row[some], mode)
+        for share in (0, *SHARES):
+            cost = SAMPLE * _information(_less_green(q, share) if share else q, image[some], images) + 62 * ((mode > 0) + (share > 0))
+            better = cost < best
+            best[better], how[better] = cost[better], (mode, share)
+    for mode, share in np.unique(how, axis=0).tolist():
+        if not (mode or share):
+            continue
+        some = (how == (mode, share)).all(axis=1)
+        own = _of(some, total)
+        q = _residuals(p, k[own], width, top_row[own], mode)
+        q = _less_green(q, share) if share else q
+        n = np.ones(int(some.sum()), np.int64)
+        steps = [(n * (1 | PREDICTOR << 1 | 7 << 3), n * (mode << 8))] if mode else []
+        steps += [(n * (1 | CROSS_COLOUR << 1 | 7 << 3), n * (share << 8 | share))] if share else []
+        alpha = 0 if mode else 255
+        keep(some, _files(_argb(q, alpha), total[some], width, rows[some], steps, alpha=alpha)[0])
+    return files
