@@ -30,7 +30,7 @@ GATHERED = 1_000_000
 #: Pairs dealt to one group that evaluates context trees.
 GROUP_PAIRS = 50_000
 #: Bytes of text that are worked on at once.
-PART = 2 << 20
+PART = 1 << 20
 GRAM, WORD = 0, 1
 
 
