@@ -87,7 +87,7 @@ def orders_enriched(orders: DataFrame, customers: DataFrame, items: DataFrame, p
     """Delivered orders with their customer, payments, items, dominant category and review; items are aggregated before they are joined.
 
     orders(order_id, customer_id, status, ts, payment_value, payment_type, review_score), customers(customer_id, state), items(order_id, product_id,
-    seller_id, price, freight, installment, coupon), products(product_id, category).
+    seller_id, price, freight, installment, coupon), products(product_id, category). Orders may bring avg_installments from their payments.
     """
     lines = items.join(products, "product_id", "left")
     per_order = lines.groupBy("order_id").agg(
@@ -99,6 +99,7 @@ def orders_enriched(orders: DataFrame, customers: DataFrame, items: DataFrame, p
         F.sum("coupon").alias("coupon_lines"),
         F.mode("category", True).alias("dominant_category"),
     )
+    per_order = per_order.drop("avg_installments") if "avg_installments" in orders.columns else per_order
     return (
         orders.filter(F.col("status") != "P")
         .join(customers, "customer_id", "left")
@@ -114,10 +115,10 @@ def latest_reviews(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("order_id").agg(last["review_score"].alias("review_score"))
 
 
-def customer_history(enriched: DataFrame, cutoff: str, window_start: str, window_end: str) -> DataFrame:
+def customer_history(enriched: DataFrame, cutoff: str, window_start: str, window_end: str, payment: str = "3-MEDIUM") -> DataFrame:
     """Per customer, the aggregates of orders before the cutoff, and churn: no order in the later window.
 
-    Orders between the cutoff day and the window count for neither.
+    Orders between the cutoff day and the window count for neither. ``payment`` is taken where no way to pay is known.
     """
     ts = F.col("ts")
     at = lambda s: F.lit(s).cast("timestamp_ntz")
@@ -138,7 +139,7 @@ def customer_history(enriched: DataFrame, cutoff: str, window_start: str, window
         F.coalesce(F.sum("coupon_lines"), F.lit(0)).alias("CouponLines"),
         F.min_by("state", F.struct("ts", "order_id")).alias("CustomerState"),
         F.min_by("region", F.struct("ts", "order_id")).alias("CustomerRegion"),
-        F.coalesce(F.mode("payment_type", True), F.lit("3-MEDIUM")).alias("PreferredPaymentMode"),
+        F.coalesce(F.mode("payment_type", True), F.lit(payment)).alias("PreferredPaymentMode"),
         F.coalesce(F.mode("dominant_category", True), F.lit("other")).alias("PreferedOrderCat"),
     )
     end = at(cutoff)
@@ -154,8 +155,8 @@ def customer_history(enriched: DataFrame, cutoff: str, window_start: str, window
 TIER_OF_REGION = {0: 1, 1: 1, 2: 2, 3: 2}
 
 
-def marketplace(history: DataFrame, hours: DataFrame) -> DataFrame:
-    """The marketplace adapter: a customer history and app use (customer_id, HourSpendOnApp) to the common columns and composites."""
+def marketplace(history: DataFrame, hours: DataFrame, tiers: dict[int, int] = TIER_OF_REGION) -> DataFrame:
+    """The marketplace adapter: a customer history and app use (customer_id, HourSpendOnApp) to the common columns and composites. ``tiers`` gives a region's city tier, 3 if none."""
     medians = history.agg(F.median("AvgOrderValue").alias("aov"), F.median("AvgFreightValue").alias("freight"))
     rows = one_row_join(history, medians).join(hours, "customer_id", "left")
     common = rows.withColumns(
@@ -163,7 +164,7 @@ def marketplace(history: DataFrame, hours: DataFrame) -> DataFrame:
             "OrderAmountHikeFromlastYear": r6(clip(F.col("AvgOrderValue") - F.col("aov"), low=0.0)),
             "SatisfactionScore": clip(F.bround("AvgReviewScore", 0), 1.0, 5.0).cast("int"),
             "Complain": (F.col("LowReviewCount") > 0).cast("int"),
-            "CityTier": mapped(F.col("CustomerRegion"), TIER_OF_REGION, 3),
+            "CityTier": mapped(F.col("CustomerRegion"), tiers, 3),
             "WarehouseToHome": r6(F.coalesce("AvgFreightValue", "freight")),
             "NumberOfAddress": F.lit(1),
             "CashbackAmount": r6(F.col("TotalSpend") / F.greatest("OrderCount", F.lit(1))),
@@ -175,6 +176,11 @@ def marketplace(history: DataFrame, hours: DataFrame) -> DataFrame:
     return composites(common).select("customer_id", "Churn", *CHURN_NUMERIC, "PreferredPaymentMode", "PreferedOrderCat", *COMPOSITES)
 
 
+def coded_categories(df: DataFrame) -> DataFrame:
+    """The marketplace's two categories as label codes, and a constant 0 for the three that it doesn't know."""
+    return encode(df, ["PreferredPaymentMode", "PreferedOrderCat"]).withColumns({c: F.lit(0) for c in ("Gender", "MaritalStatus", "PreferredLoginDevice")})
+
+
 # ---------------------------------------------------------------- telecom
 
 # The telecom table's flags, ratings and columns known only after the fact.

@@ -21,6 +21,16 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return one.select(F.round(F.when(d == 0, 1.0).otherwise((F.col("cells") - e) / d), 6).alias("ari"))
 
 
+def uplift_summary(df: DataFrame, score: str = "UpliftScore") -> DataFrame:
+    """One row: sizes and churn rates of the treated and the others (null without any), mean and population deviation of the uplift."""
+    treated, control = F.col("Treatment") == 1, F.col("Treatment") == 0
+    rate = lambda p: F.round(F.avg(F.when(p, F.col("Churn"))), 6)
+    return df.agg(
+        F.count_if(treated).alias("treatment_group_size"), F.count_if(control).alias("control_group_size"), rate(treated).alias("treatment_churn_rate"), rate(control).alias("control_churn_rate"),
+        F.round(F.avg(score), 6).alias("mean_uplift"), F.round(F.stddev_pop(score), 6).alias("std_uplift"),
+    )
+
+
 def _by_score(df: DataFrame, score: str, label: str) -> DataFrame:
     """Positives and negatives of each distinct score."""
     return df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))

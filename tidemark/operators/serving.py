@@ -121,15 +121,24 @@ def export_columns(plans: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- prompts and plans
 
 
+def with_profile(customers: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Customers with their segment's profile (``scoring.segment_profiles``) in columns ``profile_*``; null for a segment without one."""
+    p = profiles.select(F.col("Segment").alias("segment"), *[F.col(c).alias(f"profile_{c}") for c in profiles.columns if c != "Segment"])
+    return customers.join(p, "segment", "left")
+
+
 def prompts(customers: DataFrame, drivers: DataFrame) -> DataFrame:
-    """(customer_id, prompt): fourteen fields of a customer and its drivers, strongest first. ``drivers``: (CustomerID, Drivers)."""
+    """(customer_id, prompt): fourteen fields of a customer and its drivers, strongest first. ``drivers``: (CustomerID, Drivers). Customers ``with_profile`` get their segment's means and churn rate too."""
     d = drivers.select(F.col("CustomerID").alias("customer_id"), F.array_join(F.transform("Drivers", lambda e: F.format_string("%s %.4f", e["feature"], e["value"])), "; ").alias("why"))
     fields = F.format_string(
         "Customer %s. Segment: %s. Type: %s. Tier: %s. Churn probability %.1f%%. Uplift %.4f. Net ROI $%.2f. Tenure %.0f. Satisfaction %d of 5. Days since last order %.0f. Hours on app %.1f. Complained: %d. Orders %d. Cashback $%.2f.",
         "customer_id", "segment", "customer_type", "risk_tier", steady(F.col("churn_probability") * 100, 1), steady(F.col("uplift_score"), 4), steady(F.col("net_roi"), 2), "tenure", "satisfaction_score",
         "days_since_last_order", "hour_spend_on_app", "complain", "order_count", steady(F.col("cashback_amount"), 2),
     )
-    return customers.join(d, "customer_id", "left").select("customer_id", F.concat(fields, F.lit(" Drivers: "), F.coalesce("why", F.lit("none")), F.lit(".")).alias("prompt"))
+    means = [c for c in customers.columns if c.startswith("profile_")]
+    parts = [F.format_string(f"{c.removeprefix('profile_')} %s", F.col(c)) for c in means]
+    profile = F.concat(F.lit(" Segment profile: "), F.concat_ws(", ", *parts), F.lit(".")) if means else F.lit("")
+    return customers.join(d, "customer_id", "left").select("customer_id", F.concat(fields, F.lit(" Drivers: "), F.coalesce("why", F.lit("none")), F.lit("."), profile).alias("prompt"))
 
 
 def candidates(customers: DataFrame, types: tuple[str, ...] = ("Persuadable",), n: int = 50) -> DataFrame:

@@ -505,3 +505,62 @@ _add(
     "SELECT customer_id, segment, intervention_priority, risk, intervention_type, 'Email' AS channel, 'Within 24 hours' AS timing, NULL::VARCHAR AS error, "
     "'**Intervention:** ' || intervention_type || chr(10) || '**Channel:** Email | **Timing:** Within 24 hours' || chr(10) || '**Why they''re at risk:** ' || keyword AS display FROM typed2",
 )
+
+# ---------------------------------------------------------------- the adapters' steps
+
+
+def _payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as payments; open ones have no type."""
+    return load(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_extendedprice").alias("payment_value"), F.col("l_linenumber").alias("payment_installments"), F.when(F.col("l_linestatus") != "O", F.col("l_returnflag")).alias("payment_type")
+    )
+
+
+_add(
+    "order_payments",
+    lambda s, d: features.order_payments(_payments(s, d)).select("order_id", "payment_type", steady(F.col("payment_value"), 4).alias("payment_value"), steady(F.col("avg_installments"), 6).alias("avg_installments")),
+    f"p AS (SELECT l_orderkey AS order_id, l_extendedprice AS v, l_linenumber AS i, CASE WHEN l_linestatus <> 'O' THEN l_returnflag END AS kind FROM lineitem), m AS ({oracle._mode('order_id', 'kind', 'p', '')})",
+    "SELECT order_id, coalesce(m.v, 'credit_card') AS payment_type, round(sum(p.v) + 3.1e-7, 4) AS payment_value, round(avg(i) + 3.1e-9, 6) AS avg_installments FROM p LEFT JOIN m USING (order_id) GROUP BY order_id, m.v",
+)
+
+
+def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as reviews of their user; every ninth was never answered."""
+    n = F.col("event_id")
+    return load(spark, sf_dir, "events").select(F.col("user_id").alias("order_id"), n.alias("review_id"), F.when(n % 9 != 0, F.col("ts")).alias("answered_at"), (n % 5 + 1).alias("review_score"))
+
+
+_add(
+    "latest_reviews",
+    _on(_reviews, features.latest_reviews),
+    None,
+    "SELECT order_id, review_score FROM (SELECT user_id AS order_id, event_id % 5 + 1 AS review_score, row_number() OVER (PARTITION BY user_id ORDER BY (event_id % 9 = 0) DESC, CASE WHEN event_id % 9 <> 0 THEN ts END DESC, event_id DESC) AS k FROM events) WHERE k = 1",
+)
+_add(
+    "impute_all",
+    lambda s, d: features.impute_all(load(s, d, "part").select("p_partkey", *[F.when(F.col("p_partkey") % k != 0, F.col(c)).cast("double").alias(c) for c, k in (("p_size", 9), ("p_retailprice", 7))]), ("p_partkey",)),
+    "g AS (SELECT p_partkey, CASE WHEN p_partkey % 9 <> 0 THEN p_size END::DOUBLE AS s, CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice END AS r FROM part)",
+    "SELECT p_partkey, coalesce(s, (SELECT median(s) FROM g)) AS p_size, coalesce(r, (SELECT median(r) FROM g)) AS p_retailprice FROM g",
+)
+_coded = ["PreferredPaymentMode", "PreferedOrderCat"]
+_add(
+    "coded_categories",
+    lambda s, d: features.coded_categories(bind.customer_features(s, d)).select("CustomerID", *_coded, "Gender", "MaritalStatus", "PreferredLoginDevice"),
+    oracle.FEATURES,
+    f"SELECT CustomerID, {', '.join(f'(dense_rank() OVER (ORDER BY {c}) - 1)::INT AS {c}' for c in _coded)}, 0 AS Gender, 0 AS MaritalStatus, 0 AS PreferredLoginDevice FROM features",
+)
+_add(
+    "uplift_summary",
+    _on(bind.scored, metrics.uplift_summary),
+    S,
+    "SELECT sum(Treatment)::BIGINT AS treatment_group_size, sum(1 - Treatment)::BIGINT AS control_group_size, round(avg(CASE WHEN Treatment = 1 THEN Churn END), 6) AS treatment_churn_rate, round(avg(CASE WHEN Treatment = 0 THEN Churn END), 6) AS control_churn_rate, "
+    "round(avg(UpliftScore), 6) AS mean_uplift, round(stddev_pop(UpliftScore), 6) AS std_uplift FROM scored",
+)
+_profiled = ["Tenure", "OrderCount", "SatisfactionScore"]
+_add(
+    "profiled_candidates",
+    lambda s, d: serving.with_profile(serving.candidates(bind.customers(s, d)), scoring.segment_profiles(bind.scored(s, d))).select("customer_id", "segment", *[f"profile_{c}" for c in [*_profiled, "Count", "ChurnRate"]]),
+    C,
+    f"SELECT customer_id, segment, {', '.join(f'profile_{c}' for c in _profiled)}, profile_Count, profile_ChurnRate FROM (SELECT customer_id, segment {_P} ORDER BY intervention_priority NULLS LAST, customer_id LIMIT 50) "
+    f"LEFT JOIN (SELECT Segment AS segment, {', '.join(f'round(avg({c}), 3) AS profile_{c}' for c in _profiled)}, count(*) AS profile_Count, round(avg(Churn), 3) AS profile_ChurnRate FROM scored GROUP BY 1) USING (segment)",
+)

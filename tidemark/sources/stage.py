@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: dict[tuple[str, str, str], str] = {}
@@ -45,3 +46,11 @@ def save_stage(df: DataFrame, path: str) -> DataFrame:
     """A stage's result under a lasting path, overwritten as a whole; read back."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def load_stage(spark: SparkSession, path: str) -> DataFrame:
+    """A saved stage (models, figures, tables); an error that names it where it is absent."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no stage at {path}; run the batch that writes it") from e

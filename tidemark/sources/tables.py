@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +12,16 @@ from pyspark.sql.utils import AnalysisException
 # The file names a telecom folder may hold, in order of preference.
 CSV_NAMES = ("cell2celltrain.csv", "Cell2CellTrain.csv", "CELL2CELLTRAIN.csv", "cell2cell_train.csv", "train.csv", "TRAIN.csv", "cell2cell.csv", "Cell2Cell.csv", "cell2cell_data.csv")
 
+# The marketplace's tables and the files they come in.
+MARKETPLACE = {
+    "customers": "olist_customers_dataset.csv",
+    "orders": "olist_orders_dataset.csv",
+    "items": "olist_order_items_dataset.csv",
+    "payments": "olist_order_payments_dataset.csv",
+    "reviews": "olist_order_reviews_dataset.csv",
+    "products": "olist_products_dataset.csv",
+}
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table, with NaN as null in every floating column."""
@@ -56,3 +68,18 @@ def load_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
         return spark.read.schema(schema).parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A Parquet table, or by its ending a CSV. A missing file is a ``FileNotFoundError``, one that can't be read a ``RuntimeError``."""
+    try:
+        return nan_to_null(load_csv(spark, path, schema) if path.lower().endswith(".csv") else spark.read.parquet(path))
+    except (PySparkException, Py4JJavaError) as e:  # a job that fails while the schema is read comes as the latter
+        if isinstance(e, PySparkException) and e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"no table at {path}") from e
+        raise RuntimeError(f"the table at {path} can't be read") from e
+
+
+def load_marketplace(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The marketplace's six tables by name; an error for the first file that is missing."""
+    return {name: read_table(spark, f"{folder}/{file}") for name, file in MARKETPLACE.items()}
