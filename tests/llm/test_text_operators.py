@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 from tidemark.llm import langid, lm, packing, secrets
 from tidemark.llm.queries import QUERIES
+from tidemark.llm.vector import mix64
 
 SF = "/root/testdata/sf0.001"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -205,6 +206,66 @@ def test_language_of_tricky_rows(tricky, docs):
     assert langid.predict(tricky, None, keep=("doc_id",)).filter("lang_pred != 'und'").count() == 0
 
 
+def plain_ftrl(bodies, y, languages, s, idf, order):
+    """FTRL-proximal coordinate by coordinate, in plain Python: (weights, weights before the penalty of absolute values is applied)."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def features(body):
+        chars, seen = [ord(c) for c in body + "\n\n"], Counter()
+        for k in s.orders:
+            # The last n-grams of a text run over its end; what they hold is fixed by how many characters are left.
+            for i in range(len(chars)):
+                key = 0
+                for c in chars[i : i + k]:
+                    key = (key * 0x100000001B3 + c) % (1 << 64)
+                seen[int(mix64(np.array([(key + k) % (1 << 64)], np.uint64))[0]) & (s.buckets - 1)] += 1
+        return {j: c * idf[j] * s.scale / (len(body) + 2) for j, c in seen.items()}
+
+    def weight(j, c):
+        l1 = 0.0 if j is None else s.l1
+        if abs(z[j, c]) <= l1:
+            return 0.0
+        return -(z[j, c] - math.copysign(l1, z[j, c])) / ((s.beta + math.sqrt(n[j, c])) / s.alpha + s.l2)
+
+    for i in order:
+        x = {**features(bodies[i]), None: 1.0}
+        w = {(j, c): weight(j, c) for j in x for c in range(languages)}
+        scores = [math.exp(sum(x[j] * w[j, c] for j in x)) for c in range(languages)]
+        for j in x:
+            for c in range(languages):
+                g = x[j] * (scores[c] / sum(scores) - (y[i] == c))
+                z[j, c] += g - (math.sqrt(n[j, c] + g * g) - math.sqrt(n[j, c])) / s.alpha * w[j, c]
+                n[j, c] += g * g
+    return weight, z
+
+
+def test_fit_is_plain_follow_the_regularised_leader():
+    s = langid.Settings(buckets=512, epochs=2, l1=0.05)
+    bodies = ["the cat and the dog", "der hund und die katze", "le chat et le chien", "", "a", "das ist ein haus", "this is a house", "c'est une maison"]
+    y = np.array([0, 1, 2, 0, 2, 1, 0, 2])
+    idf = 1 + np.random.default_rng(3).random(s.buckets)
+    w, bias = langid._ftrl(bodies, y, 3, s, idf, 7)
+    rng = np.random.default_rng(7)
+    weight, z = plain_ftrl(bodies, y, 3, s, idf, [i for _ in range(s.epochs) for i in rng.permutation(len(bodies))])
+    want = np.array([[weight(j, c) for c in range(3)] for j in range(s.buckets)])
+    assert np.allclose(w, want, atol=1e-9) and np.allclose(bias, [weight(None, c) for c in range(3)], atol=1e-9)
+    touched = np.array([[z[j, c] != 0 for c in range(3)] for j in range(s.buckets)])
+    assert (w[touched] == 0).any() and (w[touched] != 0).any()  # the penalty of absolute values makes weights sparse
+    model = langid.Model(("de", "en", "fr"), np.ascontiguousarray((w * idf[:, None]).T.astype(np.float32)), bias, 1.0, s)
+    for b, got in zip(bodies, langid._scores(bodies, model)):
+        j, x = langid._features(b, s, idf)
+        assert np.allclose(got, x @ w[j] + bias, atol=1e-4)
+
+
+def test_a_text_is_scored_alike_whatever_follows():
+    s = langid.Settings(buckets=512)
+    rng = np.random.default_rng(1)
+    model = langid.Model(("x", "y"), rng.normal(size=(2, s.buckets)).astype(np.float32), np.zeros(2), 1.0, s)
+    bodies = ["one text", "", "ü", "another text", "one text", "z"]
+    together = langid._scores(bodies, model)
+    assert np.allclose(together, [langid._scores([b], model)[0] for b in bodies], atol=1e-9) and (together[0] == together[4]).all()
+
+
 def test_temperature_calibrates():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 3, 3000)

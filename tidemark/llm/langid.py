@@ -51,7 +51,7 @@ class Model:
 def _grams(bodies: list[str], s: Settings) -> tuple[list[np.ndarray], np.ndarray]:
     """For each order, the bucket of the n-gram that begins at each character of the joined texts; and where each text begins.
 
-    Two line feeds stand after each text, so no n-gram meets the next one.
+    Two line feeds stand after each text; n-grams of up to three characters that begin at them are those of the last text, which nothing follows, so no text meets the next one.
     """
     joined = "\n\n".join(bodies) + "\n\n"
     chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -60,7 +60,9 @@ def _grams(bodies: list[str], s: Settings) -> tuple[list[np.ndarray], np.ndarray
     for n in range(1, max(s.orders) + 1):
         key[: len(chars) - n + 1] = key[: len(chars) - n + 1] * np.uint64(0x100000001B3) + chars[n - 1 :]
         if n in s.orders:
-            out.append((mix64(key + np.uint64(n)) & np.uint64(s.buckets - 1)).astype(np.int32))
+            g = (mix64(key + np.uint64(n)) & np.uint64(s.buckets - 1)).astype(np.int32)
+            g[at[1:] - 2], g[at[1:] - 1] = g[-2], g[-1]
+            out.append(g)
     return out, at
 
 
@@ -215,6 +217,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[
     """The columns ``keep`` and (lang_pred, score): the likeliest language and its calibrated probability, of whole texts.
 
     ``und`` with score 0 where the text is null or has no letter, or there is no model.
+    Of equally likely languages the first by code point is told. Repeated rows and ids each get a row; no rows: no rows.
     """
     if model is None:
         return df.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
