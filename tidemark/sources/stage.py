@@ -23,6 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage: ``df`` written as Parquet under the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def staged(spark: SparkSession, inputs: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table ``name`` made from the folder ``inputs``: built and written as Parquet at its first use in a session, read back afterwards.
 
