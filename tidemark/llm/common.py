@@ -2,27 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.sources.stage import shared_dir
+from tidemark.sources.stage import written
+
+__all__ = ["by_bytes", "partitions", "read", "refuse", "texts", "utf8", "written"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet under the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -42,3 +36,20 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def texts(column: pa.Array) -> list[str]:
     """Python texts, nulls as empty."""
     return column.fill_null("").to_pylist()
+
+
+def refuse(names: list[str] | tuple[str, ...], reserved: tuple[str, ...]) -> None:
+    """An error, on the driver, for kept columns that have the name of a result or of a column that is needed on the way."""
+    clash = sorted({n.lower() for n in names} & {r.lower() for r in reserved})
+    if clash:
+        raise ValueError(f"rename these columns first: {', '.join(clash)}")
+
+
+def by_bytes(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have about ``most`` bytes together, one text at least."""
+    _, at = utf8(batch.column(column))
+    a = 0
+    while a < len(batch):
+        b = max(a + 1, int(np.searchsorted(at, at[a] + most, "right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
