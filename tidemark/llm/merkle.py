@@ -105,14 +105,14 @@ def paths(rounds: list[DataFrame], above: DataFrame, arity: int = ARITY, levels:
     return out.drop("nth")
 
 
-def manifest(df: DataFrame, columns: tuple[str, ...], doc_id: str = "doc_id", source: str = "source", tampered: dict[str, Column] | None = None) -> DataFrame:
+def manifest(df: DataFrame, columns: tuple[str, ...], doc_id: str = "doc_id", source: str = "source", tampered: dict[str, Column] | None = None, levels: int = LEVELS) -> DataFrame:
     """(doc_id, source, leaf, tampered_leaf, subroot, root, path): the place of every row in a tree of sources, each a tree of its rows.
 
     A leaf is the SHA-256 of ``columns`` in their order (``field``); digests are lowercase hex. In a source, leaves ascend by id; sources ascend by name, null first, bytewise. While there are several nodes, every
     three consecutive ones become the digest of their hex digests (the last run may be shorter, down to one). ``path`` has the siblings of a leaf for each level up to ``root``: ``fold(leaf, path)`` gives the root
     for an untampered leaf. ``tampered`` gives some columns another content: ``tampered_leaf`` is the leaf of that row, null where nothing is tampered with.
 
-    Leaves are placed by ``running`` ranks, so a source of any size is spread over tasks; blocks of 729 ordered leaves are collapsed natively and their roots again, until a source is one block.
+    Leaves are placed by ``running`` ranks, so a source of any size is spread over tasks; blocks of ``3 ** levels`` (729) ordered leaves are collapsed natively and their roots again, until a source is one block.
     Null columns are ``-``. Null ids come first; rows of one id go by leaf, and repeated rows are leaves of their own. A null source is a source. No rows: no rows. Further columns are ignored,
     so their names can't clash.
     """
@@ -121,12 +121,12 @@ def manifest(df: DataFrame, columns: tuple[str, ...], doc_id: str = "doc_id", so
     tree = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
     leaves = written(df.select(tree.alias("tree"), F.col(doc_id).alias("id"), leaf.alias("leaf"), other.alias("other")))
     placed = running(leaves, [F.col("tree")], [F.col("id"), F.col("leaf")], name="nth", total="size")
-    rounds = tree_blocks(placed.select("tree", "nth", "size", "leaf", F.struct("id", F.when(F.col("other") != F.col("leaf"), F.col("other")).alias("other")).alias("row")))
+    rounds = tree_blocks(placed.select("tree", "nth", "size", "leaf", F.struct("id", F.when(F.col("other") != F.col("leaf"), F.col("other")).alias("other")).alias("row")), levels=levels)
 
     sources = roots(rounds).select(F.col("tree").alias("row"), F.col("root").alias("leaf"))
     sources = running(sources, [], [F.col("row")], name="nth", total="size").withColumn("tree", F.lit(""))
-    source_rounds = tree_blocks(sources)
+    source_rounds = tree_blocks(sources, levels=levels)
     none = F.array().cast("array<struct<left:string,right:string>>")
-    above = paths(source_rounds, roots(source_rounds).withColumn("path", none)).select(F.col("row").alias("tree"), "path", F.col("leaf").alias("subroot"), "root")
-    out = paths(rounds, above)
+    above = paths(source_rounds, roots(source_rounds).withColumn("path", none), levels=levels).select(F.col("row").alias("tree"), "path", F.col("leaf").alias("subroot"), "root")
+    out = paths(rounds, above, levels=levels)
     return out.select(F.col("row.id").alias("doc_id"), F.when(F.col("tree") != "", F.substr("tree", F.lit(2))).alias("source"), "leaf", F.col("row.other").alias("tampered_leaf"), "subroot", "root", "path")
