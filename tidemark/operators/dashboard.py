@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.semantics import CLV, COST, js_round, steady
+from tidemark.operators.ranks import quantiles
 from tidemark.operators.scoring import confidence
 
 HIGH, MEDIUM, LOW = "High Risk", "Medium Risk", "Low Risk"
@@ -124,9 +125,11 @@ def priority_list(customers: DataFrame, clv: float, cost: float, n: int = 100) -
 
 
 def uplift_box(customers: DataFrame) -> DataFrame:
-    q = F.percentile("uplift_score", F.lit([0.0, 0.25, 0.5, 0.75, 1.0]))
+    """(segment, low, q1, median, q3, high) of the uplift, exact, one row for each segment."""
+    got = quantiles(customers, ["uplift_score"], [0.0, 0.25, 0.5, 0.75, 1.0], by="segment")
     names = ["low", "q1", "median", "q3", "high"]
-    return customers.groupBy("segment").agg(q.alias("q")).select("segment", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(names)])
+    rows = customers.sparkSession.createDataFrame([(g, *q) for (g, _), q in got.items()], "segment string, " + ", ".join(f"{n} double" for n in names))
+    return rows.select("segment", *[F.round(n, 6).alias(n) for n in names])
 
 
 def heatmap(profiles: DataFrame, columns: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.semantics import clip, first_digits, is_true, mapped, r6, whole_days, with_default, yes_no
+from tidemark.operators.ranks import median_row, running
+from tidemark.sources.stage import written
 
 # Column names of the inputs and features, and which of them each model takes.
 COMPOSITES = ["EngagementScore", "RecencySignal", "StickinessIndex", "SpendTrend", "SupportRiskScore", "DiscountSensitivity", "TenureStability", "WarehouseFriction"]
@@ -52,26 +54,44 @@ def composites(df: DataFrame, stats: DataFrame | None = None, guard: bool = Fals
 
 
 def impute_medians(df: DataFrame, columns: list[str], medians: DataFrame | None = None) -> DataFrame:
-    """Nulls become the column's exact median (of all rows, or of the given one-row statistics)."""
+    """Nulls become the column's exact median (of all rows, or of the given one-row statistics); the columns become doubles. A column without a known value stays null.
+
+    Medians are selected in passes of bounded state (``ranks.quantiles``), and only for columns that have nulls.
+    """
     present = [c for c in columns if c in df.columns]
     if not present:
         return df
     if medians is None:
-        medians = df.agg(*[F.median(c).alias(f"median_{c}") for c in present])
-    return one_row_join(df, medians).withColumns({c: F.coalesce(F.col(c), F.col(f"median_{c}")) for c in present}).drop(*medians.columns)
+        narrow = written(df.select(*present))
+        missing = narrow.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in present]).first()
+        medians = median_row(narrow, [c for c in present if missing[c]]) if any(missing) else None
+    known = [] if medians is None else medians.columns
+    out = df if medians is None else one_row_join(df, medians)
+    return out.withColumns({c: F.coalesce(F.col(c), F.col(f"median_{c}")) if f"median_{c}" in known else F.col(c).cast("double") for c in present}).drop(*known)
 
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """(value, code): codes from 0 by sorted value; null is the category ``nan``. One row for each category."""
-    values = df.select(F.coalesce(F.col(column).cast("string"), F.lit("nan")).alias("value")).distinct()
-    return values.withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("int"))
+    return all_codes(df, [column]).select("value", "code")
+
+
+def _category(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit("nan"))
+
+
+def all_codes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, code) of all the columns' categories, from one pass; places among a column's values come from ranges of them, so one may have very many."""
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _category(c).alias("value")) for c in columns])).alias("e")).select("e.*").distinct()
+    return running(each, [F.col("column")], [F.col("value")], {"code": F.lit(1)}).withColumn("code", F.col("code").cast("int"))
 
 
 def encode(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Categories replaced by their codes."""
-    for c in [c for c in columns if c in df.columns]:
-        codes = label_codes(df, c).withColumnRenamed("value", "_value")
-        df = df.join(codes, F.coalesce(F.col(c).cast("string"), F.lit("nan")) == F.col("_value"), "left").withColumn(c, F.col("code")).drop("_value", "code")
+    """Categories replaced by their codes; Spark broadcasts a column's codes if they are small."""
+    present = [c for c in columns if c in df.columns]
+    codes = written(all_codes(df, present)) if present else None
+    for c in present:
+        own = codes.filter(F.col("column") == c).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+        df = df.join(own, _category(c) == F.col("_value"), "left").withColumn(c, F.col("_code")).drop("_value", "_code")
     return df
 
 
@@ -157,7 +177,8 @@ TIER_OF_REGION = {0: 1, 1: 1, 2: 2, 3: 2}
 
 def marketplace(history: DataFrame, hours: DataFrame, tiers: dict[int, int] = TIER_OF_REGION) -> DataFrame:
     """The marketplace adapter: a customer history and app use (customer_id, HourSpendOnApp) to the common columns and composites. ``tiers`` gives a region's city tier, 3 if none."""
-    medians = history.agg(F.median("AvgOrderValue").alias("aov"), F.median("AvgFreightValue").alias("freight"))
+    history = written(history)
+    medians = median_row(history, ["AvgOrderValue", "AvgFreightValue"]).toDF("aov", "freight")
     rows = one_row_join(history, medians).join(hours, "customer_id", "left")
     common = rows.withColumns(
         {
@@ -172,8 +193,8 @@ def marketplace(history: DataFrame, hours: DataFrame, tiers: dict[int, int] = TI
             "NumberOfDeviceRegistered": clip(F.col("DistinctSellers"), 1, 5).cast("int"),
         }
     )
-    common = impute_medians(common, ["HourSpendOnApp"])
-    return composites(common).select("customer_id", "Churn", *CHURN_NUMERIC, "PreferredPaymentMode", "PreferedOrderCat", *COMPOSITES)
+    common = written(impute_medians(common, ["HourSpendOnApp"]))
+    return filled(composites(common).select("customer_id", "Churn", *CHURN_NUMERIC, "PreferredPaymentMode", "PreferedOrderCat", *COMPOSITES), ("customer_id", "Churn"))
 
 
 def coded_categories(df: DataFrame) -> DataFrame:
@@ -245,7 +266,7 @@ def telecom(df: DataFrame) -> DataFrame:
         num("HandsetWebCapable", 0).cast("int").alias("PreferredLoginDevice"),
     )
     common = encode(common, ["PreferedOrderCat", "MaritalStatus"])
-    return impute_medians(composites(common, guard=True), ["Tenure", "OrderCount", "TenureStability", "EngagementScore", "DiscountSensitivity"])
+    return filled(composites(common, guard=True))
 
 
 def impute_all(df: DataFrame, skip: tuple[str, ...] = ("CustomerID", "Churn")) -> DataFrame:
@@ -253,6 +274,18 @@ def impute_all(df: DataFrame, skip: tuple[str, ...] = ("CustomerID", "Churn")) -
     return impute_medians(df, [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in skip])
 
 
+def filled(df: DataFrame, skip: tuple[str, ...] = ("CustomerID", "Churn")) -> DataFrame:
+    """As ``impute_all``, the last step of the adapters; whole-number columns without a null keep their type."""
+    df = written(df)
+    types = {f.name: f.dataType for f in df.schema if isinstance(f.dataType, T.IntegralType)}
+    out = impute_all(df, skip)
+    whole = [c for c in types if c not in skip]
+    if whole:
+        missing = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in whole]).first()
+        out = out.withColumns({c: F.col(c).cast(types[c]) for c in whole if not missing[c]})
+    return out
+
+
 def order_payments(payments: DataFrame) -> DataFrame:
     """(order_id, payment_value, avg_installments, payment_type): of an order's payments the sum, the mean number of instalments and the commonest type (ties to the smallest; credit_card if none is known)."""
     return payments.groupBy("order_id").agg(

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import running
+
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     """(ari) of two labelings; 1 where both are trivial."""
@@ -39,12 +41,10 @@ def _by_score(df: DataFrame, score: str, label: str) -> DataFrame:
 def auc_ap_brier(df: DataFrame, score: str, label: str) -> DataFrame:
     """(auc, ap, brier): rank-sum AUC with average ties, stepwise average precision, mean squared error; 0.5 and 0 with one class.
 
-    Windows run over distinct scores, not rows.
+    Ranks are running sums over ranges of the distinct scores.
     """
-    d = _by_score(df.filter(F.col(score).isNotNull()), score, label)
-    up = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.orderBy(F.desc("s"))
-    d = d.withColumn("below", F.coalesce(F.sum("n").over(up), F.lit(0))).withColumn("tp", F.sum("p").over(down)).withColumn("seen", F.sum("n").over(down))
+    d = running(_by_score(df.filter(F.col(score).isNotNull()), score, label), [], [F.col("s")], {"below": F.col("n"), "hits": F.col("p")}, {"all": F.col("n"), "positives": F.col("p")})
+    d = d.withColumn("tp", F.col("positives") - F.col("hits")).withColumn("seen", F.col("all") - F.col("below"))
     t = d.agg(F.sum("p").alias("P"), F.sum("n").alias("N"), F.sum(F.col("p") * (F.col("below") + (F.col("n") + 1) / 2)).alias("ranks"), F.sum(F.col("p") * F.col("tp") / F.col("seen")).alias("precision"))
     neg = F.col("N") - F.col("P")
     both = (F.col("P") > 0) & (neg > 0)
@@ -73,15 +73,12 @@ def class_weights(df: DataFrame, by: str, label: str) -> DataFrame:
     return df.groupBy(by).agg(pos.alias("positives"), neg.alias("negatives"), F.round(F.when(pos == 0, 5.0).otherwise(F.greatest(F.lit(1.0), F.try_divide(neg, pos))), 6).alias("weight"))
 
 
-def _nth(strata: list[str], order: Column) -> Column:
-    return F.row_number().over(Window.partitionBy(*strata).orderBy(order))
-
-
 def stratified_split(df: DataFrame, strata: list[str], order: Column, share: float = 0.8) -> DataFrame:
-    """Adds ``is_train``: in each stratum exactly the rounded share of rows, first by the order."""
-    n = F.count("*").over(Window.partitionBy(*strata))
-    return df.withColumn("is_train", _nth(strata, order) <= F.round(n * share))
+    """Adds ``is_train``: in each stratum exactly the rounded share of rows, first by the order. Strata of any size are ranked by ranges."""
+    placed = running(df, [F.col(s) for s in strata], [order], {"is_train": F.lit(1)}, {"_n": F.lit(1)})
+    return placed.withColumn("is_train", F.col("is_train") < F.round(F.col("_n") * share)).drop("_n")
 
 
 def stratified_folds(df: DataFrame, strata: list[str], order: Column, folds: int = 3) -> DataFrame:
-    return df.withColumn("fold", ((_nth(strata, order) - 1) % folds).cast("int"))
+    """Adds ``fold``: a stratum's rows are dealt to the folds in turn, by the order."""
+    return running(df, [F.col(s) for s in strata], [order], {"fold": F.lit(1)}).withColumn("fold", (F.col("fold") % folds).cast("int"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.semantics import CLV, COST, SEGMENTS, customer_type, is_true, r6, risk_tier, steady
 from tidemark.operators.features import CLUSTERING
+from tidemark.operators.ranks import running
 
 #: A scorecard stands in for trained models where results must be reproducible: fixed centroids and weights over the composites.
 CENTROID_COLUMNS = ["EngagementScore", "RecencySignal", "SpendTrend", "SupportRiskScore"]
@@ -65,11 +66,10 @@ def intervention_roi(df: DataFrame, clv: float = CLV, cost: float = COST) -> Dat
     """Adds expected value, net ROI, its sign, and a descending average-tie rank among Persuadables (null for others)."""
     df = df.withColumn("ExpectedRetainedValue", r6(F.col("UpliftScore") * clv)).withColumn("InterventionCost", F.lit(cost))
     df = df.withColumn("NetROI", r6(F.col("ExpectedRetainedValue") - F.col("InterventionCost"))).withColumn("ROIPositive", F.col("NetROI") > 0)
-    # Ranks over the distinct ROI values: a window over them, not over all customers.
+    # Ranks over the distinct ROI values and their counts, by ranges of them.
     persuadable = F.col("CustomerType") == "Persuadable"
     values = df.filter(persuadable).groupBy("NetROI").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("NetROI")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = values.select(F.col("NetROI").alias("_roi"), (before + (F.col("n") + 1) / 2.0).alias("InterventionPriority"))
+    ranks = running(values, [], [-F.col("NetROI")], {"before": F.col("n")}).select(F.col("NetROI").alias("_roi"), (F.col("before") + (F.col("n") + 1) / 2.0).alias("InterventionPriority"))
     return df.join(ranks, persuadable & (F.col("NetROI") == F.col("_roi")), "left").drop("_roi")
 
 
