@@ -120,11 +120,11 @@ def manifest(df: DataFrame, columns: tuple[str, ...], doc_id: str = "doc_id", so
     other = digest(*[field((tampered or {}).get(c, F.col(c))) for c in columns]) if tampered else F.lit(None).cast("string")
     tree = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
     leaves = written(df.select(tree.alias("tree"), F.col(doc_id).alias("id"), leaf.alias("leaf"), other.alias("other")))
-    placed = running(leaves, [F.col("tree")], [F.col("id"), F.col("leaf")], name="nth", total="size")
+    placed = running(leaves, [F.col("tree")], [F.col("id"), F.col("leaf")], {"nth": F.lit(1)}, {"size": F.lit(1)})
     rounds = tree_blocks(placed.select("tree", "nth", "size", "leaf", F.struct("id", F.when(F.col("other") != F.col("leaf"), F.col("other")).alias("other")).alias("row")), levels=levels)
 
     sources = roots(rounds).select(F.col("tree").alias("row"), F.col("root").alias("leaf"))
-    sources = running(sources, [], [F.col("row")], name="nth", total="size").withColumn("tree", F.lit(""))
+    sources = running(sources, [], [F.col("row")], {"nth": F.lit(1)}, {"size": F.lit(1)}).withColumn("tree", F.lit(""))
     source_rounds = tree_blocks(sources, levels=levels)
     none = F.array().cast("array<struct<left:string,right:string>>")
     above = paths(source_rounds, roots(source_rounds).withColumn("path", none), levels=levels).select(F.col("row").alias("tree"), "path", F.col("leaf").alias("subroot"), "root")
