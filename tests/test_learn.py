@@ -5,7 +5,7 @@ import inspect
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.operators import boosting, learn
+from tidemark.operators import boosting, forest, learn
 from tidemark.plans import batch, registry
 
 SF = "/root/testdata/sf0.001"
@@ -83,7 +83,80 @@ def test_churn_models_have_figures_and_small_segments_none(spark):
     got = learn.segment_scores(df, models=models)
     assert got.count() == 530 and {tuple(x) for x in got.groupBy("Segment").agg(F.count("ChurnProbability")).collect()} == {("a", 400), ("b", 0), ("c", 0)}
     assert {x["Segment"] for x in learn.model_drivers(df, models).collect()} == {"a"}
-    assert learn.run_metrics(models).count() == 7
+    assert learn.run_metrics(models).count() == 8 and 0.5 < r[0]["cv_ap"] <= 1 and list(r[0]["features"]) == learn.CHURN_FEATURES and len(learn.CHURN_FEATURES) == 26
+
+
+def labelled(spark, n=1600, segments=("a", "b"), seed=4):
+    """Rows whose churn hangs on two features and a category's code; the segments differ in sign and in size."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, len(learn.CHURN_FEATURES)))
+    code = learn.CHURN_FEATURES.index("Gender")
+    x[:, code] = rng.integers(0, 3, n)
+    seg = np.where(rng.random(n) < 0.8, segments[0], segments[-1])
+    score = np.where(seg == "a", 1, -1) * x[:, 0] + 1.5 * (x[:, code] == 1) - 1 + 0.7 * rng.normal(size=n)
+    rows = [(str(i), str(seg[i]), int(score[i] > 0), *map(float, x[i])) for i in range(n)]
+    return spark.createDataFrame(rows, "CustomerID string, Segment string, Churn int, " + ", ".join(f"{c} double" for c in learn.CHURN_FEATURES)).repartition(6)
+
+
+def test_a_fit_on_all_rows_is_as_good_as_that_of_one_task(spark):
+    df = labelled(spark)
+    how = {"rounds": 24, "depth": 3, "cv_rounds": 6}
+    one = {r["Segment"]: r for r in learn.churn_models(df, **how).collect()}
+    every = learn.churn_models(df, most=None, **how).persist()
+    got = {r["Segment"]: r for r in every.collect()}
+    assert set(got) == set(one) == {"a", "b"}
+    for s in got:
+        assert got[s]["rows"] == one[s]["rows"] and list(got[s]["features"]) == learn.CHURN_FEATURES
+        assert abs(got[s]["holdout_auc"] - one[s]["holdout_auc"]) < 0.02 and abs(got[s]["train_auc"] - one[s]["train_auc"]) < 0.02 and abs(got[s]["cv_auc"] - one[s]["cv_auc"]) < 0.03
+        assert {learn.CHURN_FEATURES[i] for i in np.argsort(-np.array(got[s]["importance"]))[:2]} == {"Gender", learn.CHURN_FEATURES[0]}
+    assert learn.segment_scores(df, models=every).filter("ChurnProbability is null").count() == 0
+
+
+def test_sums_over_tasks_give_the_trees_of_one_task(spark):
+    """With the same bins, level by level fits are those of plain numpy, across written margins and folds."""
+    rng = np.random.default_rng(8)
+    n = 500
+    x = rng.integers(0, 9, (n, 4)).astype(float)
+    y = (x[:, 0] + x[:, 1] * (x[:, 2] > 4) + rng.normal(size=n) > 8).astype(int)
+    w, fold = rng.choice([1.0, 2.5], n), rng.integers(0, 2, n)
+    df = spark.createDataFrame([("g", int(y[i]), float(w[i]), int(fold[i]), x[i].tolist()) for i in range(n)], "s string, y int, weight double, fold int, x array<double>").repartition(5)
+    kept = forest.KEPT
+    try:
+        forest.KEPT = 2
+        got = forest.fit_all(df, "s", "y", 5, 3, folds=2, fold_rounds=3)
+    finally:
+        forest.KEPT = kept
+    assert set(got) == {("g", None), ("g", 0), ("g", 1)}
+    for (_, out), m in got.items():
+        use = fold != out if out is not None else np.ones(n, bool)
+        cuts = m["cuts"]
+        old = boosting.edges
+        try:
+            boosting.edges = lambda _: cuts  # noqa: B023
+            want = boosting.fit(x[use], y[use].astype(float), w[use], 5 if out is None else 3, 3)
+        finally:
+            boosting.edges = old
+        assert np.allclose(boosting.predict(m, x), boosting.predict(want, x)) and np.allclose(m["gain"], want["gain"]) and (m["splits"] == want["splits"]).all()
+    assert forest.fit_all(df.limit(0), "s", "y", 5, 3) == {} and forest.fit_all(df.withColumn("y", F.lit(1)), "s", "y", 2, 2) == {}
+
+
+def test_samples_of_large_segments_are_bounded_without_a_window(spark):
+    df = spark.range(20_000).select(F.col("id").cast("string").alias("CustomerID"), F.when(F.col("id") % 20 == 0, "small").otherwise("large").alias("Segment"), F.when(F.col("id") % 3 != 0, F.col("id") % 2).alias("Churn"))
+    got = learn._sampled(df, "Segment", "Churn", 3000)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    n = {r[0]: r[1] for r in got.groupBy("Segment").count().collect()}
+    assert n["small"] == df.filter("Segment = 'small' and Churn is not null").count() and 2500 < n["large"] <= 3000
+
+
+def test_ordered_targets_never_see_their_own_label(spark):
+    df = spark.createDataFrame([(str(i), "ab"[i % 2] if i % 5 else None, None if i % 7 == 0 else int(i % 3 == 0)) for i in range(80)], "CustomerID string, c string, Churn int")
+    rate = df.agg(F.avg("Churn")).first()[0]
+    got = {r["CustomerID"]: r["c"] for r in learn.ordered_targets(df, ["c"], order=F.col("CustomerID").cast("int")).collect()}
+    rows = sorted(df.collect(), key=lambda r: (r["Churn"] is None, int(r["CustomerID"])))
+    for k, r in enumerate(rows):
+        before = [x["Churn"] for x in rows[:k] if x["c"] == r["c"] and x["Churn"] is not None]
+        assert abs(got[r["CustomerID"]] - (sum(before) + rate) / (len(before) + 1)) < 1e-12
+    assert learn.ordered_targets(df.limit(0), ["c"]).count() == 0
 
 
 def test_batch_run_writes_every_stage(spark, tmp_path):

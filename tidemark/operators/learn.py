@@ -13,20 +13,23 @@ from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from tidemark.functions.semantics import is_true, risk_tier
-from tidemark.operators import boosting, metrics
-from tidemark.operators.features import CHURN_NUMERIC, CLUSTERING, COMPOSITES, UPLIFT, one_row_join, score_columns
+from tidemark.operators import boosting, forest, metrics
+from tidemark.operators.features import CATEGORIES, CHURN_NUMERIC, CLUSTERING, COMPOSITES, UPLIFT, one_row_join, score_columns
+from tidemark.operators.ranks import running
+from tidemark.sources.stage import written
 
 #: Rows from which starting centres are drawn.
 START_ROWS = 2048
 #: Labelled rows that a boosted model is fitted on, for each group; the rest is only scored.
 FIT_ROWS = 50_000
-CHURN_FEATURES = [*CHURN_NUMERIC, *COMPOSITES]
+#: All features of the churn models; a table without some of the categories is fitted without them.
+CHURN_FEATURES = [*CHURN_NUMERIC, *CATEGORIES, *COMPOSITES]
 
 
 def scaled(df: DataFrame, columns: list[str] = CLUSTERING, key: str = "CustomerID") -> DataFrame:
@@ -70,8 +73,7 @@ def _total(x: DataFrame, part) -> np.ndarray:
         return pd.DataFrame({"total": [sum(np.frombuffer(b, "<f8") for b in p["total"]).tobytes()]})
 
     sums = x.select("x", F.xxhash64(x.columns[0]).alias("id")).mapInArrow(run, "total binary")
-    if x.rdd.getNumPartitions() > 32:
-        sums = sums.groupBy(F.pmod(F.spark_partition_id(), F.lit(32))).applyInPandas(add, "total binary")
+    sums = sums.groupBy(F.pmod(F.spark_partition_id(), F.lit(32))).applyInPandas(add, "total binary")
     return sum(np.frombuffer(r[0], "<f8") for r in sums.collect())  # at most 32 rows
 
 
@@ -218,25 +220,58 @@ def _nothing(*names: str) -> pd.DataFrame:
 
 
 def _sampled(df: DataFrame, group: str, label: str, most: int) -> DataFrame:
-    """At most ``most`` labelled rows of each group, by a hash; Spark limits the groups before the shuffle."""
-    order = Window.partitionBy(group).orderBy(F.xxhash64("CustomerID", F.lit(42)), "CustomerID")
-    return df.filter(F.col(label).isNotNull()).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most)
+    """About ``most`` labelled rows of each group at most, by a hash of the id below the group's threshold, with the hash as ``draw``. No group is sorted or gathered for it."""
+    known = df.filter(F.col(label).isNotNull()).withColumn("draw", F.xxhash64("CustomerID", F.lit(42)))
+    share = (most - 4 * most**0.5) / F.col("n")
+    sizes = known.groupBy(F.col(group).alias("of")).agg(F.count("*").alias("n")).select("of", F.when(F.col("n") > most, share).otherwise(1.0).alias("share"))  # one row for each group
+    unit = F.shiftrightunsigned("draw", 11) / F.lit(float(1 << 53))
+    return known.join(sizes, F.col(group).eqNullSafe(F.col("of"))).filter(unit < F.col("share")).drop("of", "share")
 
 
-def churn_models(df: DataFrame, rounds: int = 500, depth: int = 6, cv_rounds: int = 100, folds: int = 3, most: int = FIT_ROWS) -> DataFrame:
-    """(Segment, rows, model, importance, cv_auc, train_*, holdout_*): one row for each segment of at least 50 rows with both classes.
+def churn_features(df: DataFrame) -> list[str]:
+    """The churn models' features that a table has: 26, or 23 where three categories are unknown."""
+    return [c for c in CHURN_FEATURES if c in df.columns]
 
-    Each segment's model is fitted in one task, from at most ``most`` labelled rows: 80 % of each class for training and the rest for the holdout, both by a hash
-    of the id; ``folds`` stratified folds of the training rows with ``cv_rounds`` rounds give cv_auc. Positives weigh as much as negatives do. Importances are gains over the largest gain.
+
+def ordered_targets(df: DataFrame, columns: list[str], label: str = "Churn", key: str = "CustomerID", prior: float = 1.0, order: Column | None = None) -> DataFrame:
+    """``df`` with categories replaced by ordered target statistics: (positives before + prior * overall rate) / (labelled rows before + prior), over the labelled rows of the category before a row in a fixed order.
+
+    The order is a hash of the key unless another is given, so a row's own label never enters its code. Rows without a label come last and so see all labels. Categories of any share are summed up by ranges. Nulls are a category.
+    """
+    rate = df.agg(F.avg(F.col(label).cast("double")).alias("target_rate"))
+    out = one_row_join(df, rate).withColumn("target_rate", F.coalesce("target_rate", F.lit(0.0)))
+    known = F.col(label).isNotNull()
+    places = [F.when(known, 0).otherwise(1), F.xxhash64(key, F.lit(7)) if order is None else order, F.col(key)]
+    for c in columns:
+        out = running(out, [F.col(c)], places, {"_hits": F.col(label).cast("double"), "_seen": known.cast("double")})
+        out = out.withColumn(c, (F.col("_hits") + prior * F.col("target_rate")) / (F.col("_seen") + prior)).drop("_hits", "_seen")
+    return out.drop("target_rate")
+
+
+FIGURES = [f"{a}_{b}" for a in ("train", "holdout") for b in ("auc", "ap", "brier")]
+MODEL = "Segment string, rows long, features array<string>, model binary, importance array<double>, cv_auc double, cv_ap double, " + ", ".join(f"{n} double" for n in FIGURES)
+
+
+def churn_models(df: DataFrame, rounds: int = 500, depth: int = 6, cv_rounds: int = 100, folds: int = 3, most: int | None = FIT_ROWS) -> DataFrame:
+    """(Segment, rows, features, model, importance, cv_auc, cv_ap, train_*, holdout_*): one row for each segment of at least 50 labelled rows with both classes.
+
+    80 % of each class are for training and the rest for the holdout, both by a hash of the id; ``folds`` stratified folds of the training rows with ``cv_rounds`` rounds give cv_auc and cv_ap. Positives weigh as
+    much as negatives do. Importances are gains over the largest gain, in the order of ``features``.
+
+    ``most``: each segment's model is fitted in one task, from about so many of its labelled rows at most. None: all labelled rows of all segments are fitted on, in passes that no segment dominates (``forest``);
+    a pass is made for each level of each tree, so this is for tables that one task can't represent.
     """
-    rows = _sampled(_features(df, CHURN_FEATURES, "CustomerID", "Segment", "Churn"), "Segment", "Churn", most)
-    names = [f"{a}_{b}" for a in ("train", "holdout") for b in ("auc", "ap", "brier")]
+    names = churn_features(df)
+    if most is None:
+        return _churn_models_of_all(_features(df, names, "CustomerID", "Segment", "Churn"), names, rounds, depth, cv_rounds, folds)
+    rows = _sampled(_features(df, names, "CustomerID", "Segment", "Churn"), "Segment", "Churn", most)
+    columns = [c.split()[0] for c in MODEL.split(", ")]
 
     def train(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("nth")
+        p = p.sort_values(["draw", "CustomerID"])
         x, y = np.array(p["x"].tolist()), p["Churn"].to_numpy().astype(float)
         if len(y) < 50 or len(set(y)) < 2:
-            return _nothing("Segment", "rows", "model", "importance", "cv_auc", *names)
+            return _nothing(*columns)
         nth = np.empty(len(y), np.int64)  # of its class
         for c in (0.0, 1.0):
             nth[y == c] = np.arange((y == c).sum())
@@ -250,24 +285,56 @@ def churn_models(df: DataFrame, rounds: int = 500, depth: int = 6, cv_rounds: in
         for f in range(folds):
             out = is_train & (nth % folds == f)
             m = fitted(is_train & ~out, cv_rounds)
-            if m and out.any():
-                cv.append(boosting.quality(y[out], boosting.predict(m, x[out]))[0])
+            if m and len(set(y[out])) == 2:
+                cv.append(boosting.quality(y[out], boosting.predict(m, x[out]))[:2])
         model = fitted(is_train, rounds)
         if model is None:
-            return _nothing("Segment", "rows", "model", "importance", "cv_auc", *names)
+            return _nothing(*columns)
         scores = boosting.predict(model, x)
         got = [*boosting.quality(y[is_train], scores[is_train]), *boosting.quality(y[~is_train], scores[~is_train])]
-        gain = model["gain"] / max(model["gain"].max(), 1e-300)
-        return pd.DataFrame({"Segment": p["Segment"].iloc[:1].to_list(), "rows": [len(y)], "model": [pickle.dumps(model)], "importance": [gain.tolist()], "cv_auc": [float(np.mean(cv)) if cv else 0.5], **{n: [v] for n, v in zip(names, got)}})
-
-    return rows.groupBy("Segment").applyInPandas(train, "Segment string, rows long, model binary, importance array<double>, cv_auc double, " + ", ".join(f"{n} double" for n in names))
+        auc, ap = np.mean(cv, axis=0).tolist() if cv else (0.5, 0.0)
+        return pd.DataFrame(dict(zip(columns, ([v] for v in (p["Segment"].iloc[0], len(y), names, pickle.dumps(model), _shares(model), auc, ap, *got)))))
+
+    return rows.groupBy("Segment").applyInPandas(train, MODEL)
+
+
+def _shares(model: dict) -> list[float]:
+    """Gains over the largest gain."""
+    return (model["gain"] / max(model["gain"].max(), 1e-300)).tolist()
+
+
+def _churn_models_of_all(rows: DataFrame, names: list[str], rounds: int, depth: int, cv_rounds: int, folds: int) -> DataFrame:
+    """``churn_models`` on all labelled rows. What comes to the driver is one model for each segment and fold, and their figures."""
+    known = rows.filter(F.col("Churn").isNotNull() & F.col("Segment").isNotNull())
+    placed = running(known, [F.col("Segment"), F.col("Churn")], [F.xxhash64("CustomerID", F.lit(42)), F.col("CustomerID")], {"nth": F.lit(1)}, {"of_class": F.lit(1)})
+    sizes = known.groupBy(F.col("Segment").alias("of")).agg(F.count_if(F.col("Churn") == 1).alias("pos"), F.count_if(F.col("Churn") == 0).alias("neg")).filter("pos + neg >= 50 and pos > 0 and neg > 0")
+    weight = F.when(F.col("Churn") == 1, F.greatest(F.lit(1.0), F.col("neg") / F.col("pos"))).otherwise(1.0)
+    used = placed.join(sizes, F.col("Segment") == F.col("of")).withColumns({"weight": weight, "is_train": F.col("nth") < F.round(0.8 * F.col("of_class")), "fold": (F.col("nth") % folds).cast("int"), "rows": F.col("pos") + F.col("neg")})
+    used = written(used.select("CustomerID", "Segment", "Churn", "x", "weight", "is_train", "fold", "rows"))
+    models = forest.fit_all(used.filter("is_train"), "Segment", "Churn", rounds, depth, folds, cv_rounds)
+    spark = rows.sparkSession
+    main = {g: m for (g, out), m in models.items() if out is None}
+    if not main:
+        return spark.createDataFrame([], MODEL)
+    scored = written(_applied(used, {(g, "p" if out is None else f"p{out}"): (m, None) for (g, out), m in models.items()}, "Segment", ["p", *[f"p{k}" for k in range(folds)]]))
+    part = metrics.auc_ap_brier(scored, "p", "Churn", by=("Segment", "is_train")).collect()  # two rows for each segment
+    own = F.coalesce(*[F.when(F.col("fold") == k, F.col(f"p{k}")) for k in range(folds)])
+    both = scored.filter("is_train").withColumn("own", own).groupBy("Segment", "fold").agg(F.count_distinct("Churn").alias("classes")).filter("classes = 2").select(F.col("Segment").alias("s2"), F.col("fold").alias("f2"))
+    left_out = scored.filter("is_train").withColumn("own", own).join(both, (F.col("Segment") == F.col("s2")) & (F.col("fold") == F.col("f2")), "left_semi")
+    cv: dict[str, list] = {}
+    for r in metrics.auc_ap_brier(left_out, "own", "Churn", by=("Segment", "fold")).collect():
+        cv.setdefault(r["Segment"], []).append((r["auc"], r["ap"]))
+    figures = {(r["Segment"], r["is_train"]): (r["auc"], r["ap"], r["brier"]) for r in part}
+    n = {r[0]: r[1] for r in used.groupBy("Segment").agg(F.max("rows")).collect()}
+    none = (0.5, 0.0, None)
+    rows_ = [(g, n[g], names, bytearray(pickle.dumps(m)), _shares(m), *(float(v) for v in (np.mean(cv[g], axis=0) if g in cv else (0.5, 0.0))), *figures.get((g, True), none), *figures.get((g, False), none)) for g, m in main.items()]
+    return spark.createDataFrame(rows_, MODEL)
 
 
 def segment_importance(models: DataFrame) -> DataFrame:
     """(Segment, feature, importance, rank): importances of each segment's model, largest first."""
-    return models.select("Segment", F.posexplode("importance").alias("pos", "importance")).select(
-        "Segment", F.element_at(F.lit(CHURN_FEATURES), F.col("pos") + 1).alias("feature"), "importance", F.row_number().over(Window.partitionBy("Segment").orderBy(F.desc("importance"), "pos")).alias("rank")
-    )
+    each = models.select("Segment", "features", F.posexplode("importance").alias("pos", "importance"))
+    return each.select("Segment", F.get("features", F.col("pos")).alias("feature"), "importance", F.row_number().over(Window.partitionBy("Segment").orderBy(F.desc("importance"), "pos")).alias("rank"))
 
 
 def top_importances(models: DataFrame, segment: str, n: int = 15) -> DataFrame:
@@ -276,7 +343,7 @@ def top_importances(models: DataFrame, segment: str, n: int = 15) -> DataFrame:
 
 def run_metrics(models: DataFrame) -> DataFrame:
     """(Segment, rows, metric, value): the figures of each segment's model, long."""
-    return models.unpivot(["Segment", "rows"], [c for c in models.columns if c not in ("Segment", "rows", "model", "importance")], "metric", "value")
+    return models.unpivot(["Segment", "rows"], ["cv_auc", "cv_ap", *FIGURES], "metric", "value")
 
 
 def _applied(rows: DataFrame, models: dict, group: str | None, names: list[str]) -> DataFrame:
@@ -302,30 +369,25 @@ def _applied(rows: DataFrame, models: dict, group: str | None, names: list[str])
     return rows.mapInArrow(run, schema)
 
 
-def segment_scores(df: DataFrame, rounds: int = 500, depth: int = 6, most: int = FIT_ROWS, models: DataFrame | None = None) -> DataFrame:
+def segment_scores(df: DataFrame, rounds: int = 500, depth: int = 6, most: int | None = FIT_ROWS, models: DataFrame | None = None) -> DataFrame:
     """(CustomerID, Segment, ChurnProbability, ChurnPrediction, RiskTier): each row scored by its segment's own model; null where there is none (too few rows, one class).
 
-    The models of all segments travel to the tasks; there is one for each segment, of fixed size.
+    The models of all segments travel to the tasks; there is one for each segment, of fixed size. A feature that the models know and ``df`` lacks is an error.
     """
     models = churn_models(df, rounds, depth, most=most) if models is None else models
-    own = {(r["Segment"], "ChurnProbability"): (pickle.loads(r["model"]), None) for r in models.select("Segment", "model").collect()}  # noqa: S301 - written by this session
-    out = _applied(_features(df, CHURN_FEATURES, "CustomerID", "Segment"), own, "Segment", ["ChurnProbability"])
+    kept = models.select("Segment", "features", "model").collect()
+    own = {(r["Segment"], "ChurnProbability"): (pickle.loads(r["model"]), None) for r in kept}  # noqa: S301 - written by this session
+    names = kept[0]["features"] if kept else churn_features(df)
+    out = _applied(_features(df, names, "CustomerID", "Segment"), own, "Segment", ["ChurnProbability"])
     p = F.col("ChurnProbability")
     return out.withColumn("ChurnPrediction", F.when(p.isNotNull(), is_true(p >= 0.5).cast("int"))).withColumn("RiskTier", risk_tier(p))
 
 
 def model_drivers(df: DataFrame, models: DataFrame, n: int = 5) -> DataFrame:
-    """(CustomerID, Segment, TopDrivers): as ``scoring.top_drivers``, by the importances of the segment's own model; rows of segments without a model are left out."""
-    from tidemark.operators.scoring import top_drivers
+    """(CustomerID, Segment, Drivers, TopDrivers): as ``scoring.top_drivers``, by the importances of the segment's own model; rows of segments without a model are left out."""
+    from tidemark.operators.scoring import drivers_by_segment
 
-    parts = []
-    for r in models.select("Segment", "importance").collect():  # one row for each segment
-        own = df.filter(F.col("Segment") == r["Segment"])
-        parts.append(top_drivers(own, CHURN_FEATURES, dict(zip(CHURN_FEATURES, r["importance"])), n).select("CustomerID", "Segment", "TopDrivers"))
-    out = parts[0] if parts else df.limit(0).select("CustomerID", "Segment", F.lit(None).cast("map<string,double>").alias("TopDrivers"))
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return drivers_by_segment(df, segment_importance(models).select("Segment", "feature", "importance"), churn_features(df), n)
 
 
 def uplift_scores(df: DataFrame, rounds: int = 200, depth: int = 4, most: int = FIT_ROWS) -> DataFrame:
@@ -337,7 +399,7 @@ def uplift_scores(df: DataFrame, rounds: int = 200, depth: int = 4, most: int =
     every = rows.withColumn("learner", F.explode(F.array(F.concat(F.lit("t"), F.col("Treatment").cast("string")), F.lit("s"))))
 
     def train(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("nth")
+        p = p.sort_values(["draw", "CustomerID"])
         x, y = np.array(p["x"].tolist()), p["Churn"].to_numpy().astype(float)
         if len(set(y)) < 2:
             return _nothing("learner", "model")

@@ -33,25 +33,29 @@ def uplift_summary(df: DataFrame, score: str = "UpliftScore") -> DataFrame:
     )
 
 
-def _by_score(df: DataFrame, score: str, label: str) -> DataFrame:
+def _by_score(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """Positives and negatives of each distinct score."""
-    return df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
+    return df.groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
 
 
-def auc_ap_brier(df: DataFrame, score: str, label: str) -> DataFrame:
-    """(auc, ap, brier): rank-sum AUC with average ties, stepwise average precision, mean squared error; 0.5 and 0 with one class.
+def auc_ap_brier(df: DataFrame, score: str, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, auc, ap, brier): rank-sum AUC with average ties, stepwise average precision, mean squared error; 0.5 and 0 with one class. Without ``by`` one row, with it one for each group with a score.
 
-    Ranks are running sums over ranges of the distinct scores.
+    Ranks are running sums over ranges of the distinct scores, so a group may hold any share of the rows.
     """
-    d = running(_by_score(df.filter(F.col(score).isNotNull()), score, label), [], [F.col("s")], {"below": F.col("n"), "hits": F.col("p")}, {"all": F.col("n"), "positives": F.col("p")})
+    by = list(by)
+    d = running(_by_score(df.filter(F.col(score).isNotNull()), score, label, by), [F.col(c) for c in by], [F.col("s")], {"below": F.col("n"), "hits": F.col("p")}, {"all": F.col("n"), "positives": F.col("p")})
     d = d.withColumn("tp", F.col("positives") - F.col("hits")).withColumn("seen", F.col("all") - F.col("below"))
-    t = d.agg(F.sum("p").alias("P"), F.sum("n").alias("N"), F.sum(F.col("p") * (F.col("below") + (F.col("n") + 1) / 2)).alias("ranks"), F.sum(F.col("p") * F.col("tp") / F.col("seen")).alias("precision"))
+    t = d.groupBy(*by).agg(F.sum("p").alias("P"), F.sum("n").alias("N"), F.sum(F.col("p") * (F.col("below") + (F.col("n") + 1) / 2)).alias("ranks"), F.sum(F.col("p") * F.col("tp") / F.col("seen")).alias("precision"))
     neg = F.col("N") - F.col("P")
     both = (F.col("P") > 0) & (neg > 0)
-    brier = df.agg(F.round(F.avg(F.pow(F.col(score) - F.col(label), 2)), 6).alias("brier"))
+    brier = df.groupBy(*[F.col(c).alias(f"b_{c}") for c in by]).agg(F.round(F.avg(F.pow(F.col(score) - F.col(label), 2)), 6).alias("brier"))
     auc = F.when(both, F.try_divide(F.col("ranks") - F.col("P") * (F.col("P") + 1) / 2, F.col("P") * neg)).otherwise(0.5)
     ap = F.when(both, F.try_divide(F.col("precision"), F.col("P"))).otherwise(0.0)
-    return t.select(F.round(auc, 6).alias("auc"), F.round(ap, 6).alias("ap")).crossJoin(F.broadcast(brier))
+    out = t.select(*by, F.round(auc, 6).alias("auc"), F.round(ap, 6).alias("ap"))
+    if not by:
+        return out.crossJoin(F.broadcast(brier))  # of one row
+    return out.join(brier, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in by])).drop(*[f"b_{c}" for c in by])
 
 
 def davies_bouldin(df: DataFrame, cluster: str, columns: list[str]) -> DataFrame:

@@ -79,10 +79,24 @@ def segment_moments(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.groupBy("Segment").agg(*[x for c in columns for x in (F.avg(c).alias(f"mu_{c}"), one(c).alias(f"sd_{c}"))])
 
 
-def top_drivers(df: DataFrame, columns: list[str] = CLUSTERING, importance: dict[str, float] = IMPORTANCE, n: int = 5) -> DataFrame:
+def drivers_by_segment(df: DataFrame, importances: DataFrame, columns: list[str], n: int = 5) -> DataFrame:
+    """(CustomerID, Segment, Drivers, TopDrivers) by each segment's own importances (Segment, feature, importance); segments without any are left out, unknown features weigh 0."""
+    own = importances.groupBy("Segment").agg(*[F.coalesce(F.max(F.when(F.col("feature") == c, F.col("importance"))), F.lit(0.0)).alias(f"imp_{c}") for c in columns])  # one row for each segment
+    out = top_drivers(df.join(own, "Segment"), columns, {c: F.col(f"imp_{c}") for c in columns}, n)
+    return out.select("CustomerID", "Segment", "Drivers", "TopDrivers")
+
+
+def correlation_importance(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(Segment, feature, importance): how strongly a feature goes with churn in a segment, as the absolute correlation in four digits; 0 where either is constant."""
+    x, y = (lambda c: F.col(c).cast("double")), F.col("Churn").cast("double")
+    r = lambda c: F.try_divide(F.covar_pop(x(c), y), F.stddev_pop(F.when(y.isNotNull(), x(c))) * F.stddev_pop(F.when(x(c).isNotNull(), y)))
+    c = df.groupBy("Segment").agg(*[F.coalesce(steady(F.abs(r(c)), 4), F.lit(0.0)).alias(c) for c in columns])
+    return c.unpivot(["Segment"], columns, "feature", "importance")
+
+
+def top_drivers(df: DataFrame, columns: list[str] = CLUSTERING, importance: dict[str, float | Column] = IMPORTANCE, n: int = 5) -> DataFrame:
     """Adds Drivers, the ``n`` features whose distance to the segment's mean, by importance, is largest (ties in feature order), signed; and TopDrivers, the same as a map."""
-    moments = F.broadcast(segment_moments(df, columns))  # one row for each of five segments
-    out = df.join(moments, "Segment")
+    out = df.join(segment_moments(df, columns), "Segment")  # one row for each segment
 
     def entry(i: int, c: str) -> Column:
         weight = F.coalesce(steady(F.abs(F.col(c) - F.col(f"mu_{c}")) / F.col(f"sd_{c}") * importance.get(c, 0.0), 4), F.lit(0.0))

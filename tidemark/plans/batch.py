@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import learn, scoring
+from tidemark.operators.features import CATEGORIES, encode
 from tidemark.sources.stage import save_stage
 
 
@@ -37,6 +38,6 @@ def uplift(scored: DataFrame, out: str, rounds: int = 200) -> DataFrame:
 
 def run(features: DataFrame, out: str, seeds: int = 20, rounds: int = 500, uplift_rounds: int = 200) -> DataFrame:
     """All stages; the serving table is written to ``out/customers`` and returned. Later runs and readers start from any stage's Parquet."""
-    rows = save_stage(features, f"{out}/features")
+    rows = save_stage(encode(features, CATEGORIES), f"{out}/features")
     rows = uplift(churn(segmentation(rows, out, seeds), out, rounds=rounds), out, uplift_rounds)
     return save_stage(scoring.serving_table(rows), f"{out}/customers")

@@ -81,6 +81,11 @@ mom AS (SELECT Segment, feature, avg(x) AS mu, coalesce(CASE WHEN stddev_samp(x)
 wts AS (SELECT long.*, round(abs(x - mu) / sd * imp + 3.1e-7, 4) AS w, CASE WHEN round(x - mu, 9) > 0 THEN round(abs(x - mu) / sd * imp + 3.1e-7, 4) ELSE -round(abs(x - mu) / sd * imp + 3.1e-7, 4) END AS value FROM long JOIN mom USING (Segment, feature)),
 drivers AS (SELECT CustomerID, Segment, feature, value, k::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY CustomerID ORDER BY w DESC, pos) AS k FROM wts) WHERE k <= 5)"""
 
+_IMP = " UNION ALL ".join(
+    f"SELECT Segment, '{c}' AS feature, CASE WHEN stddev_pop({c}) > 0 AND stddev_pop(Churn) > 0 THEN round(abs(corr({c}::DOUBLE, Churn::DOUBLE)) + 3.1e-7, 4) ELSE 0 END AS imp FROM scored GROUP BY 1" for c in features.CLUSTERING
+)
+SEGMENT_DRIVERS = DRIVERS.replace("mom AS (", f"imps AS ({_IMP}),\nmom AS (").replace("* imp + 3.1e-7", "* imps.imp + 3.1e-7").replace("JOIN mom USING (Segment, feature)", "JOIN mom USING (Segment, feature) JOIN imps USING (Segment, feature)")
+
 AUDIT = f"""{CUSTOMERS},
 acts0 AS (SELECT event_id AS id, user_id::VARCHAR AS customer_id, CASE WHEN event_id % 11 <> 0 THEN [{", ".join(f"'{t}'" for t in TYPES)}][coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INT), 0) % 7 + 1] END AS intervention_type,
   ts AS generated_at, event_id % 8 = 0 AS agentic_mode FROM events WHERE event_id % 4 = 0),

@@ -130,6 +130,26 @@ def _driver_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("driver_top5", _driver_rows, oracle.DRIVERS, "SELECT CustomerID, rank, feature, value FROM drivers")
 
+def _segment_driver_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bind.scored(spark, sf_dir)
+    own = scoring.drivers_by_segment(rows, scoring.correlation_importance(rows, features.CLUSTERING), features.CLUSTERING)
+    return own.select("CustomerID", F.posexplode("Drivers").alias("pos", "d")).select("CustomerID", (F.col("pos") + 1).alias("rank"), "d.feature", "d.value")
+
+
+_add("segment_drivers", _segment_driver_rows, oracle.SEGMENT_DRIVERS, "SELECT CustomerID, rank, feature, value FROM drivers")
+_add(
+    "ordered_targets",
+    lambda s, d: learn.ordered_targets(bind.scored(s, d).select("CustomerID", "customer_id", F.when(F.col("customer_id") % 5 != 0, F.col("Churn")).alias("Churn"), "PreferredPaymentMode", "PreferedOrderCat"), ["PreferredPaymentMode", "PreferedOrderCat"], order=F.col("customer_id"))
+    .select("CustomerID", *[steady(F.col(c), 6).alias(c) for c in ("PreferredPaymentMode", "PreferedOrderCat")]),
+    f"{S}, t AS (SELECT CustomerID, customer_id, CASE WHEN customer_id % 5 <> 0 THEN Churn END AS y, PreferredPaymentMode AS a, PreferedOrderCat AS b, avg(CASE WHEN customer_id % 5 <> 0 THEN Churn END) OVER () AS r FROM scored)",
+    "SELECT CustomerID, "
+    + ", ".join(
+        f"round((coalesce(sum(y) OVER w{k}, 0) + r) / (count(y) OVER w{k} + 1) + 3.1e-9, 6) AS {c}" for k, c in (("a", "PreferredPaymentMode"), ("b", "PreferedOrderCat"))
+    )
+    + " FROM t WINDOW "
+    + ", ".join(f"w{k} AS (PARTITION BY {k} ORDER BY y IS NULL, customer_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)" for k in "ab"),
+)
+
 # ---------------------------------------------------------------- aggregates over the serving table
 
 _top = "greatest(coalesce(gmm_prob_seg0,0),coalesce(gmm_prob_seg1,0),coalesce(gmm_prob_seg2,0),coalesce(gmm_prob_seg3,0),coalesce(gmm_prob_seg4,0))"
@@ -350,13 +370,13 @@ _add("gmm_soft", _on(bind.customer_features, learn.gmm_soft))
 _add("pca_embedding", _on(bind.customer_features, learn.pca_embedding))
 _add("k_sweep", _on(bind.customer_features, learn.k_sweep))
 _add("bootstrap_stability", _on(bind.customer_features, learn.bootstrap_stability))
-_add("gbt_segment_scores", _on(bind.scored, learn.segment_scores))
 _add("uplift_t_s", _on(bind.scored, learn.uplift_scores))
-_churn_models = lambda s, d: staged(s, d, "churn_models", lambda: learn.churn_models(bind.scored(s, d)))
-QUERIES["gbt_segment_scores"] = lambda s, d: learn.segment_scores(bind.scored(s, d), models=_churn_models(s, d))
+_coded_rows = lambda s, d: staged(s, d, "coded", lambda: features.encode(bind.scored(s, d), features.CATEGORIES))
+_churn_models = lambda s, d: staged(s, d, "churn_models", lambda: learn.churn_models(_coded_rows(s, d)))
+_add("gbt_segment_scores", lambda s, d: learn.segment_scores(_coded_rows(s, d), models=_churn_models(s, d)))
 _add("model_metrics", _on(_churn_models, learn.run_metrics))
 _add("importance_top15", _on(_churn_models, learn.top_importances, "Champions"))
-_add("model_drivers", lambda s, d: learn.model_drivers(bind.scored(s, d), _churn_models(s, d)).select("CustomerID", "Segment", F.to_json("TopDrivers").alias("TopDrivers")))
+_add("model_drivers", lambda s, d: learn.model_drivers(_coded_rows(s, d), _churn_models(s, d)).select("CustomerID", "Segment", F.to_json("TopDrivers").alias("TopDrivers")))
 _add("ari_histogram", lambda s, d: dashboard.binned(learn.bootstrap_agreement(bind.customer_features(s, d)), "ari", 25, -1.0, 1.0))
 
 # ---------------------------------------------------------------- more dashboards, requests, plans
