@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import boosting, forest, learn
 from tidemark.plans import batch, registry
+from tidemark.sources.stage import load_stage
 
 SF = "/root/testdata/sf0.001"
 
@@ -165,7 +166,7 @@ def test_batch_run_writes_every_stage(spark, tmp_path):
     n = registry.QUERIES["customer_features"](spark, SF).count()
     assert got.count() == n and {"segment", "churn_probability", "uplift_score", "umap_1", "gmm_prob_seg4", "net_roi"} <= set(got.columns)
     for stage in ("features", "segmented", "scored", "uplift", "customers"):
-        assert spark.read.parquet(f"{out}/{stage}").count() == n
-    again = learn.segment_scores(spark.read.parquet(f"{out}/segmented"), models=spark.read.parquet(f"{out}/churn_models"))
-    kept = spark.read.parquet(f"{out}/scored").select("CustomerID", F.col("ChurnProbability").alias("p"))
+        assert load_stage(spark, f"{out}/{stage}").count() == n
+    again = learn.segment_scores(load_stage(spark, f"{out}/segmented"), models=load_stage(spark, f"{out}/churn_models"))
+    kept = load_stage(spark, f"{out}/scored").select("CustomerID", F.col("ChurnProbability").alias("p"))
     assert again.join(kept, "CustomerID").filter(F.col("p").eqNullSafe(F.col("ChurnProbability"))).count() == n

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.semantics import customer_type, is_true, steady, with_default
 from tidemark.operators import agent, features, scoring, validate
+from tidemark.sources.logs import typed
 
 _TYPES = {"string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp_ntz": T.TimestampNTZType()}
 
@@ -33,7 +34,6 @@ ACTIONS = _table(
 FEEDBACK = _table("id string, retention_action_id string, customer_id string, outcome string, logged_at timestamp_ntz")
 CONVERSATIONS = _table("id string, session_id string, created_at timestamp_ntz")
 MESSAGES = _table("id string, conversation_id string, role string, content string, tool_calls string, created_at timestamp_ntz")
-PLAYBOOK_TABLE = _table("id string, risk_keyword string, intervention_type string, recommended_action string, rationale string")
 EXPORTED = {
     "customer_id": "CustomerID", "segment": "Segment", "churn_probability": "ChurnProbability", "uplift_score": "UpliftScore", "net_roi": "NetROI", "intervention_type": "InterventionType",
     "channel": "Channel", "timing": "Timing", "intervention_cost_estimate": "Cost", "confidence": "Confidence", "primary_risk_reason": "WhyAtRisk", "message_framing": "SuggestedMessage", "expected_outcome": "ExpectedOutcome",
@@ -105,7 +105,26 @@ def action_rows(actions: DataFrame, customers: DataFrame) -> DataFrame:
     rows = actions.filter(F.col("intervention_type").isNotNull()).drop("segment", "churn_probability", "uplift_score", "net_roi").join(known, "customer_id", "left")
     trace = F.to_json("trace") if "trace" in actions.columns else F.lit(None)
     rows = rows.withColumn("agent_reasoning", trace)
-    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in ACTIONS])
+    return typed(rows.select(*[c for c in ACTIONS.names if c in rows.columns]), ACTIONS)
+
+
+def feedback_rows(feedback: DataFrame, actions: DataFrame) -> DataFrame:
+    """The feedback log's rows: feedback (id, retention_action_id, outcome, logged_at) with the customer of its action, null where there is no such action."""
+    a = actions.select(F.col("id").alias("retention_action_id"), "customer_id").dropDuplicates(["retention_action_id"])
+    return typed(feedback.join(a, "retention_action_id", "left"), FEEDBACK)
+
+
+def conversation_rows(messages: DataFrame) -> DataFrame:
+    """The conversation log's rows, one for each conversation of messages (conversation_id, session_id, created_at): it begins with its first message."""
+    first = messages.groupBy("conversation_id").agg(F.min("session_id").alias("session_id"), F.min("created_at").alias("created_at"))
+    return typed(first.withColumnRenamed("conversation_id", "id"), CONVERSATIONS)
+
+
+def message_rows(messages: DataFrame) -> DataFrame:
+    """The message log's rows from messages (conversation_id, turn, role, content, created_at, and ``tools``, an array, where there are any): ids are conversation and turn, tool calls become JSON."""
+    calls = F.to_json("tools") if "tools" in messages.columns else F.lit(None)
+    rows = messages.withColumn("id", F.concat_ws("-", F.col("conversation_id").cast("string"), F.col("turn").cast("string"))).withColumn("tool_calls", calls)
+    return typed(rows.select(*MESSAGES.names), MESSAGES)
 
 
 def new_ids(df: DataFrame, column: str = "id") -> DataFrame:
