@@ -82,3 +82,83 @@ def test_a_table_is_built_once(spark):
     assert stage.staged(spark, "somewhere", "t", build).count() == stage.staged(spark, "somewhere", "t", build).count() == 3 and len(built) == 1
     stage.forget("somewhere")
     assert stage.staged(spark, "somewhere", "t", build).count() == 3 and len(built) == 2
+
+
+def provider_case(spark):
+    c = spark.createDataFrame([(str(i), "s", "Persuadable", float(i), 0.5, 0.1, 3.0) for i in range(4)], "customer_id string, segment string, customer_type string, intervention_priority double, churn_probability double, uplift_score double, net_roi double")
+    d = spark.createDataFrame([(str(i), [("Tenure", 0.5)]) for i in range(4)], "CustomerID string, Drivers array<struct<feature:string,value:double>>")
+    return c, d, spark.createDataFrame([(str(i), f"q{i}") for i in range(4)], "customer_id string, prompt string")
+
+
+def counted(folder, text):
+    """How often a text has been asked, this time included; tasks are other processes."""
+    import os
+
+    n = sum(f.startswith(text + "-") for f in os.listdir(folder)) + 1
+    open(f"{folder}/{text}-{n}", "w").close()
+    return n
+
+
+def test_a_provider_is_asked_up_to_three_times(spark, tmp_path):
+    folder = str(tmp_path)
+    full = '```json\n{"intervention_type": "Discount Offer", "channel": "SMS", "timing": "Immediate", "primary_risk_reason": "r", "customer_receptivity": "good", "message_framing": "m", "intervention_cost_estimate": "Low", "expected_outcome": "o", "confidence": "High", "do_not_intervene_reason": null}\n```'
+
+    def call(text):
+        n = counted(folder, text)
+        if text == "q0":
+            if n < 3:
+                raise serving.RateLimited
+            return full
+        if text == "q1":
+            return full if n == 2 else "no json"
+        if text == "q2":
+            return f"never {n}"
+        raise ConnectionError("down")
+
+    c, d, q = provider_case(spark)
+    plans = serving.batch_plans(c, d, provider=serving.asking(call, tasks=2, per_second=1000, wait=0.01), questions=q)
+    got = {r["customer_id"]: r for r in serving.displayed(plans).collect()}
+    assert set(serving.PLAN_KEYS) | {"error", "raw_response"} <= set(plans.columns)
+    for i in "01":
+        assert got[i]["error"] is None and got[i]["raw_response"] is None and got[i]["confidence"] == "High" and got[i]["net_roi"] == 3.0
+        assert got[i]["display"].split("\n")[2] == "**Cost:** Low | **Confidence:** High" and "> m" in got[i]["display"] and got[i]["display"].endswith("**Expected Outcome:** o")
+    assert got["2"]["error"].startswith("JSON parse error") and got["2"]["raw_response"] == "never 3" and got["2"]["intervention_type"] is None
+    assert got["3"]["error"] == "down" and got["3"]["display"] == "Error generating action: down"
+    plans.count()  # reading again asks nobody
+    assert sorted(f.split("-")[0] for f in __import__("os").listdir(folder)) == ["q0"] * 3 + ["q1"] * 2 + ["q2"] * 3 + ["q3"]
+
+
+def test_a_provider_that_is_always_limited_gives_errors_and_calls_are_paced(spark, tmp_path):
+    import time
+
+    def call(text):
+        raise serving.RateLimited
+
+    c, d, q = provider_case(spark)
+    began = time.monotonic()
+    got = serving.batch_plans(c, d, provider=serving.asking(call, tasks=1, per_second=2, attempts=2, wait=0.05), questions=q).collect()
+    assert {r["error"] for r in got} == {"Max retries exceeded."} and time.monotonic() - began >= 1.5
+
+
+def test_a_changed_playbook_changes_answers(spark, monkeypatch):
+    from tidemark.operators import playbook
+
+    df = spark.createDataFrame([(1, "Low SATISFACTION and Tenure"), (2, "tenure"), (3, "nothing"), (4, None)], "id int, t string")
+    seeds = playbook.seeds(spark)
+    get = lambda table: {r["id"]: (r["keyword"], r["intervention"]) for r in playbook.keyword_match(df, "t", table).collect()}
+    assert get(seeds) == {1: ("satisfaction", "Proactive Support Call"), 2: ("tenure", "Loyalty Reward"), 3: ("default", "Personalized Content"), 4: ("default", "Personalized Content")}
+    other = seeds.filter("risk_factor_keyword <> 'default'").withColumn("position", F.when(F.col("risk_factor_keyword") == "tenure", 0).otherwise(F.col("position"))).withColumn("intervention", F.upper("intervention"))
+    assert get(other)[1] == ("tenure", "LOYALTY REWARD") and get(other)[3] == (None, None)
+    monkeypatch.setattr(playbook, "AUTOMATON_BYTES", 20)  # several automata
+    assert get(seeds) == get(seeds.repartition(3)) and get(seeds)[1][0] == "satisfaction"
+    assert get(seeds.limit(0))[1] == (None, None)
+
+
+def test_tables_of_keys_match_as_the_fixed_ones(spark):
+    from tidemark.operators import playbook
+
+    df = spark.createDataFrame([("high SupportRiskScore",), ("high foo",), ("low foo",), ("low stickiness",), ("low-cashback or ordercount",), (None,), ("cashback cashback ordercount supportriskscore",)], "r string")
+    table = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(agent.PLAYBOOK)], "position int, key string, intervention_type string")
+    want = {r["r"]: (r["matched_key"], r["match_type"], r["intervention_type"]) for r in agent.playbook_match(df, "r").collect() if r["r"]}
+    got = {r["r"]: (r["matched_key"], r["match_type"], r["intervention_type"]) for r in playbook.key_match(df, "r", table).collect()}
+    assert got.pop(None) == ("default", "default", "Loyalty Reward") and got == want

@@ -55,6 +55,18 @@ def segment_benchmark(customers: DataFrame, segment: str) -> DataFrame:
     )
 
 
+def segment_error(customers: DataFrame, segment: str) -> DataFrame:
+    """(error, valid_segments): one row, with the segments that there are, if nobody is in ``segment``; else none."""
+    every = customers.groupBy("segment").agg(F.lit(1).alias("one")).filter(F.col("segment").isNotNull())  # some segments
+    known = every.agg(F.array_join(F.array_sort(F.collect_set("segment")), "|").alias("valid_segments"), F.count_if(F.col("segment") == segment).alias("there"))
+    return known.filter("there = 0").select(F.lit(f"Segment '{segment}' not found.").alias("error"), "valid_segments")
+
+
+def unknown_tools(names: DataFrame, column: str = "tool") -> DataFrame:
+    """(tool, error) of the names that no tool has."""
+    return names.filter(~F.col(column).isin(*TOOLS)).select(F.col(column).alias("tool"), F.concat(F.lit("unknown tool: "), F.col(column)).alias("error"))
+
+
 def segment_benchmark_web(customers: DataFrame, segment: str) -> DataFrame:
     """The web tool's averages: null counts as 0, and all rows divide."""
     zero = lambda c: F.avg(F.coalesce(F.col(c), F.lit(0)))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import re
+import time
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.semantics import customer_type, is_true, steady, with_default
-from tidemark.operators import agent, features, scoring, validate
+from tidemark.operators import agent, features, playbook, scoring, validate
 from tidemark.sources.logs import typed
+from tidemark.sources.stage import written
 
 _TYPES = {"string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp_ntz": T.TimestampNTZType()}
 
@@ -165,29 +170,118 @@ def candidates(customers: DataFrame, types: tuple[str, ...] = ("Persuadable",),
     return customers.filter(F.col("customer_type").isin(*types)).orderBy(F.asc_nulls_last("intervention_priority"), "customer_id").limit(n)
 
 
+# The keys of a plan as replies give them.
+PLAN_KEYS = (
+    "primary_risk_reason", "customer_receptivity", "intervention_type", "channel", "timing", "message_framing", "intervention_cost_estimate", "expected_outcome", "confidence", "do_not_intervene_reason",
+)
+
+
 def playbook_replies(rows: DataFrame) -> DataFrame:
-    """The default provider: a deterministic reply for each row's ``risk`` from the table playbook, as fenced JSON."""
+    """The default provider: a deterministic reply for each row's ``risk`` from the seed rows of the playbook table, as fenced JSON."""
     found = agent.keyword_match(rows, "risk")
-    body = F.to_json(F.struct("intervention_type", F.lit("Email").alias("channel"), F.lit("Within 24 hours").alias("timing"), F.col("keyword").alias("primary_risk_reason")))
+    of = lambda k: F.element_at(F.create_map(*[F.lit(x) for r in playbook.SEEDS for x in (r[1], r[k])]), F.col("keyword"))
+    body = F.to_json(F.struct("intervention_type", F.lit("Email").alias("channel"), F.lit("Within 24 hours").alias("timing"), F.col("keyword").alias("primary_risk_reason"), of(3).alias("message_framing"), of(4).alias("intervention_cost_estimate"), F.lit("Medium").alias("confidence")))
     return found.withColumn("reply", F.concat(F.lit("```json\n"), body, F.lit("\n```"))).drop("keyword", "intervention_type")
 
 
-def batch_plans(customers: DataFrame, drivers: DataFrame, n: int = 50, types: tuple[str, ...] = ("Persuadable",), provider: Callable[[DataFrame], DataFrame] = playbook_replies) -> DataFrame:
-    """(customer_id, segment, intervention_priority, risk, intervention_type, channel, timing, error): a plan for each candidate from its strongest driver.
+class RateLimited(Exception):
+    """What a text provider raises to be called again later."""
+
+
+def _object_in(reply: str) -> dict:
+    """The JSON object of a reply, by the rules of ``stripped`` and ``fenced_json``; an error where there is none."""
+    text = re.sub(r"(?is)<think>.*?</think>|<function=.*?</function>", "", reply).strip()
+    mark = "```json" if "```json" in text else "```"
+    if mark in text:
+        text = text.split(mark, 1)[1].split("```", 1)[0].strip()
+    got = json.loads(text)
+    if not isinstance(got, dict):
+        raise ValueError("no JSON object")
+    return got
+
+
+def asking(call: Callable[[str], str], tasks: int = 4, per_second: float = 0.5, attempts: int = 3, wait: float = 2.0, question: str = "prompt") -> Callable[[DataFrame], DataFrame]:
+    """A provider that asks ``call`` each row's ``question`` and adds ``reply``, ``failed`` (the reason, null if none) and ``attempts``.
+
+    Calls are made from ``tasks`` tasks, one at a time in each and at most ``per_second`` a second, so their number and rate are bounded whatever the cluster's size. A reply without a JSON object is asked for again, up
+    to ``attempts`` times in all; after ``RateLimited`` the task first waits ``wait`` seconds times the number of the attempt. Other errors end the row at once. The last reply stays with the row, failed or not. A task
+    that Spark runs again asks again.
+    """
 
-    ``provider`` takes rows with ``risk`` and adds ``reply``; replies are cleaned and parsed, and one that is no JSON object gives an error.
+    def ask(text: str) -> tuple[str | None, str | None, int]:
+        reply = None
+        for n in range(1, attempts + 1):
+            try:
+                reply = call(text)
+                _object_in(reply)
+                return reply, None, n
+            except RateLimited:
+                if n < attempts:
+                    time.sleep(wait * n)
+                else:
+                    return reply, "Max retries exceeded.", n
+            except ValueError as e:  # among them errors of the JSON parser
+                if n == attempts:
+                    return reply, f"JSON parse error: {e}", n
+            except Exception as e:  # noqa: BLE001 - whatever the provider raises is the row's error
+                return reply, str(e) or type(e).__name__, n
+        return reply, "Max retries exceeded.", attempts
+
+    def provider(rows: DataFrame) -> DataFrame:
+        schema = T.StructType([*rows.schema.fields, T.StructField("reply", T.StringType()), T.StructField("failed", T.StringType()), T.StructField("attempts", T.IntegerType())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last = 0.0
+            for batch in batches:
+                got = []
+                for text in batch.column(question).to_pylist():
+                    time.sleep(max(0.0, last + 1 / per_second - time.monotonic()))
+                    last = time.monotonic()
+                    got.append(ask(text or ""))
+                cols = [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *cols], schema.names)
+
+        return written(rows.repartition(tasks).mapInArrow(run, schema))  # asked once, however often the result is read
+
+    return provider
+
+
+def batch_plans(
+    customers: DataFrame, drivers: DataFrame, n: int = 50, types: tuple[str, ...] = ("Persuadable",), provider: Callable[[DataFrame], DataFrame] = playbook_replies, questions: DataFrame | None = None
+) -> DataFrame:
+    """(customer_id, segment, what is known of the customer, intervention_priority, risk, the ten keys of a plan, error, raw_response): a plan for each candidate from its strongest driver.
+
+    ``provider`` takes rows with ``risk``, and ``prompt`` where ``questions`` (customer_id, prompt) are given, and adds ``reply`` (and ``failed``, a reason, if it knows one). Replies are cleaned and parsed; one that is no
+    JSON object gives an error and is kept as ``raw_response``.
     """
     first = drivers.select(F.col("CustomerID").alias("customer_id"), F.col("Drivers")[0].alias("d"))
     rows = candidates(customers, types, n).join(first, "customer_id", "left")
     rows = rows.withColumn("risk", F.concat(F.when(F.col("d.value") > 0, "high ").otherwise("low "), F.col("d.feature"))).drop("d")
-    keys = ("intervention_type", "channel", "timing", "primary_risk_reason", "do_not_intervene_reason")
-    got = provider(rows).withColumn("plan", F.from_json(fenced_json(stripped(F.col("reply"))), ", ".join(f"{k} string" for k in keys)))
+    rows = rows if questions is None else rows.join(questions.select("customer_id", "prompt"), "customer_id", "left")
+    got = provider(rows).withColumn("plan", F.from_json(fenced_json(stripped(F.col("reply"))), ", ".join(f"{k} string" for k in PLAN_KEYS)))
     bad = F.coalesce(F.col("plan.intervention_type"), F.col("plan.do_not_intervene_reason")).isNull()
-    return got.select("customer_id", "segment", "intervention_priority", "risk", *[F.col(f"plan.{k}").alias(k) for k in keys], F.when(bad, F.lit("reply is no plan")).alias("error"))
+    failed = F.col("failed") if "failed" in got.columns else F.lit(None).cast("string")
+    error = F.coalesce(failed, F.when(bad, F.lit("reply is no plan")))
+    known = [c for c in ("churn_probability", "uplift_score", "net_roi") if c in customers.columns]
+    return got.select("customer_id", "segment", *known, "intervention_priority", "risk", *[F.when(error.isNull(), F.col(f"plan.{k}")).alias(k) for k in PLAN_KEYS], error.alias("error"), F.when(error.isNotNull(), F.col("reply")).alias("raw_response"))
 
 
 def displayed(plans: DataFrame) -> DataFrame:
     """Adds ``display``: a plan as text; its error or the reason against it where there is one."""
-    shown = F.concat(F.lit("**Intervention:** "), F.coalesce("intervention_type", F.lit("N/A")), F.lit("\n**Channel:** "), F.coalesce("channel", F.lit("N/A")), F.lit(" | **Timing:** "), F.coalesce("timing", F.lit("N/A")), F.lit("\n**Why they're at risk:** "), F.coalesce("primary_risk_reason", F.lit("N/A")))
+    shown = lambda c: F.coalesce(F.col(c), F.lit("N/A")) if c in plans.columns else F.lit("N/A")
+    # The lines of a displayed plan.
+    lines = [
+        F.concat(F.lit("**Intervention:** "), shown("intervention_type")),
+        F.concat(F.lit("**Channel:** "), shown("channel"), F.lit(" | **Timing:** "), shown("timing")),
+        F.concat(F.lit("**Cost:** "), shown("intervention_cost_estimate"), F.lit(" | **Confidence:** "), shown("confidence")),
+        F.lit(""),
+        F.concat(F.lit("**Why they're at risk:** "), shown("primary_risk_reason")),
+        F.concat(F.lit("**Will they respond?** "), shown("customer_receptivity")),
+        F.lit(""),
+        F.lit("**Suggested Message:**"),
+        F.concat(F.lit("> "), shown("message_framing")),
+        F.lit(""),
+        F.concat(F.lit("**Expected Outcome:** "), shown("expected_outcome")),
+    ]
     against = F.concat(F.lit("**No Intervention Recommended**\n\n"), F.col("do_not_intervene_reason"))
-    return plans.withColumn("display", F.when(F.col("error").isNotNull(), F.concat(F.lit("Error generating action: "), F.col("error"))).when(F.col("do_not_intervene_reason").isNotNull(), against).otherwise(shown))
+    return plans.withColumn("display", F.when(F.col("error").isNotNull(), F.concat(F.lit("Error generating action: "), F.col("error"))).when(F.col("do_not_intervene_reason").isNotNull(), against).otherwise(F.concat_ws("\n", *lines)))

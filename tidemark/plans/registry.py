@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.semantics import SEGMENTS, steady
-from tidemark.operators import agent, audit, dashboard, features, learn, metrics, scoring, serving, validate
+from tidemark.operators import agent, audit, dashboard, features, learn, metrics, playbook, scoring, serving, validate
 from tidemark.plans import bind, oracle
 from tidemark.sources.stage import staged
 from tidemark.sources.tables import load
@@ -246,26 +246,52 @@ _add(
     C,
     "SELECT customer_id, round(uplift_score * 500 + 3.1e-5, 2) AS expected_value, round(uplift_score * 500 - 15 + 3.1e-5, 2) AS net_roi, round((uplift_score * 500 - 15) / 15 * 100 + 3.1e-4, 1) AS roi_pct, 0.03::DOUBLE AS break_even_uplift, CASE WHEN uplift_score * 500 - 15 > 0 THEN 'positive' ELSE 'negative' END AS verdict FROM customers",
 )
-_queries = ["high SupportRiskScore", "high foo", "low foo", "low stickiness", "Complain", "DaySinceLastOrder", "tenure is short", "low-cashback"]
-_qsql = f"SELECT c_custkey, [{', '.join(repr(x) for x in _queries)}][c_custkey % {len(_queries)} + 1] AS risk FROM customer"
+_qsql = "SELECT CustomerID, rank, CASE WHEN value > 0 THEN 'high ' ELSE 'low ' END || feature AS risk FROM drivers"
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.element_at(F.lit(_queries), (F.col("c_custkey") % len(_queries) + 1).cast("int"))
-    return load(spark, sf_dir, "customer").select("c_custkey", q.alias("risk"))
+    """The risk factors of all customers: their drivers in words."""
+    each = bind.with_drivers(spark, sf_dir).select("CustomerID", F.posexplode("Drivers").alias("pos", "d"))
+    return each.select("CustomerID", (F.col("pos") + 1).alias("rank"), F.concat(F.when(F.col("d.value") > 0, "high ").otherwise("low "), F.col("d.feature")).alias("risk"))
+
+
+def _book(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(agent.PLAYBOOK)], "position int, key string, intervention_type string")
 
 
 _vals = ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(agent.PLAYBOOK))
 _words = ", ".join(f"('{k}', '{w}')" for k, _ in agent.PLAYBOOK if k != "default" for w in k.split("_") if len(w) > 3)
 _add(
     "tool_playbook_exact_fuzzy",
-    _on(_asked, agent.playbook_match, "risk"),
-    f"asked AS (SELECT *, replace(replace(lower(risk), ' ', '_'), '-', '_') AS q FROM ({_qsql})), book(i, k, v) AS (VALUES {_vals}), words(k, w) AS (VALUES {_words}), hits AS (SELECT c_custkey, i, book.k, count(*) AS n FROM asked JOIN words ON contains(q, w) JOIN book ON book.k = words.k GROUP BY 1, 2, 3), best AS (SELECT c_custkey, k FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY n DESC, i) AS r FROM hits) WHERE r = 1), m AS (SELECT asked.c_custkey, risk, coalesce(e.k, best.k, 'default') AS matched_key, CASE WHEN e.k IS NOT NULL THEN 'exact' WHEN best.k IS NOT NULL THEN 'fuzzy' ELSE 'default' END AS match_type FROM asked LEFT JOIN book e ON e.k = q LEFT JOIN best ON best.c_custkey = asked.c_custkey)",
-    "SELECT c_custkey, risk, matched_key, match_type, v AS intervention_type FROM m JOIN book ON k = matched_key",
+    lambda s, d: playbook.key_match(_asked(s, d), "risk", _book(s)),
+    f"{oracle.DRIVERS}, asked AS (SELECT *, replace(replace(lower(risk), ' ', '_'), '-', '_') AS q FROM ({_qsql})), book(i, k, v) AS (VALUES {_vals}), words(k, w) AS (VALUES {_words}), hits AS (SELECT CustomerID, rank, i, book.k, count(*) AS n FROM asked JOIN words ON contains(q, w) JOIN book ON book.k = words.k GROUP BY 1, 2, 3, 4), best AS (SELECT CustomerID, rank, k FROM (SELECT *, row_number() OVER (PARTITION BY CustomerID, rank ORDER BY n DESC, i) AS r FROM hits) WHERE r = 1), m AS (SELECT asked.CustomerID, asked.rank, risk, coalesce(e.k, best.k, 'default') AS matched_key, CASE WHEN e.k IS NOT NULL THEN 'exact' WHEN best.k IS NOT NULL THEN 'fuzzy' ELSE 'default' END AS match_type FROM asked LEFT JOIN book e ON e.k = q LEFT JOIN best ON best.CustomerID = asked.CustomerID AND best.rank = asked.rank)",
+    "SELECT CustomerID, rank, risk, matched_key, match_type, v AS intervention_type FROM m JOIN book ON k = matched_key",
 )
 _case = "CASE " + " ".join(f"WHEN contains(lower(risk), '{k}') THEN '{k}'" for k, _ in agent.KEYWORDS if k != "default") + " ELSE 'default' END"
 _kv = "CASE keyword " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in agent.KEYWORDS) + " END"
-_add("tool_playbook_table", _on(_asked, agent.keyword_match, "risk"), None, f"SELECT *, {_kv} AS intervention_type FROM (SELECT *, {_case} AS keyword FROM ({_qsql}))")
+_add(
+    "tool_playbook_table",
+    lambda s, d: playbook.keyword_match(_asked(s, d), "risk", playbook.seeds(s), columns=("intervention",)).withColumnRenamed("intervention", "intervention_type"),
+    oracle.DRIVERS,
+    f"SELECT *, {_kv} AS intervention_type FROM (SELECT *, {_case} AS keyword FROM ({_qsql}))",
+)
+
+
+def _benchmark_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A playbook with a row for each benchmark item: its keyword is the item's third word."""
+    word = F.lower(F.split_part("text", F.lit(" "), F.lit(3)))
+    kind = F.element_at(F.lit(bind.TYPES), (F.col("item_id") % 7 + 1).cast("int"))
+    return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("position"), word.alias("risk_factor_keyword"), kind.alias("intervention"))
+
+
+_add(
+    "tool_playbook_documents",
+    lambda s, d: playbook.keyword_match(load(s, d, "documents").select("doc_id", "text"), "text", _benchmark_book(s, d), columns=("intervention",)).drop("text"),
+    None,
+    f"WITH book AS (SELECT item_id, lower(split_part(text, ' ', 3)) AS w, [{', '.join(repr(t) for t in bind.TYPES)}][item_id % 7 + 1] AS v FROM benchmark), "
+    "m AS (SELECT doc_id, min(item_id) AS item_id FROM documents JOIN book ON w <> '' AND w <> 'default' AND contains(lower(text), w) GROUP BY 1) "
+    "SELECT doc_id, w AS keyword, v AS intervention FROM documents LEFT JOIN m USING (doc_id) LEFT JOIN book USING (item_id)",
+)
 _add(
     "tool_list_customers",
     _on(bind.customers, agent.list_customers, None, "High Risk", None, 30),
@@ -440,7 +466,8 @@ _add(
     oracle.AUDIT,
     f"SELECT * FROM ({_lastwins.format('intervention_type')}) ORDER BY total DESC, intervention_type LIMIT 5",
 )
-_add("tool_unknown", lambda s, d: agent.tool_result(s, "no_such_tool"), None, "SELECT 'unknown tool: no_such_tool' AS error")
+_add("tool_unknown", lambda s, d: agent.unknown_tools(load(s, d, "events").select(F.col("event_type").alias("tool")).distinct()), None, "SELECT DISTINCT event_type AS tool, 'unknown tool: ' || event_type AS error FROM events")
+_add("tool_unknown_segment", _on(bind.customers, agent.segment_error, "Nobody"), C, "SELECT 'Segment ''Nobody'' not found.' AS error, string_agg(segment, '|' ORDER BY segment) AS valid_segments FROM (SELECT DISTINCT segment FROM customers)")
 _saved = ["id", "customer_id", "segment", "churn_probability", "uplift_score", "net_roi", "intervention_type", "agent_reasoning", "agentic_mode"]
 
 
@@ -460,14 +487,20 @@ _add(
 
 
 def _config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One key is missing, one value differs from its fallback."""
-    rows = {**serving.CONFIG, "assumed_clv_usd": "750"}
-    del rows["channels"]
-    got = serving.config(serving.config_rows(spark, rows))
+    """A configuration table made of the data: the mean order value and the kinds of events; two keys are missing."""
+    clv = load(spark, sf_dir, "orders").agg(F.lit("assumed_clv_usd").alias("key"), F.round(F.avg("o_totalprice"), 0).cast("long").cast("string").alias("value"))
+    kinds = load(spark, sf_dir, "events").groupBy("event_type").count().groupBy().agg(F.lit("channels").alias("key"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("value"))
+    got = serving.config(clv.unionByName(kinds))
     return got.select("assumed_clv", *[F.array_join(c, "|").alias(c) for c in ("intervention_types", "channels", "timing_options")])
 
 
-_add("config_values", _config, None, "SELECT 750.0::DOUBLE AS assumed_clv, " + ", ".join(f"'{serving.CONFIG[c].replace(',', '|')}' AS {c}" for c in ("intervention_types", "channels", "timing_options")))
+_add(
+    "config_values",
+    _config,
+    None,
+    "SELECT (SELECT round(avg(o_totalprice), 0) FROM orders)::DOUBLE AS assumed_clv, (SELECT string_agg(event_type, '|' ORDER BY event_type) FROM (SELECT DISTINCT event_type FROM events)) AS channels, "
+    + ", ".join(f"'{serving.CONFIG[c].replace(',', '|')}' AS {c}" for c in ("intervention_types", "timing_options")),
+)
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -486,26 +519,30 @@ _add(
     "CASE WHEN NOT ok THEN NULL WHEN ChurnProbability < 0.3 THEN 'Low Risk' WHEN ChurnProbability < 0.6 THEN 'Medium Risk' ELSE 'High Risk' END AS risk_tier, CASE WHEN NOT ok THEN NULL WHEN ChurnProbability >= 0.3 THEN 'Lost Cause' ELSE 'Sleeping Dog' END AS customer_type "
     "FROM (SELECT *, (customer_id % 10 <> 0 AND customer_id % 13 <> 0) AS ok FROM scored)",
 )
-_replies = [
-    "<think>so\nmany</think> ```json\n{\"a\": 1}\n``` bye", "```\n{\"a\": 2, \"b\": 3.5}\n```", "  {\"a\": 4}  ", "<THINK>x</think><function=f>{}</function>no json", "```json {\"a\": oops} ```", "",
+#: What surrounds a message in a reply, by conversation: before its text, between text and turn, after the turn.
+_wraps = [
+    ("<think>", "</think> ```json\n{\"a\": ", "}\n``` bye"), ("```\n{\"b\": 3.5, \"a\": ", "", "}\n``` and "), ("  ", " ", "  "), ("<THINK>x</think><function=f>", "</function>no json ", ""), ("", "```json {\"a\": oops} ", "```"), ("```json\n{\"a\": 4}\n```", "<think>", "</think>"),
 ]
 
 
 def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reply = F.element_at(F.lit(_replies), (F.col("c_custkey") % len(_replies) + 1).cast("int"))
-    rows = load(spark, sf_dir, "customer").select("c_custkey", serving.stripped(reply).alias("reply"))
+    """All messages as replies of a provider, in six kinds of wrapping; of the second kind only the turn is kept, so it is JSON."""
+    k = (F.col("conv_id") % len(_wraps) + 1).cast("int")
+    part = lambda i: F.element_at(F.lit([w[i] for w in _wraps]), k)
+    reply = F.concat(part(0), F.when(k != 2, F.col("text")).otherwise(""), part(1), F.col("turn").cast("string"), part(2))
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", serving.stripped(reply).alias("reply"))
     rows = rows.withColumn("json", serving.fenced_json(F.col("reply")))
     return rows.withColumn("a", F.element_at(serving.numbers_of(F.col("json")), "a"))
 
 
-_lit = ", ".join("'" + x.replace("'", "''") + "'" for x in _replies)
+_part = lambda i: "[" + ", ".join("'" + w[i].replace("'", "''") + "'" for w in _wraps) + f"][conv_id % {len(_wraps)} + 1]"
 _add(
     "clean_replies",
     _clean,
-    f"r AS (SELECT c_custkey, [{_lit}][c_custkey % {len(_replies)} + 1] AS x FROM customer), "
-    "t AS (SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace(x, '(?is)<think>.*?</think>', '', 'g'), '(?is)<function=.*?</function>', '', 'g'), '^\\s+|\\s+$', '', 'g') AS reply FROM r), "
+    f"r AS (SELECT conv_id, turn, {_part(0)} || CASE WHEN conv_id % {len(_wraps)} <> 1 THEN text ELSE '' END || {_part(1)} || turn || {_part(2)} AS x FROM conversations), "
+    "t AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(x, '(?is)<think>.*?</think>', '', 'g'), '(?is)<function=.*?</function>', '', 'g'), '^\\s+|\\s+$', '', 'g') AS reply FROM r), "
     "j AS (SELECT *, regexp_replace(CASE WHEN contains(reply, '```json') THEN split_part(split_part(reply, '```json', 2), '```', 1) WHEN contains(reply, '```') THEN split_part(split_part(reply, '```', 2), '```', 1) ELSE reply END, '^\\s+|\\s+$', '', 'g') AS json FROM t)",
-    "SELECT c_custkey, reply, json, CASE WHEN json_valid(json) THEN TRY_CAST(json_extract_string(json, '$.a') AS DOUBLE) END AS a FROM j",
+    "SELECT conv_id, turn, reply, json, CASE WHEN json_valid(json) THEN TRY_CAST(json_extract_string(json, '$.a') AS DOUBLE) END AS a FROM j",
 )
 _both = oracle.DRIVERS + ",\n" + oracle.CUSTOMERS[len(oracle.SCORED) :].lstrip(",\n ")
 _add(
@@ -516,14 +553,17 @@ _add(
     "round(churn_probability * 100 + 3.1e-4, 1), round(uplift_score + 3.1e-7, 4), round(net_roi + 3.1e-5, 2), tenure, satisfaction_score, days_since_last_order, hour_spend_on_app, complain, order_count, round(cashback_amount + 3.1e-5, 2)) || ' Drivers: ' || coalesce(why, 'none') || '.' AS prompt "
     "FROM customers LEFT JOIN why USING (customer_id)",
 )
+_seed_rows = ", ".join(f"('{k}', '{m}', '{c}')" for _, k, _, m, c in playbook.SEEDS)
 _plan_risk = "CASE WHEN value > 0 THEN 'high ' ELSE 'low ' END || feature"
 _add(
     "batch_plans",
-    lambda s, d: serving.displayed(serving.batch_plans(bind.customers(s, d), bind.with_drivers(s, d))).select("customer_id", "segment", "intervention_priority", "risk", "intervention_type", "channel", "timing", "error", "display"),
+    lambda s, d: serving.displayed(serving.batch_plans(bind.customers(s, d), bind.with_drivers(s, d))).select("customer_id", "segment", "intervention_priority", "risk", *serving.PLAN_KEYS, "error", "raw_response", "display"),
     f"{_both}, best AS (SELECT customer_id, segment, intervention_priority {_P} ORDER BY intervention_priority NULLS LAST, customer_id LIMIT 50), asked AS (SELECT best.*, {_plan_risk} AS risk FROM best JOIN drivers ON CustomerID = customer_id AND rank = 1), "
     f"found AS (SELECT *, {_case} AS keyword FROM asked), typed2 AS (SELECT *, {_kv} AS intervention_type FROM found)",
-    "SELECT customer_id, segment, intervention_priority, risk, intervention_type, 'Email' AS channel, 'Within 24 hours' AS timing, NULL::VARCHAR AS error, "
-    "'**Intervention:** ' || intervention_type || chr(10) || '**Channel:** Email | **Timing:** Within 24 hours' || chr(10) || '**Why they''re at risk:** ' || keyword AS display FROM typed2",
+    "SELECT customer_id, segment, intervention_priority, risk, keyword AS primary_risk_reason, NULL::VARCHAR AS customer_receptivity, intervention_type, 'Email' AS channel, 'Within 24 hours' AS timing, m AS message_framing, "
+    "c AS intervention_cost_estimate, NULL::VARCHAR AS expected_outcome, 'Medium' AS confidence, NULL::VARCHAR AS do_not_intervene_reason, NULL::VARCHAR AS error, NULL::VARCHAR AS raw_response, "
+    "concat_ws(chr(10), '**Intervention:** ' || intervention_type, '**Channel:** Email | **Timing:** Within 24 hours', '**Cost:** ' || c || ' | **Confidence:** Medium', '', '**Why they''re at risk:** ' || keyword, '**Will they respond?** N/A', '', "
+    f"'**Suggested Message:**', '> ' || m, '', '**Expected Outcome:** N/A') AS display FROM typed2 JOIN (VALUES {_seed_rows}) s(k, m, c) ON k = keyword",
 )
 
 # ---------------------------------------------------------------- the adapters' steps
