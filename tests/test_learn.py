@@ -170,3 +170,81 @@ def test_batch_run_writes_every_stage(spark, tmp_path):
     again = learn.segment_scores(load_stage(spark, f"{out}/segmented"), models=load_stage(spark, f"{out}/churn_models"))
     kept = load_stage(spark, f"{out}/scored").select("CustomerID", F.col("ChurnProbability").alias("p"))
     assert again.join(kept, "CustomerID").filter(F.col("p").eqNullSafe(F.col("ChurnProbability"))).count() == n
+
+
+def kept_neighbours(x, y, n=10):
+    """The mean share of each point's nearest neighbours that are nearest in the layout too."""
+    near = lambda m: np.argsort(((m[:, None] - m) ** 2).sum(-1) + np.diag([np.inf] * len(m)), axis=1)[:, :n]
+    a, b = near(x), near(y)
+    return np.mean([len(set(p) & set(q)) / n for p, q in zip(a, b)])
+
+
+def test_the_embedding_keeps_more_neighbours_than_the_projection(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, len(learn.CLUSTERING))) * 4
+    m = centres[rng.integers(0, 12, 600)] + rng.normal(size=(600, len(learn.CLUSTERING)))
+    df = spark.createDataFrame([(str(i), *v.tolist()) for i, v in enumerate(m)], "CustomerID string, " + ", ".join(f"{c} double" for c in learn.CLUSTERING)).repartition(3)
+    z = (m - m.mean(0)) / m.std(0)
+
+    def layout(out):
+        got = {r[0]: r[1:] for r in out.select("CustomerID", "UMAP_1", "UMAP_2").collect()}
+        assert len(got) == 600
+        return np.array([got[str(i)] for i in range(600)])
+
+    flat = kept_neighbours(z, layout(learn.pca_embedding(df)))
+    near, placed = layout(learn.neighbour_embedding(df)), layout(learn.neighbour_embedding(df, landmarks=200))
+    assert kept_neighbours(z, near) > flat + 0.1 and kept_neighbours(z, placed) > flat
+    assert np.allclose(near, layout(learn.neighbour_embedding(df.repartition(5))))
+    assert learn.neighbour_embedding(df.limit(0)).count() == 0 and learn.neighbour_embedding(df.limit(1)).count() == 1
+    same = df.select("CustomerID", *[F.lit(1.0).alias(c) for c in learn.CLUSTERING])
+    assert learn.neighbour_embedding(same).filter("isnan(UMAP_1) or UMAP_1 is null").count() == 0
+
+
+def brute_silhouette(x, label):
+    out = []
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(-1))
+    for i in range(len(x)):
+        own = (label == label[i]) & (np.arange(len(x)) != i)
+        others = [d[i, label == c].mean() for c in set(label) if c != label[i]]
+        out.append(0.0 if not own.any() or not others else (min(others) - d[i, own].mean()) / max(min(others), d[i, own].mean()))
+    return np.array(out)
+
+
+def test_silhouettes_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(9)
+    m = rng.normal(size=(240, 4)) + 3 * rng.integers(0, 3, 240)[:, None]
+    x = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(m)], "CustomerID string, x array<double>").repartition(4)
+    fits = [m[:3].copy(), m[10:15].copy(), np.vstack((m[:2], [[99.0] * 4])), m[:1].copy(), np.vstack((m[5:7], [[50.0] * 4]))]
+    labels = [((m[:, None] - c) ** 2).sum(-1).argmin(1) for c in fits]
+    whole = learn.silhouettes(x, fits)
+    for got, label in zip(whole, labels):
+        assert abs(got - brute_silhouette(m, label).mean()) < 1e-9
+    order = [r[0] for r in x.orderBy(F.xxhash64("CustomerID", F.lit(5)), "x").select("CustomerID").limit(50).collect()]
+    part = learn.silhouettes(x, fits, most=50)
+    for got, label in zip(part, labels):
+        assert abs(got - brute_silhouette(m, label)[[int(i) for i in order]].mean()) < 1e-9
+    assert learn.silhouettes(x.limit(0), fits[:2]) == [0.0, 0.0]
+
+
+def test_requests_are_scored_as_the_batch_scores_its_rows(spark, tmp_path):
+    from tidemark.operators import features, serving
+
+    out = str(tmp_path)
+    rows = registry.QUERIES["customer_features"](spark, SF)
+    batch.run(registry.bind.customer_features(spark, SF), out, seeds=2, rounds=8, uplift_rounds=4)
+    kept = {n: load_stage(spark, f"{out}/{n}") for n in ("feature_stats", "codes", "segment_model", "churn_models", "uplift_models", "scored")}
+    assert {r["learner"] for r in kept["uplift_models"].collect()} <= {"t0", "t1", "s"} and kept["segment_model"].count() == 5
+    asked = registry.bind.customer_features(spark, SF).select("CustomerID", *features.CHURN_NUMERIC, "PreferredPaymentMode", "PreferedOrderCat")
+    n = F.col("CustomerID").cast("long")
+    asked = asked.withColumn("SatisfactionScore", F.when(n % 10 == 0, 9).otherwise(F.col("SatisfactionScore"))).withColumn("PreferredPaymentMode", F.when(n % 10 == 1, "unheard of").otherwise(F.col("PreferredPaymentMode")))
+    got = {r["CustomerID"]: r for r in serving.score_by_models(asked, kept["feature_stats"], kept["segment_model"], kept["churn_models"], kept["codes"]).collect()}
+    want = {r["CustomerID"]: r for r in kept["scored"].collect()}
+    assert len(got) == rows.count() == len(want)
+    for i, r in want.items():
+        g = got[i]
+        if int(i) % 10 == 0:
+            assert not g["valid"] and g["segment"] is None and g["churn_probability"] is None and g["risk_tier"] is None
+        else:
+            assert g["valid"] and g["segment"] == r["Segment"]
+            if int(i) % 10 != 1 and r["ChurnProbability"] is not None:
+                assert abs(g["churn_probability"] - r["ChurnProbability"]) < 1e-4 and g["churn_prediction"] == (r["ChurnProbability"] >= 0.5)

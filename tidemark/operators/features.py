@@ -85,10 +85,10 @@ def all_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     return running(each, [F.col("column")], [F.col("value")], {"code": F.lit(1)}).withColumn("code", F.col("code").cast("int"))
 
 
-def encode(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Categories replaced by their codes; Spark broadcasts a column's codes if they are small."""
+def encode(df: DataFrame, columns: list[str], codes: DataFrame | None = None) -> DataFrame:
+    """Categories replaced by their codes, or by kept ``codes``, where an unknown category is null; Spark broadcasts a column's codes if they are small."""
     present = [c for c in columns if c in df.columns]
-    codes = written(all_codes(df, present)) if present else None
+    codes = written(all_codes(df, present)) if codes is None and present else codes
     for c in present:
         own = codes.filter(F.col("column") == c).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
         df = df.join(own, _category(c) == F.col("_value"), "left").withColumn(c, F.col("_code")).drop("_value", "_code")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import pickle
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -10,7 +11,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -32,12 +32,17 @@ FIT_ROWS = 50_000
 CHURN_FEATURES = [*CHURN_NUMERIC, *CATEGORIES, *COMPOSITES]
 
 
-def scaled(df: DataFrame, columns: list[str] = CLUSTERING, key: str = "CustomerID") -> DataFrame:
-    """(key, x): z-scores by the population deviation (1 where it is 0), as an array; kept while a fit passes over it again and again. Unpersist it afterwards."""
+def scale_stats(df: DataFrame, columns: list[str] = CLUSTERING) -> DataFrame:
+    """The one row of means and population deviations that z-scores need."""
+    rows = df.select(*score_columns(df, columns))
+    return rows.agg(*[x for c in columns for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))])
+
+
+def scaled(df: DataFrame, columns: list[str] = CLUSTERING, key: str = "CustomerID", stats: DataFrame | None = None) -> DataFrame:
+    """(key, x): z-scores by the population deviation (1 where it is 0) of all rows, or by the given one-row statistics, as an array; kept while a fit passes over it again and again. Unpersist it afterwards."""
     rows = df.select(key, *score_columns(df, columns))
-    stats = rows.agg(*[x for c in columns for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))])
     z = [F.coalesce((F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")).otherwise(1.0), F.lit(0.0)) for c in columns]
-    return one_row_join(rows, stats).select(key, F.array(*z).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    return one_row_join(rows, scale_stats(df, columns) if stats is None else stats).select(key, F.array(*z).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -136,15 +141,35 @@ def assigned(x: DataFrame, centres: np.ndarray) -> DataFrame:
     return x.withColumn("prediction", F.array_min(F.array(*[F.struct(v.alias("d"), F.lit(i).alias("i")) for i, v in enumerate(d)]))["i"])
 
 
-def kmeans_segments(df: DataFrame, k: int = 5, seeds: int = 20, iterations: int = 500) -> DataFrame:
-    """(CustomerID, RawSegment, Segment): clusters, labelled by their ranked profiles."""
+def segment_model(df: DataFrame, k: int = 5, seeds: int = 20, iterations: int = 500) -> DataFrame:
+    """(RawSegment, Segment, centre, stats): the clusters with their labels by ranked profiles and their centres among z-scores, and the statistics that these take, as JSON. One row for each cluster that has rows."""
     from tidemark.operators.scoring import rank_labels
 
-    x = scaled(df)
-    got = assigned(x, best_kmeans(x, k, seeds, iterations)).select("CustomerID", F.col("prediction").alias("RawSegment"))
+    stats = written(scale_stats(df))
+    x = scaled(df, stats=stats)
+    centres = best_kmeans(x, k, seeds, iterations)
+    got = assigned(x, centres).select("CustomerID", F.col("prediction").alias("RawSegment"))
+    names = {r["RawSegment"]: r["label"] for r in rank_labels(df.join(got, "CustomerID")).collect()}  # one row for each cluster
+    x.unpersist()
+    saved = json.dumps(stats.first().asDict())
+    return df.sparkSession.createDataFrame([(i, names[i], [float(v) for v in c], saved) for i, c in enumerate(centres) if i in names], "RawSegment int, Segment string, centre array<double>, stats string")
+
+
+def segments_of(df: DataFrame, model: DataFrame) -> DataFrame:
+    """(CustomerID, RawSegment, Segment) of every row by a kept ``segment_model``."""
+    rows = model.orderBy("RawSegment").collect()  # one for each cluster
+    stats = json.loads(rows[0]["stats"])
+    one = df.sparkSession.createDataFrame([tuple(stats.values())], ", ".join(f"`{c}` double" for c in stats))
+    x = scaled(df, stats=one)
+    near = assigned(x, np.array([r["centre"] for r in rows]))
     x.unpersist()
-    names = rank_labels(df.join(got, "CustomerID")).select("RawSegment", F.col("label").alias("Segment"))
-    return got.join(F.broadcast(names), "RawSegment").select("CustomerID", "RawSegment", "Segment")  # one row for each cluster
+    each = F.element_at(F.lit([r["RawSegment"] for r in rows]), F.col("prediction") + 1), F.element_at(F.lit([r["Segment"] for r in rows]), F.col("prediction") + 1)
+    return near.select("CustomerID", each[0].alias("RawSegment"), each[1].alias("Segment"))
+
+
+def kmeans_segments(df: DataFrame, k: int = 5, seeds: int = 20, iterations: int = 500) -> DataFrame:
+    """(CustomerID, RawSegment, Segment): clusters, labelled by their ranked profiles."""
+    return segments_of(df, segment_model(df, k, seeds, iterations))
 
 
 def gmm_soft(df: DataFrame, k: int = 5, seeds: int = 5, iterations: int = 200) -> DataFrame:
@@ -167,16 +192,128 @@ def pca_embedding(df: DataFrame) -> DataFrame:
     return model.transform(x).select("CustomerID", a[0].alias("UMAP_1"), a[1].alias("UMAP_2"))
 
 
+#: Rows that the embedding is fitted on, and that silhouettes are computed for.
+LANDMARKS, SILHOUETTES = 1500, 2000
+
+
+def _landmark_layout(x: np.ndarray, near: int = 10, rounds: int = 450, seed: int = 42) -> np.ndarray:
+    """Two coordinates of each landmark, by gradient steps on pairs of near, middle and far points.
+
+    Near pairs are each point's nearest neighbours; a middle pair is the second nearest of six points drawn; far pairs are drawn among the rest. With d = 1 + squared distance in the layout the loss is
+    d / (10 + d) for near, d / (10000 + d) for middle and 1 / (1 + d) for far pairs; middle pairs weigh much at first, which sets the global shape, and nothing at last, when near pairs settle.
+    """
+    n = len(x)
+    rng = np.random.default_rng(seed)
+    centred = x - x.mean(axis=0)
+    _, _, axes = np.linalg.svd(centred, full_matrices=False)
+    y = centred @ axes[:2].T if len(axes) > 1 else np.column_stack((centred @ axes[0], np.zeros(n)))
+    y = 0.01 * y / max(1e-12, np.abs(y).max()) + 1e-6 * rng.normal(size=y.shape)
+    near = min(near, n - 1)
+    if near < 1:
+        return y
+    far = (x * x).sum(1)[:, None] - 2 * x @ x.T + (x * x).sum(1)
+    np.fill_diagonal(far, np.inf)
+    own = np.repeat(np.arange(n), near)
+    close = np.argpartition(far, near - 1, axis=1)[:, :near].ravel()
+    each = max(1, near // 2)
+    drawn = rng.integers(0, n, (n, each, 6))
+    middle = np.take_along_axis(drawn, np.argsort(far[np.arange(n)[:, None, None], drawn], axis=2)[:, :, 1:2], 2).ravel()
+    away = rng.integers(0, n, n * near * 2)
+    sides = [(own, close), (np.repeat(np.arange(n), each), middle), (np.repeat(np.arange(n), near * 2), away)]
+    m, v = np.zeros_like(y), np.zeros_like(y)
+    for t in range(rounds):
+        w_near, w_middle = (2.0, 1000 * (1 - t / 100) + 3 * t / 100) if t < 100 else (3.0, 3.0) if t < 200 else (1.0, 0.0)
+        grad = np.zeros_like(y)
+        for (a, b), weight, c in zip(sides, (w_near, w_middle, 1.0), (10.0, 10000.0, None)):
+            if weight:
+                gap = y[a] - y[b]
+                d = 1 + (gap * gap).sum(1)
+                slope = weight * 2 * (c / (c + d) ** 2 if c else -1 / (1 + d) ** 2)
+                push = slope[:, None] * gap
+                for k in range(2):
+                    grad[:, k] += np.bincount(a, push[:, k], n) - np.bincount(b, push[:, k], n)
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        y = y - (m / (1 - 0.9 ** (t + 1))) / (np.sqrt(v / (1 - 0.999 ** (t + 1))) + 1e-7)
+    return y
+
+
+def neighbour_embedding(df: DataFrame, landmarks: int = LANDMARKS, near: int = 10, weigh: int = 5) -> DataFrame:
+    """(CustomerID, UMAP_1, UMAP_2): two coordinates that keep neighbours together, under the names that dashboards expect.
+
+    At most ``landmarks`` rows, by a hash of the id, are laid out on the driver (``_landmark_layout``); every other row is placed among its ``weigh`` nearest landmarks, by inverse squared distance, in tasks that each hold
+    the landmarks. No rows: no rows.
+    """
+    rows = scaled(df)
+    pick = rows.orderBy(F.xxhash64("CustomerID", F.lit(3)), "CustomerID").limit(landmarks).select("x").toPandas()
+    if pick.empty:
+        rows.unpersist()
+        return df.select("CustomerID", F.lit(0.0).alias("UMAP_1"), F.lit(0.0).alias("UMAP_2"))
+    at = np.unique(np.array(pick["x"].tolist()), axis=0)
+    y = _landmark_layout(at, near)
+    weigh = min(weigh, len(at))
+    schema = T.StructType([rows.schema["CustomerID"], T.StructField("UMAP_1", T.DoubleType()), T.StructField("UMAP_2", T.DoubleType())])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, len(whole), 1024):
+                batch = whole.slice(i, 1024)
+                m = _matrix(batch)
+                far = np.maximum(0, (m * m).sum(1)[:, None] - 2 * m @ at.T + (at * at).sum(1))
+                nearest = np.argpartition(far, weigh - 1, axis=1)[:, :weigh]
+                d = np.take_along_axis(far, nearest, 1)
+                w = 1 / (d + 1e-9)
+                got = (w[:, :, None] * y[nearest]).sum(1) / w.sum(1)[:, None]
+                yield pa.RecordBatch.from_arrays([batch.column("CustomerID"), pa.array(got[:, 0]), pa.array(got[:, 1])], schema.names)
+
+    out = written(rows.mapInArrow(place, schema))
+    rows.unpersist()
+    return out
+
+
+def silhouettes(x: DataFrame, fits: list[np.ndarray], most: int = SILHOUETTES) -> list[float]:
+    """The mean silhouette of each clustering (its centres), by Euclidean distance: of at most ``most`` rows, by a hash, each compared with all rows, in one pass for all clusterings. 0 for a row alone in its cluster, and
+    with fewer than two clusters."""
+    pick = x.orderBy(F.xxhash64(x.columns[0], F.lit(5)), "x").limit(most).select("x").toPandas()
+    if pick.empty:
+        return [0.0] * len(fits)
+    some = np.array(pick["x"].tolist())
+    nearest = lambda m, c: ((m * m).sum(1)[:, None] - 2 * m @ c.T + (c * c).sum(1)).argmin(1)
+
+    def part(m: np.ndarray, _: np.ndarray) -> np.ndarray:
+        d = np.sqrt(((m[:, None] - some) ** 2).sum(-1)) if m.size * len(some) < 1 << 22 else np.vstack([np.sqrt(((r[:, None] - some) ** 2).sum(-1)) for r in np.array_split(m, -(-m.size * len(some) // (1 << 22)))])
+        out = []
+        for c in fits:
+            z = np.eye(len(c))[nearest(m, c)]
+            out += [(z.T @ d).ravel(), z.sum(0)]
+        return np.concatenate(out)
+
+    total, at, means = _total(x, part), 0, []
+    for c in fits:
+        k = len(c)
+        sums, n = total[at : at + k * len(some)].reshape(k, -1), total[at + k * len(some) : at + k * len(some) + k]
+        at += k * len(some) + k
+        own = nearest(some, c)
+        cells = np.arange(len(some))
+        a = sums[own, cells] / np.maximum(n[own] - 1, 1)
+        other = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], np.inf)
+        other[own, cells] = np.inf
+        b = other.min(0)
+        ok = (n[own] > 1) & np.isfinite(b) & (np.maximum(a, b) > 0)
+        means.append(float(np.where(ok, (b - a) / np.where(ok, np.maximum(a, b), 1), 0.0).mean()))
+    return means
+
+
 def k_sweep(df: DataFrame, ks: range = range(2, 9), seeds: int = 10, iterations: int = 300) -> DataFrame:
     """(k, inertia, silhouette, davies_bouldin) for each number of clusters; all fits advance together."""
     x = scaled(df)
     jobs = [(k, 42 + i, None) for k in ks for i in range(seeds)]
     fits, rows = lloyd(x, jobs, iterations), []
-    for k in ks:
-        centres, cost = min((f for f, j in zip(fits, jobs) if j[0] == k), key=lambda m: m[1])
-        got = assigned(x, centres).withColumn("features", array_to_vector("x"))
+    best = [min((f for f, j in zip(fits, jobs) if j[0] == k), key=lambda m: m[1]) for k in ks]
+    sharp = silhouettes(x, [c for c, _ in best])
+    for k, (centres, cost), silhouette in zip(ks, best, sharp):
+        got = assigned(x, centres)
         near = metrics.davies_bouldin(got.select("prediction", *[F.col("x")[i].alias(c) for i, c in enumerate(CLUSTERING)]), "prediction", CLUSTERING).first()[0]
-        rows.append((k, float(cost), float(ClusteringEvaluator().evaluate(got)), near))
+        rows.append((k, float(cost), silhouette, near))
     x.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, davies_bouldin double")
 
@@ -390,10 +527,10 @@ def model_drivers(df: DataFrame, models: DataFrame, n: int = 5) -> DataFrame:
     return drivers_by_segment(df, segment_importance(models).select("Segment", "feature", "importance"), churn_features(df), n)
 
 
-def uplift_scores(df: DataFrame, rounds: int = 200, depth: int = 4, most: int = FIT_ROWS) -> DataFrame:
-    """(CustomerID, UpliftScore, ChurnProbNoTreatment): the mean of a two-model and a one-model learner, control less treated; zeros without both groups and classes in them.
+def uplift_models(df: DataFrame, rounds: int = 200, depth: int = 4, most: int = FIT_ROWS) -> DataFrame:
+    """(learner, model) of the treated (t1), the control (t0) and both (s): those that have both classes.
 
-    The three learners are fitted side by side, one in a task, each from at most ``most`` labelled rows; all rows are scored.
+    They are fitted side by side, one in a task, each from about ``most`` labelled rows at most.
     """
     rows = _features(df, UPLIFT, "CustomerID", "Churn", "Treatment")
     every = rows.withColumn("learner", F.explode(F.array(F.concat(F.lit("t"), F.col("Treatment").cast("string")), F.lit("s"))))
@@ -407,7 +544,13 @@ def uplift_scores(df: DataFrame, rounds: int = 200, depth: int = 4, most: int =
             x = np.column_stack((x, p["Treatment"].to_numpy().astype(float)))
         return pd.DataFrame({"learner": p["learner"].iloc[:1].to_list(), "model": [pickle.dumps(boosting.fit(x, y, np.ones(len(y)), rounds, depth))]})
 
-    fits = {r[0]: pickle.loads(r[1]) for r in _sampled(every, "learner", "Churn", most).groupBy("learner").applyInPandas(train, "learner string, model binary").collect()}  # noqa: S301 - at most three
+    return _sampled(every, "learner", "Churn", most).groupBy("learner").applyInPandas(train, "learner string, model binary")
+
+
+def uplift_scores(df: DataFrame, rounds: int = 200, depth: int = 4, most: int = FIT_ROWS, models: DataFrame | None = None) -> DataFrame:
+    """(CustomerID, UpliftScore, ChurnProbNoTreatment): the mean of a two-model and a one-model learner, control less treated; zeros without both groups and classes in them. All rows are scored, by kept models or new ones."""
+    rows = _features(df, UPLIFT, "CustomerID", "Churn", "Treatment")
+    fits = {r[0]: pickle.loads(r[1]) for r in (uplift_models(df, rounds, depth, most) if models is None else models).collect()}  # noqa: S301 - at most three
     if not {"t0", "t1", "s"} <= fits.keys():
         return rows.select("CustomerID", F.lit(0.0).alias("UpliftScore"), F.lit(0.0).alias("ChurnProbNoTreatment"))
     models = {(None, "t1"): (fits["t1"], None), (None, "t0"): (fits["t0"], None), (None, "s1"): (fits["s"], 1.0), (None, "s0"): (fits["s"], 0.0)}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.semantics import customer_type, is_true, steady, with_default
-from tidemark.operators import agent, features, playbook, scoring, validate
+from tidemark.operators import agent, features, learn, playbook, scoring, validate
 from tidemark.sources.logs import typed
 from tidemark.sources.stage import written
 
@@ -65,6 +65,26 @@ def score_requests(requests: DataFrame, stats: DataFrame, key: str = "CustomerID
     )
 
 
+def score_by_models(requests: DataFrame, stats: DataFrame, segments: DataFrame, churn: DataFrame, codes: DataFrame | None = None, key: str = "CustomerID") -> DataFrame:
+    """As ``score_requests``, by trained models: the segment of the nearest centre, and the probability of that segment's own churn model (null where it has none).
+
+    ``stats``, ``codes``, ``segments`` and ``churn`` are what the batch run keeps (feature_stats, codes, segment_model, churn_models), so requests are scaled, coded and scored as the training rows were. A category that
+    training hasn't seen counts as unknown.
+    """
+    given = requests.withColumns({c: F.coalesce(with_default(requests, c, None).cast("string"), F.lit(v)) for c, v in REQUEST_DEFAULTS.items()})
+    checked = written(validate.check_requests(given).withColumnRenamed(key, "CustomerID"))
+    fine = features.composites(checked.filter("valid"), stats)
+    fine = fine if codes is None else features.encode(fine, [r[0] for r in codes.select("column").distinct().collect()], codes)  # at most five columns
+    known = written(fine.drop("Segment").join(learn.segments_of(fine, segments), "CustomerID"))
+    p = learn.segment_scores(known, models=churn).select("CustomerID", F.col("Segment").alias("segment"), F.col("ChurnProbability").alias("p"))
+    out = checked.select("CustomerID", "valid", "errors").join(p, "CustomerID", "left")
+    q = F.col("p")
+    return out.select(
+        F.col("CustomerID").alias(key), "valid", "errors", "segment", steady(q, 4).alias("churn_probability"), F.when(q.isNotNull(), is_true(q >= 0.5).cast("int")).alias("churn_prediction"), serving_tier(q).alias("risk_tier"),
+        F.when(q.isNotNull(), customer_type(F.lit(0.0), q)).alias("customer_type"),
+    )
+
+
 def config_rows(spark, values: dict[str, str] | None = None) -> DataFrame:
     """The seed rows (key, value) of the configuration."""
     return spark.createDataFrame(list((CONFIG if values is None else values).items()), "key string, value string")

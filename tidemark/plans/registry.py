@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.semantics import SEGMENTS, steady
 from tidemark.operators import agent, audit, dashboard, features, learn, metrics, playbook, scoring, serving, validate
-from tidemark.plans import bind, oracle
-from tidemark.sources.stage import staged
+from tidemark.plans import bind, oracle, sql_functions
+from tidemark.sources import logs
+from tidemark.sources.stage import shared_dir, staged
 from tidemark.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -394,6 +396,7 @@ _add(
 _add("kmeans_segments", _on(bind.customer_features, learn.kmeans_segments))
 _add("gmm_soft", _on(bind.customer_features, learn.gmm_soft))
 _add("pca_embedding", _on(bind.customer_features, learn.pca_embedding))
+_add("neighbour_embedding", _on(bind.customer_features, learn.neighbour_embedding))
 _add("k_sweep", _on(bind.customer_features, learn.k_sweep))
 _add("bootstrap_stability", _on(bind.customer_features, learn.bootstrap_stability))
 _add("uplift_t_s", _on(bind.scored, learn.uplift_scores))
@@ -471,10 +474,21 @@ _add("tool_unknown_segment", _on(bind.customers, agent.segment_error, "Nobody"),
 _saved = ["id", "customer_id", "segment", "churn_probability", "uplift_score", "net_roi", "intervention_type", "agent_reasoning", "agentic_mode"]
 
 
-def _saved_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _saved_actions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = F.array(F.struct(F.lit(1).alias("round"), F.lit("lookup").alias("tool"), F.col("customer_id").alias("args")))
     traced = bind.actions(spark, sf_dir).withColumn("trace", F.when(F.col("agentic_mode"), step))
-    return serving.action_rows(traced, bind.customers(spark, sf_dir)).select(*_saved)
+    return serving.action_rows(traced, bind.customers(spark, sf_dir))
+
+
+_saved_sql = (
+    "SELECT acts.id::VARCHAR AS id, acts.customer_id, c.segment, churn_probability, uplift_score, net_roi, intervention_type, NULL::VARCHAR AS channel, NULL::VARCHAR AS timing, NULL::VARCHAR AS message_framing, "
+    "CASE WHEN agentic_mode THEN '[{\"round\":1,\"tool\":\"lookup\",\"args\":\"' || acts.customer_id || '\"}]' END AS agent_reasoning, agentic_mode, generated_at, NULL::VARCHAR AS confidence "
+    "FROM acts LEFT JOIN customers c ON acts.customer_id = c.customer_id WHERE intervention_type IS NOT NULL"
+)
+
+
+def _saved_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _saved_actions_whole(spark, sf_dir).select(*_saved)
 
 
 _add(
@@ -624,3 +638,67 @@ _add(
     f"SELECT customer_id, segment, {', '.join(f'profile_{c}' for c in _profiled)}, profile_Count, profile_ChurnRate FROM (SELECT customer_id, segment {_P} ORDER BY intervention_priority NULLS LAST, customer_id LIMIT 50) "
     f"LEFT JOIN (SELECT Segment AS segment, {', '.join(f'round(avg({c}), 3) AS profile_{c}' for c in _profiled)}, count(*) AS profile_Count, round(avg(Churn), 3) AS profile_ChurnRate FROM scored GROUP BY 1) USING (segment)",
 )
+
+# ---------------------------------------------------------------- the ten SQL functions, and the logs
+
+
+def _function(call: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sql_functions.register(bind.customers(spark, sf_dir), bind.with_drivers(spark, sf_dir))
+        return spark.sql(f"SELECT * FROM {call}")
+
+    return run
+
+
+for _call, _same in {
+    "get_segment_summary()": "rpc_segment_summary", "get_churn_kpis('Lapsed')": "rpc_churn_kpis_segment", "get_churn_histogram()": "rpc_churn_histogram", "get_risk_summary()": "rpc_risk_summary", "get_shap_summary('At-Risk')": "rpc_shap_summary_segment",
+    "get_avg_churn_by_segment()": "rpc_avg_churn_by_segment", "get_customer_type_summary()": "rpc_customer_type_summary", "get_roi_by_segment()": "rpc_roi_by_segment", "get_top_persuadables(p_limit => 200)": "rpc_top_persuadables", "get_uplift_kpis()": "rpc_uplift_kpis",
+}.items():
+    QUERIES["sql_" + _call.split("(")[0]], ORACLES["sql_" + _call.split("(")[0]] = _function(_call), ORACLES[_same]
+
+
+def _logged(rows: Callable[[SparkSession, str], DataFrame], schema) -> Query:
+    """Rows appended to a new log in two batches, each of them twice, and read back."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path, df = f"{shared_dir(spark)}/tidemark-log-{uuid.uuid4().hex}", rows(spark, sf_dir)
+        for _ in range(2):
+            for k in range(2):
+                logs.append_once(df.filter(F.crc32(F.encode("id", "UTF-8")) % 2 == k), path, k, schema)
+        return logs.read_log(spark, path, schema).drop("batch")
+
+    return run
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.timestamp_add("MINUTE", (F.col("conv_id") * 10 + F.col("turn")).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz"))
+    tools = F.when(F.col("role") == "assistant", F.array(F.col("turn").cast("string")))
+    return load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conversation_id"), (F.col("conv_id") % 7).cast("string").alias("session_id"), "turn", "role", F.col("text").alias("content"), at.alias("created_at"), tools.alias("tools"))
+
+
+_add(
+    "log_feedback",
+    _logged(lambda s, d: serving.feedback_rows(bind.feedback(s, d), bind.actions(s, d)), serving.FEEDBACK),
+    oracle.AUDIT,
+    "SELECT fb.id::VARCHAR AS id, retention_action_id::VARCHAR AS retention_action_id, acts.customer_id, outcome, logged_at FROM fb LEFT JOIN acts ON acts.id = retention_action_id",
+)
+_add("log_actions", _logged(_saved_actions_whole, serving.ACTIONS), oracle.AUDIT, _saved_sql)
+_add(
+    "log_conversations",
+    _logged(lambda s, d: serving.conversation_rows(_messages(s, d)), serving.CONVERSATIONS),
+    None,
+    "SELECT conv_id::VARCHAR AS id, (conv_id % 7)::VARCHAR AS session_id, TIMESTAMP '2024-01-01' + to_minutes(min(conv_id * 10 + turn)::BIGINT) AS created_at FROM conversations GROUP BY conv_id",
+)
+_add(
+    "log_messages",
+    _logged(lambda s, d: serving.message_rows(_messages(s, d)), serving.MESSAGES),
+    None,
+    "SELECT conv_id || '-' || turn AS id, conv_id::VARCHAR AS conversation_id, role, text AS content, CASE WHEN role = 'assistant' THEN '[\"' || turn || '\"]' END AS tool_calls, TIMESTAMP '2024-01-01' + to_minutes((conv_id * 10 + turn)::BIGINT) AS created_at FROM conversations",
+)
+_add(
+    "playbook_seeded",
+    lambda s, d: audit.insert_missing(_benchmark_book(s, d), playbook.seeds(s).select("position", "risk_factor_keyword", "intervention"), "risk_factor_keyword").unionByName(_benchmark_book(s, d).withColumn("position", F.col("position").cast("int"))),
+    None,
+    f"WITH book AS (SELECT item_id::INT AS position, lower(split_part(text, ' ', 3)) AS risk_factor_keyword, [{', '.join(repr(t) for t in bind.TYPES)}][item_id % 7 + 1] AS intervention FROM benchmark) SELECT * FROM book UNION ALL "
+    f"SELECT p, k, v FROM (VALUES {', '.join(f'({p}, {k!r}, {v!r})' for p, k, v, _, _ in playbook.SEEDS)}) s(p, k, v) WHERE k NOT IN (SELECT risk_factor_keyword FROM book)",
+)
