@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import refuse
 from tidemark.llm.vector import mix64
 
 UNKNOWN = "und"
@@ -217,8 +218,9 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[
     """The columns ``keep`` and (lang_pred, score): the likeliest language and its calibrated probability, of whole texts.
 
     ``und`` with score 0 where the text is null or has no letter, or there is no model.
-    Of equally likely languages the first by code point is told. Repeated rows and ids each get a row; no rows: no rows.
+    Of equally likely languages the first by code point is told. Repeated rows and ids each get a row; no rows: no rows. A kept column with the name of a result is an error.
     """
+    refuse(keep, ("lang_pred", "score", "lang_pred_of"))
     if model is None:
         return df.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     kept = df.select(*keep, F.col(text).alias("lang_pred_of"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import webp
+from tidemark.llm.common import refuse
 from tidemark.llm.vector import slices
 
 #: A payload is a whole number of rows of 192 pixels, three bytes each; an image has at most 16 rows, so no step's work grows with a text.
@@ -70,8 +71,10 @@ def _groups(values: list[bytes], most: int = 2 << 20) -> Iterator[tuple[int, int
 def read_back(df: DataFrame, doc_id: str = "doc_id", media: str = "media", also: tuple[str, ...] = ("n_bytes",)) -> DataFrame:
     """Digests and features of payloads, from their decoded pixels: what ``store_texts`` made is read, nothing else.
 
-    ``feature`` has the images' count and size, and each channel's mean and standard deviation in tenths. Null or empty media have no payload: nulls, and 0 media bytes.
+    ``feature`` has the images' count and size, and each channel's mean and standard deviation in tenths. Null or empty media have no payload: nulls, and 0 media bytes. A column of ``also`` with the name of a
+    result is an error.
     """
+    refuse(also, ("doc_id", "media", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import refuse, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a cell's range, at least; a thousandth of all rows where that is more.
@@ -67,8 +67,9 @@ def mix(
 
     Null texts have size 0; a null source is a source. A cell's documents stand in the order of a hash of id and text, and the first ones take the copies that don't
     divide evenly, so reruns agree, whatever the table's size; equal rows may get different copies, but the same ones as a set. Cells of over a thousandth of all rows are
-    numbered in ranges of that order, which changes no result. No rows: no rows.
+    numbered in ranges of that order, which changes no result. No rows: no rows. A column of ``also`` with the name of a result, or of a column that is needed on the way, is an error.
     """
+    refuse(also, ("doc_id", "source", "name", "size", "order", "ranges", "range", "before", "place", "docs", "source_size", "target", "rate", "copies", "taken"))
     most_f = float(most)
     name = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))  # a source's name that is never null, so joins and windows share a shuffle
     body = F.coalesce(F.col(text), F.lit(""))
@@ -121,13 +122,15 @@ def mix(
 
 
 def mixed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The mix itself: the rows of ``df``, each as often as its copies say. Rows of one id, text and source share their copies: the first of them, by all columns, comes so often."""
-    keyed = df.withColumn("mix_key", F.xxhash64(F.col(text).isNull(), text, F.col(source).isNull(), source)).withColumn("mix_row", F.xxhash64(*df.columns))
-    taken = mix(keyed, doc_id, text, source, also=("mix_key",), **how).groupBy("doc_id", "mix_key").agg(F.sum("copies").cast("int").alias("mix_copies"))
-    taken = taken.filter("mix_copies > 0").select(F.col("doc_id").alias("mix_id"), F.col("mix_key").alias("mix_of"), "mix_copies")
-    rows = keyed.withColumn("mix_nth", F.row_number().over(Window.partitionBy(doc_id, "mix_key").orderBy("mix_row"))).filter("mix_nth = 1")
-    rows = rows.join(taken, rows[doc_id].eqNullSafe(taken["mix_id"]) & (rows["mix_key"] == taken["mix_of"]))
-    return rows.select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")).drop("mix_copy")
+    """The mix itself: the rows of ``df``, each as often as its copies say. Rows of one id, text and source share their copies: the first of them, by all columns, comes so often. Columns may have any names."""
+    key = F.xxhash64(F.col(text).isNull(), text, F.col(source).isNull(), source)
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(source).alias("source"), key.alias("mix_key"))
+    taken = mix(rows, "id", "text", "source", also=("mix_key",), **how).groupBy("doc_id", "mix_key").agg(F.sum("copies").cast("int").alias("copies")).filter("copies > 0")
+    taken = taken.withColumnRenamed("mix_key", "of")
+    first = F.row_number().over(Window.partitionBy("id", "mix_key").orderBy(F.xxhash64("row")))
+    rows = rows.withColumn("nth", first).filter("nth = 1")
+    both = rows.join(taken, rows["id"].eqNullSafe(taken["doc_id"]) & (rows["mix_key"] == taken["of"]))
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def _closer(plan: DataFrame, most: int) -> DataFrame:

@@ -416,10 +416,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
 
 def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """The rows of one document of each class, with all their columns: that of least id (null last); of repeated rows, the first by a hash of all columns."""
+    """The rows of one document of each class, with all their columns, whatever their names: that of least id (null last); of repeated rows, the first by a hash of all columns."""
     known = _rooted(df, doc_id, text, settings)
     first = known.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("f")).select(F.col("f.doc_id").alias("kept_id"), F.col("f.node").alias("kept_node"))
-    rows = df.withColumn("dedup_node", _node(text)).withColumn("dedup_row", F.xxhash64(*df.columns))
-    kept = rows.join(first, rows[doc_id].eqNullSafe(first["kept_id"]) & (rows["dedup_node"] == first["kept_node"]), "left_semi")
-    nth = F.row_number().over(Window.partitionBy(doc_id, "dedup_node").orderBy("dedup_row"))
-    return kept.withColumn("dedup_nth", nth).filter("dedup_nth = 1").drop("dedup_node", "dedup_row", "dedup_nth")
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col(doc_id).alias("id"), _node(text).alias("node"))
+    kept = rows.join(first, rows["id"].eqNullSafe(first["kept_id"]) & (rows["node"] == first["kept_node"]), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("id", "node").orderBy(F.xxhash64("row")))
+    return kept.withColumn("nth", nth).filter("nth = 1").select("row.*")

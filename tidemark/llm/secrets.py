@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -298,13 +299,26 @@ def count_kind(spans: Column, kind: str) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span, or run of overlapping spans, replaced by the mark. Spans are sorted by start."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    """The text with every span, or run of overlapping spans, replaced by the mark. Spans are sorted by start; null texts and spans stay.
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        more = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.when(fresh, more).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+    A text is put together from the slices between its spans, so the work grows with the text and with the spans, not with their product.
+    """
 
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    @F.pandas_udf("string")
+    def blotted(texts: pd.Series, found: pd.Series) -> pd.Series:
+        out = []
+        for t, own in zip(texts, found):
+            if t is None or own is None or not len(own):
+                out.append(t)
+                continue
+            parts, at = [], 0
+            for s, e in zip(own[::2].tolist(), own[1::2].tolist()):
+                if s >= at:
+                    parts += [t[at:s], mark]
+                at = max(at, e)
+            out.append("".join([*parts, t[at:]]))
+        return pd.Series(out, dtype=object)
+
+    some = F.size(spans) > 0  # only these texts travel
+    ends = F.flatten(F.transform(spans, lambda s: F.array(s["start"], s["end"])))
+    return F.when(some, blotted(F.when(some, text), ends)).otherwise(text)
