@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,15 +23,50 @@ def _range_of(key: Column, bounds: list[int]) -> Column:
     return skip + F.size(F.filter(rest, lambda b: b <= key))
 
 
+def _assigned(parts: list[tuple[int, int, int, int, bool]], shards: int) -> list[tuple[int, int, int, int]]:
+    """(range, part, shard, first slot) of the parts (range, part, bytes, rows, whether the range is one text); there are a few for each range.
+
+    Texts with a range of their own are placed whole, largest first, into the emptiest shard, where they fit there; the parts of one that fits nowhere are dealt with the others. All others fill what is left of the shards in
+    the order of ranges, each by the middle of its bytes.
+    """
+    total = sum(p[2] for p in parts)
+    room = total / shards
+    texts: dict[int, list[tuple[int, int, int, int, bool]]] = {}
+    for p in parts:
+        if p[4]:
+            texts.setdefault(p[0], []).append(p)
+    filled, shard_of = [0.0] * shards, {}
+    for own in sorted(texts.values(), key=lambda ps: (-sum(p[2] for p in ps), ps[0][0])):
+        size = sum(p[2] for p in own)
+        emptiest = min(range(shards), key=lambda s: (filled[s], s))
+        if filled[emptiest] + size <= room * (1 + 1 / 64):
+            filled[emptiest] += size
+            shard_of |= {(p[0], p[1]): emptiest for p in own}
+    rest = sorted(p for p in parts if (p[0], p[1]) not in shard_of)
+    left = [max(0.0, room - f) for f in filled]
+    scale = sum(p[2] for p in rest) / max(1.0, sum(left))
+    ends = [scale * sum(left[: s + 1]) for s in range(shards)]
+    upto = 0
+    for r, k, size, _, _ in rest:
+        shard_of[r, k] = min(shards - 1, bisect.bisect_right(ends, upto + size / 2))
+        upto += size
+    slots, out = [0] * shards, []
+    for r, k, _, rows, _ in sorted(parts):
+        out.append((r, k, shard_of[r, k], slots[shard_of[r, k]]))
+        slots[shard_of[r, k]] += rows
+    return out
+
+
 def shard_by_bytes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = 16, ranges_per_shard: int = 32, draws_per_range: int = 16) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): every row in one of ``shards`` shards of near-equal bytes.
 
     The key is a 52-bit hash of the text, so equal texts lie together. A sample of
     ``shards * ranges_per_shard * draws_per_range`` expected draws, weighted by size and by row, gives quantile splitters;
     its size doesn't depend on the input. Every row then goes to a range, all ranges are measured exactly, and overfull ones are
-    subdivided: by a second hash of the text, or, if one text alone fills the range, by a hash of the running number (ids may be null or repeated). Consecutive
-    ranges fill the shards by their exact bytes, so a shard is off by one range at most (about 1/32 of a shard). Slots number a
-    shard's rows without gaps: the rows of the ranges before, plus the place within the range.
+    subdivided: by a second hash of the text, or, if one text alone fills the range, by a hash of the running number (ids may be null or repeated), so that no task numbers a hot text alone. A text that
+    fills a range lies whole in one shard, the largest ones first in the emptiest; only where no shard has room for it (it is larger than a shard, or several such texts are in each other's way) do its parts go
+    to several. Other ranges fill the rest of the shards in order by their exact bytes, so a shard is off by about one range (1/32 of a shard). Slots number a
+    shard's rows without gaps: the rows of the ranges before, plus the place within the range. The plan of at most a few parts for each range is made on the driver.
 
     A null text has size 1 as an empty one and goes with it. Repeated rows get slots of their own. No rows: no rows.
     """
@@ -64,12 +101,9 @@ def shard_by_bytes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     by = F.when(F.col("one_key"), F.xxhash64("nth", F.lit(3))).otherwise(F.xxhash64("key", F.lit(5)))
     cut = cut.withColumn("part", F.pmod(by, F.col("pieces"))).select("doc_id", "size", "text_crc32", "key", "range", "part")
 
-    parts = cut.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
-    upto = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)  # over ranges, not rows
-    middle = F.coalesce(F.sum("bytes").over(upto), F.lit(0)) + F.col("bytes") / 2
-    parts = parts.withColumn("shard", F.least(F.floor(middle * shards / F.lit(float(total))), F.lit(shards - 1)).cast("int"))
-    within = Window.partitionBy("shard").orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("first_slot", F.coalesce(F.sum("rows").over(within), F.lit(0))).select("range", "part", "shard", "first_slot")
+    parts = cut.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).join(measured.select("range", (F.col("one_key") & (F.col("pieces") > 1)).alias("hot")), "range")
+    plan = _assigned([(r["range"], r["part"], r["bytes"], r["rows"], r["hot"]) for r in parts.collect()], shards)  # at most twice as many as ranges, and one for each range
+    parts = spark.createDataFrame(plan, "range int, part long, shard int, first_slot long")
 
     place = F.row_number().over(Window.partitionBy("range", "part").orderBy("key", "doc_id", "text_crc32", "size")) - 1
     return (
