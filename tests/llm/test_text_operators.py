@@ -317,11 +317,11 @@ def context_trees(texts):
     return score
 
 
-@pytest.mark.parametrize("hot", [1 << 18, 20])
-def test_scores_are_those_of_the_trees(spark, docs, monkeypatch, hot):
-    """Also with tables so small that nearly all pairs and words are joined."""
+@pytest.mark.parametrize("hot,pairs", [(1 << 18, 500), (20, 500), (1 << 18, 40)])
+def test_scores_are_those_of_the_trees(spark, docs, monkeypatch, hot, pairs):
+    """Also with tables so small that nearly all pairs and words are joined, and with two-byte contexts that are too large for a group."""
     monkeypatch.setattr(lm, "HOT", hot)
-    monkeypatch.setattr(lm, "GROUP_PAIRS", 500)
+    monkeypatch.setattr(lm, "GROUP_PAIRS", pairs)
     rows = [(r["doc_id"], r["text"][:300], r["doc_id"] % 5 == 0) for r in docs.limit(30).collect()] + [(900, None, True), (901, "", False), (902, "Zqé \x00zq", True), (902, "Zqé \x00zq", True)]
     df = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
     train = [t or "" for _, t, h in rows if not h]
@@ -332,6 +332,8 @@ def test_scores_are_those_of_the_trees(spark, docs, monkeypatch, hot):
     got = lm.score(df, F.col("held")).collect()
     assert len(got) == len(rows)
     text = {i: t or "" for i, t, _ in rows}
+    contexts = Counter(p[2:4] for p in {b[i - 4 : i + 1] for t in train for b in [bytes(4) + t.encode().lower() + b"\xff"] for i in range(4, len(b))})
+    assert pairs == 500 or max(contexts.values()) > pairs  # distinct pairs of one two-byte context
     for r in got:
         ws = [*text[r["doc_id"]].encode().lower().split(), "END"]
         assert r["train_tokens"] == n and r["n_tokens"] == len(ws) and r["n_known"] == sum(words[w] > 0 for w in ws)

@@ -26,8 +26,8 @@ END = 255
 #: Pairs and words that each task gets as a table; rarer ones are joined.
 HOT = 1 << 18
 #: Distinct keys that a task gathers before it sends them on.
-GATHERED = 1_000_000
-#: Pairs dealt to one group that evaluates context trees.
+GATHERED = 500_000
+#: Pairs dealt to one group that evaluates context trees, about; a two-byte context with more is evaluated by its third byte.
 GROUP_PAIRS = 50_000
 #: Bytes of text that are worked on at once.
 PART = 1 << 20
@@ -121,16 +121,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def _nodes(key: np.ndarray, n: np.ndarray):
-    """For depths from the deepest to 2: each pair's eight nodes, the nodes' counts, weights and own shares.
+def _tree(key: np.ndarray) -> np.ndarray:
+    """[8 x pairs]: the nodes, by number within a context, at which the eight bits of each pair's byte are decided."""
+    sym = key & np.uint64(255)
+    return np.stack([(np.uint64(1) << np.uint64(j)) | (sym >> np.uint64(8 - j)) for j in range(8)])
+
+
+def _nodes(key: np.ndarray, n: np.ndarray, last: int = 2):
+    """For depths from the deepest to ``last``: each pair's eight nodes, the nodes' counts, weights and own shares.
 
     Yields (depth, node numbers, nodes of the pairs [8 x pairs], zeros, ones, weighted log probability, share).
     """
     sym, context = key & np.uint64(255), key >> np.uint64(8)
-    tree = np.stack([(np.uint64(1) << np.uint64(j)) | (sym >> np.uint64(8 - j)) for j in range(8)])
+    tree = _tree(key)
     bit = np.stack([((sym >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int64) for j in range(8)])
     child_ids, child_log = None, None
-    for depth in range(DEPTH, 1, -1):
+    for depth in range(DEPTH, last - 1, -1):
         mask = np.uint64((1 << (8 * depth)) - 1)
         ids = ((context & mask)[None, :] << np.uint64(8)) | tree
         nodes, where = np.unique(ids.ravel(), return_inverse=True)
@@ -149,13 +155,30 @@ def _nodes(key: np.ndarray, n: np.ndarray):
         child_ids, child_log = nodes, log
 
 
-def _tops(p: pd.DataFrame) -> pd.DataFrame:
-    """What the trees' nodes of depth 2 give to depth 1: counts and log probabilities by (last byte, node)."""
-    *_, (_, nodes, _, _, n0, n1, log, _) = _nodes(p["key"].to_numpy().view(np.uint64), p["train"].to_numpy())
-    top, where = np.unique(((nodes >> np.uint64(8)) & np.uint64(255)) << np.uint64(8) | (nodes & np.uint64(255)), return_inverse=True)
+def _given_up(p: pd.DataFrame, depth: int) -> pd.DataFrame:
+    """What the trees' nodes of ``depth`` give to the depth above: counts and log probabilities by (context bytes there, node)."""
+    *_, (_, nodes, _, _, n0, n1, log, _) = _nodes(p["key"].to_numpy().view(np.uint64), p["train"].to_numpy(), depth)
+    above = np.uint64((1 << (8 * (depth - 1))) - 1)
+    top, where = np.unique(((nodes >> np.uint64(8)) & above) << np.uint64(8) | (nodes & np.uint64(255)), return_inverse=True)
     return pd.DataFrame({"top": top.astype(np.int64), "n0": np.bincount(where, n0), "n1": np.bincount(where, n1), "log": np.bincount(where, log)})
 
 
+def _tops(p: pd.DataFrame) -> pd.DataFrame:
+    return _given_up(p, 2)
+
+
+def _thirds(p: pd.DataFrame) -> pd.DataFrame:
+    return _given_up(p, 3)
+
+
+def _weighed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Depth-2 nodes from what depth 3 gives them: their own share, their estimate of a one, and their weighted log probability."""
+    for p in batches:
+        n0, n1 = p["n0"].to_numpy(), p["n1"].to_numpy()
+        log, share = _weights(log_kt(n0, n1), p["log"].to_numpy())
+        yield pd.DataFrame({"top": p["top"], "n0": n0, "n1": n1, "log": log, "share": share, "one": (n1 + 0.5) / (n0 + n1 + 1)})
+
+
 def _upper(t: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Own share and estimate of a one, for the nodes of depth 1 by (last byte, node) and of depth 0 by node."""
     n0, n1, below = np.zeros(65536), np.zeros(65536), np.zeros(65536)
@@ -166,17 +189,22 @@ def _upper(t: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return share1, (n1 + 0.5) / (n0 + n1 + 1), share0, (by_node(n1) + 0.5) / (by_node(n0) + by_node(n1) + 1)
 
 
-def _pair_scores(key: np.ndarray, n: np.ndarray, upper) -> np.ndarray:
-    """log10 of the mixed probability of each pair's byte in its context."""
+def _pair_scores(key: np.ndarray, n: np.ndarray, upper, middle: pd.DataFrame | None = None) -> np.ndarray:
+    """log10 of the mixed probability of each pair's byte in its context. ``middle`` has the nodes of depth 2 where the pairs at hand aren't all of their two-byte contexts."""
     one = None
-    for _, _, where, bit, n0, n1, _, share in _nodes(key, n):
+    for _, _, where, bit, n0, n1, _, share in _nodes(key, n, 2 if middle is None else 3):
         own = ((n1 + 0.5) / (n0 + n1 + 1))[where]
         s = share[where]
         one = own if one is None else s * own + (1 - s) * one
         bits, at = bit, where
+    tree = _tree(key).astype(np.int64)
+    if middle is not None:
+        m = middle.sort_values("top")
+        at = np.searchsorted(m["top"].to_numpy(), (((key >> np.uint64(8)) & np.uint64(65535)).astype(np.int64) << 8)[None, :] | tree)
+        s = m["share"].to_numpy()[at]
+        one = s * m["one"].to_numpy()[at] + (1 - s) * one
     share1, kt1, share0, kt0 = upper
-    sym, last = key & np.uint64(255), (key >> np.uint64(8)) & np.uint64(255)
-    tree = np.stack([(np.uint64(1) << np.uint64(j)) | (sym >> np.uint64(8 - j)) for j in range(8)]).astype(np.int64)
+    last = (key >> np.uint64(8)) & np.uint64(255)
     top = (last.astype(np.int64) << 8)[None, :] | tree
     one = share1[top] * kt1[top] + (1 - share1[top]) * one
     one = share0[tree] * kt0[tree] + (1 - share0[tree]) * one
@@ -214,16 +242,38 @@ def score(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "
     n_words, v_words = vocabulary.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count("*")).first()
     n, v = n_words + ends, v_words + (ends > 0)
 
-    # Trees are cut by their last two bytes, so all nodes from depth 2 on lie in one group.
+    # Trees are cut by their last two bytes, so all nodes from depth 2 on lie in one group. Two-byte contexts of too many pairs are cut by their last three bytes (65,536 pairs at most), and their
+    # nodes of depth 2 are summed up over these.
     groups = max(1, grams.count() // GROUP_PAIRS)
-    dealt = grams.select("key", "train", F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(F.lit(65535))), F.lit(groups)).alias("group"))
-    tops = dealt.groupBy("group").applyInPandas(_tops, "top long, n0 double, n1 double, log double")
+    of = lambda n: F.shiftright("key", 8).bitwiseAND(F.lit((1 << (8 * n)) - 1))
+    group = lambda c: F.pmod(F.xxhash64(c), F.lit(groups))
+    hot = [r[0] for r in grams.groupBy(of(2).alias("two")).count().filter(F.col("count") > GROUP_PAIRS).collect()]  # at most 65,536, and one for each so many pairs
+    is_hot = of(2).isin(hot) if hot else F.lit(False)
+    dealt = grams.filter(~is_hot).select("key", "train", group(of(2)).alias("group"))
+    sums = "top long, n0 double, n1 double, log double"
+    tops = dealt.groupBy("group").applyInPandas(_tops, sums)
+    if hot:
+        parted = grams.filter(is_hot).select("key", "train", group(of(3)).alias("group"))
+        thirds = parted.groupBy("group").applyInPandas(_thirds, sums).groupBy("top").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "log")])
+        middle = written(thirds.mapInPandas(_weighed, sums + ", share double, one double"))  # 255 rows at most for each hot context
+        last = F.shiftright("top", 8).bitwiseAND(F.lit(255)) * 256 + F.col("top").bitwiseAND(F.lit(255))
+        tops = tops.unionByName(middle.select(last.alias("top"), "n0", "n1", "log"))
     upper = _upper(tops.groupBy("top").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log").alias("log")).orderBy("top").toPandas())  # at most 65,536 rows
 
     def evaluate(p: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"key": p["key"], "value": _pair_scores(p["key"].to_numpy().view(np.uint64), p["train"].to_numpy(), upper)})
 
     values = dealt.groupBy("group").applyInPandas(evaluate, "key long, value double")
+    if hot:
+
+        def evaluate_parts(p: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+            if p.empty:
+                return pd.DataFrame({"key": np.zeros(0, np.int64), "value": np.zeros(0)})
+            return pd.DataFrame({"key": p["key"], "value": _pair_scores(p["key"].to_numpy().view(np.uint64), p["train"].to_numpy(), upper, m)})
+
+        third = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: F.pmod(F.xxhash64(b.cast("long") * 65536 + F.shiftright("top", 8)), F.lit(groups)))
+        sent = middle.select("top", "share", "one", F.explode(F.array_distinct(third)).alias("group"))
+        values = values.unionByName(parted.groupBy("group").cogroup(sent.groupBy("group")).applyInPandas(evaluate_parts, "key long, value double"))
     values = written(values.join(grams.select("key", "seen"), "key"))
     gram_keys, gram_values, gram_least = _hot(values, F.col("value"))
     word_keys, word_values, word_least = _hot(vocabulary, F.col("train"))
