@@ -141,7 +141,10 @@ def brute(ids, x, queries, top):
 
 @pytest.mark.parametrize("factor", [1.0, 1.05])
 def test_neighbours(spark, factor, monkeypatch):
-    monkeypatch.setattr(vptree, "SHARD_ROWS", 700)
+    monkeypatch.setattr(vptree, "SHARD_ROWS", 300)
+    monkeypatch.setattr(vptree, "CELL_ROWS", 150)
+    monkeypatch.setattr(vptree, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(vptree, "CHUNK", 2)
     rng = np.random.default_rng(0)
     x = np.concatenate((rng.normal(size=(1500, 12)) + 4 * rng.normal(size=(10, 12))[rng.integers(0, 10, 1500)], np.tile(rng.normal(size=12), (700, 1))))
     ids = rng.permutation(len(x)).astype(np.int64)
@@ -175,6 +178,7 @@ def test_multiples_tie_by_id(spark, monkeypatch):
     score = (unit[:, None] * unit).sum(-1) / (vptree.norms(unit)[:, None] * vptree.norms(unit))
     for size in (50, 8192):
         monkeypatch.setattr(vptree, "SHARD_ROWS", size)
+        monkeypatch.setattr(vptree, "CELL_ROWS", 2 * size)
         got = defaultdict(list)
         for r in vptree.nearest(df, F.lit(True), factor=1.0).orderBy("query_id", "rank").collect():
             got[r["query_id"]].append((r["vec_id"], r["score"]))
@@ -190,6 +194,24 @@ def test_own_rows_leave_room_for_others(spark):
     assert len(got) == 5 and {r["vec_id"] for r in got} <= {5, 7, 8, 9} and [r["rank"] for r in got] == [1, 2, 3, 4, 5]
 
 
+def test_queries_visit_few_cells_of_clustered_vectors(spark, monkeypatch):
+    """At factor 1, so nothing is lost: of the (query, cell) pairs, a small share is visited."""
+    monkeypatch.setattr(vptree, "CELL_ROWS", 60)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(30, 24))[rng.integers(0, 30, 3000)] * 5 + 0.3 * rng.normal(size=(3000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    pairs, cells = [], []
+    routed, index = vptree.routed, vptree.build_index
+    monkeypatch.setattr(vptree, "build_index", lambda *a: cells.append(index(*a)) or cells[-1])
+    monkeypatch.setattr(vptree, "routed", lambda *a: pairs.append(routed(*a)) or pairs[-1])
+    got = defaultdict(list)
+    for r in vptree.nearest(df, F.col("vec_id") % 20 == 0, factor=1.0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert got == brute(np.arange(3000), x, range(0, 3000, 20), 5)
+    n = sum(int((s > 0).sum()) for s in cells[0][1].shards.values())
+    assert n == 50 and pairs[0].count() < 0.35 * 150 * n
+
+
 def test_recall_on_the_table(spark):
     from tidemark.llm.queries import QUERIES
 

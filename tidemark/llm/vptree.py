@@ -1,4 +1,4 @@
-"""Nearest neighbours by cosine: a vantage-point tree in each shard, pruned by the triangle inequality."""
+"""Nearest neighbours by cosine: vantage points part the rows into shards, and a vantage-point tree each shard; both are pruned by the triangle inequality."""
 
 from __future__ import annotations
 
@@ -12,9 +12,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.llm.common import written
 
 #: Points of one shard's tree and queries of one block, on average; so many blocks visit a tree together, so a tree is sent and loaded once for all of them.
 SHARD_ROWS, BLOCK_ROWS, CHUNK = 8192, 2048, 8
+#: Directions for each pivot, on average, and the most pivots.
+CELL_ROWS, MOST_CELLS = 4096, 1024
 LEAF = 96
 #: Rounding of chords between unit vectors (it is largest near 0, where the root of an error of 1e-15 is 3e-8) and of cosines.
 CHORD_SLACK, COSINE_SLACK = 2e-7, 1e-13
@@ -196,27 +201,68 @@ def _directions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(keep)), pa.array(size[keep].astype(np.int32)), blobs, batch.column("is_query").take(pa.array(keep))], ["vec_id", "dim", "v", "is_query"])
 
 
-def nearest(df: DataFrame, query: Column, vec_id: str = "vec_id", embedding: str = "embedding", top: int = 5, factor: float = 1.05) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``top`` rows of largest cosine for each row that ``query`` marks, nearest first, ties to smaller ids.
+@dataclass
+class Cells:
+    """What the tasks know of all shards: each cell's pivot (a unit vector), the distance of its farthest direction, and how many shards it has; by vector length. Bounded by ``MOST_CELLS``."""
 
-    Every direction is indexed in one of about N / 8192 trees, by its hash. Queries travel to the trees in blocks of about 2048, eight blocks together. Rows of one
-    direction are one point of a tree with its smallest ids, so they cost nothing and ties are right; they are brought together before any shuffle. Directions that
-    differ are compared by their scores in double precision. With factor 1 the result is that of comparing all pairs.
+    pivots: dict[int, np.ndarray]
+    radius: dict[int, np.ndarray]
+    shards: dict[int, np.ndarray]
+
+    def far(self, dim: int, unit: np.ndarray) -> np.ndarray:
+        """[vectors x cells] chords to the pivots; vectors of a length without pivots have one cell, at no distance."""
+        if dim not in self.pivots:
+            return np.zeros((len(unit), 1))
+        return np.sqrt(np.maximum(0, 2 - 2 * (unit @ self.pivots[dim].T)))
 
-    Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id; vectors of another length than a query are not
-    compared with it. A repeated id is one query, by the smallest of its vectors; its rows are not its own neighbours, but each is one to others. Ids may have either sign.
-    Fewer rows than ``top``: all of them. No rows: no rows.
-    """
-    given = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("v"), F.coalesce(query, F.lit(False)).alias("is_query"))
-    rows = given.mapInArrow(_directions, "vec_id long, dim int, v binary, is_query boolean")
-    total, asked = given.agg(F.count("*"), F.count_if("is_query")).first()
-    shards, blocks = max(1, -(-total // SHARD_ROWS)), max(1, -(-asked // BLOCK_ROWS))
-    chunks = -(-blocks // CHUNK)
 
+def _by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each vector length of a batch: its rows and their unit vectors."""
+    dims = batch.column("dim").to_numpy()
+    for dim in np.unique(dims):
+        rows = np.flatnonzero(dims == dim)
+        x = np.frombuffer(b"".join(batch.column("v").take(pa.array(rows)).to_pylist()), "<f8").reshape(len(rows), -1)
+        yield int(dim), rows, x / norms(x)[:, None]
+
+
+def _nearest_cell(df: DataFrame, cells: Cells) -> DataFrame:
+    """``df`` (dim, v, ...) with the cell of the nearest pivot and the distance to it."""
+    schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, far = np.zeros(len(batch), np.int32), np.zeros(len(batch))
+            for dim, rows, unit in _by_dim(batch):
+                d = cells.far(dim, unit)
+                cell[rows] = d.argmin(axis=1)
+                far[rows] = d.min(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def build_index(rows: DataFrame, top: int) -> tuple[DataFrame, Cells]:
+    """(dim, cell, shard, tree) of all directions, and their cells.
+
+    Pivots are directions drawn by hash, one for each ``CELL_ROWS`` rows and at most ``MOST_CELLS``; every direction goes to the cell of its nearest pivot, and a cell is cut by hash to shards of about ``SHARD_ROWS``
+    directions, which share the cell's ball.
+    """
     # Of a direction, the smallest ids: whichever a query leaves out as its own, enough remain.
     held = rows.groupBy("dim", "v", "vec_id").agg(F.least(F.count("*"), F.lit(top)).alias("n"))
     nth = F.dense_rank().over(Window.partitionBy("dim", "v").orderBy("vec_id"))
-    held = held.withColumn("nth", nth).filter(F.col("nth") <= top + 1).drop("nth")
+    held = written(held.withColumn("nth", nth).filter(F.col("nth") <= top + 1))
+    one = held.filter("nth = 1")
+    n = min(MOST_CELLS, max(1, one.count() // CELL_ROWS))
+    drawn: dict[int, list[np.ndarray]] = {}
+    for r in one.select("dim", "v").orderBy(F.xxhash64("v", F.lit(5)), "v").limit(n).collect():
+        drawn.setdefault(r["dim"], []).append(np.frombuffer(r["v"], "<f8"))
+    cells = Cells({d: np.array(v) / norms(np.array(v))[:, None] for d, v in drawn.items()}, {}, {})
+
+    placed = written(_nearest_cell(held.drop("nth"), cells))
+    for r in placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():  # one row for each cell
+        k = len(cells.pivots.get(r["dim"], [0]))
+        cells.radius.setdefault(r["dim"], np.full(k, -np.inf))[r["cell"]] = r["far"] if r["dim"] in cells.pivots else np.inf
+        cells.shards.setdefault(r["dim"], np.zeros(k, np.int64))[r["cell"]] = -(-r["n"] // SHARD_ROWS)
 
     def index(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["v", "vec_id"], ignore_index=True)
@@ -225,31 +271,89 @@ def nearest(df: DataFrame, query: Column, vec_id: str = "vec_id", embedding: str
         ids = np.repeat(p["vec_id"].to_numpy(), p["n"].to_numpy())
         ends = np.cumsum(p["n"].to_numpy())
         tree = build(points, np.split(ids, ends[new[1:] - 1]))
-        return pd.DataFrame({"shard": p["shard"][:1], "dim": p["dim"][:1], "tree": [tree.dump()]})
+        return pd.DataFrame({"dim": p["dim"][:1], "cell": p["cell"][:1], "shard": p["shard"][:1], "tree": [tree.dump()]})
 
-    def block(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("vec_id", ignore_index=True)
-        return pd.DataFrame({"block": p["block"][:1], "dim": p["dim"][:1], "ids": [p["vec_id"].to_numpy().tobytes()], "q": [b"".join(p["v"])]})
+    dealt = placed.join(_shards_of(rows.sparkSession, cells), ["dim", "cell"]).withColumn("shard", F.pmod(F.xxhash64("v", F.lit(1)), "shards"))
+    trees = dealt.groupBy("dim", "cell", "shard").applyInPandas(index, "dim int, cell int, shard long, tree binary")
+    return written(trees), cells
 
-    spread = lambda c, n, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(n)).cast("long")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    trees = held.withColumn("shard", spread("v", shards, 1)).groupBy("shard", "dim").applyInPandas(index, "shard long, dim int, tree binary")
-    queries = rows.filter("is_query").groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("q")).select("vec_id", "q.*")
-    queries = queries.withColumn("block", spread("vec_id", blocks, 2)).groupBy("block", "dim").applyInPandas(block, "block long, dim int, ids binary, q binary")
+
+def _shards_of(spark, cells: Cells) -> DataFrame:
+    """(dim, cell, shards), to be broadcast: at most ``MOST_CELLS`` rows, and one for each vector length without pivots."""
+    rows = [(d, c, int(n)) for d, per in cells.shards.items() for c, n in enumerate(per) if n]
+    return F.broadcast(spark.createDataFrame(rows, "dim int, cell int, shards long"))
+
+
+def routed(queries: DataFrame, cells: Cells, factor: float) -> DataFrame:
+    """(vec_id, dim, v, cell): the cells, other than its home, that may hold a nearer row than the ``worst`` that a query has found (null: any row will do), by the triangle inequality.
+
+    A cell is left out when its least possible distance, that to its pivot less its radius, times ``factor`` is above the worst kept distance: with factor 1 nothing is lost.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            worst = batch.column("worst").to_numpy(zero_copy_only=False).astype(float)
+            home = batch.column("cell").to_numpy()
+            for dim, rows, unit in _by_dim(batch):
+                if dim not in cells.radius:
+                    continue
+                least = np.maximum(0, cells.far(dim, unit) - cells.radius[dim] - 2 * CHORD_SLACK)
+                kept = np.where(np.isnan(worst[rows]), np.inf, np.sqrt(np.maximum(0, 2 - 2 * worst[rows]) + 4 * COSINE_SLACK))
+                go = (least * factor <= kept[:, None]) & (cells.shards[dim] > 0)
+                go[np.arange(len(rows)), home[rows]] = False
+                row, cell = np.nonzero(go)
+                for i in range(0, len(row), 10_000):
+                    part = batch.take(pa.array(rows[row[i : i + 10_000]]))
+                    yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("dim"), part.column("v"), pa.array(cell[i : i + 10_000].astype(np.int32))], ["vec_id", "dim", "v", "cell"])
+
+    return queries.mapInArrow(run, "vec_id long, dim int, v binary, cell int")
+
+
+def visited(pairs: DataFrame, trees: DataFrame, cells: Cells, top: int, factor: float) -> DataFrame:
+    """(query_id, vec_id, score): up to ``top`` nearest rows of each query (vec_id, dim, v) in each shard of the cell it is sent to. A shard's queries come in chunks of bounded size."""
 
     def find(key: tuple, tree: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        asked = asked.sort_values("vec_id", ignore_index=True)
         for blob in tree["tree"] if len(asked) else ():
             t = Tree.load(blob)
-            for r in asked.itertuples():
-                ids = np.frombuffer(r.ids, np.int64)
-                row, near, score = search(t, ids, np.frombuffer(r.q, "<f8").reshape(len(ids), -1), top, factor)
+            for i in range(0, len(asked), BLOCK_ROWS):
+                part = asked[i : i + BLOCK_ROWS]
+                ids = part["vec_id"].to_numpy()
+                row, near, score = search(t, ids, np.frombuffer(b"".join(part["v"]), "<f8").reshape(len(ids), -1), top, factor)
                 out.append(pd.DataFrame({"query_id": ids[row], "vec_id": near, "score": score}))
         return pd.concat(out)
 
-    key = ["shard", "dim", "chunk"]
-    left = trees.withColumn("chunk", every(chunks)).groupBy(*key)
-    right = queries.withColumn("chunk", F.floor(F.col("block") / CHUNK)).withColumn("shard", every(shards)).groupBy(*key)
-    found = left.cogroup(right).applyInPandas(find, "query_id long, vec_id long, score double")
+    pairs = written(pairs)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked_of = [tuple(r) for r in pairs.groupBy("dim", "cell").agg(F.ceil(F.count("*") / (BLOCK_ROWS * CHUNK)).alias("chunks")).collect()]  # one row for each cell
+    chunks = lambda: F.broadcast(pairs.sparkSession.createDataFrame(asked_of, "dim int, cell int, chunks long"))
+    key = ["dim", "cell", "shard", "chunk"]
+    left = trees.join(chunks(), ["dim", "cell"]).withColumn("chunk", every("chunks")).groupBy(*key)
+    right = pairs.join(chunks(), ["dim", "cell"]).join(_shards_of(pairs.sparkSession, cells), ["dim", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(2)), "chunks")).withColumn("shard", every("shards")).groupBy(*key)
+    return left.cogroup(right).applyInPandas(find, "query_id long, vec_id long, score double")
+
+
+def nearest(df: DataFrame, query: Column, vec_id: str = "vec_id", embedding: str = "embedding", top: int = 5, factor: float = 1.05) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``top`` rows of largest cosine for each row that ``query`` marks, nearest first, ties to smaller ids.
+
+    Every direction is indexed, in a tree of its shard; shards are parts of the balls around at most 1,024 pivots. A query first visits the shards of its nearest pivot; what it finds there bounds its search, and the
+    triangle inequality tells which other balls can hold something nearer. On vectors in clusters most shards are never visited; where distances hardly differ, all are.
+    Rows of one direction are one point of a tree with its smallest ids, so they cost nothing and ties are right; they are brought together before any shuffle of them all. Directions that
+    differ are compared by their scores in double precision. With factor 1 the result is that of comparing all pairs.
+
+    Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id; vectors of another length than a query are not
+    compared with it. A repeated id is one query, by the smallest of its vectors; its rows are not its own neighbours, but each is one to others. Ids may have either sign.
+    Fewer rows than ``top``: all of them. No rows: no rows.
+    """
+    given = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("v"), F.coalesce(query, F.lit(False)).alias("is_query"))
+    rows = written(given.mapInArrow(_directions, "vec_id long, dim int, v binary, is_query boolean"))
+    trees, cells = build_index(rows, top)
+    queries = rows.filter("is_query").groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("q")).select("vec_id", "q.*")
+    queries = written(_nearest_cell(queries, cells))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    best = lambda found: found.withColumn("rank", rank).filter(F.col("rank") <= top)
+    home = written(best(visited(queries.select("vec_id", "dim", "v", "cell"), trees, cells, top, factor)))
+    worst = home.groupBy("query_id").agg(F.when(F.count("*") >= top, F.min("score")).alias("worst")).withColumnRenamed("query_id", "vec_id")
+    others = visited(routed(queries.join(worst, "vec_id", "left"), cells, factor), trees, cells, top, factor)
+    return best(home.drop("rank").unionByName(others)).select("query_id", "rank", "vec_id", "score")
