@@ -199,3 +199,48 @@ def test_one_mode_is_inverted_as_by_diagonals():
     for mode in (1, 2):
         coded = webp.predictor(px, 23, np.full(1, mode), 9, False)
         assert (webp.predictor(coded, 23, np.full(1, mode), 9, True) == px).all()
+
+
+def extended(file, *before, size=None, after=((b"EXIF", b"abc"), (b"XMP ", b"some text"))):
+    """A simple file's image in an extended container, among other chunks."""
+    n = int.from_bytes(file[16:20], "little")
+    body = file[20 : 20 + n]
+    w, h, _ = webp.decode([file])[0]
+    w, h = size or (w, h)
+    head = b"VP8X" + (10).to_bytes(4, "little") + bytes([0x1C, 0, 0, 0]) + (w - 1).to_bytes(3, "little") + (h - 1).to_bytes(3, "little")
+    chunk = lambda tag, data: tag + len(data).to_bytes(4, "little") + data + b"\0" * (len(data) & 1)
+    out = b"WEBP" + head + b"".join(chunk(*c) for c in (*before, (b"VP8L", body), *after))
+    return b"RIFF" + len(out).to_bytes(4, "little") + out
+
+
+def test_extended_containers_hold_the_same_image(spark):
+    rng = np.random.default_rng(7)
+    plain = webp.encode_payloads(rng.integers(0, 256, 192 * 3 * 7, dtype=np.uint8), np.array([3, 1, 3]), 192)
+    files = [extended(plain[0]), extended(plain[1], (b"ICCP", b"profile"), after=()), plain[2]]
+    for (w, h, p), (x, y, q) in zip(webp.decode(files), webp.decode(plain)):
+        assert (w, h) == (x, y) and (p == q).all()
+    bad = [extended(plain[0], (b"ANIM", b"123456")), extended(plain[0], (b"ALPH", b"1")), extended(plain[0], size=(192, 4)), extended(plain[0])[:40], extended(plain[0])[:28]]
+    no_image = extended(plain[0]).replace(b"VP8L", b"ZZZZ")
+    for f in [*bad, no_image]:
+        with pytest.raises(ValueError):
+            webp.decode([f])
+    df = spark.createDataFrame([(1, bytearray(files[0] + plain[2])), (2, bytearray(bad[0]))], "id long, media binary")
+    got = sorted((r["id"], r["image"], r["height"], r["error"] is None) for r in media.pixel_arrays(df, "id").collect())
+    assert got == [(1, 0, 3, True), (1, 1, 3, True), (2, 0, None, False)]
+
+
+def test_the_query_of_pixel_arrays_has_every_pixel(spark):
+    from tidemark.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    got = {(r["doc_id"], r["image"]): r for r in QUERIES["media_pixel_arrays"](spark, sf).collect()}
+    n = 0
+    for d, text in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        rows = np.frombuffer(payload(text), np.uint8).reshape(-1, 192, 3)
+        for k in range(0, len(rows), media.ROWS):
+            part = rows[k : k + media.ROWS]
+            argb = np.concatenate((part[:, :, ::-1], np.full((*part.shape[:2], 1), 255, np.uint8)), axis=2)
+            r = got[d, k // media.ROWS]
+            assert (r["width"], r["height"], r["error"], r["pixels_sha256"]) == (192, len(part), None, hashlib.sha256(argb.tobytes()).hexdigest())
+            n += 1
+    assert n == len(got)

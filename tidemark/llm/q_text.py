@@ -14,6 +14,12 @@ def op1_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.store_texts(read(spark, sf_dir, "documents")))
 
 
+def media_pixel_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pixel arrays of all documents' images, as digests."""
+    stored = media.store_texts(read(spark, sf_dir, "documents"))
+    return media.pixel_arrays(stored, "doc_id").select("doc_id", "image", "width", "height", F.sha2("pixels", 256).alias("pixels_sha256"), "error")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents."""
     out = secrets.scan_secrets(read(spark, sf_dir, "documents"))
@@ -96,5 +102,5 @@ FROM p
 """
 
 
-QUERIES = {"op1_lossless_webp": op1_lossless_webp, "op2_secret_scan": op2_secret_scan, "op8_harmonic_packing": op8_harmonic_packing, "op9_language_id": op9_language_id, "op10_context_tree_weighting": op10_context_tree_weighting, "op11_merkle_manifest": op11_merkle_manifest, "op13_fill_in_middle": op13_fill_in_middle}
+QUERIES = {"op1_lossless_webp": op1_lossless_webp, "media_pixel_arrays": media_pixel_arrays, "op2_secret_scan": op2_secret_scan, "op8_harmonic_packing": op8_harmonic_packing, "op9_language_id": op9_language_id, "op10_context_tree_weighting": op10_context_tree_weighting, "op11_merkle_manifest": op11_merkle_manifest, "op13_fill_in_middle": op13_fill_in_middle}
 ORACLES = {"op11_merkle_manifest": OP11_SQL, "op13_fill_in_middle": OP13_SQL}

@@ -396,10 +396,35 @@ def unindex(px: np.ndarray, w: int, h: int, palette: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- decoding
 
 
+def _simple(file: bytes) -> bytes:
+    """A file as it is, or the still lossless image of one in the extended container, whose other chunks (colour profile, metadata) don't bear on pixels."""
+    if file[8:16] != b"WEBPVP8X":
+        return file
+    if len(file) < 30:
+        raise WebPError("the data end too early")
+    canvas = [1 + int.from_bytes(file[i : i + 3], "little") for i in (24, 27)]
+    at, end = 12, min(len(file), 8 + struct.unpack_from("<I", file, 4)[0])
+    while at + 8 <= end:
+        tag, n = struct.unpack_from("<4sI", file, at)
+        if tag in (b"ANIM", b"ANMF", b"VP8 ", b"ALPH"):
+            raise WebPError("not a still lossless image")
+        if tag == b"VP8L":
+            body = file[at + 8 : at + 8 + n]
+            if len(body) < 5:
+                raise WebPError("the data end too early")
+            sides = int.from_bytes(body[1:5], "little")
+            if [1 + (sides & 0x3FFF), 1 + (sides >> 14 & 0x3FFF)] != canvas:
+                raise WebPError("the image isn't of its canvas's size")
+            return struct.pack("<4sI8sI", b"RIFF", 12 + len(body) + (len(body) & 1), b"WEBPVP8L", len(body)) + body + b"\0" * (len(body) & 1)
+        at += 8 + n + (n & 1)
+    raise WebPError("no image in the container")
+
+
 def decode(files: list[bytes], most_pixels: int = MOST_PIXELS) -> list[tuple[int, int, np.ndarray]]:
-    """(width, height, pixels) of lossless WebP files; pixels are ARGB by rows. A file that claims more than ``most_pixels`` is an error."""
+    """(width, height, pixels) of lossless WebP files, in the simple or the extended container; pixels are ARGB by rows. A file that claims more than ``most_pixels`` is an error."""
     if not files:
         return []
+    files = [_simple(f) for f in files]
     offset = np.concatenate(([0], np.cumsum([len(f) for f in files])))
     bits = Bits(np.frombuffer(b"".join(files), np.uint8))
     for f in files:
