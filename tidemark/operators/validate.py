@@ -31,6 +31,17 @@ def validate(df: DataFrame, expected: list[str]) -> DataFrame:
     return df
 
 
+def report(df: DataFrame, expected: list[str], least: int = LEAST_ROWS) -> DataFrame:
+    """(check, column, value, ok) of ``validate``'s checks as rows, in one pass: whether each expected column is there, its share of nulls, and the number of rows."""
+    there = [c for c in expected if c in df.columns]
+    one = df.agg(F.count("*").alias("n"), *[F.avg(F.col(c).isNull().cast("double")).alias(f"m{i}") for i, c in enumerate(there)])
+    row = lambda check, column, value, ok: F.struct(F.lit(check).alias("check"), F.lit(column).alias("column"), value.cast("double").alias("value"), ok.alias("ok"))
+    rows = [row("present", c, F.lit(float(c in there)), F.lit(c in there)) for c in expected]
+    rows += [row("missing_rate", c, F.round(F.coalesce(f"m{i}", F.lit(0.0)), 6), F.coalesce(F.col(f"m{i}"), F.lit(0.0)) <= MISSING_AT) for i, c in enumerate(there)]
+    rows.append(row("rows", None, F.col("n"), F.col("n") >= least))
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def check_requests(df: DataFrame) -> DataFrame:
     """Adds ``errors``: the required fields that are missing or out of range; and ``valid``."""
     checks = []

@@ -12,8 +12,8 @@ from tidemark.functions.semantics import SEGMENTS, steady
 from tidemark.operators import agent, audit, dashboard, features, learn, metrics, playbook, scoring, serving, validate
 from tidemark.plans import bind, oracle, sql_functions
 from tidemark.sources import logs
-from tidemark.sources.stage import shared_dir, staged
-from tidemark.sources.tables import load
+from tidemark.sources.stage import shared_dir, staged, upsert_stage
+from tidemark.sources.tables import load, pick_csv, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -702,3 +702,78 @@ _add(
     f"WITH book AS (SELECT item_id::INT AS position, lower(split_part(text, ' ', 3)) AS risk_factor_keyword, [{', '.join(repr(t) for t in bind.TYPES)}][item_id % 7 + 1] AS intervention FROM benchmark) SELECT * FROM book UNION ALL "
     f"SELECT p, k, v FROM (VALUES {', '.join(f'({p}, {k!r}, {v!r})' for p, k, v, _, _ in playbook.SEEDS)}) s(p, k, v) WHERE k NOT IN (SELECT risk_factor_keyword FROM book)",
 )
+
+# ---------------------------------------------------------------- the telecom adapter, checks, upserts and CSV over given tables
+
+
+def _telecom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a raw telecom table: padded names, columns known only after the fact, flags and groups as text, and gaps."""
+    k = F.col("c_custkey")
+    gap = lambda n, c: F.when(k % n != 0, c)
+    raw = load(spark, sf_dir, "customer").select(
+        k.cast("string").alias("CustomerID"), F.element_at(F.lit([" Yes", "no", "1"]), (k % 3 + 1).cast("int")).alias(" Churn "), gap(11, k % 61).cast("string").alias("MonthsInService"), gap(7, F.col("c_acctbal")).alias("MonthlyRevenue"),
+        gap(13, k * 7 % 1500).alias("MonthlyMinutes"), (k % 8).alias("Handsets"), F.element_at(F.lit([*features.RATINGS, "?"]), (k % 8 + 1).cast("int")).alias("CreditRating"), gap(5, k % 9).alias("CustomerCareCalls"), (k % 40 - 20).alias("PercChangeRevenues"),
+        gap(17, k * 3 % 900).alias("CurrentEquipmentDays"), F.when(k % 2 == 0, " yes ").otherwise("No").alias("RespondsToMailOffers"), gap(19, k % 70).alias("RoamingCalls"), (k % 7).alias("UniqueSubs"), F.concat(F.lit("grp "), (k % 6).cast("string")).alias("IncomeGroup"),
+        F.when(k % 4 == 0, "Known Homeowner").when(k % 4 == 1, " known homeowner").otherwise("Unknown").alias("Homeownership"), gap(23, F.col("c_mktsegment")).alias("Occupation"), F.substring("c_mktsegment", 1, 1).alias("MaritalStatus"),
+        F.when(k % 3 == 0, "TRUE").otherwise("0").alias("HandsetWebCapable"), F.lit(1).alias("RetentionCalls"),
+    )
+    return features.telecom(features.telecom_clean(raw))
+
+
+_tele = ["CustomerID", "Churn", "Tenure", "AvgOrderValue", "OrderCount", "HourSpendOnApp", "NumberOfDeviceRegistered", "SatisfactionScore", "Complain", "OrderAmountHikeFromlastYear", "DaySinceLastOrder", "CashbackAmount", "CouponUsed", "WarehouseToHome", "NumberOfAddress", "CityTier", "PreferredPaymentMode", "PreferedOrderCat", "MaritalStatus", "PreferredLoginDevice"]
+_filled = ", ".join(f"coalesce({c}, (SELECT median({c}) FROM x)) AS {c}" for c in ("EngagementScore", "DiscountSensitivity", "TenureStability"))
+_add(
+    "telecom_features",
+    lambda s, d: _telecom(s, d).select(*_tele, *features.COMPOSITES),
+    "r AS (SELECT *, c_custkey AS k FROM customer), "
+    "b AS (SELECT k::VARCHAR AS CustomerID, (k % 3 IN (0, 2))::INT AS Churn, CASE WHEN k % 11 <> 0 THEN greatest(k % 61, 1)::DOUBLE END AS t, greatest(0, coalesce(CASE WHEN k % 7 <> 0 THEN c_acctbal END, 50)) AS AvgOrderValue, "
+    "  greatest(0, least(10, coalesce(CASE WHEN k % 13 <> 0 THEN k * 7 % 1500 END, 0) / 100::DOUBLE)) AS HourSpendOnApp, greatest(1, least(5, k % 8))::DOUBLE AS NumberOfDeviceRegistered, "
+    f"  greatest(1, least(5, [{', '.join(str(v) for v in features.RATINGS.values())}, 2][k % 8 + 1]))::INT AS SatisfactionScore, (coalesce(CASE WHEN k % 5 <> 0 THEN k % 9 END, 0) > 3)::INT AS Complain, greatest(0, k % 40 - 20)::DOUBLE AS OrderAmountHikeFromlastYear, "
+    "  greatest(0, coalesce(CASE WHEN k % 17 <> 0 THEN k * 3 % 900 END, 180))::DOUBLE AS DaySinceLastOrder, (k % 2 = 0)::INT AS CouponUsed, greatest(0, least(50, coalesce(CASE WHEN k % 19 <> 0 THEN k % 70 END, 0)))::DOUBLE AS WarehouseToHome, "
+    "  greatest(1, least(5, k % 7))::DOUBLE AS NumberOfAddress, greatest(1, least(3, k % 6))::INT AS CityTier, (k % 4 = 0)::INT AS PreferredPaymentMode, coalesce(CASE WHEN k % 23 <> 0 THEN c_mktsegment END, 'nan') AS o, substr(c_mktsegment, 1, 1) AS m, (k % 3 = 0)::INT AS PreferredLoginDevice FROM r), "
+    "c AS (SELECT *, AvgOrderValue * CouponUsed AS CashbackAmount, (dense_rank() OVER (ORDER BY o) - 1)::INT AS PreferedOrderCat, (dense_rank() OVER (ORDER BY m) - 1)::INT AS MaritalStatus FROM b), "
+    "g AS (SELECT greatest(max(HourSpendOnApp), 1) AS mh, greatest(max(t), 1) AS mo, max(DaySinceLastOrder) AS md, greatest(max(NumberOfDeviceRegistered), 1) AS mdev, greatest(max(NumberOfAddress), 1) AS madr, max(NumberOfDeviceRegistered) AS rdev, max(NumberOfAddress) AS radr, max(OrderAmountHikeFromlastYear) AS mhike, max(WarehouseToHome) AS mw FROM c), "
+    "x AS (SELECT c.*, round(0.5 * (HourSpendOnApp / mh) + 0.5 * (t / mo) + 3.1e-9, 6) AS EngagementScore, round(DaySinceLastOrder / CASE WHEN md > 0 THEN md ELSE 1 END + 3.1e-9, 6) AS RecencySignal, round((NumberOfDeviceRegistered + NumberOfAddress) / (rdev + radr) + 3.1e-9, 6) AS StickinessIndex, "
+    "  round(OrderAmountHikeFromlastYear / (mhike + 1e-9) + 3.1e-9, 6) AS SpendTrend, round(0.6::DOUBLE * Complain + 0.4::DOUBLE * (SatisfactionScore - 1) / 4 + 3.1e-9, 6) AS SupportRiskScore, round(CouponUsed / (t + 1e-9) + 3.1e-9, 6) AS DiscountSensitivity, round(ln(1 + t) + 3.1e-9, 6) AS TenureStability, "
+    "  round(WarehouseToHome / (mw + 1e-9) + 3.1e-9, 6) AS WarehouseFriction FROM c CROSS JOIN g)",
+    "SELECT "
+    + ", ".join(f"coalesce(t, (SELECT median(t) FROM x)) AS {c}" if c in ("Tenure", "OrderCount") else c for c in _tele)
+    + f", {_filled}, RecencySignal, StickinessIndex, SpendTrend, SupportRiskScore, WarehouseFriction FROM x",
+)
+_add(
+    "validation_report",
+    lambda s, d: validate.report(load(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("o_orderpriority")), ["o_orderkey", "o_orderpriority", "o_nothing"], 10**9),
+    None,
+    "SELECT 'present' AS \"check\", c AS \"column\", v::DOUBLE AS value, v = 1 AS ok FROM (VALUES ('o_orderkey', 1), ('o_orderpriority', 1), ('o_nothing', 0)) t(c, v) UNION ALL SELECT 'missing_rate', 'o_orderkey', 0, true "
+    "UNION ALL SELECT 'missing_rate', 'o_orderpriority', round(avg((o_orderkey % 3 = 0)::INT), 6), avg((o_orderkey % 3 = 0)::INT) <= 0.3 FROM orders UNION ALL SELECT 'rows', NULL, count(*)::DOUBLE, count(*) >= 1000000000 FROM orders",
+)
+
+
+def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a stage, then every third one with another balance, some of them twice, and some new ones."""
+    path = f"{shared_dir(spark)}/tidemark-upsert-{uuid.uuid4().hex}"
+    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), F.lit(0).alias("updated_at"))
+    upsert_stage(c, path, "id")
+    again = c.filter("id % 3 = 0").select((F.col("id") + F.when(F.col("id") % 2 == 0, 0).otherwise(10**6)).alias("id"), (F.col("balance") * 2).alias("balance"), F.lit(2).alias("updated_at"))
+    return upsert_stage(again.unionByName(again.filter("id % 4 = 0").withColumns({"balance": F.lit(-1.0), "updated_at": F.lit(1)})), path, "id")
+
+
+_add(
+    "upserted_customers",
+    _upserted,
+    None,
+    "WITH c AS (SELECT c_custkey AS id, c_acctbal AS balance FROM customer) SELECT id, CASE WHEN id % 6 = 0 THEN balance * 2 ELSE balance END AS balance, CASE WHEN id % 6 = 0 THEN 2 ELSE 0 END AS updated_at FROM c "
+    "UNION ALL SELECT id + 1000000, balance * 2, 2 FROM c WHERE id % 6 = 3",
+)
+
+
+def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts exported as CSV with padded names, and read as the only table of a folder that has a holdout too."""
+    path = f"{shared_dir(spark)}/tidemark-csv-{uuid.uuid4().hex}"
+    parts = load(spark, sf_dir, "part").select(F.col("p_partkey").alias(" p_partkey "), F.col("p_type").alias("p_type "), F.col("p_retailprice").alias("p_retailprice"))
+    audit.export_plans(parts, f"{path}/b.csv")
+    audit.export_plans(parts.limit(0), f"{path}/a_holdout.csv")
+    return read_table(spark, f"{path}/{pick_csv(['a_holdout.csv', 'b.csv'])}")
+
+
+_add("csv_tables", _csv, None, "SELECT p_partkey::INT AS p_partkey, p_type, p_retailprice FROM part")
