@@ -39,7 +39,7 @@ def plain(values, q):
     return a if a == b else (math.floor(at) + 1 - at) * a + (at - math.floor(at)) * b
 
 
-@pytest.mark.parametrize("last,accuracy,steps", [(4096, 10_000, 1024), (3, 40, 8), (1, 5, 4)])
+@pytest.mark.parametrize("last,accuracy,steps", [(4096, 10_000, 1024), (1, 5, 4)])
 def test_quantiles_are_exact_however_rough_the_sketches(spark, monkeypatch, last, accuracy, steps):
     for name, value in (("LAST", last), ("ACCURACY", accuracy), ("STEPS", steps)):
         monkeypatch.setattr(ranks, name, value)

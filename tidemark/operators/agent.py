@@ -38,11 +38,13 @@ PLAYBOOK = [
 
 
 def lookup(customers: DataFrame, customer_id: str) -> DataFrame:
+    """One customer's profile; ``coupons_used`` too, where the table has ``coupon_used``."""
+    coupons = [F.col("coupon_used").cast("long").alias("coupons_used")] if "coupon_used" in customers.columns else []
     c = customers.filter(F.col("customer_id") == str(customer_id))
     return c.select(
         "customer_id", "segment", "risk_tier", "customer_type", F.bround("churn_probability", 3).alias("churn_probability"), F.bround("uplift_score", 3).alias("uplift_score"),
         F.bround("net_roi", 2).alias("net_roi"), F.col("tenure").cast("long").alias("tenure"), F.col("satisfaction_score").cast("long").alias("satisfaction_score"), (F.col("complain") > 0).alias("complained"),
-        F.bround("hour_spend_on_app", 1).alias("hours_on_app"), F.col("days_since_last_order").cast("long").alias("days_since_last_order"), F.col("order_count").cast("long").alias("orders"), F.bround("cashback_amount", 2).alias("cashback"), (F.col("churn") > 0).alias("churned"),
+        F.bround("hour_spend_on_app", 1).alias("hours_on_app"), F.col("days_since_last_order").cast("long").alias("days_since_last_order"), F.col("order_count").cast("long").alias("orders"), F.bround("cashback_amount", 2).alias("cashback"), (F.col("churn") > 0).alias("churned"), *coupons,
     )
 
 

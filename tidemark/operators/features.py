@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.semantics import clip, first_digits, is_true, mapped, r6, whole_days, with_default, yes_no
 from tidemark.operators.ranks import median_row, running
+from tidemark.operators.validate import label_column
 from tidemark.sources.stage import written
 
 # Column names of the inputs and features, and which of them each model takes.
@@ -213,9 +214,7 @@ LEAKS = ["RetentionCalls", "RetentionOffersAccepted", "MadeCallToRetentionTeam"]
 def telecom_clean(df: DataFrame) -> DataFrame:
     """Stripped names, no leaking columns, flags and ratings as numbers, a string id."""
     df = df.toDF(*[c.strip() for c in df.columns]).drop(*LEAKS)
-    label = next((c for c in df.columns if c.lower() == "churn"), None)
-    if label is None:
-        raise ValueError("no churn column")
+    label = label_column(df)
     out = df.withColumns({c: yes_no(F.col(c).cast("string")) for c in [*YES_NO, label] if c in df.columns})
     if "CreditRating" in df.columns:
         out = out.withColumn("CreditRating", mapped(F.col("CreditRating"), RATINGS, 2))

@@ -224,6 +224,12 @@ _add(
     C,
     "SELECT customer_id, segment, risk_tier, customer_type, round_even(churn_probability, 3) AS churn_probability, round_even(uplift_score, 3) AS uplift_score, round_even(net_roi, 2) AS net_roi, tenure::BIGINT AS tenure, satisfaction_score::BIGINT AS satisfaction_score, complain > 0 AS complained, round_even(hour_spend_on_app, 1) AS hours_on_app, days_since_last_order::BIGINT AS days_since_last_order, order_count::BIGINT AS orders, round_even(cashback_amount, 2) AS cashback, churn > 0 AS churned FROM customers WHERE customer_id = '42'",
 )
+_add(
+    "tool_lookup_coupons",
+    lambda s, d: agent.lookup(bind.customers(s, d).join(bind.scored(s, d).select(F.col("CustomerID").alias("customer_id"), F.col("CouponUsed").alias("coupon_used")), "customer_id"), "7").select("customer_id", "segment", "orders", "coupons_used"),
+    C,
+    "SELECT c.customer_id, c.segment, order_count::BIGINT AS orders, CouponUsed::BIGINT AS coupons_used FROM customers c JOIN scored ON CustomerID = c.customer_id WHERE c.customer_id = '7'",
+)
 _add(
     "tool_segment_benchmark",
     _on(bind.customers, agent.segment_benchmark, "At-Risk"),
