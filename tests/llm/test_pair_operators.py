@@ -99,6 +99,19 @@ def test_large_families_across_the_threshold(spark, small):
     assert sorted(tuple(sorted(x)) for x in got.values()) == classes(rows)
 
 
+def test_undamped_weights_against_brute_force(spark):
+    """Inverse document frequencies with their full weight, counted without collisions."""
+    s = Settings(idf=1.0, sketch=1 << 24)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    edited = docs.filter("length(text) > 300 and doc_id < 60").select((F.col("doc_id") + 10_000).alias("doc_id"), F.regexp_replace("text", r"^(\S+\s+\S+\s+)", "other words here ").alias("text"))
+    rows = docs.unionByName(edited)
+    got = defaultdict(list)
+    for r in neardup.near_duplicates(rows, settings=s).collect():
+        got[r["class_id"]].append(r["doc_id"])
+    want = classes([tuple(r) for r in rows.collect()], s)
+    assert sorted(tuple(sorted(x)) for x in got.values()) == want and sum(len(c) > 1 for c in want) > 20
+
+
 def test_tricky_rows(tricky, empty):
     got = neardup.near_duplicates(tricky)
     assert got.count() == tricky.count() and got.filter("doc_id in (1, 2)").select("class_id").distinct().collect()[0][0] == 1
