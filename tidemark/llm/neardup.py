@@ -19,6 +19,8 @@ from tidemark.llm.vector import LOWER, mix64, slices, words
 
 #: Shingles of a block of texts that a task holds at once.
 BLOCK_BYTES = 16 << 20
+#: Bytes of texts that are cut to shingles at once.
+PART = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -73,7 +75,7 @@ def frequencies(docs: DataFrame, s: Settings) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, texts = np.zeros(s.sketch, np.int64), 0
         for whole in batches:
-            for _, data, at in slices(whole, "text"):
+            for _, data, at in slices(whole, "text", PART):
                 _, h, _ = shingles(data, at, s.words)
                 np.add.at(seen, _bucket(h, s), 1)
                 texts += len(at) - 1
@@ -152,7 +154,7 @@ def _signatures(docs: DataFrame, idf: np.ndarray, s: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch, data, at in slices(whole, "text", 1 << 20):
+            for batch, data, at in slices(whole, "text", PART):
                 row, h, times = shingles(data, at, s.words)
                 if not len(row):
                     continue
@@ -186,7 +188,7 @@ def _sets(texts: DataFrame, need: DataFrame, s: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch, data, at in slices(whole, "text", 1 << 20):
+            for batch, data, at in slices(whole, "text", PART):
                 row, h, times = shingles(data, at, s.words)
                 cut = np.searchsorted(row, np.arange(len(batch) + 1))
                 blobs = [h[i:j].astype("<u4").tobytes() for i, j in zip(cut, cut[1:])]
