@@ -90,6 +90,15 @@ def test_levels_are_collapsed_natively(spark, docs):
     assert "Python" not in plan and "ArrowEval" not in plan
 
 
+def test_paths_are_joined_by_shuffle_and_give_one_row_a_leaf(spark):
+    nodes = spark.range(1000).select(F.lit("=a").alias("tree"), F.col("id").alias("nth"), F.lit(1000).cast("long").alias("size"), F.sha2(F.col("id").cast("string"), 256).alias("leaf"), F.col("id").alias("row"))
+    rounds = merkle.tree_blocks(nodes)
+    top = merkle.roots(rounds).withColumn("path", F.array().cast("array<struct<left:string,right:string>>"))
+    out = merkle.paths(rounds, top)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 1000 and out.filter(merkle.fold(F.col("leaf"), F.col("path")) != F.col("root")).count() == 0
+
+
 # ---------------------------------------------------------------- exact top-k
 
 

@@ -99,7 +99,8 @@ def paths(rounds: list[DataFrame], above: DataFrame, arity: int = ARITY, levels:
             F.sequence(F.lit(0), F.size("rows") - 1),
             lambda i: F.struct(i.alias("place"), F.get("rows", i).alias("row"), F.get(F.get("levels", F.lit(0)), i).alias("leaf"), F.concat(_path(F.col("levels"), i, arity), F.col("higher")).alias("path")),
         )
-        out = blocks.join(top.hint("shuffle_hash"), ["tree", "block"])  # paths grow with the input: never broadcast.select("tree", "block", *also, F.explode(each).alias("e"))
+        # Paths grow with the input: never broadcast.
+        out = blocks.join(top.hint("shuffle_hash"), ["tree", "block"]).select("tree", "block", *also, F.explode(each).alias("e"))
         out = out.select("tree", (F.col("block") * arity**levels + F.col("e.place")).alias("nth"), "e.row", "e.leaf", "e.path", *also)
         top = out.select("tree", F.col("nth").alias("block"), F.col("path").alias("higher"), *also)
     return out.drop("nth")
