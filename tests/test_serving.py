@@ -162,3 +162,10 @@ def test_tables_of_keys_match_as_the_fixed_ones(spark):
     want = {r["r"]: (r["matched_key"], r["match_type"], r["intervention_type"]) for r in agent.playbook_match(df, "r").collect() if r["r"]}
     got = {r["r"]: (r["matched_key"], r["match_type"], r["intervention_type"]) for r in playbook.key_match(df, "r", table).collect()}
     assert got.pop(None) == ("default", "default", "Loyalty Reward") and got == want
+
+
+def test_prompts_keep_the_sign_of_small_negatives(spark):
+    c = spark.range(1).select(F.lit("1").alias("customer_id"), F.lit("s").alias("segment"), *[F.lit("x").alias(n) for n in ("customer_type", "risk_tier")], F.lit(-0.00003).alias("uplift_score"), F.lit(-0.001).alias("net_roi"), *[F.lit(1.0).alias(n) for n in ("churn_probability", "tenure", "days_since_last_order", "hour_spend_on_app", "cashback_amount")], *[F.lit(1).alias(n) for n in ("satisfaction_score", "complain", "order_count")])
+    d = spark.createDataFrame([("1", [("Tenure", 0.5)])], "CustomerID string, Drivers array<struct<feature:string,value:double>>")
+    assert "uplift -0.0000, net ROI $-0.00." in agent.prompt(c).first()["prompt"] and "Uplift -0.0000. Net ROI $-0.00." in serving.prompts(c, d).first()["prompt"]
+    assert "uplift 0.0000, net ROI $0.00." in agent.prompt(c.withColumns({"uplift_score": F.lit(0.00003), "net_roi": F.lit(0.0)})).first()["prompt"]
