@@ -248,3 +248,16 @@ def test_requests_are_scored_as_the_batch_scores_its_rows(spark, tmp_path):
             assert g["valid"] and g["segment"] == r["Segment"]
             if int(i) % 10 != 1 and r["ChurnProbability"] is not None:
                 assert abs(g["churn_probability"] - r["ChurnProbability"]) < 1e-4 and g["churn_prediction"] == (r["ChurnProbability"] >= 0.5)
+
+
+def test_a_pass_adds_up_what_each_job_would_alone():
+    rng = np.random.default_rng(5)
+    m, h = rng.normal(size=(300, 4)), rng.integers(0, 1 << 62, 300).astype(np.uint64)
+    centres, draws = [rng.normal(size=(k, 4)) for k in (3, 5, 3, 2, 5)], [None, 7, 7, None, 2]
+    total = learn._step(centres, draws, 0.8)(m, h)
+    assert len(total) == sum(c.size + len(c) + 1 for c in centres)
+    for (new, cost), c, d in zip(learn._moved(total, centres), centres, draws):
+        far = ((m[:, None] - c) ** 2).sum(-1)
+        near, w = far.argmin(1), learn._times(h, d, 0.8)
+        want = [np.average(m[near == i], axis=0, weights=w[near == i]) if w[near == i].sum() else c[i] for i in range(len(c))]
+        assert np.allclose(new, want) and np.isclose(cost, far.min(1) @ w)
