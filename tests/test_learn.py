@@ -261,3 +261,13 @@ def test_a_pass_adds_up_what_each_job_would_alone():
         near, w = far.argmin(1), learn._times(h, d, 0.8)
         want = [np.average(m[near == i], axis=0, weights=w[near == i]) if w[near == i].sum() else c[i] for i in range(len(c))]
         assert np.allclose(new, want) and np.isclose(cost, far.min(1) @ w)
+
+
+def test_no_segment_is_sent_to_one_task_for_its_statistics(spark):
+    from tidemark.operators import scoring
+
+    df = spark.range(40).select(F.col("id").cast("string").alias("CustomerID"), F.concat(F.lit("s"), (F.col("id") % 2).cast("string")).alias("Segment"), F.col("id").cast("double").alias("a"), (F.col("id") % 2).alias("Churn"))
+    imp = spark.createDataFrame([("s0", "a", 1.0), ("s1", "a", 1.0)], "Segment string, feature string, importance double")
+    for out in (scoring.drivers_by_segment(df, imp, ["a"], 1), learn._sampled(df, "Segment", "Churn", 10)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
