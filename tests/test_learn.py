@@ -60,6 +60,43 @@ def test_all_starts_at_once_are_those_of_plain_lloyd(spark):
     assert abs(learn._times(rng.integers(0, 1 << 63, 20000).astype(np.uint64), 3, 0.8).mean() - 0.8) < 0.03
 
 
+def test_all_mixtures_at_once_are_those_of_one_by_one(spark, monkeypatch):
+    """Each seed ends where MLlib's fit from the same start does; five seeds cost as many passes as the slowest of them."""
+    from types import SimpleNamespace
+
+    from pyspark.mllib.clustering import GaussianMixture
+    from pyspark.mllib.linalg import Matrices, Vectors
+
+    rng = np.random.default_rng(3)
+    m = np.column_stack((rng.normal(size=(400, 2)) + 4 * rng.integers(0, 2, 400)[:, None], rng.integers(0, 2, 400), np.zeros(400)))
+    m[:2, 0] = 80, -90  # rows far from all components
+    x = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(m)], "CustomerID string, x array<double>").repartition(5)
+    passes, total = [], learn._total
+    monkeypatch.setattr(learn, "_total", lambda *a, **b: passes.append(1) or total(*a, **b))
+    start, seeds = learn.mixtures(x, 2, [1, 2, 3, 4, 5], 0), [1, 2, 3, 4, 5]
+    got = learn.mixtures(x, 2, seeds, 8, tolerance=0.0)
+    assert len(passes) == 8
+    for ((w, mean, cov), _), ((w2, mean2, cov2), likelihood) in zip(start, got):
+        components = [SimpleNamespace(mu=Vectors.dense(a), sigma=Matrices.dense(4, 4, b.ravel())) for a, b in zip(mean, cov)]
+        want = GaussianMixture.train(spark.sparkContext.parallelize([Vectors.dense(v) for v in m], 3), 2, 0.0, 8, initialModel=SimpleNamespace(k=2, weights=w.tolist(), gaussians=components))
+        assert np.allclose(want.weights, w2, atol=1e-9) and np.isfinite(likelihood)
+        for i, g in enumerate(want.gaussians):
+            assert np.allclose(g.mu.toArray(), mean2[i], atol=1e-8) and np.allclose(g.sigma.toArray(), cov2[i], atol=1e-8)
+
+
+def test_memberships_are_the_densities_shares(spark):
+    rng = np.random.default_rng(4)
+    rows = [(str(i), *map(float, v + 5 * (i % 2))) for i, v in enumerate(rng.normal(size=(200, len(learn.CLUSTERING))))]
+    df = spark.createDataFrame(rows, "CustomerID string, " + ", ".join(f"{c} double" for c in learn.CLUSTERING))
+    got = learn.gmm_soft(df, k=2, seeds=3, iterations=30).collect()
+    by = {0: set(), 1: set()}
+    for r in got:
+        assert abs(r[2] + r[3] - 1) < 1e-9 and r["GMM_Segment"] == int(r[3] > r[2])
+        by[int(r["CustomerID"]) % 2].add(r["GMM_Segment"])
+    assert len(got) == 200 and len(by[0]) == len(by[1]) == 1 and by[0] != by[1]
+    assert learn.gmm_soft(df.limit(0), k=2).collect() == [] and learn.gmm_soft(df.limit(1), k=2, seeds=2).count() == 1
+
+
 def test_boosting_learns_and_scores_alike():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 5))
