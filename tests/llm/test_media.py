@@ -244,3 +244,13 @@ def test_the_query_of_pixel_arrays_has_every_pixel(spark):
             assert (r["width"], r["height"], r["error"], r["pixels_sha256"]) == (192, len(part), None, hashlib.sha256(argb.tobytes()).hexdigest())
             n += 1
     assert n == len(got)
+
+
+def test_a_pixel_takes_one_look_at_the_bits(monkeypatch):
+    """Green, red and blue of a step come from the same bits, not from a read each."""
+    reads, read = [], webp.Codes.read
+    monkeypatch.setattr(webp.Codes, "read", lambda *a: reads.append(1) or read(*a))
+    data = np.random.default_rng(0).integers(0, 256, 4 * 576, dtype=np.uint8)
+    (width, height, px), = webp.decode(webp.encode_payloads(data, np.array([4]), 192))
+    assert (width, height) == (192, 4) and np.array_equal(np.ascontiguousarray(px, "<u4").view(np.uint8).reshape(-1, 4)[:, 2::-1].ravel(), data)
+    assert len(reads) < 2 * 768  # those of code lengths only; a read for each channel took 3 * 768 more

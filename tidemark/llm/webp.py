@@ -210,11 +210,8 @@ def _images(bits: Bits, at: np.ndarray, ends: np.ndarray, width: np.ndarray, hei
     cache = np.zeros(int(np.where(cache_bits > 0, 1 << cache_bits, 0).sum()) + 1, np.uint32)
     all_cached = bool((cache_bits > 0).all())
 
-    lane = np.arange(lanes)
-    place, stop = first[:-1].copy(), first[1:]
-    where = at.copy()  # of the lanes that go on
-    cb, cf = (32 - cache_bits).astype(np.uint32), cache_first
-    here = place.copy()
+    stop = first[1:]
+    here = first[:-1].copy()
     many_groups = bool(maps)
     # Images of a single literal colour take no bits at all.
     flat = (groups == 1) & green.trivial[first_group] & red.trivial[first_group] & blue.trivial[first_group] & alpha.trivial[first_group]
@@ -223,74 +220,99 @@ def _images(bits: Bits, at: np.ndarray, ends: np.ndarray, width: np.ndarray, hei
         if g < GREENS:
             out[first[i] : first[i + 1]] = a << 24 | r << 16 | g << 8 | b
             here[i] = stop[i]
+
+    def tables_of(code: np.ndarray) -> list[np.ndarray]:
+        return [code, green.first[code], green.drop[code], red.first[code], red.drop[code], blue.first[code], blue.drop[code], alpha.table[alpha.first[code]] >> 4 << 24]
+
+    # What each lane that goes on needs, so that a step gathers nothing but its symbols.
+    words, low = bits.words.view("<i8"), (1 << 15) - 1
+    lane, where = np.arange(lanes), at.copy()
+    fixed = [lane, stop, ends, (32 - cache_bits).astype(np.uint32), cache_first, *tables_of(first_group)]
     while len(lane):
-        if (where > ends[lane]).any():
+        if (where > fixed[2]).any():
             raise WebPError("the data end too early")
-        on = here < stop[lane]
+        on = here < fixed[1]
         if not on.all():
             done = lane[~on]
             at[done] = where[~on]
-            lane, where, here = lane[on], where[on], here[on]
-            cb, cf = cb[on], cf[on]
+            where, here = where[on], here[on]
+            fixed = [v[on] for v in fixed]
+            lane = fixed[0]
             if not len(lane):
                 break
-        code = first_group[lane]
+        _, _, _, cb, cf, code, green_first, green_drop, red_first, red_drop, blue_first, blue_drop, opaque = fixed
         if many_groups:
-            code = code.copy()
+            code = first_group[lane]
             for j, i in enumerate(lane):
                 if i in maps:
                     k = here[j] - first[i]
                     code[j] += maps[i][(k // width[i] >> shift[i]) * -(-width[i] // (1 << shift[i])) + (k % width[i] >> shift[i])]
-        symbol = green.read(bits, where, code)
+            code, green_first, green_drop, red_first, red_drop, blue_first, blue_drop, opaque = tables_of(code)
+        # Green, red and blue have 45 bits at most: one look at the bits serves all three. What isn't a literal reads red and blue in vain.
+        ahead = words[where >> 3] >> (where & 7)
+        g = green.table.take(green_first + (REVERSED.take(ahead & low) >> green_drop))
+        n = g & 15
+        symbol = g >> 4
+        ahead >>= n
+        where += n
+        r = red.table.take(red_first + (REVERSED.take(ahead & low) >> red_drop))
+        n = r & 15
+        ahead >>= n
+        b = blue.table.take(blue_first + (REVERSED.take(ahead & low) >> blue_drop))
+        n += b & 15
+        px = r >> 4 << 16
+        px |= symbol << 8
+        px |= b >> 4
         literal = symbol < GREENS
+        if plain_alpha:
+            px |= opaque
+        else:
+            past = where + n
+            a = alpha.table.take(alpha.first[code] + (REVERSED.take(words[past >> 3] >> (past & 7) & low) >> alpha.drop[code]))
+            n += a & 15
+            px |= a >> 4 << 24
+        px = px.view(np.uint32)
+        moved, copies = 1, None
         if literal.all():
-            at_l, code_l, place_l, sym_l = where, code, here, symbol
+            where += n
         else:
-            l_ = np.flatnonzero(literal)
-            at_l, code_l, place_l, sym_l = where[l_], code[l_], here[l_], symbol[l_]
-        px = sym_l << 8
-        px |= red.read(bits, at_l, code_l) << 16
-        px |= blue.read(bits, at_l, code_l)
-        px |= (alpha.table[alpha.first[code_l]].astype(np.int64) >> 4 if plain_alpha else alpha.read(bits, at_l, code_l)) << 24
-        px = px.astype(np.uint32)
-        out[place_l] = px
-        moved = 1
-        if len(px) < len(symbol):
-            where[l_] = at_l
+            where += n * literal
             c_ = np.flatnonzero(symbol >= GREENS + LENGTHS)
-            if len(c_):
-                out[here[c_]] = cache[cf[c_] + symbol[c_] - GREENS - LENGTHS]
-            b_ = np.flatnonzero(~literal & (symbol < GREENS + LENGTHS))
-            if len(b_):
-                moved = np.ones(len(lane), np.int64)
-                q = where[b_]
-                length = _value(bits, q, symbol[b_] - GREENS)
-                far = _value(bits, q, distance.read(bits, q, code[b_]))
-                where[b_] = q
-                w = width[lane[b_]]
-                near = far <= len(NEIGHBOURS)
-                xy = NEIGHBOURS[np.where(near, far, 1) - 1]
-                far = np.where(near, np.maximum(1, xy[:, 0] + xy[:, 1] * w), far - len(NEIGHBOURS))
-                for j, n, d in zip(b_, length, far):
-                    i, a = lane[j], int(here[j])
-                    n, d = min(int(n), int(stop[i]) - a), int(d)
-                    if d > a - first[i]:
-                        raise WebPError("a back-reference to before the image")
-                    if d >= n:
-                        out[a : a + n] = out[a - d : a - d + n]
-                    else:
-                        out[a : a + n] = np.resize(out[a - d : a], n)
-                    if cache_bits[i]:
-                        some = out[a : a + n]
-                        cache[cache_first[i] + ((some * CACHE_FACTOR) >> np.uint32(32 - cache_bits[i])).astype(np.int64)] = some
-                    moved[j] = n
-        if all_cached:
-            px = out[here]
-            cache[cf + ((px * CACHE_FACTOR) >> cb).astype(np.int64)] = px
-        elif len(cached):
-            h_ = np.flatnonzero(cb < 32)
-            px = out[here[h_]]
-            cache[cf[h_] + ((px * CACHE_FACTOR) >> cb[h_]).astype(np.int64)] = px
+            px[c_] = cache[cf[c_] + symbol[c_] - GREENS - LENGTHS]
+            if len(c_) + np.count_nonzero(literal) < len(lane):
+                copies = ~literal & (symbol < GREENS + LENGTHS)
+        if copies is None:
+            out[here] = px
+            kept = slice(None) if all_cached else np.flatnonzero(cb < 32) if len(cached) else None
+        else:
+            b_, rest = np.flatnonzero(copies), np.flatnonzero(~copies)
+            out[here[rest]] = px[rest]
+            kept = rest if all_cached else rest[cb[rest] < 32]
+            moved = np.ones(len(lane), np.int64)
+            q = where[b_]
+            length = _value(bits, q, symbol[b_].astype(np.int64) - GREENS)
+            far = _value(bits, q, distance.read(bits, q, code[b_]))
+            where[b_] = q
+            w = width[lane[b_]]
+            near = far <= len(NEIGHBOURS)
+            xy = NEIGHBOURS[np.where(near, far, 1) - 1]
+            far = np.where(near, np.maximum(1, xy[:, 0] + xy[:, 1] * w), far - len(NEIGHBOURS))
+            for j, n, d in zip(b_, length, far):
+                i, a = lane[j], int(here[j])
+                n, d = min(int(n), int(stop[i]) - a), int(d)
+                if d > a - first[i]:
+                    raise WebPError("a back-reference to before the image")
+                if d >= n:
+                    out[a : a + n] = out[a - d : a - d + n]
+                else:
+                    out[a : a + n] = np.resize(out[a - d : a], n)
+                if cache_bits[i]:
+                    some = out[a : a + n]
+                    cache[cache_first[i] + ((some * CACHE_FACTOR) >> np.uint32(32 - cache_bits[i])).astype(np.int64)] = some
+                moved[j] = n
+        if kept is not None:
+            px = px[kept]
+            cache[cf[kept] + ((px * CACHE_FACTOR) >> cb[kept])] = px
         here = here + moved
     if (at > ends).any():
         raise WebPError("the data end too early")
@@ -522,17 +544,17 @@ def _code_lengths(counts: np.ndarray) -> np.ndarray:
     share = share / np.maximum(share.sum(axis=1, keepdims=True), 1e-9)
     lengths = np.where(used, np.clip(np.ceil(-np.log2(np.maximum(share, 1e-9)) - 1e-9), 1, LONGEST), 0).astype(np.int64)
     room = (1 << LONGEST) - np.where(used, 1 << (LONGEST - lengths), 0).sum(axis=1)
-    order = np.argsort(-counts, axis=1, kind="stable")
-    most = int(used.sum(axis=1).max(initial=0))
-    rows = np.arange(len(counts))
+    order = np.argsort(-counts, axis=1, kind="stable")[:, : int(used.sum(axis=1).max(initial=0))]
+    # By rank and row; unused symbols and lengths of 1 get no shorter.
+    now = np.ascontiguousarray(np.take_along_axis(lengths, order, 1).T)
+    gains = np.array([1 << 20, 1 << 20, *(1 << (LONGEST - n) for n in range(2, LONGEST + 1))])
     while (room > 0).any():
-        for k in range(most):
-            s = order[:, k]
-            now = lengths[rows, s]
-            gain = np.where(now > 1, np.int64(1) << np.maximum(LONGEST - now, 0), 1 << 20)
-            yes = (gain <= room) & (counts[rows, s] > 0)
-            lengths[rows[yes], s[yes]] -= 1
-            room[yes] -= gain[yes]
+        for at_rank in now:
+            gain = gains.take(at_rank)
+            yes = gain <= room
+            at_rank -= yes
+            room -= gain * yes
+    np.put_along_axis(lengths, order, now.T, 1)
     return lengths
 
 
