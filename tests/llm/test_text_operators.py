@@ -1,20 +1,23 @@
 """Secrets, packing, language, scores: brute force, round trips, held-out accuracy and the defined cases."""
 
+import gc
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import langid, lm, packing, secrets
 from tidemark.llm.queries import QUERIES
-from tidemark.llm.vector import mix64
+from tidemark.llm.vector import mix64, slices
 
 SF = "/root/testdata/sf0.001"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -370,3 +373,55 @@ def test_queries_run(spark, name):
 def test_digest_of_no_spans(spark):
     got = QUERIES["op2_secret_scan"](spark, SF).filter("spans = ''").select("base_sha256").distinct().collect()
     assert [r[0] for r in got] == [hashlib.sha256(b"").hexdigest()]
+
+
+def peak_mb(work):
+    """What ``work`` returns, and the most MB that it had allocated at once."""
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_worker_holds_little_at_once():
+    """Parts of texts are small enough for workers that share an executor's memory, and change no result."""
+    rng = np.random.default_rng(5)
+    letters = np.array(list("etaoinshrdlu"))
+    text = ["".join(rng.choice(letters, 9)) for _ in range(4000)]
+    texts = [" ".join(rng.choice(text, 400)) + f" token={'aB3' * i} é" for i in range(1, 1000)]
+    batch = pa.record_batch({"text": pa.array(texts)})
+
+    def scan(most):
+        parts = [secrets._scan(*part) for part in slices(batch, "text", most)]
+        counts = Counter()
+        for _, _, per_text in parts:
+            for c in (c for some in per_text if some for c in some):
+                counts[c["group"], c["bin"], "tokens"] += c["tokens"]
+                counts[c["group"], c["bin"], "ordinary"] += c["ordinary"]
+        return [b for base, _, _ in parts for b in base], [f for _, found, _ in parts for f in found.to_pylist()], counts
+
+    got, peak = peak_mb(lambda: scan(secrets.PART))
+    assert got == scan(1 << 30) and peak < 60
+
+    s = langid.Settings()
+    model = langid.Model(("a", "b"), rng.random((2, s.buckets), np.float32), np.zeros(2), 1.0, s)
+    scores = lambda **most: np.concatenate([langid._scores(bodies, model) for _, bodies in langid._parts(batch, **most)])
+    got, peak = peak_mb(scores)
+    assert np.allclose(got, scores(most=1 << 30), rtol=1e-12) and peak < 30
+
+
+def test_a_task_forgets_its_words():
+    """Workers outlive their tasks; what a task has remembered goes with it."""
+    packing._encoder(TOKENIZER)(b"once")
+    text = " ".join(f"w{i:x}q" for i in range(20_000)).encode()
+    tracemalloc.start()
+    try:
+        encode = packing._encoder(TOKENIZER)
+        assert encode(text)
+        held = tracemalloc.get_traced_memory()[0] / 1e6
+        del encode
+        gc.collect()
+        assert held > 2 and tracemalloc.get_traced_memory()[0] / 1e6 < held / 4
+    finally:
+        tracemalloc.stop()

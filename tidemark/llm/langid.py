@@ -67,7 +67,7 @@ def _grams(bodies: list[str], s: Settings) -> tuple[list[np.ndarray], np.ndarray
     return out, at
 
 
-def _parts(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+def _parts(batch: pa.RecordBatch, most: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
     """Lower-case texts of a batch's last column in parts of about ``most`` characters and at most 512 rows."""
     column = batch.column(batch.num_columns - 1)
     for first in range(0, len(column), 512):

@@ -17,7 +17,7 @@ from tidemark.llm.common import written
 from tidemark.llm.vector import slices
 
 END_ID = 2
-#: Words that a worker remembers; once it is full, other words are encoded each time.
+#: Words that a task remembers; once it is full, other words are encoded each time.
 REMEMBERED = 600_000
 #: Pieces dealt to one group of bins; groups fill their bins independently.
 GROUP_PIECES = 8192
@@ -67,18 +67,24 @@ _SPLITTER = {
 
 
 @lru_cache(2)
+def _loaded(tokenizer: str):
+    """The tokenizer, once for each worker process, and whether words may be encoded one by one."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer)
+    made = json.loads(tok.to_str())
+    return tok, (made["normalizer"], made["pre_tokenizer"]) == (_NORMALIZER, _SPLITTER)
+
+
 def _encoder(tokenizer: str):
-    """bytes of a text -> little-endian bytes of its ids; one for each worker process.
+    """bytes of a text -> little-endian bytes of its ids; one for each task, so that an idle worker keeps no words.
 
     White space only parts words, so words are encoded once and remembered. Plain Latin letters, with or without marks behind, go to the
     tokenizer's model at once: its normalizer would only lower them and its splitter only part the marks. All else is encoded whole. Tokenizers that
     normalize or split otherwise encode every text whole.
     """
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(tokenizer)
-    made = json.loads(tok.to_str())
-    if (made["normalizer"], made["pre_tokenizer"]) != (_NORMALIZER, _SPLITTER):
+    tok, by_word = _loaded(tokenizer)
+    if not by_word:
         return lambda body: np.array(tok.encode(body.decode(), add_special_tokens=False).ids, "<u4").tobytes()
     known: dict[bytes, bytes] = {}
 

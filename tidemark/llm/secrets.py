@@ -49,6 +49,9 @@ LENGTHS = (12, 16, 20, 28, 40, 64)
 #: p-values are counted in steps of a twentieth of a power of ten. From ``LOST`` on a token is no candidate: draws at random come there once in 100,000.
 STEP, LOST = 0.05, 100
 
+#: Bytes of texts that are scanned at once.
+PART = 1 << 20
+
 SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
 CANDIDATE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("group", pa.int32()), ("bin", pa.int32())])
 COUNT = pa.struct([("group", pa.int32()), ("bin", pa.int32()), ("tokens", pa.int64()), ("ordinary", pa.int64())])
@@ -272,7 +275,7 @@ def scan_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch, data, at in slices(whole, "scanned_text"):
+            for batch, data, at in slices(whole, "scanned_text", PART):
                 base, found, counts = _scan(batch, data, at)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(base, pa.list_(SPAN)), found, pa.array(counts, pa.list_(COUNT))], schema.names)
 
