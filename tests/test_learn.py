@@ -1,6 +1,7 @@
 """Learned stages do the reference's whole work by default."""
 
 import inspect
+import pickle
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -178,6 +179,40 @@ def test_sums_over_tasks_give_the_trees_of_one_task(spark):
     assert forest.fit_all(df.limit(0), "s", "y", 5, 3) == {} and forest.fit_all(df.withColumn("y", F.lit(1)), "s", "y", 2, 2) == {}
 
 
+def test_large_segments_are_fitted_on_all_their_rows(spark):
+    """Importances come from every labelled row, one segment in a task or all in passes: both give the same model, and a reading from about 50,000 rows doesn't."""
+    n = 70_000
+    x = [F.rand(i) for i in range(len(learn.CHURN_FEATURES))]
+    df = spark.range(n, numPartitions=4).select(F.col("id").cast("string").alias("CustomerID"), F.lit("Champions").alias("Segment"), *[F.round(c, 3).alias(name) for c, name in zip(x, learn.CHURN_FEATURES)])
+    a, b = learn.CHURN_FEATURES[:2]
+    df = df.withColumn("Churn", F.when(F.col("CustomerID") % 9 != 0, (F.col(a) + F.col(b) * F.col(b) + F.rand(99) > 1.4).cast("int"))).persist()
+    labelled_rows = df.filter("Churn is not null").count()
+    how = {"rounds": 3, "depth": 3, "cv_rounds": 2}
+    one, every = (learn.churn_models(df, most=most, **how).persist() for most in (learn.TASK_ROWS, 1000))
+    r, q = one.first(), every.first()
+    assert labelled_rows > learn.FIT_ROWS and r["rows"] == q["rows"] == labelled_rows
+    m, k = pickle.loads(r["model"]), pickle.loads(q["model"])
+    assert all(np.allclose(u, v, rtol=1e-12) for u, v in zip(m["cuts"], k["cuts"], strict=True)) and (m["splits"] == k["splits"]).all()
+    assert np.allclose(m["leaves"], k["leaves"]) and np.allclose(r["importance"], q["importance"])
+    assert all(abs(r[f] - q[f]) < 1e-6 for f in learn.FIGURES)
+    top = learn.top_importances(one, "Champions").collect()
+    assert len(top) == 15 and {t["feature"] for t in top[:2]} == {a, b} and [t["feature"] for t in top] == [t["feature"] for t in learn.top_importances(every, "Champions").collect()]
+    df.unpersist()
+
+
+def test_quantiles_that_cut_bins_are_those_of_all_rows(spark):
+    """Bin edges of fits in passes are exactly those that one task finds, ties, unknown and infinite values included."""
+    rng = np.random.default_rng(11)
+    x = np.column_stack((rng.normal(size=30_000), rng.integers(0, 5, 30_000), rng.choice([0.0, -0.0, np.nan, 1e300], 30_000), np.round(rng.exponential(size=30_000), 2)))
+    x[:3, 0] = np.nan, np.inf, -np.inf
+    g = np.where(np.arange(30_000) % 10 == 0, "small", "large")
+    df = spark.createDataFrame([(str(a), b.tolist()) for a, b in zip(g, x)], "s string, x array<double>").repartition(5)
+    got = forest.cut_points(df, "s", 4)
+    for s in ("small", "large"):
+        for a, b in zip(got[s], boosting.edges(x[g == s]), strict=True):
+            assert len(a) == len(b) and np.allclose(a, b, rtol=1e-12)
+
+
 def test_samples_of_large_segments_are_bounded_without_a_window(spark):
     df = spark.range(20_000).select(F.col("id").cast("string").alias("CustomerID"), F.when(F.col("id") % 20 == 0, "small").otherwise("large").alias("Segment"), F.when(F.col("id") % 3 != 0, F.col("id") % 2).alias("Churn"))
     got = learn._sampled(df, "Segment", "Churn", 3000)
