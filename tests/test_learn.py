@@ -200,6 +200,20 @@ def test_large_segments_are_fitted_on_all_their_rows(spark):
     df.unpersist()
 
 
+def test_drivers_rest_on_rows_that_a_sample_would_leave_out(spark):
+    """A feature that tells churn only in rows whose hash lies above a sample's threshold is the first driver of these rows."""
+    a, b = learn.CHURN_FEATURES[:2]
+    tail = F.shiftrightunsigned(F.xxhash64("CustomerID", F.lit(42)), 11) / F.lit(float(1 << 53)) >= 0.82
+    df = spark.range(60_000, numPartitions=4).select(F.col("id").cast("string").alias("CustomerID"), F.lit("a").alias("Segment"), (F.col("id") % 2).cast("int").alias("Churn"), (F.col("id") % 7).cast("double").alias(a))
+    df = df.withColumn(b, F.when(tail, 2.0 * F.col("Churn") - 1).otherwise(0.0)).persist()
+    for most in (learn.TASK_ROWS, 1000):
+        models = learn.churn_models(df, rounds=2, depth=2, cv_rounds=1, folds=2, most=most).persist()
+        assert models.first()["rows"] == 60_000 and models.first()["importance"][1] == 1.0
+        got = learn.model_drivers(df, models).join(df.filter(tail).select("CustomerID"), "CustomerID")
+        assert [r[0] for r in got.select(F.col("Drivers")[0]["feature"]).distinct().collect()] == [b]
+    df.unpersist()
+
+
 def test_quantiles_that_cut_bins_are_those_of_all_rows(spark):
     """Bin edges of fits in passes are exactly those that one task finds, ties, unknown and infinite values included."""
     rng = np.random.default_rng(11)
